@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import media, mixing, token_counts
+from . import chat, licenses, media, mixing, secrets, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, through the blob ledger."""
+    return secrets.secret_digest(secrets.scan_history(_documents(spark, sf_dir))[0])
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as PNG, read back, with checksums and a cosine hash."""
     return media.media_digest(media.decode_media(media.encode_media(_documents(spark, sf_dir))))
@@ -28,9 +33,22 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations of the log, rendered."""
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures in every text."""
+    return licenses.license_digest(licenses.scan_licenses(_documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op2_secret_scans": op2_secret_scans,
     "op3_media_columns": op3_media_columns,
     "op4_token_counts": op4_token_counts,
     "op6_mix_sources": op6_mix_sources,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op9_license_scans": op9_license_scans,
 }
 ORACLES: dict[str, str] = {}
