@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import chat, licenses, media, mixing, secrets, token_counts
+from . import chat, decontamination, language_id, licenses, media, mixing, secrets, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the labelled documents that are not held out."""
+    docs = _documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text, through the blob ledger."""
     return secrets.secret_digest(secrets.scan_history(_documents(spark, sf_dir))[0])
@@ -28,6 +34,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every text."""
+    return decontamination.contaminated(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a weighted mix takes from every document."""
     return mixing.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -44,9 +55,11 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_secret_scans": op2_secret_scans,
     "op3_media_columns": op3_media_columns,
     "op4_token_counts": op4_token_counts,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_mix_sources": op6_mix_sources,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_license_scans": op9_license_scans,
