@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import chat, decontamination, language_id, licenses, media, mixing, secrets, token_counts
+from . import chat, decontamination, language_id, licenses, media, mixing, near_duplicates, secrets, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked group and number of links of every text."""
+    return near_duplicates.join_near_texts(_documents(spark, sf_dir))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and signatures in every text."""
     return licenses.license_digest(licenses.scan_licenses(_documents(spark, sf_dir)))
@@ -62,6 +67,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_mix_sources": op6_mix_sources,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scans": op9_license_scans,
 }
 ORACLES: dict[str, str] = {}
