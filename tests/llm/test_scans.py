@@ -67,7 +67,7 @@ def test_ledger_is_incremental(make_docs):
 
 
 def test_redaction(make_docs):
-    out = {r.doc_id: r.text for r in secrets.redact(make_docs([(i, t) for i, t in enumerate(SECRETS)])).collect()}
+    out = {r.doc_id: r.text for r in secrets.redact_history(make_docs([(i, t) for i, t in enumerate(SECRETS)])).collect()}
     assert out[5] is None and out[4] == ""
     assert out[7] == "[SECRET],[SECRET]"
     assert out[6] == "plain " * 3000 + '[SECRET]" ' + "plain " * 3000

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import chat, decontamination, language_id, licenses, media, mixing, near_duplicates, secrets, token_counts
+from . import chat, decontamination, language_id, language_model, licenses, media, mixing, near_duplicates, secrets, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,11 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(_documents(spark, sf_dir)))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear log-probabilities of every text."""
+    return language_model.score_texts(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scans": op2_secret_scans,
@@ -69,5 +75,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scans": op9_license_scans,
+    "op10_lm_scoring": op10_lm_scoring,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}

@@ -123,17 +123,28 @@ def secret_digest(versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
     )
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with every finding of the ledger scan replaced by `mark`; overlapping findings share one mark.
-
-    All rows and columns stay; null text stays null. The text is rewritten where it lies, from spans found in place.
-    """
-    t = f"`{text}`"
-    all_spans = "array_sort(concat(" + ", ".join(f"if(regexp_like({t}, {_quoted(r.gate)}), {_rule_findings(r, k, t)}, cast(array() AS {FINDINGS}))" for k, r in enumerate(rules)) + "))"
-    rewritten = f"""aggregate({all_spans}, named_struct('at', 0, 'out', ''),
+def mask(text: str, findings: str, mark: str) -> str:
+    """SQL for `text` with every finding replaced; overlapping findings share one mark."""
+    return f"""aggregate({findings}, named_struct('at', 0, 'out', ''),
         (a, f) -> if(f.start < a.at,
             named_struct('at', greatest(a.at, f.end), 'out', a.out),
-            named_struct('at', f.end, 'out', concat(a.out, substring({t}, a.at + 1, f.start - a.at), {_quoted(mark)}))),
-        a -> concat(a.out, substring({t}, a.at + 1)))"""
-    fixed = F.expr(f"if({t} IS NOT NULL AND regexp_like({t}, {_quoted(gate(rules))}), {rewritten}, {t})")
-    return docs.withColumn(text, fixed)
+            named_struct('at', f.end, 'out', concat(a.out, substring({text}, a.at + 1, f.start - a.at), {_quoted(mark)}))),
+        a -> concat(a.out, substring({text}, a.at + 1)))"""
+
+
+def redact_history(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`docs`, all rows and columns, with every secret replaced by `mark`; null text stays null.
+
+    The ledger scans each distinct blob that the gate lets through once; its findings, held by blob, are joined back to
+    every row that carries it, and only those rows are rewritten.
+    """
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    gated = content.rlike(gate(rules))
+    # only the gated rows travel; the others stay where they are
+    hot = docs.where(gated).select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.unhex(F.sha2(content, 256)).alias("_blob"))
+    hot = materialize(hot)
+    _, ledger = scan_history(hot.select(F.col(f"_row.`{text}`").alias("text"), F.lit(None).cast("long").alias("doc_id")), rules=rules)
+    found = ledger.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+    joined = hot.join(found, "_blob", "left")
+    shown = [F.expr(f"if(_findings IS NULL, _row.`{c}`, {mask(f'_row.`{c}`', '_findings', mark)})").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return docs.where(~gated).unionByName(joined.select(*shown))
