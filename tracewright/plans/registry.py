@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import traversals
+
+_PARTS = (traversals,)
+QUERIES: dict = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
