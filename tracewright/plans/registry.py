@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import releases, traversals
+from . import packages, releases, traversals
 
-_PARTS = (traversals, releases)
+_PARTS = (traversals, releases, packages)
 QUERIES: dict = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
