@@ -17,56 +17,56 @@ from .secrets import _quoted
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-#: License names as word regexes, with a keyword each name must contain.
+#: License names as word regexes, with words of which each name holds one.
 NAMES = (
-    ("agpl-3.0", r"(?:gnu )?affero general public license|agpl(?: v?3(?: 0)?)?", "a"),
-    ("apache-2.0", r"apache license version 2 0|apache(?: license)? v?2(?: 0)?|apache", "apache"),
-    ("apache-1.1", r"apache(?: software)? license version 1 1", "apache"),
-    ("artistic-2.0", r"artistic license(?: version)? 2 0|artistic 2 0", "artistic"),
-    ("bsd-2-clause", r"(?:simplified|2 clause|two clause) bsd|bsd 2 clause", "bsd"),
-    ("bsd-3-clause", r"(?:new|revised|3 clause|three clause|modified) bsd|bsd 3 clause", "bsd"),
-    ("bsd-4-clause", r"(?:original|4 clause|four clause) bsd|bsd 4 clause", "bsd"),
-    ("bsl-1.0", r"boost software license(?: version)? ?1 0|boost software", "boost"),
-    ("cc0-1.0", r"cc0(?: 1 0)?(?: universal)?|creative commons zero", "c"),
-    ("cc-by-4.0", r"cc by 4 0|creative commons attribution 4 0(?: international)?", "c"),
-    ("cc-by-3.0", r"cc by 3 0|creative commons attribution 3 0(?: unported)?", "c"),
-    ("cc-by-sa-4.0", r"cc by sa(?: 4 0)?|creative commons attribution share ?alike(?: 4 0)?(?: international)?", "c"),
-    ("cc-by-nc-4.0", r"cc by nc(?: 4 0)?|creative commons attribution non ?commercial(?: 4 0)?(?: international)?", "c"),
-    ("cc-by-nd-4.0", r"cc by nd(?: 4 0)?|creative commons attribution no ?deriv(?:ative)?s(?: 4 0)?", "c"),
-    ("cc-by-nc-sa-4.0", r"cc by nc sa(?: 4 0)?|creative commons attribution non ?commercial share ?alike(?: 4 0)?", "c"),
-    ("cc-by-nc-nd-4.0", r"cc by nc nd(?: 4 0)?|creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: 4 0)?", "c"),
-    ("cddl-1.0", r"common development and distribution license|cddl(?: 1 0)?", "d"),
-    ("cpl-1.0", r"common public license(?: version)?(?: 1 0)?|cpl 1 0", "c"),
-    ("ecl-2.0", r"educational community license|ecl 2 0", "e"),
-    ("epl-1.0", r"eclipse public license(?: version| v)? ?1 0|epl 1 0", "e"),
-    ("epl-2.0", r"eclipse public license(?:(?: version| v)? ?2 0)?|epl 2 0", "e"),
-    ("eupl-1.2", r"european union public licen[cs]e(?: v?1 2)?|eupl(?: 1 2)?", "eu"),
-    ("fdl-1.3", r"gnu free documentation license|gfdl(?: 1 3)?", "g"),
-    ("gpl-2.0", r"(?:gnu )?general public license(?: version| v)? ?2(?: 0)?|(?:gnu )?gpl ?v?2(?: 0)?", "g"),
-    ("gpl-3.0", r"(?:gnu )?general public license(?: version| v)? ?3(?: 0)?|(?:gnu )?gpl ?v?3(?: 0)?", "g"),
-    ("gpl", r"(?:gnu )?general public license|gnu gpl|gpl", "g"),
-    ("isc", r"isc", "isc"),
-    ("lgpl-2.1", r"(?:gnu )?lesser general public license(?: version| v)? ?2 1|(?:gnu )?lgpl ?v?2 1", "l"),
-    ("lgpl-3.0", r"(?:gnu )?lesser general public license(?:(?: version| v)? ?3(?: 0)?)?|(?:gnu )?lgpl(?: ?v?3(?: 0)?)?", "l"),
-    ("lppl-1.3c", r"latex project public license|lppl(?: 1 3c?)?", "l"),
-    ("mit", r"mit|expat", "i"),
-    ("mit-0", r"mit no attribution|mit 0", "mit"),
-    ("mpl-1.1", r"mozilla public license(?: version| v)? ?1 1|mpl 1 1", "m"),
-    ("mpl-2.0", r"mozilla public license(?:(?: version| v)? ?2 0)?|mpl(?: 2 0)?", "m"),
-    ("ms-pl", r"microsoft public license|ms pl", "m"),
-    ("ms-rl", r"microsoft reciprocal license|ms rl", "m"),
-    ("ncsa", r"university of illinois ncsa open source|ncsa", "ncsa"),
-    ("odbl-1.0", r"open database license|odbl(?: 1 0)?", "o"),
-    ("ofl-1.1", r"sil open font license|ofl(?: 1 1)?", "o"),
-    ("osl-3.0", r"open software license(?: version)?(?: 3 0)?|osl 3 0", "o"),
-    ("php-3.01", r"php license(?: version)? 3 01|php 3 01", "php"),
-    ("postgresql", r"postgresql", "postgresql"),
-    ("psf-2.0", r"python software foundation|psf(?: 2 0)?", "p"),
-    ("unlicense", r"unlicense|the unlicense", "unlicense"),
-    ("upl-1.0", r"universal permissive license|upl 1 0", "up"),
-    ("wtfpl", r"do what the f\w+ you want to public license|wtfpl", "w"),
-    ("zlib", r"zlib(?: libpng)?", "zlib"),
-    ("zpl-2.1", r"zope public license|zpl 2 1", "z"),
+    ("agpl-3.0", r"(?:gnu )?affero general public license|agpl(?: v?3(?: 0)?)?", ("affero", "agpl")),
+    ("apache-2.0", r"apache license version 2 0|apache(?: license)? v?2(?: 0)?|apache", ("apache",)),
+    ("apache-1.1", r"apache(?: software)? license version 1 1", ("apache",)),
+    ("artistic-2.0", r"artistic license(?: version)? 2 0|artistic 2 0", ("artistic",)),
+    ("bsd-2-clause", r"(?:simplified|2 clause|two clause) bsd|bsd 2 clause", ("bsd",)),
+    ("bsd-3-clause", r"(?:new|revised|3 clause|three clause|modified) bsd|bsd 3 clause", ("bsd",)),
+    ("bsd-4-clause", r"(?:original|4 clause|four clause) bsd|bsd 4 clause", ("bsd",)),
+    ("bsl-1.0", r"boost software license(?: version)? ?1 0|boost software", ("boost",)),
+    ("cc0-1.0", r"cc0(?: 1 0)?(?: universal)?|creative commons zero", ("cc0", "creative commons zero")),
+    ("cc-by-4.0", r"cc by 4 0|creative commons attribution 4 0(?: international)?", ("cc by", "creative commons attribution")),
+    ("cc-by-3.0", r"cc by 3 0|creative commons attribution 3 0(?: unported)?", ("cc by", "creative commons attribution")),
+    ("cc-by-sa-4.0", r"cc by sa(?: 4 0)?|creative commons attribution share ?alike(?: 4 0)?(?: international)?", ("cc by", "creative commons attribution")),
+    ("cc-by-nc-4.0", r"cc by nc(?: 4 0)?|creative commons attribution non ?commercial(?: 4 0)?(?: international)?", ("cc by", "creative commons attribution")),
+    ("cc-by-nd-4.0", r"cc by nd(?: 4 0)?|creative commons attribution no ?deriv(?:ative)?s(?: 4 0)?", ("cc by", "creative commons attribution")),
+    ("cc-by-nc-sa-4.0", r"cc by nc sa(?: 4 0)?|creative commons attribution non ?commercial share ?alike(?: 4 0)?", ("cc by", "creative commons attribution")),
+    ("cc-by-nc-nd-4.0", r"cc by nc nd(?: 4 0)?|creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: 4 0)?", ("cc by", "creative commons attribution")),
+    ("cddl-1.0", r"common development and distribution license|cddl(?: 1 0)?", ("common development", "cddl")),
+    ("cpl-1.0", r"common public license(?: version)?(?: 1 0)?|cpl 1 0", ("common public", "cpl")),
+    ("ecl-2.0", r"educational community license|ecl 2 0", ("educational community", "ecl")),
+    ("epl-1.0", r"eclipse public license(?: version| v)? ?1 0|epl 1 0", ("eclipse", "epl")),
+    ("epl-2.0", r"eclipse public license(?:(?: version| v)? ?2 0)?|epl 2 0", ("eclipse", "epl")),
+    ("eupl-1.2", r"european union public licen[cs]e(?: v?1 2)?|eupl(?: 1 2)?", ("european", "eupl")),
+    ("fdl-1.3", r"gnu free documentation license|gfdl(?: 1 3)?", ("free documentation", "gfdl")),
+    ("gpl-2.0", r"(?:gnu )?general public license(?: version| v)? ?2(?: 0)?|(?:gnu )?gpl ?v?2(?: 0)?", ("general public license", "gpl")),
+    ("gpl-3.0", r"(?:gnu )?general public license(?: version| v)? ?3(?: 0)?|(?:gnu )?gpl ?v?3(?: 0)?", ("general public license", "gpl")),
+    ("gpl", r"(?:gnu )?general public license|gnu gpl|gpl", ("general public license", "gpl")),
+    ("isc", r"isc", (" isc ",)),
+    ("lgpl-2.1", r"(?:gnu )?lesser general public license(?: version| v)? ?2 1|(?:gnu )?lgpl ?v?2 1", ("lesser", "lgpl")),
+    ("lgpl-3.0", r"(?:gnu )?lesser general public license(?:(?: version| v)? ?3(?: 0)?)?|(?:gnu )?lgpl(?: ?v?3(?: 0)?)?", ("lesser", "lgpl")),
+    ("lppl-1.3c", r"latex project public license|lppl(?: 1 3c?)?", ("latex", "lppl")),
+    ("mit", r"mit|expat", (" mit ", " expat ")),
+    ("mit-0", r"mit no attribution|mit 0", (" mit ",)),
+    ("mpl-1.1", r"mozilla public license(?: version| v)? ?1 1|mpl 1 1", ("mozilla", "mpl")),
+    ("mpl-2.0", r"mozilla public license(?:(?: version| v)? ?2 0)?|mpl(?: 2 0)?", ("mozilla", "mpl")),
+    ("ms-pl", r"microsoft public license|ms pl", ("microsoft", "ms pl")),
+    ("ms-rl", r"microsoft reciprocal license|ms rl", ("microsoft", "ms rl")),
+    ("ncsa", r"university of illinois ncsa open source|ncsa", ("ncsa",)),
+    ("odbl-1.0", r"open database license|odbl(?: 1 0)?", ("open database", "odbl")),
+    ("ofl-1.1", r"sil open font license|ofl(?: 1 1)?", ("open font", "ofl")),
+    ("osl-3.0", r"open software license(?: version)?(?: 3 0)?|osl 3 0", ("open software", "osl")),
+    ("php-3.01", r"php license(?: version)? 3 01|php 3 01", ("php",)),
+    ("postgresql", r"postgresql", ("postgresql",)),
+    ("psf-2.0", r"python software foundation|psf(?: 2 0)?", ("python software", "psf")),
+    ("unlicense", r"unlicense|the unlicense", ("unlicense",)),
+    ("upl-1.0", r"universal permissive license|upl 1 0", ("universal permissive", "upl")),
+    ("wtfpl", r"do what the f\w+ you want to public license|wtfpl", ("you want to public", "wtfpl")),
+    ("zlib", r"zlib(?: libpng)?", ("zlib",)),
+    ("zpl-2.1", r"zope public license|zpl 2 1", ("zope", "zpl")),
 )
 #: How a name is mentioned, by priority; the keyword gates the rule.
 MENTIONS = (
@@ -97,12 +97,15 @@ TEXTS = (
 GATE = ("licen", "spdx", "under", "subject to", "governed by", "covered by", "permission", "redistribution", "free software", "public domain", "unencumbered", "copyright", "all rights reserved", "without warranty", "proprietary", "cc by")
 
 
-def rules() -> list[tuple[int, str, float, str, str]]:
-    """(priority, label, confidence, word regex, keyword), in priority order: every mention of every name, then texts."""
-    built = [(label, weight, mention.format(n=name), keyword) for weight, mention, keyword in MENTIONS for label, name, _ in NAMES]
-    built += [(label, weight, pattern, keyword) for label, weight, pattern, keyword in TEXTS]
-    built += [(label, 0.6, f"(?:{name})", "cc by") for label, name, _ in NAMES if "cc by" in name]
-    return [(k, label, weight, f" (?:{pattern})(?= )", keyword) for k, (label, weight, pattern, keyword) in enumerate(built)]
+def rules() -> list[tuple[int, str, float, str, str, tuple[str, ...]]]:
+    """(priority, label, confidence, word regex, keyword, name words), in priority order: every mention of every name, then texts.
+
+    A text can match only if it holds the keyword and one of the name words.
+    """
+    built = [(label, weight, mention.format(n=name), keyword, of_name) for weight, mention, keyword in MENTIONS for label, name, of_name in NAMES]
+    built += [(label, weight, pattern, keyword, ("",)) for label, weight, pattern, keyword in TEXTS]
+    built += [(label, 0.6, f"(?:{name})", "cc by", ("",)) for label, name, _ in NAMES if "cc by" in name]
+    return [(k, label, weight, f" (?:{pattern})(?= )", keyword, of_name) for k, (label, weight, pattern, keyword, of_name) in enumerate(built)]
 
 
 _WORDS_IN = "(char_length({0}) - char_length(replace({0}, ' ', '')))"
@@ -114,7 +117,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     Positions are word numbers from 0, ends exclusive. Null text reads as empty: no words, no detections. Repeated rows
     give repeated rows; other columns are ignored; texts are read whole.
     """
-    listed = ", ".join(f"named_struct('rank', {k}, 'label', '{label}', 'weight', cast({weight} AS double), 'regex', {_quoted(regex)}, 'keyword', {_quoted(keyword)})" for k, label, weight, regex, keyword in rules())
+    listed = ", ".join(f"named_struct('rank', {k}, 'label', '{label}', 'weight', cast({weight} AS double), 'regex', {_quoted(regex)}, 'keyword', {_quoted(keyword)}, 'names', array({', '.join(map(_quoted, of_name))}))" for k, label, weight, regex, keyword, of_name in rules())
     based = ", ".join(f"named_struct('label', '{label}', 'phrase', ' {phrase} ', 'regex', ' {phrase}(?= )')" for label, phrase in BASE)
     gated = " OR ".join(f"contains(norm, {_quoted(w)})" for w in GATE)
     in_words = {"measure": _WORDS_IN}
@@ -125,7 +128,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     rows = rows.selectExpr("doc_id", "norm", "if(norm = '  ', 0L, cast(size(split(norm, ' ')) - 2 AS long)) AS n_words", f"({gated}) AS gated")
     base = f"""flatten(transform(filter(array({based}), r -> contains(norm, r.phrase)),
         r -> transform({match_spans("norm", "r.regex", **in_words)}, s -> named_struct('label', r.label, 'start', s.start))))"""
-    hits = f"""array_sort(flatten(transform(filter(array({listed}), r -> contains(norm, r.keyword)),
+    hits = f"""array_sort(flatten(transform(filter(array({listed}), r -> contains(norm, r.keyword) AND exists(r.names, n -> contains(norm, n))),
         r -> transform({match_spans("norm", "r.regex", **in_words)},
             s -> named_struct('start', s.start, 'till', -s.end, 'rank', r.rank, 'label', r.label, 'weight', r.weight)))))"""
     # by start, longest first, then priority: a detection that ends no later than an earlier one lies inside it
