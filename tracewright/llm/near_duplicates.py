@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 RECALL = 0.999
 TREES, DEPTH = 48, 12
 #: A block of a candidate group holds about so many shingles and texts at most.
-BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 1500
+BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 700
 #: Shingles of up to so many texts of a block are counted pair by pair, others by matrix products.
 FEW = 24
 
@@ -95,26 +95,28 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     m = len(sets)
     if m == 2:
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), shared], [shared, len(sets[1])]], np.int64)
+        return np.array([[len(sets[0]), shared], [shared, len(sets[1])]], np.int32)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     features = np.concatenate(sets)
     order = np.argsort(features, kind="stable")
     features, owner = features[order], owner[order]
     first = np.flatnonzero(np.r_[True, features[1:] != features[:-1]])
     sizes = np.diff(np.r_[first, len(features)])
-    out = np.zeros(m * m, np.int64)
+    out = np.zeros((m, m), np.int32)
     for c in range(2, FEW + 1):
         at = first[sizes == c]
-        for k in range(0, len(at), 1 << 13):
-            members = owner[at[k : k + (1 << 13), None] + np.arange(c)[None, :]]
-            out += np.bincount((members[:, :, None] * m + members[:, None, :]).ravel(), minlength=m * m)
-    out = out.reshape(m, m)
+        for k in range(0, len(at), 1 << 12):
+            members = owner[at[k : k + (1 << 12), None] + np.arange(c)[None, :]]
+            for i in range(c):
+                for j in range(i):
+                    np.add.at(out, (members[:, i], members[:, j]), 1)
+    out += out.T
     many = np.flatnonzero(sizes > FEW)
     for k in range(0, len(many), 1024):
         dense = np.zeros((m, min(1024, len(many) - k)), np.float32)
         for column, g in enumerate(many[k : k + 1024]):
             dense[owner[first[g] : first[g] + sizes[g]], column] = 1
-        out += (dense @ dense.T).astype(np.int64)
+        out += (dense @ dense.T).astype(np.int32)
     np.fill_diagonal(out, [len(s) for s in sets])
     return out
 
@@ -127,14 +129,16 @@ def _link_block(sets: list[np.ndarray], blocks: np.ndarray, copies: np.ndarray,
     m = len(sets)
     shared = _intersections(sets)
     sizes = np.array([len(s) for s in sets])
-    linked = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
+    linked = np.empty((m, m), bool)
+    for k in range(m):
+        linked[k] = shared[k] >= similarity * (sizes[k] + sizes - shared[k]) - 1e-9
     np.fill_diagonal(linked, False)
     if across:
         linked &= blocks[:, None] != blocks[None, :]
-    links = linked @ copies
+    links = np.array([copies[row].sum() for row in linked])
     root = np.arange(m)
     while True:
-        near = np.where(linked, root[None, :], m).min(axis=1)
+        near = np.array([root[row].min(initial=m) for row in linked])
         new = np.minimum(root, near)
         new = np.minimum(new, new[new])
         if (new == root).all():
@@ -145,26 +149,25 @@ def _link_block(sets: list[np.ndarray], blocks: np.ndarray, copies: np.ndarray,
 def _verify(members: DataFrame, similarity: float) -> DataFrame:
     """key, links, root from members (part, block, key, copies, text), sorted by part within partitions."""
 
-    def flush(part: str, rows: list[tuple]) -> pa.RecordBatch:
-        unique = {r[1]: r for r in rows}  # a key may come once per row that carries the text
-        rows = [unique[k] for k in sorted(unique)]
-        hashes, offsets = words([r[3] for r in rows])
-        sets = [shingle_set(hashes[offsets[k] : offsets[k + 1]]) for k in range(len(rows))]
-        links, root = _link_block(sets, np.array([r[0] for r in rows]), np.array([r[2] for r in rows], np.int64), part[0] == "x", similarity)
-        keys = [r[1] for r in rows]
+    def flush(part: str, rows: dict) -> pa.RecordBatch:
+        keys = sorted(rows)
+        sets, blocks, copies = zip(*[rows[k] for k in keys], strict=True)
+        links, root = _link_block(list(sets), np.array(blocks), np.array(copies, np.int64), part[0] == "x", similarity)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(links, pa.int64()), pa.array([keys[r] for r in root], pa.binary())], ["key", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows = None, []
+        current, rows = None, {}  # of one block or block pair: key -> (shingles, block, copies)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("part", "block", "key", "copies", "text")]
-            for part, *row in zip(*columns, strict=True):
-                if part != current and rows:
-                    if len(rows) > 1:
-                        yield flush(current, rows)
-                    rows = []
-                current = part
-                rows.append(tuple(row))
+            for piece in slices(batch, "text"):
+                hashes, offsets = words(strings(piece, "text"))
+                columns = [piece.column(c).to_pylist() for c in ("part", "block", "key", "copies")]
+                for k, (part, block, key, copies) in enumerate(zip(*columns, strict=True)):
+                    if part != current:
+                        if len(rows) > 1:
+                            yield flush(current, rows)
+                        current, rows = part, {}
+                    if key not in rows:  # a key comes once per row that carries the text
+                        rows[key] = (shingle_set(hashes[offsets[k] : offsets[k + 1]]), block, copies)
         if len(rows) > 1:
             yield flush(current, rows)
 
