@@ -201,7 +201,7 @@ def link_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
         .select("key", "copies", F.col("own").alias("block"), F.struct("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("_part"))
         .select("key", "copies", "block", F.when(F.col("_part.x") == F.col("_part.y"), "o").otherwise("x").alias("kind"), F.xxhash64("_part.root", "_part.x", "_part.y", F.lit(0)).alias("p1"), F.xxhash64("_part.y", "_part.x", "_part.root").alias("p2"))
     )
-    placed = texts.select("key", "text").join(members, "key").select(F.concat("kind", F.hex("p1"), F.hex("p2")).alias("part"), "block", "key", "copies", "text")
+    placed = texts.select("key", "text").join(members.hint("merge"), "key").select(F.concat("kind", F.hex("p1"), F.hex("p2")).alias("part"), "block", "key", "copies", "text")
     verified = materialize(_verify(placed.repartition("part").sortWithinPartitions("part"), similarity))
     joined = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
