@@ -118,7 +118,7 @@ def score(compared: DataFrame, context: DataFrame, generated_at: int) -> DataFra
     """
     rows = compared.where("accepted").join(context, "observed_id")
     recent = F.coalesce((F.col("published_at") <= generated_at) & (F.lit(generated_at) - F.col("published_at") <= MONTH), F.lit(False))
-    imbalance = F.coalesce((F.col("popularity") >= 1000) & (F.col("popularity") >= F.greatest(F.col("downloads") * 100, F.lit(1000))), F.lit(False))
+    imbalance = F.coalesce(F.col("downloads").isNotNull() & (F.col("popularity") >= 1000) & (F.col("popularity") >= F.greatest(F.col("downloads") * 100, F.lit(1000))), F.lit(False))
     own = lambda name, test: F.when(test, F.struct(F.lit(name).alias("category"), F.col("evidence_ids").alias("evidence_ids")))
     metadata = F.array_compact(
         F.array(own("publication", recent), own("downloads", imbalance), own("lifecycle-scripts", F.col("scripts") > 0), own("maintainer", F.col("maintainer_differs")), own("policy:blocklist", F.col("blocklisted")))
