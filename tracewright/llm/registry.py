@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import chat, decontamination, language_id, language_model, licenses, media, mixing, near_duplicates, secrets, token_counts
+from . import chat, decontamination, language_id, language_model, licenses, media, mixing, near_duplicates, oracles, secrets, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,8 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_secret_scans": oracles.SECRETS,
+    "op7_chat_formatting": oracles.CHATS,
+    "op8_jaccard_join": oracles.JOIN,
+}
