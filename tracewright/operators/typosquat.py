@@ -144,3 +144,14 @@ def score(compared: DataFrame, context: DataFrame, generated_at: int) -> DataFra
     return rows.withColumn("categories", categories).select(
         "observed_id", "package_id", "transformations", "strong", F.col("distance.cost").cast("long").alias("cost"), F.least(total, F.lit(100)).cast("long").alias("score"), level.alias("classification"), F.array_sort(F.array_distinct(F.transform("categories", lambda c: c["category"]))).alias("categories")
     )
+
+
+def within_budget(found: DataFrame, max_packages: int, max_comparisons: int = MAX_COMPARISONS) -> DataFrame:
+    """Candidates of the first `max_packages` observed names, the first `max_comparisons` of them by (name, place)."""
+    packages = found.select("observed_id").distinct().orderBy("observed_id").limit(max_packages)
+    return found.join(packages, "observed_id", "left_semi").orderBy("observed_id", "place").limit(max_comparisons)
+
+
+def finding_token(*parts: Column) -> Column:
+    """SHA-256 of the JSON tuple that identifies a finding."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
