@@ -68,7 +68,8 @@ def lookup_summary(referenced: DataFrame, evidence: DataFrame, limit: int) -> Da
     requested = ids.orderBy("evidence_id").limit(limit)
     resolved = requested.join(evidence.select(F.col("id").alias("evidence_id"), F.lit(1).alias("found")), "evidence_id", "left")
     counts = resolved.agg(F.count("*").alias("requested"), F.count("found").alias("resolved"))
-    return counts.crossJoin(ids.agg(F.count("*").alias("referenced"))).select(
+    both = counts.unionByName(ids.agg(F.count("*").alias("referenced")), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("requested", "resolved", "referenced")]).select(
         "referenced", "requested", "resolved", (F.col("requested") - F.col("resolved")).alias("missing"), (F.col("referenced") - F.col("requested")).alias("omitted"), (F.col("referenced") == F.col("resolved")).alias("complete")
     )
 

@@ -156,7 +156,9 @@ def upsert_edges(current: DataFrame, incoming: DataFrame, nodes: DataFrame) -> D
 
 def statistics(fragments: DataFrame, merged: DataFrame) -> DataFrame:
     """rows in, out, deduplicated, and evidence references kept."""
-    return fragments.agg(F.count("*").alias("rows_in")).crossJoin(merged.agg(F.count("*").alias("rows_out"), F.sum(F.size("evidence_ids")).cast("long").alias("evidence_references"))).select("rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("deduplicated"), "evidence_references")
+    kept = merged.agg(F.count("*").alias("rows_out"), F.sum(F.size("evidence_ids")).cast("long").alias("evidence_references"))
+    both = fragments.agg(F.count("*").alias("rows_in")).unionByName(kept, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("rows_in", "rows_out", "evidence_references")]).select("rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("deduplicated"), "evidence_references")
 
 
 def with_edge_identity(edges: DataFrame) -> DataFrame:

@@ -110,15 +110,15 @@ def capped_services(states: DataFrame, limits: Limits) -> DataFrame:
     order = ("root_id", "depth", "edge_ids")
     first = states.orderBy(*order).limit(limits.states + 1)
     ranked = materialize(first.withColumn("ord", F.row_number().over(Window.orderBy(*order))))
-    beyond = ranked.where(F.col("ord") == limits.states + 1).select(
-        F.col("root_id").alias("_root"), (F.col("depth") - 1).alias("_depth"), F.when(F.col("depth") > 0, F.slice("edge_ids", 1, F.greatest(F.col("depth") - 1, F.lit(0)))).alias("_path")
-    )
-    parent = ranked.join(F.broadcast(beyond), (F.col("root_id") == F.col("_root")) & (F.col("depth") == F.col("_depth")) & (F.col("edge_ids") == F.col("_path"))).select("ord")
-    # nothing beyond: keep all; a root beyond: keep up to the cap; else keep what was dequeued before its parent
-    cut = beyond.agg(F.count("*").alias("_over")).crossJoin(parent.agg(F.min("ord").alias("_parent")))
-    services = ranked.where("terminal").join(F.broadcast(cut)).where(
-        (F.col("_over") == 0) | F.when(F.col("_parent").isNull(), F.col("ord") <= limits.states).otherwise(F.col("ord") < F.col("_parent"))
-    )
+    services = ranked.where("terminal")
+    beyond = ranked.where(F.col("ord") == limits.states + 1).first()
+    if beyond is not None:
+        # what was admitted before the parent of the first state beyond the cap was dequeued; a root has no parent
+        last = limits.states
+        if beyond.depth > 0:
+            path = F.array(*map(F.lit, beyond.edge_ids[:-1])).cast("array<bigint>")
+            last = ranked.where((F.col("root_id") == beyond.root_id) & (F.col("depth") == beyond.depth - 1) & (F.col("edge_ids") == path)).first().ord - 1
+        services = services.where(F.col("ord") <= last)
     by_service = Window.partitionBy("cur")
     services = services.withColumn("_first", F.min("ord").over(by_service)).withColumn("_path", F.row_number().over(by_service.orderBy("ord")))
     services = services.withColumn("_rank", F.dense_rank().over(Window.orderBy("_first"))).where((F.col("_rank") <= limits.ends) & (F.col("_path") <= limits.paths_per_end))
