@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, ingest, packages, releases, traversals
+from . import analysis, edge_checks, ingest, packages, releases, traversals
 
-_PARTS = (traversals, releases, packages, ingest, analysis)
+_PARTS = (traversals, releases, packages, ingest, analysis, edge_checks)
 QUERIES: dict = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
