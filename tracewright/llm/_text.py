@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once inside a task; bounds the working arrays whatever the Arrow batch holds.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Words in a shingle.
 SHINGLE = 5
 

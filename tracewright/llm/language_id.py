@@ -218,7 +218,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 names = np.array(part.column("lang").to_pylist(), object)
                 texts = np.array(strings(part, "text"), object)
                 for name in sorted(set(names)):
@@ -271,7 +271,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 names, score, entropy, rejected = shared.value.predict(strings(part, "text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)],
@@ -288,7 +288,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
+            for part in slices(batch, text, 1 << 19):
                 yield part.filter(pa.array(~shared.value.predict(strings(part, text))[3], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
