@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node of its component.
 
     Alternates large-star and small-star steps: each node links its larger neighbours to the least node it knows, then
-    its smaller ones, until nothing changes. Every step is a min-aggregate and a join, written to shared storage; no
+    its smaller ones, until nothing changes. Every step is a min-aggregate and a join, written to shared storage. The
+    joins have plain tables on both sides, so that adaptive execution can split the rows of a node with many links; no
     component is ever gathered in one place. Self-loops are allowed; an empty table gives no rows.
     """
     pairs = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -25,10 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # large star: for every node v, connect neighbours above v to the least of v and its neighbours
         both = links.union(links.select(F.col("b"), F.col("a"))).toDF("v", "u")
-        least = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m"))
+        least = materialize(both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m")))
         large = both.where(F.col("u") > F.col("v")).join(least, "v").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
         # small star: for every node v, connect v and its smaller neighbours to the least of them
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large)
+        floor = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(floor, "a").select(F.col("b").alias("x"), "a", "m")
         links = small.where(F.col("x") != F.col("m")).select(F.col("x").alias("a"), F.col("m").alias("b")).union(floor.select("a", F.col("m").alias("b"))).distinct()
         links = materialize(links)

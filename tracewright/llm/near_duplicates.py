@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -174,56 +174,65 @@ def _verify(members: DataFrame, similarity: float) -> DataFrame:
     return members.mapInArrow(run, "key binary, links long, root binary")
 
 
+def _key(text: str) -> Column:
+    """Content hash of a text; null reads as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def link_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, key (hash of the text), group (key of its linked group), n_links.
+    """One row per distinct text: key (its hash), group (least key of its linked group), n_links, first (none, doc_id).
 
     Links join documents whose shingle sets have Jaccard similarity of `similarity` or more; `n_links` counts the other
-    documents linked to this one, copies of one text one by one, and the group is the connected component. A text of
-    fewer than five words has one shingle of all of them. Texts without words (null, empty) link only to exact copies;
-    null reads as empty. Repeated rows are copies. Extra columns are ignored; an empty table gives no rows.
+    documents linked to one that carries the text, copies one by one; the group is the connected component; `first` is
+    the least id of its copies, null last. A text of fewer than five words has one shingle of all of them. Texts without
+    words (null, empty) link only to exact copies; null reads as empty. Repeated rows are copies. Extra columns are
+    ignored; an empty table gives no rows. Joins have plain tables on both sides, so that adaptive execution can split
+    the rows of a hot key.
     """
-    content = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(content)).alias("key"), content.alias("text"))
-    signed = _signatures(texts.select("key", "text"), similarity, recall).groupBy("key").agg(F.first("n").alias("n"), F.first("trees").alias("trees"))
-    signed = materialize(signed)
-    copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    signed = materialize(_signatures(texts.select("key", "text"), similarity, recall).groupBy("key").agg(F.first("n").alias("n"), F.first("trees").alias("trees")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    copies = materialize(texts.groupBy("key").agg(F.count("*").alias("copies"), first))
     tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring("trees", k * 8 + 1, F.lit(8))))
     leaves = signed.select("key", tree.alias("leaf"))
-    shared = leaves.groupBy("leaf").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(F.col("least") != F.col("most"))
-    edges = leaves.join(shared.select("leaf", "least"), "leaf").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    grouped = materialize(components(edges).join(signed.select(F.col("key").alias("node"), "n"), "node").join(copies.withColumnRenamed("key", "node"), "node"))
-    sizes = grouped.groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts"))
+    shared = materialize(leaves.groupBy("leaf").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(F.col("least") != F.col("most")).select("leaf", "least"))
+    edges = leaves.join(shared, "leaf").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    grouped = components(edges).join(signed.select(F.col("key").alias("node"), "n"), "node").join(copies.withColumnRenamed("key", "node"), "node")
+    grouped = materialize(grouped)
+    sizes = materialize(grouped.groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts")))
     parts = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS))
     members = (
         grouped.join(sizes.select("root", parts.cast("int").alias("parts")), "root")
         .withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
-        .select(F.col("node").alias("key"), "copies", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("key", "copies", F.col("own").alias("block"), F.struct("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("_part"))
-        .select("key", "copies", "block", F.when(F.col("_part.x") == F.col("_part.y"), "o").otherwise("x").alias("kind"), F.xxhash64("_part.root", "_part.x", "_part.y", F.lit(0)).alias("p1"), F.xxhash64("_part.y", "_part.x", "_part.root").alias("p2"))
-    )
-    placed = texts.select("key", "text").join(members.hint("merge"), "key").select(F.concat("kind", F.hex("p1"), F.hex("p2")).alias("part"), "block", "key", "copies", "text")
+        .select(F.col("node").alias("key"), "copies", "first", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        .select("key", "copies", "first", F.col("own").alias("block"), F.struct("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("_part"))
+        .select("key", "copies", "first", "block", F.when(F.col("_part.x") == F.col("_part.y"), "o").otherwise("x").alias("kind"), F.xxhash64("_part.root", "_part.x", "_part.y", F.lit(0)).alias("p1"), F.xxhash64("_part.y", "_part.x", "_part.root").alias("p2"))
+    ).select(F.col("key").alias("_key"), F.col("first.doc_id").alias("_first"), F.concat("kind", F.hex("p1"), F.hex("p2")).alias("part"), "block", "copies")
+    # of the copies of a text only the first carries it on
+    carried = texts.join(members.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    placed = carried.select("part", "block", "key", "copies", "text")
     verified = materialize(_verify(placed.repartition("part").sortWithinPartitions("part"), similarity))
     joined = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     found = joined.withColumnRenamed("node", "key").join(links, "key", "left")
-    per_text = copies.join(found, "key", "left").select("key", F.coalesce("root", "key").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return texts.select("doc_id", "key").join(per_text, "key").select("doc_id", "key", "group", "n_links")
+    per_text = copies.join(found, "key", "left")
+    return per_text.select("key", F.coalesce("root", "key").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first")
 
 
 def join_near_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its linked group), n_links; see `link_texts`."""
     linked = materialize(link_texts(docs, similarity, recall, text, doc_id))
-    classes = linked.groupBy("group").agg(F.min("doc_id").alias("class_id"))
-    return linked.join(classes, "group").select("doc_id", "class_id", "n_links")
+    classes = materialize(linked.groupBy("group").agg(F.min("first").alias("least")))
+    of_text = linked.join(classes, "group").select("key", F.col("least.doc_id").alias("class_id"), "n_links")
+    return docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key")).join(of_text, "key").select("doc_id", "class_id", "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs`, all columns, with one document of each linked group: the one of the least id (null last), one row of it."""
     linked = link_texts(docs, similarity, recall, text, doc_id)
-    kept = linked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("w")).select("w.none", "w.doc_id", "w.key")
-    own = F.col(doc_id)
-    placed = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"))
-    rows = placed.join(kept, (F.col("_key") == F.col("_kept_key")) & own.eqNullSafe(F.col("_kept_id")))
+    kept = linked.groupBy("group").agg(F.min(F.struct("first.none", "first.doc_id", "key")).alias("w")).select(F.col("w.doc_id").alias("_kept_id"), F.col("w.key").alias("_kept_key"))
+    # whole rows as one column: no name of theirs can clash
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _key(text).alias("_key"), F.col(doc_id).alias("_id"))
+    rows = placed.join(materialize(kept), (F.col("_key") == F.col("_kept_key")) & F.col("_id").eqNullSafe(F.col("_kept_id")))
     # repeated rows of the kept document: one stays
-    return rows.dropDuplicates(["_key", "_kept_id"]).select(*docs.columns)
+    return rows.dropDuplicates(["_key", "_id"]).select("_row.*")
