@@ -57,7 +57,8 @@ def turn_prefixes(conversations: DataFrame) -> DataFrame:
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
     """conv_id, n_turns, copies: conversations that no longer one begins with; of equal ones the smallest id stays."""
-    whole = prefixes.groupBy("conv_id").agg(F.max(F.struct("pos", "p1", "p2")).alias("w")).select("conv_id", F.col("w.pos").alias("n_turns"), "w.p1", "w.p2")
+    # written, so that the join below has plain tables on both sides and a very long conversation can be split
+    whole = materialize(prefixes.groupBy("conv_id").agg(F.max(F.struct("pos", "p1", "p2")).alias("w")).select("conv_id", F.col("w.pos").alias("n_turns"), "w.p1", "w.p2"))
     kinds = whole.groupBy("n_turns", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     # a prefix is proper where its conversation goes on; hot prefixes are one row each after this
     proper = (
@@ -98,4 +99,4 @@ def format_chats(conversations: DataFrame, template: str = "<|{role}|>\n{text}\n
     """
     conversations = conversations.select("conv_id", "turn", "role", "text")
     prefixes = materialize(turn_prefixes(conversations))
-    return render(conversations, prefixes, maximal_conversations(prefixes), template)
+    return render(conversations, prefixes, materialize(maximal_conversations(prefixes)), template)
