@@ -94,6 +94,36 @@ def blast_radius(roots: DataFrame, edges: DataFrame, limits: Limits = Limits(),
     return states.withColumnRenamed("start_id", "root_id")
 
 
+def reached(roots: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Nodes within the bounds of `blast_radius` with their fewest hops: root_id, cur, depth, terminal.
+
+    Paths to a node are merged level by level (its shortest path is a simple one), so a level holds a row for a root and
+    a node, whatever the number of paths.
+    """
+    page = bounded_adjacency(edges, "target_id", limits.fan_out, ("id", "source_id"))
+    page = materialize(page.select(F.col("target_id").alias("_here"), F.col("source_id").alias("_there"), (F.col("source_kind") == "Service").alias("_stop")).distinct())
+    level = materialize(roots.select("root_id", F.col("root_id").alias("cur"), F.lit(0).alias("depth"), F.lit(False).alias("terminal")).distinct())
+    found = level
+    for d in range(1, limits.depth + 1):
+        step = level.where(~F.col("terminal")).join(page, F.col("cur") == F.col("_here")).select("root_id", F.col("_there").alias("cur"), F.lit(d).alias("depth"), F.col("_stop").alias("terminal")).distinct()
+        level = materialize(step.join(found.select("root_id", "cur"), ["root_id", "cur"], "left_anti"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found
+
+
+def path_cuts(states: DataFrame, roots: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
+    """What the bounds cut of every root's paths: root_id, cut_paths (stop at the depth bound and would go on), cut_nodes (have more dependents than the fan-out bound), truncated."""
+    page = bounded_adjacency(edges, "target_id", limits.fan_out, ("id", "source_id")).select(F.col("target_id").alias("cur"), "source_id")
+    open_ends = states.where((F.col("depth") == limits.depth) & ~F.col("terminal")).join(page, "cur").where(~F.array_contains("node_ids", F.col("source_id")))
+    paths = open_ends.select("root_id", "edge_ids").distinct().groupBy("root_id").agg(F.count("*").alias("cut_paths"))
+    wide = cut_nodes(edges, "target_id", limits.fan_out).withColumnRenamed("node_id", "cur")
+    nodes = states.where((F.col("depth") < limits.depth) & ~F.col("terminal")).select("root_id", "cur").distinct().join(wide, "cur").groupBy("root_id").agg(F.count("*").alias("cut_nodes"))
+    rows = roots.select("root_id").distinct().join(paths, "root_id", "left").join(nodes, "root_id", "left").na.fill(0, ["cut_paths", "cut_nodes"])
+    return rows.withColumn("truncated", (F.col("cut_paths") > 0) | (F.col("cut_nodes") > 0))
+
+
 def valid_at(moment: int) -> Column:
     """Validity unknown, or begun and not ended by `moment` (both ends inclusive, no end = open)."""
     begun = F.col("valid_from").isNull() | (F.col("valid_from") <= moment)

@@ -10,7 +10,8 @@ from ..session import materialize
 from ..sources.derived import Graph
 from .graph_sql import query
 
-DEPTH = 5
+#: The operator's own bound; the longest chain of lines is shorter.
+DEPTH = 16
 RELEASES = """
 lines AS (SELECT *, (l_orderkey * 64 + nth) * 2 AS node, CASE WHEN l_returnflag = 'R' AND l_quantity >= 45 THEN 'untrusted' WHEN l_returnflag = 'N' AND l_quantity <= 2 THEN 'unknown' ELSE 'trusted' END AS trust,
     CASE WHEN l_tax > 0.075 THEN []::BIGINT[] ELSE [l_suppkey] END AS proof, CASE WHEN l_linestatus = 'O' AND l_discount > 0.085 THEN 'cross-trust-boundary' ELSE 'same-trust-zone' END AS boundary

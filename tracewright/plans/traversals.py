@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import containment, evidence, temporal
-from ..operators.traverse import Limits, authority_reach, blast_radius, capped_services, cut_nodes
+from ..operators.traverse import Limits, authority_reach, blast_radius, capped_services, cut_nodes, path_cuts, reached
 from ..session import materialize
 from ..sources.derived import Graph
 from .graph_sql import AUTHORITY, GRAPH, query, reach, states
 
-#: Bounds of the registered traversals over the derived graph.
-DEPTH, FAN_OUT = 2, 200
+#: Bounds of the registered traversals over the derived graph. Simple paths grow more than twentyfold a hop, so those listed
+#: end after DEPTH hops (`t1_path_cuts` counts what that cuts); reachability goes to the operator's own bounds (WHOLE).
+DEPTH, FAN_OUT = 2, 1000
+WHOLE = Limits()
 LIMITS = Limits(depth=DEPTH, fan_out=FAN_OUT, states=5000, ends=60, paths_per_end=3, paths=100)
-AUTHORITY_DEPTH = 5
+AUTHORITY_DEPTH = 8
 AS_OF = 800_000_000_000
 _joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 STATES = states(DEPTH, FAN_OUT)
@@ -46,6 +48,20 @@ def t1_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped_services(_states(g), LIMITS).select("root_id", F.col("cur").alias("service_id"), F.col("ord").cast("long").alias("ord"), _joined("edge_ids").alias("edge_ids"))
 
 
+def t1_reached_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services that reach an affected version within the operator's own bounds, with their fewest hops."""
+    g = Graph(spark, sf_dir)
+    found = reached(g.affected_versions(), materialize(g.depends_on()), WHOLE).where("terminal")
+    return found.select("root_id", F.col("cur").alias("service_id"), F.col("depth").cast("long").alias("depth"))
+
+
+def t1_path_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per affected version, what the bounds of the registered path queries cut."""
+    g = Graph(spark, sf_dir)
+    edges = materialize(g.depends_on())
+    return path_cuts(_states(g, edges), g.affected_versions(), edges, LIMITS)
+
+
 def t1_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions whose dependents exceed a page of 25."""
     return cut_nodes(Graph(spark, sf_dir).depends_on(), "target_id", 25)
@@ -132,7 +148,7 @@ validity AS (SELECT service_id, min(opens) AS opens, CASE WHEN coalesce(bool_or(
 L = LIMITS
 QUERIES = {
     f.__name__: f
-    for f in (t1_blast_radius, t1_as_of, t1_capped, t1_truncation, t2_authority, a1_funnel, a3_source_summary, a4_lookup_summary, p3_catalog, a7_strongest_paths, a10_selection, a5_service_validity, a6_incident_partition, j9_overlap, t4_containment)
+    for f in (t1_blast_radius, t1_as_of, t1_capped, t1_reached_services, t1_path_cuts, t1_truncation, t2_authority, a1_funnel, a3_source_summary, a4_lookup_summary, p3_catalog, a7_strongest_paths, a10_selection, a5_service_validity, a6_incident_partition, j9_overlap, t4_containment)
 }
 _CONTAINED = f"""
 plan_nodes AS (SELECT c_custkey * 8 + 2 AS id FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT p_partkey * 8 + 1 FROM part WHERE p_size = 49),
@@ -171,6 +187,23 @@ ORACLES = {
         firsts AS (SELECT *, row_number() OVER (ORDER BY ord) AS total FROM few WHERE place <= {L.ends} AND nth <= {L.paths_per_end})""",
         select=f"SELECT root_id, cur AS service_id, ord, array_to_string(edge_ids, ',') AS edge_ids FROM firsts WHERE total <= {L.paths}",
     ),
+    "t1_reached_services": query(
+        GRAPH,
+        f"""page AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY id, source_id) <= {WHOLE.fan_out}),
+        hops_to(root_id, cur, depth, terminal) AS (
+          SELECT root_id, root_id, 0, false FROM roots
+          UNION
+          SELECT h.root_id, e.source_id, h.depth + 1, e.source_kind = 'Service' FROM hops_to h JOIN page e ON e.target_id = h.cur WHERE NOT h.terminal AND h.depth < {WHOLE.depth})""",
+        select="SELECT root_id, cur AS service_id, min(depth)::BIGINT AS depth FROM hops_to WHERE terminal GROUP BY 1, 2",
+    ),
+    "t1_path_cuts": query(
+        GRAPH,
+        STATES,
+        f"""open_ends AS (SELECT root_id, count(*) AS cut_paths FROM states s WHERE depth = {DEPTH} AND NOT terminal AND EXISTS (SELECT 1 FROM page e WHERE e.target_id = s.cur AND NOT list_contains(s.node_ids, e.source_id)) GROUP BY 1),
+        wide AS (SELECT target_id FROM edges GROUP BY 1 HAVING count(*) > {FAN_OUT}),
+        wide_on AS (SELECT root_id, count(DISTINCT cur) AS cut_nodes FROM states WHERE depth < {DEPTH} AND NOT terminal AND cur IN (SELECT target_id FROM wide) GROUP BY 1)""",
+        select="SELECT root_id, coalesce(cut_paths, 0) AS cut_paths, coalesce(cut_nodes, 0) AS cut_nodes, coalesce(cut_paths, 0) > 0 OR coalesce(cut_nodes, 0) > 0 AS truncated FROM roots LEFT JOIN open_ends USING (root_id) LEFT JOIN wide_on USING (root_id)",
+    ),
     "t1_truncation": query(GRAPH, select="SELECT target_id AS node_id FROM edges GROUP BY 1 HAVING count(*) > 25"),
     "t2_authority": query(
         AUTHORITY,
