@@ -4,7 +4,9 @@ For every benchmark item, the windows of a document with as many words as the it
 a 64-bit SimHash of its five-word shingles; the items' fingerprints are indexed by eight 8-bit blocks, and probing each
 block within radius // 8 finds every fingerprint within `radius` (pigeonhole). Candidates are verified by the weighted
 Jaccard similarity of the shingle multisets. Windows that hold too few benchmark shingles for the threshold to be
-reachable are skipped beforehand, which loses none. Documents are read once and never shuffled.
+reachable are skipped beforehand, which loses none. A document shorter than an item is its own single window, compared
+with the items that share a shingle with it. Items of fewer than five words are one shingle of all their words, found by
+equality. Documents are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ class BenchmarkIndex:
     def __init__(self, items: list[tuple[int, str]], similarity: float, radius: int):
         self.similarity, self.radius = similarity, radius
         hashes, offsets = words([t or "" for _, t in items])
-        self.item_ids, self.multisets, by_length = [], [], {}
+        self.item_ids, self.multisets, by_length, short = [], [], {}, {}
         for k, (item_id, _) in enumerate(items):
             own = hashes[offsets[k] : offsets[k + 1]]
             if len(own) >= SHINGLE:
@@ -58,11 +60,24 @@ class BenchmarkIndex:
                 by_length.setdefault(len(own), []).append((len(self.item_ids), fingerprint))
                 self.item_ids.append(item_id)
                 self.multisets.append(np.unique(features, return_counts=True))
+            elif len(own):
+                short.setdefault(len(own), []).append((shingles(own, len(own))[0], item_id))
+        #: for each number of words below five, the sorted shingles and their items
+        self.short = {n: (np.array([f for f, _ in pairs], np.uint64), [i for _, i in pairs]) for n, group in sorted(short.items()) for pairs in [sorted(group, key=lambda g: g[0])]}
         known = [m[0] for m in self.multisets]
         self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         self.bitmap = np.zeros(1 << _BITMAP, bool)
         self.bitmap[(self.known >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
         self.lengths = {n: self._block_tables(group) for n, group in sorted(by_length.items())}
+        self.sizes, self.prints = np.zeros(len(self.item_ids), np.int64), np.zeros(len(self.item_ids), np.uint64)
+        for n, group in by_length.items():
+            for number, fingerprint in group:
+                self.sizes[number], self.prints[number] = n - SHINGLE + 1, fingerprint
+        # items by shingle: those of known[k] are posted[posts[k] : posts[k + 1]]
+        owner = np.repeat(np.arange(len(known)), [len(f) for f in known])
+        place = np.searchsorted(self.known, np.concatenate(known)) if known else np.zeros(0, np.int64)
+        self.posted = owner[np.argsort(place, kind="stable")].astype(np.int32)
+        self.posts = np.r_[0, np.cumsum(np.bincount(place, minlength=len(self.known)))]
 
     def _block_tables(self, group: list[tuple[int, np.uint64]]):
         """Item numbers, fingerprints and, for each block, the items whose block value is near each of the 256 values."""
@@ -91,7 +106,7 @@ class BenchmarkIndex:
         total, sums = int(seen[-1]), None
         for n, (numbers, prints, tables) in self.lengths.items():
             m = n - SHINGLE + 1
-            if m > len(features):
+            if m > len(features):  # see _longer_items
                 break
             # similarity = shared / (2 m - shared), so a match shares at least this many shingles, all of them known
             least = math.ceil(2 * m * self.similarity / (1 + self.similarity) - 1e-9)
@@ -106,15 +121,53 @@ class BenchmarkIndex:
             for window, item in self._candidates(fingerprints, prints, tables):
                 start, number = int(starts[window]), int(numbers[item])
                 distance = int(_POPCOUNT[(fingerprints[window : window + 1] ^ prints[item : item + 1]).view(np.uint8)].sum())
-                kinds, weights = np.unique(features[start : start + m], return_counts=True)
-                other, other_weights = self.multisets[number]
-                _, a, b = np.intersect1d(kinds, other, assume_unique=True, return_indices=True)
-                shared = int(np.minimum(weights[a], other_weights[b]).sum())
-                similarity = shared / (2 * m - shared)
+                similarity = self._similarity(features[start : start + m], number)
                 if similarity >= self.similarity - 1e-12 and (number not in best or similarity > best[number][2]):
                     best[number] = (start, n, similarity, distance)
+        best |= self._longer_items(features, hit, total)
         return [(self.item_ids[k], *v) for k, v in sorted(best.items())]
 
+    def _similarity(self, window: np.ndarray, number: int) -> float:
+        """Weighted Jaccard similarity of the shingles of a window and an item."""
+        kinds, weights = np.unique(window, return_counts=True)
+        other, other_weights = self.multisets[number]
+        _, a, b = np.intersect1d(kinds, other, assume_unique=True, return_indices=True)
+        shared = int(np.minimum(weights[a], other_weights[b]).sum())
+        return shared / (len(window) + int(self.sizes[number]) - shared)
+
+    def _longer_items(self, features: np.ndarray, hit: np.ndarray, total: int) -> dict[int, tuple]:
+        """Matches of the whole document with items longer than it, by item number."""
+        size = len(features)
+        # shared <= size, so the similarity is reachable only for items of at most size / similarity shingles
+        if total < math.ceil((2 * size + 1) * self.similarity / (1 + self.similarity) - 1e-9):
+            return {}
+        places = np.searchsorted(self.known, np.unique(features[hit]))
+        items = np.unique(np.concatenate([self.posted[self.posts[p] : self.posts[p + 1]] for p in places]))
+        items = items[(self.sizes[items] > size) & (self.sizes[items] * self.similarity <= size + 1e-9)]
+        found = {}
+        for number in items.tolist():
+            similarity = self._similarity(features, number)
+            if similarity >= self.similarity - 1e-12:
+                distance = int(_POPCOUNT[(simhash(_bit_sums(features)[-1:]) ^ self.prints[number : number + 1]).view(np.uint8)].sum())
+                found[number] = (0, size + SHINGLE - 1, similarity, distance)
+        return found
+
+    def short_matches(self, hashes: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int, float, int]]]:
+        """Matches of the items of fewer than five words, by text: the first place of each."""
+        found: dict[int, dict] = {}
+        for n, (prints, ids) in self.short.items():
+            features = shingles(hashes, n)
+            at = np.flatnonzero(np.isin(features, prints))
+            text = np.searchsorted(offsets, at, "right") - 1
+            inside = at + n <= offsets[np.minimum(text + 1, len(offsets) - 1)]
+            at, text = at[inside], text[inside]
+            # the first place of each shingle in each text
+            _, first = np.unique(np.stack([text.astype(np.uint64), features[at]]), axis=1, return_index=True)
+            for place, k in zip(at[first].tolist(), text[first].tolist(), strict=True):
+                for i in range(np.searchsorted(prints, features[place]), np.searchsorted(prints, features[place], "right")):
+                    found.setdefault(k, {})[n, i] = (ids[i], place - int(offsets[k]), n, 1.0, 0)
+        return {k: list(v.values()) for k, v in found.items()}
+
     def _candidates(self, fingerprints: np.ndarray, prints: np.ndarray, tables: list) -> np.ndarray:
         """(window, item) pairs whose fingerprints are within the radius, found through the blocks."""
         values = fingerprints.view(np.uint8).reshape(-1, BLOCKS)
@@ -147,9 +200,10 @@ def _scan(index: BenchmarkIndex, texts: list[str]) -> Iterator[list]:
     hashes, offsets = words(texts)
     features = shingles(hashes)
     hit = index.known_positions(features) if len(features) else np.zeros(0, bool)
+    short = index.short_matches(hashes, offsets)
     for k in range(len(texts)):
         a, b = int(offsets[k]), int(offsets[k + 1]) - SHINGLE + 1
-        yield index.matches(features[a:b], hit[a:b]) if b > a and hit[a:b].any() else []
+        yield short.get(k, []) + (index.matches(features[a:b], hit[a:b]) if b > a and hit[a:b].any() else [])
 
 
 def contaminated(
@@ -164,8 +218,8 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, start_word, n_words, similarity, hamming.
 
-    The row tells the most similar window, the first of equals. Null and empty texts match nothing; so do items and
-    documents of fewer than five words. Repeated documents give repeated rows, repeated items count once. Extra columns
+    The row tells the most similar window, the first of equals; a document shorter than the item is one window. Items of
+    fewer than five words match where their words stand in order. Null texts and texts without words match nothing. Repeated documents give repeated rows, repeated items count once. Extra columns
     are ignored; an empty table on either side gives no rows.
     """
     rows = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
