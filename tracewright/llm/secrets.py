@@ -30,12 +30,20 @@ class Rule:
 
 _KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
 _BETWEEN = r"[\"']?\x20*[:=]\x20*[\"']?"
+_KEY_HEAD = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+_KEY_END = r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+_GAP = r"(?:\s|\\[nrt])"
+#: A key runs to its END line if that is the next line of dashes; otherwise over its headers and the lines of base64, the last of any length.
+_KEY_BODY = (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+" + _KEY_END + r"|(?:" + _GAP + r"*+(?:Proc-Type|DEK-Info|Comment|Version|X-[A-Za-z-]+):[^\r\n\\]*+)*+"
+    r"(?:(?:" + _GAP + r"*+[A-Za-z0-9+/]{16,}+={0,2}+)++(?:" + _GAP + r"++[A-Za-z0-9+/]++={0,2}+(?=[\x20\t\\\r\n]|\z)(?=[\x20\t]*+(?:[\\\r\n]|-----END|\z)))?+)?+)"
+)
 #: The first three are the base kinds, in their listed order; the others are the method's own.
 RULES = (
     Rule("assign", 1, _KEYWORD + _BETWEEN + r"[A-Za-z0-9+/_.=-]+", _KEYWORD + _BETWEEN + r"[A-Za-z0-9+/_.=-]{6,}", _KEYWORD + _BETWEEN + r"[A-Za-z0-9+/_.=-]{6}", True),
     Rule("access", 1, r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16,}", r"AKIA[A-Z0-9]{16}", True),
     Rule("hex", 1, r"[0-9a-f]{24,}", r"[0-9a-f]{24,}", r"[0-9a-f]{24}", True),
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----", r".*", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"),
+    Rule("private_key", 2, _KEY_HEAD + _KEY_BODY, r"(?s:.*)", _KEY_HEAD),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,255}", r".*", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", r".*", r"xox[abprs]-[A-Za-z0-9-]{10}"),
     Rule("google", 1, r"AIza[A-Za-z0-9_-]{35}", r".*", r"AIza[A-Za-z0-9_-]{35}"),
