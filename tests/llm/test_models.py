@@ -69,11 +69,43 @@ def test_language_model_base_is_exact_and_model_wins(spark, sf_dir):
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((end + 1) / (n + v + 1))
         assert (r.held_out, r.n_tokens, r.train_tokens) == (crc(d, 7) == 2, len(w) + 1, n)
         assert r.n_known == sum(c[x] > 0 for x in w) + 1 and abs(r.base_score - base) < 1e-6 * abs(base)
-    own = [r for r in rows.values() if r.held_out]
+    # a smaller step than in production, where a task has many more tokens
+    again = {r.doc_id: r for r in language_model.score_texts(docs, batch=2048, min_count=5).collect()}
+    own = [r for r in again.values() if r.held_out]
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
-    # a longer head also gives a longer short list
-    again = {r.doc_id: r.score for r in language_model.score_texts(docs, head_words=2000).collect()}
-    assert sum(again.values()) > sum(r.base_score for r in rows.values())
+
+
+def test_language_model_score_against_slow_scoring(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 7 < 4").select("doc_id", "text")
+    fit, kept = language_model.fit_log_bilinear, []
+    monkeypatch.setattr(language_model, "fit_log_bilinear", lambda *a, **k: kept.append(fit(*a, **k)) or kept[-1])
+    rows = {r.doc_id: r for r in language_model.score_texts(docs, head_words=400, min_count=10, batch=512).collect()}
+    model = kept[-1]
+    texts = {r.doc_id: [w.decode() for w in language_model.tokens((r.text or "").encode())] for r in docs.collect()}
+    c, ends = Counter(), 0
+    for d, w in texts.items():
+        if not rows[d].held_out:
+            c.update(w)
+            ends += 1
+    head = sorted(c, key=lambda w: (-c[w], w.encode()))[:400]
+    own = sum(c[w] >= 10 for w in head)
+    assert 0 < own == model.words < 400
+    items, before, mass = {}, 0, sum(c[w] for w in head[own:])
+    for k, w in enumerate(head):
+        items[w] = 2 + k if k < own else 2 + own + min(before * language_model.BANDS // mass, language_model.BANDS - 1)
+        before += c[w] if k >= own else 0
+    shares = Counter()
+    for w in c:
+        shares[items.get(w, 1)] += c[w] + 1
+    shares[1] += 1
+    for d in list(texts)[:25]:
+        chain, total = [0, 0, 0], 0.0
+        for w in [*texts[d], None]:
+            item = 0 if w is None else items.get(w, 1)
+            total += slow_probability(model, chain, item)
+            total += math.log((c[w] + 1) / shares[item]) if item == 1 or item >= 2 + own else 0.0
+            chain.append(item)
+        assert abs(total / math.log(10) - rows[d].score) < 1e-4 * abs(rows[d].score) + 1e-6, d
 
 
 def test_language_model_edges(make_docs):
@@ -82,12 +114,51 @@ def test_language_model_edges(make_docs):
     assert language_model.score_texts(make_docs([])).count() == 0
 
 
-def test_log_bilinear_rows_are_distributions():
-    pairs = np.random.default_rng(0).integers(0, 50, (20, 20))
-    table = language_model.fit_log_bilinear(pairs, dimensions=8, steps=60)
-    assert np.allclose(np.exp(table).sum(axis=1), 1, atol=1e-5)
-    unigram = np.log(pairs.sum(axis=0) / pairs.sum())
-    assert (pairs * table).sum() > (pairs * unigram[None, :]).sum()
+def slow_probability(model, history, item):
+    """Natural log-probability of an item after a history, by the definition."""
+    d, n = model.dimensions, len(model.counts)
+    h = np.zeros(d)
+    for i, c in enumerate(model.context_matrices()):
+        h += model.rows[history[-1 - i], :d].astype(float) @ c
+    score = lambda row: h @ model.rows[row, :d] + model.rows[row, d]
+    kind = int(model.class_of[item])
+    classes = np.array([score(model.s + k) for k in range(model.classes)])
+    mates = [k for k in range(n) if model.class_of[k] == kind]
+    words = np.array([score(model.q + k) for k in mates])
+    within = words[mates.index(item)] - np.log(np.exp(words).sum()) if len(mates) > 1 else 0.0
+    return classes[kind] - np.log(np.exp(classes).sum()) + within
+
+
+def test_log_bilinear_probabilities_sum_to_one_and_follow_the_definition():
+    draw = np.random.default_rng(1)
+    model = language_model.LogBilinear(np.r_[7, 30, np.sort(draw.integers(1, 400, 60))[::-1], 5, 4], 60, 5)
+    model.rows[:] = draw.standard_normal(model.rows.shape) * 0.5
+    assert model.classes < 20 and (np.diff(model.class_of) >= 0).all()
+    chain = draw.integers(0, 64, 300).astype(np.int32)
+    at = np.arange(3, 300)
+    slow = [slow_probability(model, list(chain[:p]), int(chain[p])) for p in at]
+    assert np.allclose(model.log_probabilities(chain, at), slow, atol=1e-4)
+    for history in ([0, 0, 0], [5, 61, 2]):
+        assert abs(sum(math.exp(slow_probability(model, history, k)) for k in range(64)) - 1) < 1e-6
+    # large scores do not overflow
+    model.rows *= 40
+    assert np.isfinite(model.log_probabilities(chain, at)).all()
+
+
+def test_noise_contrastive_steps_learn_a_third_order_pattern():
+    draw = np.random.default_rng(2)
+    text = [2, 3, 4]
+    for _ in range(30_000):
+        text.append(2 + (text[-3] - 2 + 1) % 40 if draw.random() < 0.8 else int(draw.integers(2, 42)))
+    text = np.array(text, np.int32)
+    model = language_model.LogBilinear(np.r_[1, 0, np.bincount(text)[2:42]], 40, 12)
+    chain, at = language_model.chain_of([text])
+    before = model.log_probabilities(chain, at).mean()
+    trainer = language_model.Trainer(model)
+    for _ in range(10):
+        trainer.fit(chain, at, 256)
+    model.rows = trainer.rows
+    assert model.log_probabilities(chain, at).mean() > before + 0.5
 
 
 ODD = [None, "", "<|endoftext|>", "a<|endoftext|>b <|endoftext|", "aaaaaaaaaaaaaaaaaaaaaaaaa", "x" * 5000, "don't  stop\n\n\t now  　 é中文 😀😀", "\x1c\x1d\x85 a", "12345 67٣", "'S 's'll", " \n ", "naïve " * 20000]
