@@ -86,19 +86,54 @@ def test_one_of_each_stays(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute(rows)})
 
 
+def test_units_of_long_prefixes_lose_no_link(make_docs, monkeypatch):
+    """Large groups are taken apart at full paths; shortened prefixes bring their units together, few or many under a node."""
+    rows = near_rows(4)
+    for texts, under in ((6, 16), (6, 2)):
+        monkeypatch.setattr(nd, "BLOCK_TEXTS", texts)
+        monkeypatch.setattr(nd, "NODE_UNITS", under)
+        assert got(nd.join_near_texts(make_docs(rows))) == brute(rows)
+
+
+def chain_rows(n, width=100, step=25):
+    """Texts of which each has Jaccard similarity of about 0.6 with the next and less with the others."""
+    return [(k, " ".join(f"w{i}" for i in range(k * step, k * step + width))) for k in range(n)]
+
+
+def test_a_chain_of_loosely_similar_texts_grows_linearly(make_docs, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 10)
+    counts = []
+    parts = nd._parts
+
+    def counted(texts, pairs):
+        found = parts(texts, pairs)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(nd, "_parts", counted)
+    for n in (60, 120):
+        assert got(nd.join_near_texts(make_docs(chain_rows(n)))) == Counter((k, k, 0) for k in range(n))
+    assert counts[1] < 2.6 * counts[0] and counts[1] < 120 * 8
+
+
 def test_prefix_length_and_recall():
     d = nd.prefix_length(0.8, 0.999)
     assert 1 - (1 - 0.8**d) ** nd.TREES >= 0.999 and (d == nd.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** nd.TREES < 0.999)
-    # measured on random sets at the threshold
+    # texts that can only link at a higher similarity need no prefix as short
+    assert nd.needed_prefix(1, 0.8, 0.999) == nd.needed_prefix(3, 0.8, 0.999) == nd.DEPTH and nd.needed_prefix(4, 0.8, 0.999) == d
+    assert all(d <= nd.needed_prefix(n, 0.8, 0.999) <= nd.DEPTH for n in range(1, 300))
+    # measured on random sets at the threshold, by prefix length
     r = np.random.default_rng(0)
-    a, b = nd._coefficients(nd.TREES * d)
-    met = 0
+    a, b = nd._coefficients(nd.TREES * nd.DEPTH)
+    met = np.zeros(nd.DEPTH + 1, int)
     for _ in range(300):
         x = r.integers(0, 1 << 63, 180, np.uint64)
         y = np.concatenate([x[:160], r.integers(0, 1 << 63, 20, np.uint64)])
-        k = nd.tree_keys(np.stack([nd.minhash(x, a, b), nd.minhash(y, a, b)]), nd.TREES, d)
-        met += (k[0] == k[1]).any()
-    assert met >= 297
+        p = nd.tree_paths(np.stack([nd.minhash(x, a, b), nd.minhash(y, a, b)]), nd.TREES, nd.DEPTH, d)
+        for depth in range(d, nd.DEPTH + 1):
+            width = nd.path_bytes(depth, d)
+            met[depth] += (p[0, :, :width] == p[1, :, :width]).all(axis=1).any()
+    assert met[d] >= 297 and (np.diff(met[d:]) <= 0).all() and met[nd.DEPTH] > 240
 
 
 def test_components(spark):

@@ -1,15 +1,20 @@
 """N-gram Jaccard join by a MinHash LSH forest and exact verification.
 
-Every distinct text gets MinHash signatures of its five-word shingle set, arranged as prefix tries (trees). Prefixes are
-shortened from the full depth until the chance that a pair at the threshold shares a prefix in some tree reaches the
-target recall. Texts that share a prefix are linked to the least of them, components of these links are candidate
-groups, and inside a group every pair is compared exactly, in blocks of bounded size. Only per-text results leave a
-block: link counts and a spanning forest, never the pairs.
+Every distinct text gets MinHash signatures of its five-word shingle set: TREES paths of DEPTH values, each a key of a
+prefix trie. Prefixes are matched by grouping and sorting the keys in Spark, the longest first, and are shortened level
+by level for the texts that have not reached the target recall: the chance that a pair at the least similarity such a
+text can have with a linked one shares a prefix in some tree. The shortest prefix that any text needs prunes the tries
+first: a key that shares it with no other text shares no longer one. Groups linked by it that fit a block are compared
+whole. Larger ones are taken apart: texts that share a full path are a unit, and each shortening adds pairs of units (or
+joins many units under one node), so that a long chain of loosely similar texts is not compared all with all. Only
+per-text results leave a block: link counts and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ RECALL = 0.999
 TREES, DEPTH = 48, 12
 #: A block of a candidate group holds about so many shingles and texts at most.
 BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 700
+#: Up to so many units under one trie node are compared pair by pair; more of them become one unit.
+NODE_UNITS = 16
 #: Shingles of up to so many texts of a block are counted pair by pair, others by matrix products.
 FEW = 24
 
@@ -55,20 +62,42 @@ def minhash(features: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int = 256)
     return low
 
 
-def tree_keys(signatures: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One 64-bit key per text and tree from the first `depth` values of the tree's signature path."""
-    path = signatures.reshape(len(signatures), trees, depth).astype(np.uint64)
-    keys = np.broadcast_to(np.arange(trees, dtype=np.uint64), (len(signatures), trees)) * np.uint64(0x9E3779B97F4A7C15)
-    for level in range(depth):
-        keys = (keys ^ path[:, :, level]) * np.uint64(0xBF58476D1CE4E5B9)
-        keys ^= keys >> np.uint64(29)
-    return keys
+@lru_cache(maxsize=4096)
+def needed_prefix(shingles: int, similarity: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix at which a text of so many shingles meets the target recall.
+
+    Its links have at least the smallest Jaccard similarity k / u >= `similarity` that integers k <= shingles <= u allow.
+    """
+    if shingles > 200:
+        return prefix_length(similarity, recall, trees, depth)
+    least = 1.0
+    for shared in range(max(1, math.ceil(similarity * shingles - 1e-9)), shingles + 1):
+        union = math.floor(shared / similarity + 1e-9)
+        if union >= shingles:
+            least = min(least, shared / union)
+    return prefix_length(max(least, similarity), recall, trees, depth)
+
+
+def tree_paths(signatures: np.ndarray, trees: int, depth: int, base: int) -> np.ndarray:
+    """Keys of the prefix tries, as bytes by text and tree: the first `base` values as one 64-bit hash (no shorter prefix is
+    ever matched), then two bytes for every further value."""
+    path = signatures.reshape(len(signatures), trees, depth)
+    head = np.broadcast_to(np.arange(trees, dtype=np.uint64), (len(signatures), trees)) * np.uint64(0x9E3779B97F4A7C15)
+    for level in range(base):
+        head = (head ^ path[:, :, level].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        head ^= head >> np.uint64(29)
+    tail = (path[:, :, base:] >> np.uint32(8)).astype(np.uint16)
+    return np.concatenate([np.ascontiguousarray(head).view(np.uint8).reshape(*head.shape, 8), np.ascontiguousarray(tail).view(np.uint8).reshape(*head.shape, 2 * (depth - base))], axis=2)
+
+
+def path_bytes(depth: int, base: int) -> int:
+    return 8 + 2 * (depth - base)
 
 
 def _signatures(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """key, n (shingles), trees (binary, 8 bytes a tree) of every text that has words."""
-    depth = prefix_length(similarity, recall)
-    a, b = _coefficients(TREES * depth)
+    """key, n (shingles), needed (its longest sufficient prefix), trees (binary, the paths of all trees) of every text that has words."""
+    base = prefix_length(similarity, recall)
+    a, b = _coefficients(TREES * DEPTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,10 +113,13 @@ def _signatures(texts: DataFrame, similarity: float, recall: float) -> DataFrame
                         sizes.append(len(features))
                         signatures.append(minhash(features, a, b))
                 if at:
-                    packed = [row.tobytes() for row in tree_keys(np.stack(signatures), TREES, depth)]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in at], pa.binary()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["key", "n", "trees"])
+                    packed = [row.tobytes() for row in tree_paths(np.stack(signatures), TREES, DEPTH, base)]
+                needed = [needed_prefix(n, similarity, recall) for n in sizes]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([keys[k] for k in at], pa.binary()), pa.array(sizes, pa.int64()), pa.array(needed, pa.int32()), pa.array(packed, pa.binary())], ["key", "n", "needed", "trees"]
+                )
 
-    return texts.mapInArrow(run, "key binary, n long, trees binary")
+    return texts.mapInArrow(run, "key binary, n long, needed int, trees binary")
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -179,6 +211,54 @@ def _key(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _units(leaves: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
+    """((node, unit) of every text, (x, y) pairs of units to compare) from leaves (key, needed, path) of large groups.
+
+    Texts of a full path are a unit. Level by level the prefix is shortened for the texts that need it: units under one
+    node are paired, or joined where they are many.
+    """
+    least = materialize(leaves.groupBy("path").agg(F.min("key").alias("least")))
+    units = materialize(components(leaves.join(least, "path").select(F.col("key").alias("a"), F.col("least").alias("b"))).withColumnRenamed("root", "unit"))
+    pairs = units.select(F.col("unit").alias("x"), F.col("unit").alias("y")).limit(0)
+    for depth in range(DEPTH - 1, base - 1, -1):
+        prefix = F.substring("path", 1, path_bytes(depth, base)).alias("prefix")
+        under = leaves.where(F.col("needed") <= depth).select(F.col("key").alias("node"), prefix).join(units, "node").select("prefix", "unit").distinct()
+        nodes = materialize(under.groupBy("prefix").agg(F.count("*").alias("units"), F.min("unit").alias("least")).where("units > 1"))
+        under = materialize(under.join(nodes, "prefix"))
+        few = under.where(F.col("units") <= NODE_UNITS)
+        other = few.select("prefix", F.col("unit").alias("y"))
+        new = few.select("prefix", F.col("unit").alias("x")).join(other, "prefix").where("x < y").select("x", "y")
+        pairs = materialize(pairs.union(new).distinct())
+        many = under.where(F.col("units") > NODE_UNITS)
+        if not many.isEmpty():
+            joined = materialize(components(many.select(F.col("unit").alias("a"), F.col("least").alias("b"))))
+            renamed = lambda column: joined.select(F.col("node").alias(column), F.col("root").alias(f"new_{column}"))
+            units = materialize(units.join(renamed("unit"), "unit", "left").select("node", F.coalesce("new_unit", "unit").alias("unit")))
+            pairs = pairs.join(renamed("x"), "x", "left").join(renamed("y"), "y", "left").select(F.coalesce("new_x", "x").alias("x"), F.coalesce("new_y", "y").alias("y"))
+            pairs = materialize(pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    return units, pairs
+
+
+def _parts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, copies, first, part, block from texts (key, n, copies, first, unit): every block of a unit, every two blocks of
+    it, and every block of a unit with every block of a paired one. Parts named x.. count links between blocks only."""
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks")
+    sizes = materialize(texts.groupBy("unit").agg(blocks))
+    placed = texts.join(sizes, "unit").withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    named = lambda kind, *of: F.concat(F.lit(kind), F.hex(F.xxhash64(*of, F.lit(0))), F.hex(F.xxhash64(F.lit(1), *of)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    part = F.when(low == high, named("o", "unit", low)).otherwise(named("x", "unit", low, high))
+    inside = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "copies", "first", part.alias("part"), F.col("own").alias("block"))
+    counted = lambda column: sizes.select(F.col("unit").alias(column), F.col("blocks").alias(f"{column}_blocks"))
+    both = materialize(pairs.join(counted("x"), "x").join(counted("y"), "y"))
+    sides = []
+    for number, (mine, theirs) in enumerate((("x", "y"), ("y", "x"))):
+        side = placed.withColumnRenamed("unit", mine).join(both, mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"{theirs}_blocks") - 1)))
+        at = ("own", "other") if mine == "x" else ("other", "own")
+        sides.append(side.select("key", "copies", "first", named("xc", "x", "y", *at).alias("part"), F.lit(number).alias("block")))
+    return inside.unionByName(sides[0]).unionByName(sides[1])
+
+
 def link_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per distinct text: key (its hash), group (least key of its linked group), n_links, first (none, doc_id).
 
@@ -190,24 +270,28 @@ def link_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     the rows of a hot key.
     """
     texts = docs.select(F.col(doc_id).alias("doc_id"), _key(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = materialize(_signatures(texts.select("key", "text"), similarity, recall).groupBy("key").agg(F.first("n").alias("n"), F.first("trees").alias("trees")))
+    signed = materialize(_signatures(texts.select("key", "text"), similarity, recall).groupBy("key").agg(F.first("n").alias("n"), F.first("needed").alias("needed"), F.first("trees").alias("trees")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     copies = materialize(texts.groupBy("key").agg(F.count("*").alias("copies"), first))
-    tree = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring("trees", k * 8 + 1, F.lit(8))))
-    leaves = signed.select("key", tree.alias("leaf"))
+    base = prefix_length(similarity, recall)
+    width = path_bytes(DEPTH, base)
+    path = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.substring("trees", k * width + 1, F.lit(width)))).alias("path")
+    # the shortest prefix that any text needs prunes the tries
+    leaves = signed.select("key", path).select("key", F.substring("path", 1, path_bytes(base, base)).alias("leaf"))
     shared = materialize(leaves.groupBy("leaf").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(F.col("least") != F.col("most")).select("leaf", "least"))
     edges = leaves.join(shared, "leaf").select(F.col("key").alias("a"), F.col("least").alias("b"))
     grouped = components(edges).join(signed.select(F.col("key").alias("node"), "n"), "node").join(copies.withColumnRenamed("key", "node"), "node")
-    grouped = materialize(grouped)
-    sizes = materialize(grouped.groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts")))
-    parts = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("texts") / BLOCK_TEXTS))
-    members = (
-        grouped.join(sizes.select("root", parts.cast("int").alias("parts")), "root")
-        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
-        .select(F.col("node").alias("key"), "copies", "first", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("key", "copies", "first", F.col("own").alias("block"), F.struct("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("_part"))
-        .select("key", "copies", "first", "block", F.when(F.col("_part.x") == F.col("_part.y"), "o").otherwise("x").alias("kind"), F.xxhash64("_part.root", "_part.x", "_part.y", F.lit(0)).alias("p1"), F.xxhash64("_part.y", "_part.x", "_part.root").alias("p2"))
-    ).select(F.col("key").alias("_key"), F.col("first.doc_id").alias("_first"), F.concat("kind", F.hex("p1"), F.hex("p2")).alias("part"), "block", "copies")
+    grouped = materialize(grouped.withColumnRenamed("root", "unit"))
+    sizes = materialize(grouped.groupBy("unit").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts")))
+    large = sizes.where((F.col("shingles") > BLOCK_SHINGLES) | (F.col("texts") > BLOCK_TEXTS)).select("unit")
+    pairs = grouped.select(F.col("unit").alias("x"), F.col("unit").alias("y")).limit(0)
+    if not large.isEmpty():
+        apart = materialize(grouped.join(large, "unit").drop("unit"))
+        paths = apart.select(F.col("node").alias("key")).join(signed, "key").select("key", "needed", path)
+        units, pairs = _units(materialize(paths), base)
+        grouped = materialize(grouped.join(large, "unit", "left_anti").unionByName(apart.join(units, "node")))
+    members = _parts(grouped.withColumnRenamed("node", "key"), pairs)
+    members = members.select(F.col("key").alias("_key"), F.col("first.doc_id").alias("_first"), "part", "block", "copies")
     # of the copies of a text only the first carries it on
     carried = texts.join(members.hint("merge"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first")))
     placed = carried.select("part", "block", "key", "copies", "text")
