@@ -59,13 +59,45 @@ def test_ledger_is_incremental(make_docs):
     again, grown = secrets.scan_history(both, ledger)
     fresh, _ = secrets.scan_history(both)
     assert {(r.doc_id, str(r.findings)) for r in again.collect()} == {(r.doc_id, str(r.findings)) for r in fresh.collect()}
-    assert grown.count() == 3
+    assert grown.count() == 3 and ledger.count() == 2
     # a held pair is not scanned again: what the ledger says stands
     marked = ledger.selectExpr("blob", "rules", "slice(findings, 1, 1) AS findings")
     kept = {r.doc_id: len(r.findings) for r in secrets.scan_history(both, marked)[0].collect()}
     assert kept[1] == 1 and kept[4] == 1
 
 
+def test_clean_blobs_are_in_the_ledger_and_no_pattern_runs_on_held_ones(make_docs):
+    docs = make_docs([(1, "nothing here"), (2, None), (3, SECRETS[0]), (4, SECRETS[0])])
+    _, ledger = secrets.scan_history(docs)
+    assert sorted(len(r.findings) > 0 for r in ledger.collect()) == [False, False, True]
+    assert all(len(r.rules) == len(secrets.RULES) for r in ledger.collect())
+    # a ledger that calls a blob clean is believed: neither gate nor rule meets it again
+    false = ledger.selectExpr("blob", "rules", "slice(findings, 1, 0) AS findings")
+    again, grown = secrets.scan_history(docs, false)
+    assert all(not r.findings for r in again.collect()) and grown.count() == 3
+    # a rule that the ledger lacks, or holds in an older version, runs alone
+    old = false.selectExpr("blob", "transform(rules, r -> replace(r, 'hex:1', 'hex:0')) AS rules", "findings")
+    assert {f.kind for r in secrets.scan_history(make_docs([(9, SECRETS[3] + " " + SECRETS[0])]), old)[0].collect() for f in r.findings} > {"hex"}
+    _, ledger = secrets.scan_history(make_docs([(3, SECRETS[1])]))
+    only = secrets.scan_history(make_docs([(3, SECRETS[1])]), ledger.selectExpr("blob", "filter(rules, r -> r <> 'assign:1') AS rules", "filter(findings, f -> f.kind = 'access') AS findings"))[0].first()
+    assert {f.kind for f in only.findings} == {"assign", "access"}
+
+
+def test_many_findings_in_one_text(make_docs):
+    text = " ".join(f"token=abcdef{k:05d} x" for k in range(3000))
+    docs = make_docs([(1, text)])
+    r = secrets.secret_digest(secrets.scan_history(docs)[0]).first()
+    assert [r.n_assign, r.n_access, r.n_hex, r.base_sha256] == brute_secrets(text)
+    assert secrets.redact_history(docs).first().text == " ".join(["[SECRET] x"] * 3000)
+
+
+def test_redaction_of_columns_with_odd_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", "a"), (2, "clean", "b")], "doc_id long, `the.text` string, _gated string")
+    out = secrets.redact_history(docs, text="the.text")
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {(1, "[SECRET]", "a"), (2, "clean", "b")}
+
+
 def test_redaction(make_docs):
     out = {r.doc_id: r.text for r in secrets.redact_history(make_docs([(i, t) for i, t in enumerate(SECRETS)])).collect()}
     assert out[5] is None and out[4] == ""

@@ -1,8 +1,8 @@
 r"""Secret scans over an incremental blob ledger, in DataFrame and SQL functions only.
 
-Every historical version (here: every document) is content-addressed. Blobs that some rule's gate can match are scanned
-once per (blob, rule, rule version) pair that the ledger does not hold yet, and the findings are joined back to all
-paths that carry the blob. Text travels only for gated blobs, once each.
+Every historical version (here: every document) is content-addressed. A blob meets a rule's patterns, its gate included,
+only where the ledger does not hold that pair of blob and rule version yet; the ledger holds clean blobs too. The
+findings are joined back to all paths that carry the blob. Text travels only for gated blobs, once each.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from ._spans import match_spans
+from ._spans import match_spans, walk
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,10 @@ def _rule_findings(rule: Rule, rank: int, text: str) -> str:
         s -> named_struct('start', s.start, 'rank', {rank}, 'end', s.end, 'kind', '{rule.kind}'))"""
 
 
+def _versions(rules: tuple[Rule, ...]) -> str:
+    return ", ".join(f"'{r.kind}:{r.version}'" for r in rules)
+
+
 def scan_history(
     docs: DataFrame,
     ledger: DataFrame | None = None,
@@ -79,42 +83,40 @@ def scan_history(
     path: str = "doc_id",
 ) -> tuple[DataFrame, DataFrame]:
     """(versions, ledger): versions is one row per row of `docs`: doc_id, blob, findings (by start, then rule order); the
-    returned ledger is one row per gated blob: blob, rules (kind:version scanned), findings, and holds the old one's too.
+    returned ledger is one row per blob, clean or not: blob, rules (kind:version scanned), findings, the old one's included.
 
-    `ledger` is what an earlier run returned: its (blob, rule version) pairs are not scanned again. Null text is the
-    empty blob. A blob that no gate matches has no findings and needs no ledger row. Repeated rows and repeated ids are
-    separate paths; other columns are ignored; an empty table gives empty results.
+    `ledger` is what an earlier run returned: its (blob, rule version) pairs are not scanned again, and no pattern runs on
+    a blob of which it holds every rule. Null text is the empty blob. Repeated rows and repeated ids are separate paths;
+    other columns are ignored; an empty table gives empty results.
     """
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    versions = materialize(
-        docs.select(F.col(path).alias("doc_id"), content.alias("_text"))
-        .withColumn("blob", F.unhex(F.sha2("_text", 256)))
-        .select("doc_id", "blob", F.when(F.col("_text").rlike(gate(rules)), F.col("_text")).alias("_text"))
-    )
-    blobs = versions.where(F.col("_text").isNotNull()).groupBy("blob").agg(F.first("_text").alias("_text"))
+    content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{path}`").alias("doc_id"), content.alias("_text")).withColumn("blob", F.unhex(F.sha2("_text", 256)))
+    nothing = f"cast(array() AS {FINDINGS})"
     if ledger is None:
-        blobs = blobs.selectExpr("blob", "_text", "cast(array() AS array<string>) AS known", f"cast(array() AS {FINDINGS}) AS found")
+        rows = rows.selectExpr("*", "cast(array() AS array<string>) AS known", f"{nothing} AS found")
     else:
         held = ledger.selectExpr("blob", "rules AS known", "findings AS found")
-        blobs = blobs.join(held, "blob", "left").selectExpr(
-            "blob", "_text", "coalesce(known, cast(array() AS array<string>)) AS known", f"coalesce(found, cast(array() AS {FINDINGS})) AS found"
-        )
+        rows = rows.join(held, "blob", "left").selectExpr("doc_id", "_text", "blob", "coalesce(known, cast(array() AS array<string>)) AS known", f"coalesce(found, {nothing}) AS found")
+    unseen = f"size(array_except(array({_versions(rules)}), known)) > 0"
+    gated = f"if({unseen}, if(regexp_like(_text, {_quoted(gate(rules))}), _text, NULL), NULL)"
+    versions = materialize(rows.selectExpr("doc_id", "blob", f"{gated} AS _text", "known", "found"))
+    blobs = versions.where(F.col("_text").isNotNull()).groupBy("blob").agg(*[F.first(c).alias(c) for c in ("_text", "known", "found")])
     # a rule runs on a blob only where the ledger lacks that version of it
     scans = [
-        f"if(array_contains(known, '{r.kind}:{r.version}') OR NOT regexp_like(_text, {_quoted(r.gate)}), cast(array() AS {FINDINGS}), {_rule_findings(r, k, '_text')})"
+        f"if(array_contains(known, '{r.kind}:{r.version}') OR NOT regexp_like(_text, {_quoted(r.gate)}), {nothing}, {_rule_findings(r, k, '_text')})"
         for k, r in enumerate(rules)
     ]
-    versions_now = ", ".join(f"'{r.kind}:{r.version}'" for r in rules)
-    current = f"filter(found, f -> exists(array({versions_now}), v -> startswith(v, concat(f.kind, ':')) AND array_contains(known, v)))"
-    scanned = materialize(
-        blobs.selectExpr("blob", f"array_union(known, array({versions_now})) AS rules", f"array_sort(concat({current}, {', '.join(scans)})) AS findings")
-    )
-    hits = scanned.where(F.size("findings") > 0).select("blob", "findings")
-    paths = versions.select("doc_id", "blob").join(hits, "blob", "left")
-    paths = paths.selectExpr("doc_id", "blob", f"coalesce(findings, cast(array() AS {FINDINGS})) AS findings")
+    current = f"filter(found, f -> exists(array({_versions(rules)}), v -> startswith(v, concat(f.kind, ':')) AND array_contains(known, v)))"
+    done = f"array_union(known, array({_versions(rules)})) AS rules"
+    scanned = materialize(blobs.selectExpr("blob", done, f"array_sort(concat({current}, {', '.join(scans)})) AS findings"))
+    # what the gate held back stays as the ledger has it
+    rest = versions.where(F.col("_text").isNull()).selectExpr("doc_id", "blob", f"{current} AS findings")
+    paths = versions.where(F.col("_text").isNotNull()).select("doc_id", "blob").join(scanned.select("blob", "findings"), "blob")
+    clean = versions.where(F.col("_text").isNull()).groupBy("blob").agg(F.first("known").alias("known"), F.first("found").alias("found")).selectExpr("blob", done, f"{current} AS findings")
+    grown = scanned.unionByName(clean)
     if ledger is not None:
-        scanned = scanned.unionByName(ledger.join(scanned.select("blob"), "blob", "left_anti").select(scanned.columns))
-    return paths, scanned
+        grown = grown.unionByName(ledger.join(grown.select("blob"), "blob", "left_anti").select(grown.columns))
+    return paths.select("doc_id", "blob", "findings").unionByName(rest), grown
 
 
 def secret_digest(versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -133,26 +135,33 @@ def secret_digest(versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataF
 
 def mask(text: str, findings: str, mark: str) -> str:
     """SQL for `text` with every finding replaced; overlapping findings share one mark."""
-    return f"""aggregate({findings}, named_struct('at', 0, 'out', ''),
-        (a, f) -> if(f.start < a.at,
-            named_struct('at', greatest(a.at, f.end), 'out', a.out),
-            named_struct('at', f.end, 'out', concat(a.out, substring({text}, a.at + 1, f.start - a.at), {_quoted(mark)}))),
-        a -> concat(a.out, substring({text}, a.at + 1)))"""
+    reach = lambda f, at: f"aggregate({f}, {at}, (m, x) -> greatest(m, x.end))"
+    pieces = walk(
+        findings,
+        "0",
+        lambda b: reach(b, "0"),
+        lambda c, t: f"greatest({c}, {t})",
+        f"""aggregate({{0}}, named_struct('at', {{1}}, 'out', cast(array() AS array<string>)),
+        (a, f) -> named_struct('at', greatest(a.at, f.end), 'out', if(f.start < a.at, a.out,
+            concat(a.out, array(substring({text}, a.at + 1, f.start - a.at), {_quoted(mark)})))),
+        a -> a.out)""".format,
+    )
+    return f"concat(array_join({pieces}, ''), substring({text}, {reach(findings, '0')} + 1))"
 
 
-def redact_history(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact_history(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """`docs`, all rows and columns, with every secret replaced by `mark`; null text stays null.
 
-    The ledger scans each distinct blob that the gate lets through once; its findings, held by blob, are joined back to
-    every row that carries it, and only those rows are rewritten.
+    The gate's answer is written with the rows, so every text meets it once. The ledger scans each distinct blob that
+    passes; its findings are joined back to the rows that carry it, and only those rows are rewritten.
     """
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    gated = content.rlike(gate(rules))
-    # only the gated rows travel; the others stay where they are
-    hot = docs.where(gated).select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.unhex(F.sha2(content, 256)).alias("_blob"))
-    hot = materialize(hot)
-    _, ledger = scan_history(hot.select(F.col(f"_row.`{text}`").alias("text"), F.lit(None).cast("long").alias("doc_id")), rules=rules)
-    found = ledger.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+    # whole rows as one column: no name of theirs can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    content = F.coalesce(F.col(f"_row.`{text}`").cast("string"), F.lit(""))
+    marked = materialize(docs.select(row).withColumn("_gated", content.rlike(gate(rules))))
+    hot = marked.where("_gated").select("_row", F.unhex(F.sha2(content, 256)).alias("_blob"))
+    _, scanned = scan_history(hot.select(F.col(f"_row.`{text}`").alias("text"), F.lit(None).cast("long").alias("doc_id")), ledger, rules)
+    found = scanned.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
     joined = hot.join(found, "_blob", "left")
     shown = [F.expr(f"if(_findings IS NULL, _row.`{c}`, {mask(f'_row.`{c}`', '_findings', mark)})").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return docs.where(~gated).unionByName(joined.select(*shown))
+    return marked.where("NOT _gated").select("_row.*").unionByName(joined.select(*shown))
