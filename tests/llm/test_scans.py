@@ -142,9 +142,102 @@ def test_licenses_match_brute_force(make_docs, spark, sf_dir, where):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def brute_round(hits):
+    """One round over (start, end, rank) by the definition: islands of outer detections."""
+    islands = []
+    for h in sorted(hits, key=lambda h: (h[0], -h[1], h[2])):
+        if not islands or h[1] > max(x[1] for i in islands for x in i):
+            islands.append([h])
+        else:
+            islands[-1].append(h)
+    kept = []
+    for outer, *inner in islands:
+        kept += [outer] if all(x[2] >= outer[2] for x in inner) else []
+        kept += [x for x in inner if x[2] < outer[2]]
+    return kept
+
+
+def brute_found(text):
+    norm = " " + re.sub(licenses.SEPARATORS, " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")).strip(" ") + " "
+    hits = []
+    for rank, _, _, regex, keyword in licenses.rules():
+        for m in re.finditer(regex, norm):
+            assert keyword in norm and any(w in norm for w in licenses.GATE), (regex, keyword)
+            start = norm[: m.start()].count(" ")
+            hits.append((start, start + m[0].count(" "), rank))
+    found = licenses.rules()
+    return sorted((s, e, found[k][1], found[k][2]) for s, e, k in brute_round(brute_round(hits)))
+
+
+@pytest.mark.parametrize("where", ["fixture", "tables"])
+def test_detections_match_brute_force(make_docs, spark, sf_dir, where):
+    docs = make_docs(list(enumerate(LICENSES + TITLES))) if where == "fixture" else spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in licenses.scan_licenses(docs).collect():
+        assert sorted((f.start, f.end, f.label, f.confidence) for f in r.found) == brute_found(texts[r.doc_id]), r.doc_id
+
+
+TITLES = [
+    "Mozilla Public License Version 2.0",
+    "Eclipse Public License 2.0",
+    "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE",
+    "GNU Lesser General Public License",
+    "GNU Affero General Public License version 3",
+    "licensed under the Apache License Version 1.1",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "released under the LGPL v2.1",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "CC BY-SA 4.0 and the MIT license",
+    "SPDX-License-Identifier: GPL-2.0-or-later",
+    "licensed under GPL. Also: Copyright (c) 2019, 2020 someone. " * 400,
+]
+
+
+def test_titles_and_versions(make_docs):
+    got = {r.doc_id: [f.label for f in r.found] for r in licenses.scan_licenses(make_docs(list(enumerate(TITLES)))).collect()}
+    want = [["mpl-2.0"], ["epl-2.0"], ["cddl-1.0"], ["lgpl"], ["agpl-3.0"], ["apache-1.1"], ["apache-2.0"], ["lgpl-2.1"], ["gpl-3.0"], ["cc-by-sa-4.0", "mit"], ["gpl-2.0"], ["gpl", "copyright"] * 400]
+    assert [got[k] for k in range(len(TITLES))] == want
+    assert len(licenses.rules()) >= 200
+
+
 def test_overlaps_are_resolved(make_docs):
     found = {r.doc_id: [(f.label, f.start, f.end) for f in r.found] for r in licenses.scan_licenses(make_docs(list(enumerate(LICENSES)))).collect()}
     assert found[0][0] == ("cc-by-nc-4.0", 0, 7)
     assert found[2] == [("gpl-3.0", 3, 12)]
     assert found[4][0] == ("mit", 0, 5)
-    assert len(licenses.rules()) > 200
+
+
+def sample(pattern, draw):
+    """A random text that a simple regex matches."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(items):
+        return "".join(one(kind, arg) for kind, arg in items)
+
+    def one(kind, arg):
+        if kind == c.LITERAL:
+            return chr(arg)
+        if kind == c.IN:
+            return "q" if arg[0][0] == c.CATEGORY and arg[0][1] == c.CATEGORY_NOT_SPACE else "1" if arg[0][0] == c.CATEGORY else chr(draw.choice(arg)[1])
+        if kind in (c.MAX_REPEAT, c.MIN_REPEAT):
+            low, high, inner = arg
+            return "".join(of(inner) for _ in range(draw.randint(low, min(high, low + 2))))
+        if kind == c.SUBPATTERN:
+            return of(arg[-1])
+        if kind == c.BRANCH:
+            return of(draw.choice(arg[1]))
+        assert kind == c.ASSERT, kind
+        return of(arg[1])
+
+    return of(_parser.parse(pattern))
+
+
+def test_keywords_and_gate_are_implied_by_the_rules():
+    import random
+
+    draw = random.Random(4)
+    for rank, label, weight, regex, keyword in licenses.rules():
+        for _ in range(40):
+            text = sample(regex, draw)
+            assert re.search(regex, text) and keyword in text and any(w in text for w in licenses.GATE), (label, regex, text)

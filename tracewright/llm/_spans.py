@@ -27,16 +27,15 @@ def placed_spans(pieces: str, hits: str, measure: str = "char_length({})", strip
     Running sums of `measure` over pieces and matches are the positions. `strip` is added to every start.
     """
     size = measure.format
-    step = lambda x: f"{size(x + chr(46) + chr(96) + '0' + chr(96))} + coalesce({size(x + chr(46) + chr(96) + '1' + chr(96))}, 0)"
-    before, hit = "x.`0`", "x.`1`"
+    step = lambda x: f"{size(x + '.pre')} + coalesce({size(x + '.hit')}, 0)"
     inner = f"""aggregate({{0}}, named_struct('at', {{1}}, 'spans', cast(array() AS {SPANS})),
         (a, x) -> named_struct(
             'at', a.at + {step("x")},
-            'spans', if({hit} IS NULL, a.spans, concat(a.spans, array(named_struct(
-                'start', a.at + {size(before)} + {strip}, 'end', a.at + {size(before)} + {size(hit)}))))),
+            'spans', if(x.hit IS NULL, a.spans, concat(a.spans, array(named_struct(
+                'start', a.at + {size("x.pre")} + {strip}, 'end', a.at + {size("x.pre")} + {size("x.hit")}))))),
         a -> a.spans)"""
     return walk(
-        f"arrays_zip({pieces}, {hits})",
+        f"zip_with({pieces}, {hits}, (p, h) -> named_struct('pre', p, 'hit', h))",
         "0",
         lambda b: f"aggregate({b}, 0, (s, x) -> s + {step('x')})",
         lambda c, t: f"{c} + {t}",

@@ -1,142 +1,345 @@
 r"""License scans by ordered signature rules, in DataFrame and SQL functions only.
 
 Text is lower-cased (A-Z) and reduced to its words with single spaces between. A keyword prefilter decides which texts
-and which rules are looked at; each remaining rule's regex runs on the word string. Overlaps are resolved in one pass
-over the detections by start, length and priority: what lies inside an earlier detection is suppressed.
+and which rules are looked at; each remaining rule's regex, a literal of the plan, runs on the word string. Overlaps are
+resolved by windows over the detections of a text, in two rounds: a detection that lies inside no other of the round and
+the detections inside it are one island; it stays unless one inside has a better priority, and of those inside the ones
+of better priority stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spans import match_spans
+from ..session import materialize
+from ._spans import match_spans, placed_spans
 from .secrets import _quoted
 
 #: Everything that is not part of a word.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-#: License names as word regexes, with words of which each name holds one.
-NAMES = (
-    ("agpl-3.0", r"(?:gnu )?affero general public license|agpl(?: v?3(?: 0)?)?", ("affero", "agpl")),
-    ("apache-2.0", r"apache license version 2 0|apache(?: license)? v?2(?: 0)?|apache", ("apache",)),
-    ("apache-1.1", r"apache(?: software)? license version 1 1", ("apache",)),
-    ("artistic-2.0", r"artistic license(?: version)? 2 0|artistic 2 0", ("artistic",)),
-    ("bsd-2-clause", r"(?:simplified|2 clause|two clause) bsd|bsd 2 clause", ("bsd",)),
-    ("bsd-3-clause", r"(?:new|revised|3 clause|three clause|modified) bsd|bsd 3 clause", ("bsd",)),
-    ("bsd-4-clause", r"(?:original|4 clause|four clause) bsd|bsd 4 clause", ("bsd",)),
-    ("bsl-1.0", r"boost software license(?: version)? ?1 0|boost software", ("boost",)),
-    ("cc0-1.0", r"cc0(?: 1 0)?(?: universal)?|creative commons zero", ("cc0", "creative commons zero")),
-    ("cc-by-4.0", r"cc by 4 0|creative commons attribution 4 0(?: international)?", ("cc by", "creative commons attribution")),
-    ("cc-by-3.0", r"cc by 3 0|creative commons attribution 3 0(?: unported)?", ("cc by", "creative commons attribution")),
-    ("cc-by-sa-4.0", r"cc by sa(?: 4 0)?|creative commons attribution share ?alike(?: 4 0)?(?: international)?", ("cc by", "creative commons attribution")),
-    ("cc-by-nc-4.0", r"cc by nc(?: 4 0)?|creative commons attribution non ?commercial(?: 4 0)?(?: international)?", ("cc by", "creative commons attribution")),
-    ("cc-by-nd-4.0", r"cc by nd(?: 4 0)?|creative commons attribution no ?deriv(?:ative)?s(?: 4 0)?", ("cc by", "creative commons attribution")),
-    ("cc-by-nc-sa-4.0", r"cc by nc sa(?: 4 0)?|creative commons attribution non ?commercial share ?alike(?: 4 0)?", ("cc by", "creative commons attribution")),
-    ("cc-by-nc-nd-4.0", r"cc by nc nd(?: 4 0)?|creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: 4 0)?", ("cc by", "creative commons attribution")),
-    ("cddl-1.0", r"common development and distribution license|cddl(?: 1 0)?", ("common development", "cddl")),
-    ("cpl-1.0", r"common public license(?: version)?(?: 1 0)?|cpl 1 0", ("common public", "cpl")),
-    ("ecl-2.0", r"educational community license|ecl 2 0", ("educational community", "ecl")),
-    ("epl-1.0", r"eclipse public license(?: version| v)? ?1 0|epl 1 0", ("eclipse", "epl")),
-    ("epl-2.0", r"eclipse public license(?:(?: version| v)? ?2 0)?|epl 2 0", ("eclipse", "epl")),
-    ("eupl-1.2", r"european union public licen[cs]e(?: v?1 2)?|eupl(?: 1 2)?", ("european", "eupl")),
-    ("fdl-1.3", r"gnu free documentation license|gfdl(?: 1 3)?", ("free documentation", "gfdl")),
-    ("gpl-2.0", r"(?:gnu )?general public license(?: version| v)? ?2(?: 0)?|(?:gnu )?gpl ?v?2(?: 0)?", ("general public license", "gpl")),
-    ("gpl-3.0", r"(?:gnu )?general public license(?: version| v)? ?3(?: 0)?|(?:gnu )?gpl ?v?3(?: 0)?", ("general public license", "gpl")),
-    ("gpl", r"(?:gnu )?general public license|gnu gpl|gpl", ("general public license", "gpl")),
-    ("isc", r"isc", (" isc ",)),
-    ("lgpl-2.1", r"(?:gnu )?lesser general public license(?: version| v)? ?2 1|(?:gnu )?lgpl ?v?2 1", ("lesser", "lgpl")),
-    ("lgpl-3.0", r"(?:gnu )?lesser general public license(?:(?: version| v)? ?3(?: 0)?)?|(?:gnu )?lgpl(?: ?v?3(?: 0)?)?", ("lesser", "lgpl")),
-    ("lppl-1.3c", r"latex project public license|lppl(?: 1 3c?)?", ("latex", "lppl")),
-    ("mit", r"mit|expat", (" mit ", " expat ")),
-    ("mit-0", r"mit no attribution|mit 0", (" mit ",)),
-    ("mpl-1.1", r"mozilla public license(?: version| v)? ?1 1|mpl 1 1", ("mozilla", "mpl")),
-    ("mpl-2.0", r"mozilla public license(?:(?: version| v)? ?2 0)?|mpl(?: 2 0)?", ("mozilla", "mpl")),
-    ("ms-pl", r"microsoft public license|ms pl", ("microsoft", "ms pl")),
-    ("ms-rl", r"microsoft reciprocal license|ms rl", ("microsoft", "ms rl")),
-    ("ncsa", r"university of illinois ncsa open source|ncsa", ("ncsa",)),
-    ("odbl-1.0", r"open database license|odbl(?: 1 0)?", ("open database", "odbl")),
-    ("ofl-1.1", r"sil open font license|ofl(?: 1 1)?", ("open font", "ofl")),
-    ("osl-3.0", r"open software license(?: version)?(?: 3 0)?|osl 3 0", ("open software", "osl")),
-    ("php-3.01", r"php license(?: version)? 3 01|php 3 01", ("php",)),
-    ("postgresql", r"postgresql", ("postgresql",)),
-    ("psf-2.0", r"python software foundation|psf(?: 2 0)?", ("python software", "psf")),
-    ("unlicense", r"unlicense|the unlicense", ("unlicense",)),
-    ("upl-1.0", r"universal permissive license|upl 1 0", ("universal permissive", "upl")),
-    ("wtfpl", r"do what the f\w+ you want to public license|wtfpl", ("you want to public", "wtfpl")),
-    ("zlib", r"zlib(?: libpng)?", ("zlib",)),
-    ("zpl-2.1", r"zope public license|zpl 2 1", ("zope", "zpl")),
-)
-#: How a name is mentioned, by priority; the keyword gates the rule.
-MENTIONS = (
-    (1.0, r"spdx license identifier (?:{n})", "spdx"),
-    (0.95, r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:{n})(?: licen[cs]e)?(?: version \d+(?: \d+)?)?", "under"),
-    (0.9, r"subject to the (?:terms of the )?(?:{n})(?: licen[cs]e)?", "subject"),
-    (0.85, r"(?:governed|covered) by (?:the )?(?:{n})(?: licen[cs]e)?", "by"),
-    (0.8, r"licen[cs]e (?:is )?(?:the )?(?:{n})", "licen"),
-    (0.7, r"(?:the )?(?:{n}) licen[cs]ed?", "licen"),
-)
-#: Sentences that name no license but are part of one.
-TEXTS = (
-    ("mit", 0.98, r"permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
-    ("isc", 0.98, r"permission to use copy modify and or distribute this software for any purpose", "distribute this software"),
-    ("bsd", 0.95, r"redistribution and use in source and binary forms with or without modification are permitted", "binary forms"),
-    ("apache-2.0", 0.98, r"you may not use this file except in compliance with the license", "in compliance with the license"),
-    ("gpl", 0.95, r"this program is free software you can redistribute it and or modify it", "free software"),
-    ("gpl", 0.6, r"general public license", "general public license"),
-    ("mpl-2.0", 0.98, r"this source code form is subject to the terms of the mozilla public license", "source code form"),
-    ("public-domain", 0.8, r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", "public domain"),
-    ("unlicense", 0.95, r"this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("copyright", 0.5, r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*", "copyright"),
-    ("reserved", 0.6, r"all rights reserved", "all rights reserved"),
-    ("warranty-disclaimer", 0.5, r"without warranty of any kind express or implied", "without warranty"),
-    ("proprietary", 0.7, r"(?:proprietary and confidential|confidential and proprietary)", "confidential"),
-)
+#: The signature rules, one a line, best priority first: label, confidence, regex over words, keyword that it implies.
+SIGNATURES = r"""
+apache-2.0 | 1.0 | spdx license identifier apache 2 0 | spdx license identifier apache
+apache-1.1 | 1.0 | spdx license identifier apache 1 1 | spdx license identifier apache
+mit-0 | 1.0 | spdx license identifier mit 0 | spdx license identifier mit
+mit | 1.0 | spdx license identifier mit | spdx license identifier mit
+isc | 1.0 | spdx license identifier isc | spdx license identifier isc
+0bsd | 1.0 | spdx license identifier 0bsd | spdx license identifier 0bsd
+bsd-2-clause | 1.0 | spdx license identifier bsd 2 clause | spdx license identifier bsd
+bsd-3-clause | 1.0 | spdx license identifier bsd 3 clause | spdx license identifier bsd
+bsd-4-clause | 1.0 | spdx license identifier bsd 4 clause | spdx license identifier bsd
+agpl-3.0 | 1.0 | spdx license identifier agpl 3 0(?: only| or later)? | spdx license identifier agpl
+lgpl-2.1 | 1.0 | spdx license identifier lgpl 2 1(?: only| or later)? | spdx license identifier lgpl
+lgpl-3.0 | 1.0 | spdx license identifier lgpl 3 0(?: only| or later)? | spdx license identifier lgpl
+lgpl-2.0 | 1.0 | spdx license identifier lgpl 2 0(?: only| or later)? | spdx license identifier lgpl
+gpl-2.0 | 1.0 | spdx license identifier gpl 2 0(?: only| or later)? | spdx license identifier gpl
+gpl-3.0 | 1.0 | spdx license identifier gpl 3 0(?: only| or later)? | spdx license identifier gpl
+mpl-1.1 | 1.0 | spdx license identifier mpl 1 1 | spdx license identifier mpl
+mpl-2.0 | 1.0 | spdx license identifier mpl 2 0 | spdx license identifier mpl
+epl-1.0 | 1.0 | spdx license identifier epl 1 0 | spdx license identifier epl
+epl-2.0 | 1.0 | spdx license identifier epl 2 0 | spdx license identifier epl
+cddl-1.0 | 1.0 | spdx license identifier cddl 1 0 | spdx license identifier cddl
+bsl-1.0 | 1.0 | spdx license identifier bsl 1 0 | spdx license identifier bsl
+cc0-1.0 | 1.0 | spdx license identifier cc0 1 0 | spdx license identifier cc0
+cc-by-nc-sa-4.0 | 1.0 | spdx license identifier cc by nc sa 4 0 | spdx license identifier cc
+cc-by-nc-nd-4.0 | 1.0 | spdx license identifier cc by nc nd 4 0 | spdx license identifier cc
+cc-by-nc-4.0 | 1.0 | spdx license identifier cc by nc 4 0 | spdx license identifier cc
+cc-by-nd-4.0 | 1.0 | spdx license identifier cc by nd 4 0 | spdx license identifier cc
+cc-by-sa-4.0 | 1.0 | spdx license identifier cc by sa 4 0 | spdx license identifier cc
+cc-by-4.0 | 1.0 | spdx license identifier cc by 4 0 | spdx license identifier cc
+unlicense | 1.0 | spdx license identifier unlicense | spdx license identifier unlicense
+wtfpl | 1.0 | spdx license identifier wtfpl | spdx license identifier wtfpl
+zlib | 1.0 | spdx license identifier zlib | spdx license identifier zlib
+artistic-2.0 | 1.0 | spdx license identifier artistic 2 0 | spdx license identifier artistic
+eupl-1.2 | 1.0 | spdx license identifier eupl 1 2 | spdx license identifier eupl
+postgresql | 1.0 | spdx license identifier postgresql | spdx license identifier postgresql
+ofl-1.1 | 1.0 | spdx license identifier ofl 1 1 | spdx license identifier ofl
+mit | 0.99 | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files | permission is hereby granted
+mit | 0.97 | the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software | this permission notice
+mit | 0.95 | permission is hereby granted free of charge to any person obtaining a copy | permission is hereby granted
+mit-0 | 0.9 | mit no attribution(?: license)? | mit no attribution
+x11 | 0.9 | except as contained in this notice the name(?: s)? of (?:the )?(?:above )?(?:x consortium|copyright holders?) shall not be used in advertising | except as contained in this notice
+isc | 0.99 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies | distribute this software
+0bsd | 0.97 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is | distribute this software
+isc | 0.9 | permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted | distribute this software
+hpnd | 0.9 | permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted | and its documentation
+postgresql | 0.95 | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted | without a written agreement
+bsd-4-clause | 0.98 | all advertising materials mentioning features or use of this software must display the following acknowledge?ment | all advertising materials
+bsd-3-clause | 0.98 | neither the name of (?:the )?(?:\S+ ){1,12}nor the names of (?:its|their) contributors may be used to endorse or promote products derived from this software | endorse or promote products
+bsd-3-clause | 0.9 | may be used to endorse or promote products derived from this software without specific prior written permission | endorse or promote products
+bsd-2-clause | 0.9 | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation | redistributions in binary form
+bsd-2-clause | 0.85 | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer | redistributions of source code
+bsd | 0.85 | redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)? | redistribution and use in source
+apache-2.0 | 0.99 | licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license | apache license version 2 0
+apache-2.0 | 0.95 | you may not use this file except in compliance with the license | in compliance with the license
+apache-2.0 | 0.9 | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis | agreed to in writing
+apache-2.0 | 0.95 | apache license version 2 0 january 2004 | january 2004
+apache-1.1 | 0.97 | this product includes software developed by the apache software foundation | developed by the apache software foundation
+gpl-3.0 | 0.99 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 | either version 3
+gpl-2.0 | 0.99 | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 | either version 2
+gpl-2.0 | 0.98 | under the terms of the gnu general public license version 2(?: only)? as published by the free software foundation | general public license version 2
+gpl-3.0 | 0.98 | under the terms of the gnu general public license version 3(?: only)? as published by the free software foundation | general public license version 3
+lgpl-2.1 | 0.99 | under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 | either version 2 1
+lgpl-3.0 | 0.99 | under the terms of the gnu lesser general public license as published by the free software foundation either version 3 | either version 3
+lgpl-2.0 | 0.99 | under the terms of the gnu library general public license as published by the free software foundation either version 2 | either version 2
+agpl-3.0 | 0.99 | under the terms of the gnu affero general public license as published by the free software foundation either version 3 | either version 3
+agpl-3.0 | 0.97 | under the terms of the gnu affero general public license version 3 as published | affero general public license version 3
+gpl-2.0 | 0.97 | gnu general public license version 2 june 1991 | june 1991
+gpl-3.0 | 0.97 | gnu general public license version 3 29 june 2007 | 29 june 2007
+lgpl-3.0 | 0.97 | gnu lesser general public license version 3 29 june 2007 | 29 june 2007
+lgpl-2.1 | 0.97 | gnu lesser general public license version 2 1 february 1999 | february 1999
+agpl-3.0 | 0.97 | gnu affero general public license version 3 19 november 2007 | 19 november 2007
+gpl | 0.9 | you should have received a copy of the gnu general public license along with this (?:program|library|software|package|file) | received a copy of the gnu general
+lgpl | 0.9 | you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:program|library|software|package|file) | you should have received a copy of the gnu
+agpl-3.0 | 0.9 | you should have received a copy of the gnu affero general public license along with this (?:program|library|software|package|file) | received a copy of the gnu affero
+gpl | 0.8 | (?:this program|this file|it) is free software you can redistribute it and or modify it | free software you can redistribute
+mpl-2.0 | 0.99 | this source code form is subject to the terms of the mozilla public license v 2 0 | source code form
+mpl-2.0 | 0.97 | if a copy of the mpl was not distributed with this file you can obtain one at | copy of the mpl
+mpl-2.0 | 0.95 | this source code form is subject to the terms of the mozilla public license | source code form
+mpl-1.1 | 0.98 | the contents of this file are subject to the mozilla public license version 1 1 | mozilla public license version 1 1
+mpl-1.0 | 0.98 | the contents of this file are subject to the mozilla public license version 1 0 | mozilla public license version 1 0
+npl-1.1 | 0.97 | the contents of this file are subject to the netscape public license version 1 1 | netscape public license
+cddl-1.0 | 0.98 | the contents of this file are subject to the terms of the common development and distribution license | common development and distribution
+cpal-1.0 | 0.97 | the contents of this file are subject to the common public attribution license version 1 0 | common public attribution
+epl-2.0 | 0.98 | made available under the terms of the eclipse public license (?:v |version )?2 0 | eclipse public license
+epl-1.0 | 0.98 | made available under the terms of the eclipse public license (?:v |version )?1 0 | eclipse public license
+bsl-1.0 | 0.98 | distributed under the boost software license version 1 0 | boost software license
+bsl-1.0 | 0.95 | boost software license version 1 0 august 17th 2003 | august 17th 2003
+unlicense | 0.99 | this is free and unencumbered software released into the public domain | unencumbered
+wtfpl | 0.98 | everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed | verbatim or modified copies
+zlib | 0.98 | this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software | will the authors be held liable
+zlib | 0.9 | altered source versions must be plainly marked as such and must not be misrepresented as being the original software | plainly marked as such
+ofl-1.1 | 0.97 | this font software is licensed under the sil open font license version 1 1 | sil open font license
+cc0-1.0 | 0.97 | to the extent possible under law (?:\S+ ){1,12}has waived all copyright and related or neighboring rights | extent possible under law
+cc-by-nc-sa-4.0 | 0.97 | licensed under (?:a |the )?creative commons attribution non ?commercial share ?alike 4 0 international(?: public)? license | creative commons attribution
+cc-by-nc-nd-4.0 | 0.97 | licensed under (?:a |the )?creative commons attribution non ?commercial no ?derivatives 4 0 international(?: public)? license | creative commons attribution
+cc-by-nc-4.0 | 0.97 | licensed under (?:a |the )?creative commons attribution non ?commercial 4 0 international(?: public)? license | creative commons attribution
+cc-by-sa-4.0 | 0.97 | licensed under (?:a |the )?creative commons attribution share ?alike 4 0 international(?: public)? license | creative commons attribution
+cc-by-nd-4.0 | 0.97 | licensed under (?:a |the )?creative commons attribution no ?derivatives 4 0 international(?: public)? license | creative commons attribution
+cc-by-4.0 | 0.97 | licensed under (?:a |the )?creative commons attribution 4 0 international(?: public)? license | creative commons attribution
+cc-by-sa-3.0 | 0.97 | licensed under (?:a |the )?creative commons attribution share ?alike 3 0 unported license | creative commons attribution
+cc-by-3.0 | 0.97 | licensed under (?:a |the )?creative commons attribution 3 0 unported license | creative commons attribution
+apache-1.1 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?apache (?:software )?license (?:version |v)?1 1 | 1 1
+apache-2.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?apache (?:license )?(?:version |v)?2(?: 0)?(?: license)? | apache
+apache | 0.8 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?apache(?: software)? license | apache
+mit | 0.95 | (?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:mit|expat) licen[cs]e | under
+mit | 0.85 | (?:licensed|released|distributed|available) under (?:the )?mit(?: terms)? | under
+isc | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?isc licen[cs]e | isc
+bsd-2-clause | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd)(?: licen[cs]e)? | bsd
+bsd-3-clause | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd)(?: licen[cs]e)? | bsd
+bsd-4-clause | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)? | bsd
+bsd | 0.85 | (?:licensed|released|distributed|available) under (?:the |a )?(?:terms of (?:the )?)?bsd(?: style)? licen[cs]e | bsd
+agpl-3.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?3(?: 0)? | 3
+agpl | 0.85 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?(?:affero general public license|agpl) | under
+lgpl-2.1 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?2 1 | 2 1
+lgpl-3.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?3(?: 0)? | 3
+lgpl | 0.85 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?(?:lesser general public license|library general public license|lgpl) | under
+gpl-2.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?(?: or later| only)? | 2
+gpl-3.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?(?: or later| only)? | 3
+gpl | 0.85 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?(?:general public license|gpl) | under
+mpl-2.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)? | 2
+mpl-1.1 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:mozilla public license|mpl)(?: version| v)? ?1 1 | 1 1
+mpl | 0.8 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:mozilla public license|mpl) | under
+epl-2.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)? | 2
+epl-1.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)? | 1
+cddl-1.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:common development and distribution license|cddl)(?: version| v)?(?: ?1(?: 0)?)? | under
+artistic-2.0 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?artistic license(?: version)? 2 0 | artistic
+artistic-1.0 | 0.9 | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:perl )?artistic license(?: version 1 0)? | artistic
+perl | 0.95 | under the same terms as perl(?: \d)? itself | terms as perl
+ruby | 0.9 | under the same terms as ruby | terms as ruby
+bsl-1.0 | 0.95 | (?:licensed|released|available) under (?:the )?boost(?: software)? license(?: version)?(?: 1 0)? | boost
+eupl-1.2 | 0.95 | (?:licensed|released|distributed|available) under (?:the )?(?:european union public licen[cs]e|eupl)(?: version| v)?(?: ?1 2)? | under
+unlicense | 0.95 | (?:licensed|released|distributed|available) under the unlicense | unlicense
+wtfpl | 0.95 | (?:licensed|released|distributed|available) under (?:the )?wtfpl | wtfpl
+zlib | 0.95 | (?:licensed|released|distributed|available) under (?:the )?zlib(?: libpng)? licen[cs]e | zlib
+cc0-1.0 | 0.95 | (?:licensed|released|distributed|available|dedicated) under (?:the )?(?:creative commons )?(?:cc0|zero)(?: 1 0)?(?: universal)? | under
+cc-by-nc-sa-4.0 | 0.95 | (?:licensed|released|distributed|available) under (?:a |the )?cc by nc sa(?: 4 0)? | cc by nc sa
+cc-by-nc-nd-4.0 | 0.95 | (?:licensed|released|distributed|available) under (?:a |the )?cc by nc nd(?: 4 0)? | cc by nc nd
+cc-by-nc-4.0 | 0.95 | (?:licensed|released|distributed|available) under (?:a |the )?cc by nc(?: 4 0)? | cc by nc
+cc-by-sa-4.0 | 0.95 | (?:licensed|released|distributed|available) under (?:a |the )?cc by sa 4 0 | cc by sa
+cc-by-sa-3.0 | 0.95 | (?:licensed|released|distributed|available) under (?:a |the )?cc by sa 3 0 | cc by sa
+cc-by-sa | 0.85 | (?:licensed|released|distributed|available) under (?:a |the )?cc by sa | cc by sa
+cc-by-nd-4.0 | 0.95 | (?:licensed|released|distributed|available) under (?:a |the )?cc by nd(?: 4 0)? | cc by nd
+cc-by-4.0 | 0.95 | (?:licensed|released|distributed|available) under (?:a |the )?cc by 4 0 | cc by
+cc-by-3.0 | 0.95 | (?:licensed|released|distributed|available) under (?:a |the )?cc by 3 0 | cc by
+cc-by-2.0 | 0.95 | (?:licensed|released|distributed|available) under (?:a |the )?cc by 2 [05] | cc by
+cc-by | 0.85 | (?:licensed|released|distributed|available) under (?:a |the )?(?:cc by|creative commons attribution)(?: license)? | under
+creative-commons | 0.7 | (?:licensed|released|distributed|available) under (?:a |the )?creative commons(?: license)? | creative commons
+odbl-1.0 | 0.95 | (?:licensed|released|available) under (?:the )?(?:open database license|odbl)(?: version| v)?(?: ?1 0)? | under
+postgresql | 0.95 | (?:licensed|released|distributed|available) under the postgresql license | postgresql license
+php-3.01 | 0.95 | (?:subject to|under) (?:the )?(?:version )?3 01 of the php license | php license
+psf-2.0 | 0.9 | (?:licensed|released|distributed|available) under the (?:python software foundation|psf) license | license
+ms-pl | 0.95 | (?:licensed|released|available) under (?:the )?(?:microsoft public license|ms pl) | under
+ms-rl | 0.95 | (?:licensed|released|available) under (?:the )?(?:microsoft reciprocal license|ms rl) | under
+agpl-3.0 | 0.85 | gnu affero general public license(?: version| v)? ?3(?: 0)? | affero
+agpl | 0.75 | gnu affero general public license | affero
+agpl-3.0 | 0.8 | agpl ?v?3(?: 0)? | agpl
+lgpl-2.1 | 0.85 | (?:gnu )?lesser general public license(?: version| v)? ?2 1 | lesser general
+lgpl-3.0 | 0.85 | (?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)? | lesser general
+lgpl-2.0 | 0.8 | (?:gnu )?library general public license(?: version| v)?(?: ?2(?: 0)?)? | library general
+lgpl | 0.75 | (?:gnu )?lesser general public license | lesser general
+lgpl-2.1 | 0.8 | (?:gnu )?lgpl ?v?2 1 | lgpl
+lgpl-3.0 | 0.8 | (?:gnu )?lgpl ?v?3(?: 0)? | lgpl
+gpl-2.0 | 0.85 | (?:gnu )?general public license(?: version| v)? ?2(?: 0)? | general public license
+gpl-3.0 | 0.85 | (?:gnu )?general public license(?: version| v)? ?3(?: 0)? | general public license
+gpl-2.0 | 0.8 | (?:gnu )?gpl ?v?2(?: 0)? | gpl
+gpl-3.0 | 0.8 | (?:gnu )?gpl ?v?3(?: 0)? | gpl
+gpl | 0.6 | (?:gnu )?general public license | general public license
+gpl | 0.6 | gnu gpl | gnu gpl
+fdl-1.3 | 0.85 | (?:gnu free documentation license|gfdl)(?: version| v)? ?1 3 | 1 3
+fdl-1.2 | 0.85 | (?:gnu free documentation license|gfdl)(?: version| v)? ?1 2 | 1 2
+fdl | 0.75 | gnu free documentation license | free documentation
+apache-2.0 | 0.85 | apache license (?:version |v)?2(?: 0)? | apache license
+apache-1.1 | 0.85 | apache (?:software )?license (?:version |v)?1 1 | apache
+apache-1.0 | 0.85 | apache (?:software )?license (?:version |v)?1 0 | apache
+apache | 0.7 | apache (?:software )?license | apache
+mpl-2.0 | 0.85 | mozilla public license(?: version| v)? ?2(?: 0)? | mozilla public license
+mpl-1.1 | 0.85 | mozilla public license(?: version| v)? ?1 1 | mozilla public license
+mpl | 0.7 | mozilla public license | mozilla public license
+epl-2.0 | 0.85 | eclipse public license(?: version| v)? ?2(?: 0)? | eclipse public license
+epl-1.0 | 0.85 | eclipse public license(?: version| v)? ?1(?: 0)? | eclipse public license
+epl | 0.7 | eclipse public license | eclipse public license
+cpl-1.0 | 0.8 | common public license(?: version)?(?: 1 0)? | common public license
+cddl-1.1 | 0.85 | common development and distribution license(?: version)? 1 1 | common development and distribution
+cddl-1.0 | 0.8 | common development and distribution license(?: version)?(?: 1 0)? | common development and distribution
+artistic-2.0 | 0.85 | artistic license(?: version)? 2 0 | artistic license
+artistic-1.0 | 0.75 | (?:perl )?artistic license(?: version)? 1 0 | artistic license
+bsl-1.0 | 0.8 | boost software license(?: version)?(?: 1 0)? | boost software license
+ecl-2.0 | 0.8 | educational community license(?: version)?(?: 2 0)? | educational community
+eupl-1.2 | 0.85 | (?:european union public licen[cs]e|eupl)(?: version| v)? ?1 2 | 1 2
+eupl-1.1 | 0.85 | (?:european union public licen[cs]e|eupl)(?: version| v)? ?1 1 | 1 1
+eupl | 0.7 | european union public licen[cs]e | european union public
+osl-3.0 | 0.8 | open software license(?: version| v)?(?: ?3 0)? | open software license
+afl-3.0 | 0.8 | academic free license(?: version| v)?(?: ?3 0)? | academic free license
+ofl-1.1 | 0.8 | sil open font license(?: version)?(?: 1 1)? | sil open font
+odbl-1.0 | 0.8 | open database license(?: version| v)?(?: ?1 0)? | open database license
+odc-by-1.0 | 0.8 | open data commons attribution license(?: version| v)?(?: ?1 0)? | open data commons
+pddl-1.0 | 0.8 | public domain dedication and license(?: version| v)?(?: ?1 0)? | public domain dedication
+lppl-1.3c | 0.8 | latex project public license(?: version)?(?: 1 3c?)? | latex project
+ncsa | 0.8 | university of illinois(?: ncsa)? open source license | university of illinois
+ms-pl | 0.8 | microsoft public license | microsoft public license
+ms-rl | 0.8 | microsoft reciprocal license | microsoft reciprocal
+qpl-1.0 | 0.8 | q public license(?: version)?(?: 1 0)? | q public license
+zpl-2.1 | 0.8 | zope public license(?: version)?(?: 2 1)? | zope public license
+upl-1.0 | 0.8 | universal permissive license(?: version| v)?(?: ?1 0)? | universal permissive
+vim | 0.7 | vim license | vim license
+w3c | 0.8 | w3c software (?:notice and |and document )license | w3c software
+blueoak-1.0.0 | 0.85 | blue oak model license(?: version)?(?: 1 0 0)? | blue oak
+elastic-2.0 | 0.85 | elastic license(?: version)? 2 0 | elastic license
+sspl-1.0 | 0.85 | server side public license(?: version| v)?(?: ?1)? | server side public
+busl-1.1 | 0.85 | business source license(?: version)?(?: 1 1)? | business source license
+wtfpl | 0.85 | do what the f\S{2,3} you want to public license | you want to public license
+cc-by-nc-sa-4.0 | 0.85 | creative commons attribution non ?commercial share ?alike 4 0(?: international)? | creative commons attribution
+cc-by-nc-nd-4.0 | 0.85 | creative commons attribution non ?commercial no ?derivatives 4 0(?: international)? | creative commons attribution
+cc-by-nc-4.0 | 0.85 | creative commons attribution non ?commercial 4 0(?: international)? | creative commons attribution
+cc-by-sa-4.0 | 0.85 | creative commons attribution share ?alike 4 0(?: international)? | creative commons attribution
+cc-by-nd-4.0 | 0.85 | creative commons attribution no ?derivatives 4 0(?: international)? | creative commons attribution
+cc-by-4.0 | 0.85 | creative commons attribution 4 0(?: international)? | creative commons attribution
+cc-by-sa-3.0 | 0.85 | creative commons attribution share ?alike 3 0(?: unported)? | creative commons attribution
+cc-by-3.0 | 0.85 | creative commons attribution 3 0(?: unported)? | creative commons attribution
+cc0-1.0 | 0.8 | (?:creative commons zero|cc0)(?: 1 0)?(?: universal)?(?: public domain dedication)? | c
+cc-by-nc-sa-4.0 | 0.75 | cc by nc sa 4 0 | cc by nc sa
+cc-by-nc-sa | 0.65 | cc by nc sa | cc by nc sa
+cc-by-nc-nd-4.0 | 0.75 | cc by nc nd 4 0 | cc by nc nd
+cc-by-nc-nd | 0.65 | cc by nc nd | cc by nc nd
+cc-by-nc-4.0 | 0.75 | cc by nc 4 0 | cc by nc
+cc-by-nc | 0.65 | cc by nc | cc by nc
+cc-by-sa-4.0 | 0.75 | cc by sa 4 0 | cc by sa
+cc-by-sa-3.0 | 0.75 | cc by sa 3 0 | cc by sa
+cc-by-sa | 0.65 | cc by sa | cc by sa
+cc-by-nd-4.0 | 0.75 | cc by nd 4 0 | cc by nd
+cc-by-nd | 0.65 | cc by nd | cc by nd
+cc-by-4.0 | 0.75 | cc by 4 0 | cc by
+cc-by-3.0 | 0.75 | cc by 3 0 | cc by
+cc-by | 0.6 | cc by | cc by
+mit | 0.75 | (?:the )?(?:mit|expat) licen[cs]ed? | licen
+mit | 0.75 | licen[cs]e (?:is )?(?:the )?mit | mit
+isc | 0.75 | (?:the )?isc licen[cs]ed? | isc licen
+bsd-2-clause | 0.8 | (?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd) licen[cs]e | bsd
+bsd-3-clause | 0.8 | (?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|revised bsd|modified bsd) licen[cs]e | bsd
+bsd-4-clause | 0.8 | (?:bsd 4 clause|4 clause bsd|original bsd) licen[cs]e | bsd
+bsd | 0.65 | bsd(?: style)? licen[cs]ed? | bsd
+unlicense | 0.7 | the unlicense | unlicense
+zlib | 0.7 | zlib(?: libpng)? licen[cs]e | zlib
+postgresql | 0.75 | postgresql licen[cs]e | postgresql licen
+php-3.01 | 0.75 | php license(?: version)? 3 01 | php license
+psf-2.0 | 0.75 | python software foundation license(?: version 2)? | python software foundation
+public-domain | 0.8 | (?:released|placed|dedicated) (?:in|into|to) the public domain | the public domain
+public-domain | 0.6 | (?:is|are) in the public domain | in the public domain
+proprietary | 0.8 | (?:this software is )?(?:proprietary and confidential|confidential and proprietary) | confidential
+proprietary | 0.7 | unauthori[sz]ed (?:copying|reproduction|use|distribution) of (?:this|the) (?:\S+ ){1,6}is (?:strictly )?prohibited | unauthori
+proprietary | 0.7 | may not be (?:copied|reproduced|distributed)(?: or \S+){0,3} without (?:the )?(?:prior |express )?(?:prior )?written (?:permission|consent) | may not be
+reserved | 0.6 | all rights reserved | all rights reserved
+warranty-disclaimer | 0.5 | without warrant(?:y|ies) (?:of any kind|or conditions of any kind) ?(?:either )?express or implied | without warrant
+warranty-disclaimer | 0.5 | (?:the|this) software is provided as is(?: without warranty of any kind)? | is provided as is
+copyright | 0.5 | copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)* | copyright
+copyright | 0.4 | copyright (?:c )?by \S+ | copyright
+"""
 #: A text without any of these words has no detection by any rule.
-GATE = ("licen", "spdx", "under", "subject to", "governed by", "covered by", "permission", "redistribution", "free software", "public domain", "unencumbered", "copyright", "all rights reserved", "without warranty", "proprietary", "cc by")
-
+GATE = ("licen", "spdx", "gpl", "permission", "redistribution", "free software", "public", "copyright", "all rights reserved", "without warrant", "confidential", "cc by", "cc0", "creative commons", "prohibited", "may not be", "is provided as is", "advertising", "endorse or promote", "in compliance with", "agreed to in writing", "developed by the apache", "mit no attribution", "unencumbered", "verbatim or modified", "held liable", "plainly marked", "eupl", "gfdl", "the mpl", "under")
 
-def rules() -> list[tuple[int, str, float, str, str, tuple[str, ...]]]:
-    """(priority, label, confidence, word regex, keyword, name words), in priority order: every mention of every name, then texts.
 
-    A text can match only if it holds the keyword and one of the name words.
-    """
-    built = [(label, weight, mention.format(n=name), keyword, of_name) for weight, mention, keyword in MENTIONS for label, name, of_name in NAMES]
-    built += [(label, weight, pattern, keyword, ("",)) for label, weight, pattern, keyword in TEXTS]
-    built += [(label, 0.6, f"(?:{name})", "cc by", ("",)) for label, name, _ in NAMES if "cc by" in name]
-    return [(k, label, weight, f" (?:{pattern})(?= )", keyword, of_name) for k, (label, weight, pattern, keyword, of_name) in enumerate(built)]
+def rules() -> list[tuple[int, str, float, str, str]]:
+    """(priority, label, confidence, word regex, keyword), best first; a text can match only if it holds the keyword."""
+    lines = [[x.strip() for x in line.split(" | ")] for line in SIGNATURES.strip().splitlines()]
+    return [(k, label, float(weight), f" (?:{pattern})(?= )", keyword) for k, (label, weight, pattern, keyword) in enumerate(lines)]
 
 
 _WORDS_IN = "(char_length({0}) - char_length(replace({0}, ' ', '')))"
 
 
+def _resolve(hits: DataFrame) -> DataFrame:
+    """One round of overlap resolution over (row, start, end, rank)."""
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"), "rank")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    outer = F.coalesce(F.col("end") > F.max("end").over(before), F.lit(True))
+    island = F.sum(F.col("outer").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = hits.withColumn("outer", outer).withColumn("island", island)
+    within = Window.partitionBy("row", "island")
+    of_outer = F.min(F.when(F.col("outer"), F.col("rank"))).over(within)
+    inside = F.min(F.when(~F.col("outer"), F.col("rank"))).over(within)
+    ranked = placed.withColumn("of_outer", of_outer).withColumn("inside", inside)
+    stays = F.when(F.col("outer"), F.coalesce(F.col("inside") >= F.col("rank"), F.lit(True))).otherwise(F.col("rank") < F.col("of_outer"))
+    return ranked.where(stays).select("row", "start", "end", "rank")
+
+
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_words, base (array of label, start), found (array of label, start, end, confidence).
 
-    Positions are word numbers from 0, ends exclusive. Null text reads as empty: no words, no detections. Repeated rows
-    give repeated rows; other columns are ignored; texts are read whole.
+    Positions are word numbers from 0, ends exclusive. Null text reads as empty: no words, no detections. Of detections
+    of one interval the best priority stays. Repeated rows give repeated rows; other columns are ignored; an empty table
+    gives no rows; texts are read whole.
     """
-    listed = ", ".join(f"named_struct('rank', {k}, 'label', '{label}', 'weight', cast({weight} AS double), 'regex', {_quoted(regex)}, 'keyword', {_quoted(keyword)}, 'names', array({', '.join(map(_quoted, of_name))}))" for k, label, weight, regex, keyword, of_name in rules())
-    based = ", ".join(f"named_struct('label', '{label}', 'phrase', ' {phrase} ', 'regex', ' {phrase}(?= )')" for label, phrase in BASE)
+    signatures = rules()
     gated = " OR ".join(f"contains(norm, {_quoted(w)})" for w in GATE)
     in_words = {"measure": _WORDS_IN}
-    empty = "cast(array() AS array<struct<start:int,till:int,rank:int,label:string,weight:double>>)"
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lowered = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.trim(F.regexp_replace(lowered, SEPARATORS, " "))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.concat(F.lit(" "), words, F.lit(" ")).alias("norm"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.concat(F.lit(" "), words, F.lit(" ")).alias("norm"))
     rows = rows.selectExpr("doc_id", "norm", "if(norm = '  ', 0L, cast(size(split(norm, ' ')) - 2 AS long)) AS n_words", f"({gated}) AS gated")
-    base = f"""flatten(transform(filter(array({based}), r -> contains(norm, r.phrase)),
-        r -> transform({match_spans("norm", "r.regex", **in_words)}, s -> named_struct('label', r.label, 'start', s.start))))"""
-    hits = f"""array_sort(flatten(transform(filter(array({listed}), r -> contains(norm, r.keyword) AND exists(r.names, n -> contains(norm, n))),
-        r -> transform({match_spans("norm", "r.regex", **in_words)},
-            s -> named_struct('start', s.start, 'till', -s.end, 'rank', r.rank, 'label', r.label, 'weight', r.weight)))))"""
-    # by start, longest first, then priority: a detection that ends no later than an earlier one lies inside it
-    kept = f"""aggregate({hits}, named_struct('reach', -1, 'kept', {empty}),
-        (a, h) -> if(-h.till <= a.reach, a, named_struct('reach', -h.till, 'kept', concat(a.kept, array(h)))), a -> a.kept)"""
     none = "cast(array() AS array<struct<label:string,start:int>>)"
-    rows = rows.selectExpr("doc_id", "n_words", f"if(gated, {base}, {none}) AS base", f"if(gated, {kept}, {empty}) AS found")
-    return rows.selectExpr("doc_id", "n_words", "base", "transform(found, h -> named_struct('label', h.label, 'start', h.start, 'end', -h.till, 'confidence', h.weight)) AS found")
+    based = [
+        f"if(contains(norm, ' {phrase} '), transform({match_spans('norm', _quoted(f' {phrase}(?= )'), **in_words)}, s -> named_struct('label', '{label}', 'start', s.start)), {none})" for label, phrase in BASE
+    ]
+    # the regexes are literals of the plan; a rule is looked at only where its keyword stands
+    cut = [f"if(contains(norm, {_quoted(keyword)}), named_struct('rank', {k}, 'pieces', split(norm, {_quoted(regex)}, -1), 'hits', regexp_extract_all(norm, {_quoted(regex)}, 0)), NULL)" for k, _, _, regex, keyword in signatures]
+    spans = placed_spans("r.pieces", "r.hits", **in_words)
+    hits = f"""flatten(transform(filter(array({", ".join(cut)}), r -> r IS NOT NULL AND size(r.hits) > 0),
+        r -> transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'rank', r.rank))))"""
+    empty = "cast(array() AS array<struct<start:int,end:int,rank:int>>)"
+    scanned = rows.selectExpr("doc_id", "n_words", f"if(gated, concat({', '.join(based)}), {none}) AS base", f"if(gated, {hits}, {empty}) AS hits")
+    scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()))
+    kept = _resolve(_resolve(scanned.select("row", F.inline("hits"))))
+    labels = F.array(*[F.lit(label) for _, label, *_ in signatures])
+    weights = F.array(*[F.lit(weight) for _, _, weight, *_ in signatures])
+    found = F.struct("start", "end", F.element_at(labels, F.col("rank") + 1).alias("label"), F.element_at(weights, F.col("rank") + 1).alias("confidence"))
+    kept = kept.groupBy("row").agg(F.sort_array(F.collect_list(found)).alias("found"))
+    joined = scanned.drop("hits").join(kept, "row", "left")
+    shown = "transform(found, h -> named_struct('label', h.label, 'start', h.start, 'end', h.end, 'confidence', h.confidence))"
+    return joined.selectExpr("doc_id", "n_words", "base", f"coalesce({shown}, cast(array() AS array<struct<label:string,start:int,end:int,confidence:double>>)) AS found")
 
 
 def license_digest(scanned: DataFrame) -> DataFrame:
