@@ -80,15 +80,23 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([b"", *lowered, b""]), np.uint8)
     is_word, values = _tables()
-    inside = is_word[data]
-    edges = np.diff(inside.view(np.int8))
-    starts, ends = np.flatnonzero(edges == 1) + 1, np.flatnonzero(edges == -1) + 1
-    power, inverse = _power_table(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * power[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts])
+    hashes, places, low = [], [], 0
+    while low < len(data):  # pieces that end between words, so that a very long text needs little at once
+        high = min(low + SLICE_BYTES, len(data))
+        while high < len(data) and is_word[data[high - 1]]:
+            rest = is_word[data[high : high + 4096]]
+            high += len(rest) if rest.all() else int(rest.argmin()) + 1
+        piece = data[low:high]
+        edges = np.diff(np.concatenate([[False], is_word[piece], [False]]).view(np.int8))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        power, inverse = _power_table(len(piece))
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(values[piece] * power[: len(piece)], out=total[1:])
+        hashes.append(mix((total[ends] - total[starts]) * inverse[starts]))
+        places.append(starts + low)
+        low = high
     at = np.cumsum([1, *(len(x) + 1 for x in lowered)])
-    return hashes, np.searchsorted(starts, at)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), at)
 
 
 def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:

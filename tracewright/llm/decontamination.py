@@ -6,7 +6,7 @@ block within radius // 8 finds every fingerprint within `radius` (pigeonhole). C
 Jaccard similarity of the shingle multisets. Windows that hold too few benchmark shingles for the threshold to be
 reachable are skipped beforehand, which loses none. A document shorter than an item is its own single window, compared
 with the items that share a shingle with it. Items of fewer than five words are one shingle of all their words, found by
-equality. Documents are read once and never shuffled.
+equality. Documents are never shuffled; they are read once for every CHUNK_BYTES of benchmark text.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ RADIUS = 20
 BLOCKS = 8
 #: Benchmark text sent to every task at once; a larger benchmark is handled in several passes over the documents.
 CHUNK_BYTES = 16 << 20
+#: Windows of a text, and (window, item) cells, that are looked at together.
+WINDOWS, CELLS = 1 << 14, 1 << 20
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _BITMAP = 20
 
@@ -102,6 +104,16 @@ class BenchmarkIndex:
     def matches(self, features: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, float, int]]:
         """(item id, first word, words, similarity, Hamming distance) of the best window for each matched item."""
         best: dict[int, tuple] = {}
+        longest = max(self.lengths, default=0)
+        for base in range(0, len(features), WINDOWS):
+            own = slice(base, base + WINDOWS + longest)
+            if hit[own].any():
+                self._windows(features[own], hit[own], base, best)
+        best |= self._longer_items(features, hit, int(hit.sum()))
+        return [(self.item_ids[k], *v) for k, v in sorted(best.items())]
+
+    def _windows(self, features: np.ndarray, hit: np.ndarray, base: int, best: dict[int, tuple]) -> None:
+        """Updates `best` from the windows that start at the first WINDOWS places of a piece of a text, which begins at `base`."""
         seen = np.r_[0, np.cumsum(hit)]
         total, sums = int(seen[-1]), None
         for n, (numbers, prints, tables) in self.lengths.items():
@@ -112,20 +124,20 @@ class BenchmarkIndex:
             least = math.ceil(2 * m * self.similarity / (1 + self.similarity) - 1e-9)
             if total < least:
                 continue
-            starts = np.flatnonzero(seen[m:] - seen[:-m] >= least)
+            starts = np.flatnonzero((seen[m:] - seen[:-m])[:WINDOWS] >= least)
             if not len(starts):
                 continue
             if sums is None:
                 sums = _bit_sums(features)
             fingerprints = simhash(sums[starts + m] - sums[starts])
-            for window, item in self._candidates(fingerprints, prints, tables):
-                start, number = int(starts[window]), int(numbers[item])
-                distance = int(_POPCOUNT[(fingerprints[window : window + 1] ^ prints[item : item + 1]).view(np.uint8)].sum())
-                similarity = self._similarity(features[start : start + m], number)
-                if similarity >= self.similarity - 1e-12 and (number not in best or similarity > best[number][2]):
-                    best[number] = (start, n, similarity, distance)
-        best |= self._longer_items(features, hit, total)
-        return [(self.item_ids[k], *v) for k, v in sorted(best.items())]
+            step = max(1, CELLS // len(numbers))
+            for k in range(0, len(starts), step):
+                for window, item in self._candidates(fingerprints[k : k + step], prints, tables):
+                    start, number = int(starts[k + window]), int(numbers[item])
+                    similarity = self._similarity(features[start : start + m], number)
+                    if similarity >= self.similarity - 1e-12 and (number not in best or similarity > best[number][2]):
+                        distance = int(_POPCOUNT[(fingerprints[k + window : k + window + 1] ^ prints[item : item + 1]).view(np.uint8)].sum())
+                        best[number] = (base + start, n, similarity, distance)
 
     def _similarity(self, window: np.ndarray, number: int) -> float:
         """Weighted Jaccard similarity of the shingles of a window and an item."""
@@ -219,8 +231,9 @@ def contaminated(
     """One row per document and benchmark item found in it: doc_id, item_id, start_word, n_words, similarity, hamming.
 
     The row tells the most similar window, the first of equals; a document shorter than the item is one window. Items of
-    fewer than five words match where their words stand in order. Null texts and texts without words match nothing. Repeated documents give repeated rows, repeated items count once. Extra columns
-    are ignored; an empty table on either side gives no rows.
+    fewer than five words match where their words stand in order. Null texts and texts without words match nothing.
+    Repeated documents give repeated rows, repeated items count once. Extra columns are ignored; an empty table on either
+    side gives no rows. A very long text is looked at piece by piece.
     """
     rows = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, start_word long, n_words long, similarity double, hamming int"
