@@ -44,6 +44,79 @@ def test_language_id_edges(spark, sf_dir, make_docs):
     assert language_id.identify(make_docs([]), model).count() == 0
 
 
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs = sorted(r.lang for r in docs.where("lang IS NOT NULL").select("lang").distinct().collect())
+    for left_out in langs:
+        model = language_id.train(docs.where(f"lang <> '{left_out}'"))
+        rows = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+        texts = {r.doc_id: r for r in docs.collect()}
+        long = [d for d, r in texts.items() if r.lang == left_out and sum(c.isalpha() for c in r.text or "") > 400]
+        assert len(long) > 3 and np.mean([rows[d].rejected for d in long]) > 0.9, left_out
+        clean = [d for d, r in texts.items() if r.lang is not None and r.lang != left_out]
+        assert np.mean([rows[d].rejected for d in clean]) < 0.02, left_out
+    model = language_id.train(docs)
+    draw = np.random.default_rng(5)
+    junk = ["".join(draw.choice(list("bcdfghjklmnpqrstvwxz "), 600)) for _ in range(50)]
+    assert model.predict(junk)[3].all()
+    for size in (10, 30, 120):
+        short = [r.text[:size] for r in docs.where("lang IS NOT NULL").collect() if r.text and len(r.text) >= size]
+        assert np.mean(model.predict(short)[3]) < 0.03, size
+
+
+@pytest.mark.parametrize("doc_id", range(40))
+def test_every_labelled_language_is_learned(doc_id, spark, make_docs):
+    if crc(doc_id, 4) == 2 or doc_id > 20 and doc_id % 4:
+        pytest.skip("held out, or one of many")
+    rows = [(100 + k, f"the cat and the dog number {k} ran home", "en") for k in range(12)] + [(doc_id, "der hund und die katze laufen nach haus", "de")]
+    model = language_id.train(make_docs(rows))
+    assert model.languages == ["de", "en"] and model.predict(["der hund und die katze"])[0] == ["de"]
+
+
+def test_cross_entropies_follow_the_definition():
+    corpora = {"a": ["the cat sat on the mat. The dog ran!", "a cat and a dog, 7 mats"], "b": ["le chat est sur le tapis", "un chien et un chat"]}
+
+    def folded(text):
+        return "   " + re.sub(" +", " ", " " * 3 + "".join(ch.lower() if ch.isalpha() else " " for ch in text)).lstrip(" ") if text.strip() else "   "
+
+    def grams(text, n=4):
+        t = folded(text)
+        return [t[i - n + 1 : i + 1] for i in range(3, len(t))]
+
+    def slow(texts):
+        level = {4: Counter(g for t in texts for g in grams(t))}
+        for n in (3, 2, 1):
+            level[n] = Counter(g[1:] for g in level[n + 1])
+
+        def p(g):
+            n = len(g)
+            if n == 0:
+                return 1 / 65536
+            c = level[n]
+            ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+            mates = {k: v for k, v in c.items() if k[:-1] == g[:-1]}
+            total = sum(mates.values())
+            if not total:
+                return p(g[1:])
+            return (max(c[g] - discount, 0) if c[g] else 0) / total + discount * len(mates) / total * p(g[1:])
+
+        return p
+
+    counts = {}
+    for name, texts in corpora.items():
+        keys, n = np.unique(language_id.packed_ngrams(texts)[0], return_counts=True)
+        counts[name] = (keys, n)
+    model = language_id.LanguageModel(["a", "b"], counts)
+    tests = ["the chat ran", "un dog 99 est la", "xyz"]
+    entropies, _ = model.cross_entropies(tests)
+    for k, text in enumerate(tests):
+        for j, name in enumerate("ab"):
+            own = grams(text)
+            want = -sum(math.log(slow(corpora[name])(g)) for g in own) / len(own)
+            assert abs(entropies[k, j] - want) < 1e-4, (text, name)
+
+
 def test_kneser_ney_sums_to_one():
     texts = ["the cat sat on the mat and the dog ran", "a cat and a dog"]
     keys, n = np.unique(language_id.packed_ngrams(texts)[0], return_counts=True)

@@ -3,8 +3,9 @@
 Characters are folded (lower case, everything but letters one blank) to 16-bit codes; an n-gram of up to four is one
 packed 64-bit key. Counts come from Spark over a bounded sample of labelled documents; the tables of all languages are
 merged into one sorted key array per order with a column of log-probabilities per language. A text gets the language of
-the lowest cross-entropy per character; thresholds on it and a temperature are calibrated on documents left out of the
-counts.
+the lowest cross-entropy per character. On documents left out of the counts a temperature and the rejection are
+calibrated: by length class, the highest cross-entropies of texts in learned languages are set against the lowest that
+texts have under the models of the other languages, as if their own were not learned.
 """
 
 from __future__ import annotations
@@ -25,8 +26,13 @@ ORDER = 4
 MAX_TRAIN_DOCS = 3000
 #: One in so many of these is for calibration.
 CALIBRATION_SHARE = 5
-#: A text is rejected when its cross-entropy exceeds this quantile of its language's calibration texts by SLACK nats.
-REJECT_QUANTILE, SLACK = 0.999, 0.75
+#: Length classes of the rejection, by letters.
+LENGTHS = (0, 16, 64, 256, 1024)
+#: A text is rejected when its cross-entropy exceeds its language's mean by more than the middle between these quantiles of
+#: its length class: of texts in their own language, and of texts whose language is left out (of these the lower quantile).
+#: The bound is never less than the first plus SLACK nats for texts of up to 16 letters, and less by the root of the length
+#: beyond; this alone holds where no other language is known.
+REJECT_QUANTILE, OTHER_QUANTILE, SLACK = 0.999, 0.01, 0.75
 UNKNOWN = "und"
 _BLANK = 32
 _UNIFORM = 1.0 / 65536
@@ -137,7 +143,7 @@ class LanguageModel:
             logs = np.log(np.stack([o.probability(order, keys) for o in ones], axis=1)).astype(np.float32)
             back = np.log(np.stack([o.backoff(order, contexts) for o in ones], axis=1)).astype(np.float32)
             self.orders[order] = (keys, logs, contexts, back)
-        self.thresholds = np.full(len(languages), np.inf)
+        self.means, self.excess = np.zeros(len(languages)), np.full(len(LENGTHS), np.inf)
         self.sharpness = 1.0
 
     def _logs(self, order: int, keys: np.ndarray) -> np.ndarray:
@@ -178,15 +184,38 @@ class LanguageModel:
         rows = np.arange(len(texts))
         none = letters == 0
         score = np.where(none, 0.0, self.probabilities(entropies, letters)[rows, best])
-        rejected = none | (entropies[rows, best] > self.thresholds[best])
+        rejected = none | (entropies[rows, best] - self.means[best] > self.excess[self._length_class(letters)])
         return [UNKNOWN if n else self.languages[b] for n, b in zip(none, best, strict=True)], score, entropies[rows, best], rejected
 
+    @staticmethod
+    def _length_class(letters: np.ndarray) -> np.ndarray:
+        return np.searchsorted(LENGTHS, letters, "right") - 1
+
     def calibrate(self, entropies: np.ndarray, letters: np.ndarray, truth: np.ndarray) -> None:
-        """Thresholds from the true language's cross-entropies; sharpness by the lowest log-loss on a fixed grid."""
+        """Rejection bounds from calibration texts of known language (an index each); sharpness by the lowest log-loss on a
+        fixed grid. A language without calibration texts has the mean of all; a length class without any is as lenient as
+        the next shorter one, and the shortest rejects nothing."""
+        rows = np.arange(len(truth))
+        own = entropies[rows, truth]
         for k in range(len(self.languages)):
-            own = entropies[truth == k, k]
-            if len(own):
-                self.thresholds[k] = np.quantile(own, REJECT_QUANTILE) + SLACK
+            self.means[k] = own[truth == k].mean() if (truth == k).any() else own.mean()
+        others = entropies.copy()
+        others[rows, truth] = np.inf
+        near = others.argmin(axis=1)
+        inside, outside = own - self.means[truth], others[rows, near] - self.means[near]
+        kinds = self._length_class(letters)
+        for k in range(len(LENGTHS)):
+            mine = kinds == k
+            if not mine.any():
+                self.excess[k] = self.excess[k - 1] if k else np.inf
+                continue
+            high = float(np.quantile(inside[mine], REJECT_QUANTILE))
+            self.excess[k] = high + SLACK * min(1.0, (16 / max(LENGTHS[k], 1)) ** 0.5)
+            if len(self.languages) > 1:
+                low = float(np.quantile(outside[mine], OTHER_QUANTILE))
+                self.excess[k] = max(self.excess[k], (high + low) / 2)
+        # a shorter text is never held to less
+        self.excess = np.maximum.accumulate(self.excess[::-1])[::-1]
         losses = {}
         for sharpness in (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0):
             self.sharpness = sharpness
@@ -203,7 +232,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS, seed: int = 23) -> LanguageModel:
     """A model from the labelled documents that are not held out; see MAX_TRAIN_DOCS for the bound.
 
-    The driver receives n-gram counts of the bounded sample (not of the corpus) and the calibration rows.
+    The driver receives n-gram counts of the bounded sample (not of the corpus) and the calibration rows. A language whose
+    few documents were all drawn for calibration is counted from these, so every labelled language is learned.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
@@ -225,10 +255,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                     keys, n = np.unique(packed_ngrams(texts[names == name].tolist())[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "key", "n"])
 
-    fit = sample.where(~F.col("tune"))
-    table = fit.select("text", "lang").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    names = np.array(table.column("lang").to_pylist(), object)
-    keys, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    def gathered(fit: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        table = fit.select("text", "lang").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+        return np.array(table.column("lang").to_pylist(), object), table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+
+    names, keys, n = gathered(sample.where(~F.col("tune")))
+    missing = sorted(set(languages) - set(names))
+    if missing:
+        more = gathered(sample.where(F.col("tune") & F.col("lang").isin(missing)))
+        names, keys, n = (np.concatenate(x) for x in zip((names, keys, n), more, strict=True))
     counts = {}
     for name in languages:
         own = np.flatnonzero(names == name)
@@ -256,7 +291,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 def _nothing() -> LanguageModel:
     model = LanguageModel.__new__(LanguageModel)
-    model.languages, model.orders, model.thresholds, model.sharpness = [], {}, np.zeros(0), 1.0
+    model.languages, model.orders, model.means, model.excess, model.sharpness = [], {}, np.zeros(0), np.zeros(0), 1.0
     return model
 
 

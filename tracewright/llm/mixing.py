@@ -18,8 +18,9 @@ from ..session import materialize
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Cells of the knapsack table; what is above it is filled length by length beforehand.
 DP_CELLS = 1 << 17
-#: Range buckets of the seeded order within a length, so that one length never lands in one task.
-BUCKETS = 64
+#: Range buckets of the seeded order within a length: at least so many, and so many that a bucket holds about BUCKET_ROWS
+#: rows at most, even if all documents had one length. The result does not depend on their number.
+BUCKETS, BUCKET_ROWS = 64, 1 << 18
 #: No document is used more often than this.
 MAX_REPEATS = 3
 
@@ -137,15 +138,20 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
+    A source's taken words are whole passes over it plus a fitted rest. Of the rest, what exceeds the programme's table
+    (DP_CELLS words) is first taken as the same share of every length, rounded down, and from the longest lengths; the
+    programme then fits the last 65,536 to 131,072 words as near below the target as the remaining documents allow. What
+    it leaves is the least gap that subsets of these documents can leave: 0 wherever short documents remain.
+
     Null or blank text has size 0 and is never taken; a null source is a source of its own, last in the order. An empty
     table gives no rows. Repeated ids are separate documents. Other columns of `docs` are ignored. Equal sizes are told
     apart by the seeded hash of the id, so reruns agree.
     """
     seeded = F.xxhash64(F.col("doc_id"), F.lit(seed))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size")).withColumn("_order", seeded)
-    rows = rows.withColumn("_bucket", F.floor((F.col("_order") / 2.0**63 + 1) * (BUCKETS / 2)).cast("int"))
-    rows = rows.withColumn("_bucket", F.least(F.col("_bucket"), F.lit(BUCKETS - 1)))
     rows = materialize(rows)  # narrow: texts are read and split once
+    buckets = max(BUCKETS, -(-rows.count() // BUCKET_ROWS))
+    rows = rows.withColumn("_bucket", F.least(F.floor((F.col("_order") / 2.0**63 + 1) * (buckets / 2)).cast("int"), F.lit(buckets - 1)))
     cells = rows.groupBy("source", "size", "_bucket").agg(F.count("*").alias("n"))
     per_length = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = per_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
