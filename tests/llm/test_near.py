@@ -116,6 +116,19 @@ def test_a_chain_of_loosely_similar_texts_grows_linearly(make_docs, monkeypatch)
     assert counts[1] < 2.6 * counts[0] and counts[1] < 120 * 8
 
 
+def test_a_dense_group_is_compared_in_blocks(make_docs, monkeypatch):
+    """Texts that are all loosely similar: their pairs would grow with the square, so they stay one unit."""
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 10)
+    parts, counts = nd._parts, []
+    monkeypatch.setattr(nd, "_parts", lambda texts, pairs: counts.append((texts.count(), pairs.count())) or parts(texts, pairs))
+    draw = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(w if draw.random() > 0.045 else f"x{draw.integers(0, 10**6)}" for w in base)) for k in range(90)]
+    assert got(nd.join_near_texts(make_docs(rows))) == brute(rows)
+    texts, pairs = counts[0]
+    assert texts > 60 and pairs <= nd.NODE_UNITS * texts
+
+
 def test_prefix_length_and_recall():
     d = nd.prefix_length(0.8, 0.999)
     assert 1 - (1 - 0.8**d) ** nd.TREES >= 0.999 and (d == nd.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** nd.TREES < 0.999)

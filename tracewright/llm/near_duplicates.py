@@ -31,7 +31,8 @@ RECALL = 0.999
 TREES, DEPTH = 48, 12
 #: A block of a candidate group holds about so many shingles and texts at most.
 BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 700
-#: Up to so many units under one trie node are compared pair by pair; more of them become one unit.
+#: Up to so many units under one trie node are paired, more of them become one unit; so do paired units that both have more
+#: partners than this. Pairs are therefore at most so many a unit, and a dense group is compared in blocks.
 NODE_UNITS = 16
 #: Shingles of up to so many texts of a block are counted pair by pair, others by matrix products.
 FEW = 24
@@ -215,7 +216,7 @@ def _units(leaves: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
     """((node, unit) of every text, (x, y) pairs of units to compare) from leaves (key, needed, path) of large groups.
 
     Texts of a full path are a unit. Level by level the prefix is shortened for the texts that need it: units under one
-    node are paired, or joined where they are many.
+    node are paired, or joined where they are many (see NODE_UNITS).
     """
     least = materialize(leaves.groupBy("path").agg(F.min("key").alias("least")))
     units = materialize(components(leaves.join(least, "path").select(F.col("key").alias("a"), F.col("least").alias("b"))).withColumnRenamed("root", "unit"))
@@ -229,9 +230,11 @@ def _units(leaves: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
         other = few.select("prefix", F.col("unit").alias("y"))
         new = few.select("prefix", F.col("unit").alias("x")).join(other, "prefix").where("x < y").select("x", "y")
         pairs = materialize(pairs.union(new).distinct())
-        many = under.where(F.col("units") > NODE_UNITS)
+        partners = pairs.select(F.col("x").alias("unit")).union(pairs.select("y")).groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > NODE_UNITS)
+        dense = pairs.join(partners.select(F.col("unit").alias("x")), "x").join(partners.select(F.col("unit").alias("y")), "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        many = materialize(under.where(F.col("units") > NODE_UNITS).select(F.col("unit").alias("a"), F.col("least").alias("b")).union(dense))
         if not many.isEmpty():
-            joined = materialize(components(many.select(F.col("unit").alias("a"), F.col("least").alias("b"))))
+            joined = materialize(components(many))
             renamed = lambda column: joined.select(F.col("node").alias(column), F.col("root").alias(f"new_{column}"))
             units = materialize(units.join(renamed("unit"), "unit", "left").select("node", F.coalesce("new_unit", "unit").alias("unit")))
             pairs = pairs.join(renamed("x"), "x", "left").join(renamed("y"), "y", "left").select(F.coalesce("new_x", "x").alias("x"), F.coalesce("new_y", "y").alias("y"))
