@@ -5,9 +5,9 @@ prefix trie. Prefixes are matched by grouping and sorting the keys in Spark, the
 by level for the texts that have not reached the target recall: the chance that a pair at the least similarity such a
 text can have with a linked one shares a prefix in some tree. The shortest prefix that any text needs prunes the tries
 first: a key that shares it with no other text shares no longer one. Groups linked by it that fit a block are compared
-whole. Larger ones are taken apart: texts that share a full path are a unit, and each shortening adds pairs of units (or
-joins many units under one node), so that a long chain of loosely similar texts is not compared all with all. Only
-per-text results leave a block: link counts and a spanning forest, never the pairs.
+whole. Larger ones are taken apart: texts that share a full path are a unit, and each shortening adds pairs of small
+units, or joins crowded ones to a group that is compared in blocks, so that a long chain of loosely similar texts is not
+compared all with all. Only per-text results leave a block: link counts and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ RECALL = 0.999
 TREES, DEPTH = 48, 12
 #: A block of a candidate group holds about so many shingles and texts at most.
 BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 700
-#: Up to so many units under one trie node are paired, more of them become one unit; so do paired units that both have more
-#: partners than this. Pairs are therefore at most so many a unit, and a dense group is compared in blocks.
+#: Up to so many units under one trie node are paired, more of them become one group; so do paired units of which one holds
+#: more texts than this, or both have more partners. The pairs that are left join small units, at most so many for one of
+#: the two, and a dense group is compared in blocks.
 NODE_UNITS = 16
 #: Shingles of up to so many texts of a block are counted pair by pair, others by matrix products.
 FEW = 24
@@ -213,14 +214,16 @@ def _key(text: str) -> Column:
 
 
 def _units(leaves: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
-    """((node, unit) of every text, (x, y) pairs of units to compare) from leaves (key, needed, path) of large groups.
+    """((node, unit, group) of every text, (x, y) pairs of units to compare) from leaves (key, n, needed, path) of large groups.
 
     Texts of a full path are a unit. Level by level the prefix is shortened for the texts that need it: units under one
-    node are paired, or joined where they are many (see NODE_UNITS).
+    node are paired, or joined to a group where they are many or crowded (see NODE_UNITS). Pairs within a group are left
+    out: all of its texts are compared.
     """
     least = materialize(leaves.groupBy("path").agg(F.min("key").alias("least")))
     units = materialize(components(leaves.join(least, "path").select(F.col("key").alias("a"), F.col("least").alias("b"))).withColumnRenamed("root", "unit"))
     pairs = units.select(F.col("unit").alias("x"), F.col("unit").alias("y")).limit(0)
+    joins = units.select(F.col("unit").alias("a"), F.col("unit").alias("b")).distinct()
     for depth in range(DEPTH - 1, base - 1, -1):
         prefix = F.substring("path", 1, path_bytes(depth, base)).alias("prefix")
         under = leaves.where(F.col("needed") <= depth).select(F.col("key").alias("node"), prefix).join(units, "node").select("prefix", "unit").distinct()
@@ -230,36 +233,34 @@ def _units(leaves: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
         other = few.select("prefix", F.col("unit").alias("y"))
         new = few.select("prefix", F.col("unit").alias("x")).join(other, "prefix").where("x < y").select("x", "y")
         pairs = materialize(pairs.union(new).distinct())
-        partners = pairs.select(F.col("x").alias("unit")).union(pairs.select("y")).groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > NODE_UNITS)
-        dense = pairs.join(partners.select(F.col("unit").alias("x")), "x").join(partners.select(F.col("unit").alias("y")), "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        many = materialize(under.where(F.col("units") > NODE_UNITS).select(F.col("unit").alias("a"), F.col("least").alias("b")).union(dense))
-        if not many.isEmpty():
-            joined = materialize(components(many))
-            renamed = lambda column: joined.select(F.col("node").alias(column), F.col("root").alias(f"new_{column}"))
-            units = materialize(units.join(renamed("unit"), "unit", "left").select("node", F.coalesce("new_unit", "unit").alias("unit")))
-            pairs = pairs.join(renamed("x"), "x", "left").join(renamed("y"), "y", "left").select(F.coalesce("new_x", "x").alias("x"), F.coalesce("new_y", "y").alias("y"))
-            pairs = materialize(pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    return units, pairs
+        joins = joins.union(under.where(F.col("units") > NODE_UNITS).select(F.col("unit").alias("a"), F.col("least").alias("b")))
+    texts = leaves.select(F.col("key").alias("node"), "n").distinct().join(units, "node")
+    sizes = texts.groupBy("unit").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    partners = pairs.select(F.col("x").alias("unit")).union(pairs.select("y")).groupBy("unit").agg(F.count("*").alias("partners"))
+    large = (F.col("texts") > NODE_UNITS) | (F.col("shingles") > BLOCK_SHINGLES / 2)
+    crowded = materialize(sizes.join(partners, "unit").select("unit", large.alias("large"), (F.col("partners") > NODE_UNITS).alias("many")).where("large OR many"))
+    of = lambda column: crowded.select(F.col("unit").alias(column), F.col("large").alias(f"{column}_large"), F.col("many").alias(f"{column}_many"))
+    dense = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where("coalesce(x_large, false) OR coalesce(y_large, false) OR (x_many AND y_many)")
+    groups = materialize(components(joins.union(dense.select(F.col("x").alias("a"), F.col("y").alias("b")))).withColumnRenamed("root", "group"))
+    named = lambda column: groups.select(F.col("node").alias(column), F.col("group").alias(f"{column}_group"))
+    apart = materialize(pairs.join(named("x"), "x").join(named("y"), "y").where("x_group <> y_group").select("x", "y"))
+    return units.join(groups.withColumnRenamed("node", "unit"), "unit").select("node", "unit", "group"), apart
 
 
 def _parts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, copies, first, part, block from texts (key, n, copies, first, unit): every block of a unit, every two blocks of
-    it, and every block of a unit with every block of a paired one. Parts named x.. count links between blocks only."""
+    """key, copies, first, part, block from texts (key, n, copies, first, unit, group): every block of a group, every two
+    blocks of it, and every pair of units. Parts named x.. count links between blocks only."""
     blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks")
-    sizes = materialize(texts.groupBy("unit").agg(blocks))
-    placed = texts.join(sizes, "unit").withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    sizes = materialize(texts.groupBy("group").agg(blocks))
+    placed = texts.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     named = lambda kind, *of: F.concat(F.lit(kind), F.hex(F.xxhash64(*of, F.lit(0))), F.hex(F.xxhash64(F.lit(1), *of)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    part = F.when(low == high, named("o", "unit", low)).otherwise(named("x", "unit", low, high))
+    part = F.when(low == high, named("o", "group", low)).otherwise(named("x", "group", low, high))
     inside = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "copies", "first", part.alias("part"), F.col("own").alias("block"))
-    counted = lambda column: sizes.select(F.col("unit").alias(column), F.col("blocks").alias(f"{column}_blocks"))
-    both = materialize(pairs.join(counted("x"), "x").join(counted("y"), "y"))
-    sides = []
-    for number, (mine, theirs) in enumerate((("x", "y"), ("y", "x"))):
-        side = placed.withColumnRenamed("unit", mine).join(both, mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"{theirs}_blocks") - 1)))
-        at = ("own", "other") if mine == "x" else ("other", "own")
-        sides.append(side.select("key", "copies", "first", named("xc", "x", "y", *at).alias("part"), F.lit(number).alias("block")))
-    return inside.unionByName(sides[0]).unionByName(sides[1])
+    for number, side in enumerate(("x", "y")):
+        across = texts.join(pairs.withColumn("unit", F.col(side)), "unit").select("key", "copies", "first", named("xc", "x", "y").alias("part"), F.lit(number).alias("block"))
+        inside = inside.unionByName(across)
+    return inside
 
 
 def link_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -284,15 +285,15 @@ def link_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     shared = materialize(leaves.groupBy("leaf").agg(F.min("key").alias("least"), F.max("key").alias("most")).where(F.col("least") != F.col("most")).select("leaf", "least"))
     edges = leaves.join(shared, "leaf").select(F.col("key").alias("a"), F.col("least").alias("b"))
     grouped = components(edges).join(signed.select(F.col("key").alias("node"), "n"), "node").join(copies.withColumnRenamed("key", "node"), "node")
-    grouped = materialize(grouped.withColumnRenamed("root", "unit"))
-    sizes = materialize(grouped.groupBy("unit").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts")))
-    large = sizes.where((F.col("shingles") > BLOCK_SHINGLES) | (F.col("texts") > BLOCK_TEXTS)).select("unit")
+    grouped = materialize(grouped.withColumn("unit", F.col("root")).withColumnRenamed("root", "group"))
+    sizes = materialize(grouped.groupBy("group").agg(F.sum("n").alias("shingles"), F.count("*").alias("texts")))
+    large = sizes.where((F.col("shingles") > BLOCK_SHINGLES) | (F.col("texts") > BLOCK_TEXTS)).select("group")
     pairs = grouped.select(F.col("unit").alias("x"), F.col("unit").alias("y")).limit(0)
     if not large.isEmpty():
-        apart = materialize(grouped.join(large, "unit").drop("unit"))
-        paths = apart.select(F.col("node").alias("key")).join(signed, "key").select("key", "needed", path)
+        apart = materialize(grouped.join(large, "group").drop("unit", "group"))
+        paths = apart.select(F.col("node").alias("key")).join(signed, "key").select("key", "n", "needed", path)
         units, pairs = _units(materialize(paths), base)
-        grouped = materialize(grouped.join(large, "unit", "left_anti").unionByName(apart.join(units, "node")))
+        grouped = materialize(grouped.join(large, "group", "left_anti").unionByName(apart.join(units, "node")))
     members = _parts(grouped.withColumnRenamed("node", "key"), pairs)
     members = members.select(F.col("key").alias("_key"), F.col("first.doc_id").alias("_first"), "part", "block", "copies")
     # of the copies of a text only the first carries it on
