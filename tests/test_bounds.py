@@ -7,7 +7,7 @@ from tracewright.plans import releases, traversals
 
 def test_registered_bounds_are_the_operators(spark, sf_dir):
     assert not releases.t3_decisions(spark, sf_dir).where("truncated").count()
-    assert releases.DEPTH == 16 and traversals.AUTHORITY_DEPTH == 8 and traversals.FAN_OUT == Limits().fan_out
+    assert releases.DEPTH == 16 and traversals.WHOLE == Limits()
     services = traversals.t1_reached_services(spark, sf_dir)
     assert services.where("depth > 2").count()
 

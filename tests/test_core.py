@@ -11,7 +11,7 @@ from tracewright.functions import names as N
 from tracewright.functions.identity import edge_logical_id, numeric_id, uri_component, valid_logical_id
 from tracewright.functions.semver import parse_range, satisfies
 from tracewright.operators import containment, evidence, firewall, merge, temporal, typosquat
-from tracewright.operators.traverse import Limits, authority_reach, blast_radius, capped_services
+from tracewright.operators.traverse import Limits, authority_reach, blast_radius, bounded_traversal
 from tracewright.sources import lockfile, registry_docs
 from tracewright.streaming import jobs
 
@@ -50,49 +50,70 @@ def test_as_of_keeps_unknown_validity(spark):
 
 
 def simulate(edges, start, limits):
-    """Queue-based traversal with all caps: list of (service, edge ids)."""
+    """Queue-based traversal with all bounds: (list of (service, edge ids), list of (code, node, path))."""
     by = {}
     for i, s, k, t, *_ in sorted(edges):
         by.setdefault(t, []).append((i, s, k))
-    services = {}
+    services, out, warnings, admitted, stopped = {}, [], [], 0, False
+
+    def warn(code, node, path):
+        nonlocal stopped
+        if (code, node, path) in warnings or stopped:
+            return
+        if len(warnings) >= limits.warnings - 1:
+            warnings.append(("warning-limit-reached", None, ()))
+            stopped = True
+        else:
+            warnings.append((code, node, path))
+
     # roots are taken one after the other: a root's whole traversal comes before the next root's
-    out, admitted, stopped = [], 0, False
     for r in sorted(start):
         if stopped:
             break
-        queue = deque([(r, (r,), (), False)])
         admitted += 1
         if admitted > limits.states:
+            warn("traversal-state-limit-reached", r, (r,))
             break
+        queue = deque([(r, (r,), (), False)])
         while queue and not stopped:
             cur, nodes, path, terminal = queue.popleft()
             if terminal:
                 if cur not in services and len(services) >= limits.ends:
-                    continue
-                services.setdefault(cur, 0)
-                if services[cur] >= limits.paths_per_end:
-                    continue
-                if len(out) >= limits.paths:
+                    warn("service-limit-reached", cur, nodes)
+                elif services.get(cur, 0) >= limits.paths_per_end:
+                    warn("paths-per-service-limit-reached", cur, nodes)
+                elif len(out) >= limits.paths:
+                    warn("path-limit-reached", cur, nodes)
                     stopped = True
-                    break
-                services[cur] += 1
-                out.append((cur, path))
-                continue
-            if len(path) >= limits.depth:
+                else:
+                    services[cur] = services.get(cur, 0) + 1
+                    out.append((cur, path))
                 continue
-            for i, s, k in by.get(cur, [])[: limits.fan_out]:
-                if s in nodes:
-                    continue
-                admitted += 1
-                if admitted > limits.states:
-                    stopped = True
+            hops = by.get(cur, [])
+            if len(hops) > limits.fan_out:
+                warn("dependents-per-node-limit-reached", cur, nodes)
+            deep = False
+            for i, s, k in hops[: limits.fan_out]:
+                if stopped:
                     break
-                queue.append((s, nodes + (s,), path + (i,), k == "Service"))
-    return out
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_caps_equal_a_queue(spark, seed):
+                if s in nodes:
+                    warn("cycle-skipped", s, nodes + (s,))
+                elif len(path) >= limits.depth:
+                    if not deep:
+                        warn("depth-limit-reached", cur, nodes + (s,))
+                    deep = True
+                else:
+                    admitted += 1
+                    if admitted > limits.states:
+                        warn("traversal-state-limit-reached", s, nodes + (s,))
+                        stopped = True
+                    else:
+                        queue.append((s, nodes + (s,), path + (i,), k == "Service"))
+    return out, warnings
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_bounds_equal_a_queue(spark, seed):
     r = random.Random(seed)
     rows, seen = [], set()
     for i in range(60):
@@ -100,11 +121,34 @@ def test_caps_equal_a_queue(spark, seed):
         if s != t and (s, t) not in seen:
             seen.add((s, t))
             rows.append((1000 + i, s, "Service" if s < 8 else "PackageVersion", t, [1], 0, None))
-    limits = Limits(depth=3, fan_out=r.choice([3, 20]), states=r.choice([15, 60, 5000]), ends=r.choice([3, 50]), paths_per_end=r.choice([1, 3]), paths=r.choice([4, 200]))
+    limits = Limits(depth=3, fan_out=r.choice([3, 20]), states=r.choice([15, 60, 5000]), ends=r.choice([3, 50]), paths_per_end=r.choice([1, 3]), paths=r.choice([4, 200]), warnings=r.choice([5, 30, 10**6]))
     start = [8, 9, 12]
-    states = blast_radius(roots(spark, *start), edges_of(spark, rows), limits)
-    got = sorted((x.cur, tuple(x.edge_ids)) for x in capped_services(states, limits).collect())
-    assert got == sorted(simulate(rows, start, limits))
+    found = bounded_traversal(roots(spark, *start), edges_of(spark, rows), limits)
+    services, warnings = simulate(rows, start, limits)
+    assert [(x.cur, tuple(x.edge_ids)) for x in found.services.orderBy("ord").collect()] == services
+    assert [(x.code, x.node_id, tuple(x.path)) for x in found.warnings.orderBy("place").collect()] == warnings
+
+
+def test_odd_roots_and_hops_are_warned_of(spark):
+    rows = edges_of(spark, BLAST).withColumn("kind", F.when(F.col("id") == 104, "USED_BY").otherwise("DEPENDS_ON")).withColumn("derived", F.col("id") == 105)
+    nodes = spark.createDataFrame([(1, "Service"), (2, "Service"), (10, "PackageVersion"), (11, "PackageVersion")], "id long, kind string")
+    found = bounded_traversal(roots(spark, 1, 10, 77), rows, Limits(), nodes=nodes)
+    assert sorted((x.cur, x.depth) for x in found.services.collect()) == [(1, 1), (2, 1)]
+    said = [(x.code, x.node_id) for x in found.warnings.orderBy("place").collect()]
+    assert said == [("unsupported-root-node", 1), ("invalid-canonical-hop", 1), ("invalid-canonical-hop", 10), ("missing-node", 77)] and not found.truncated()
+
+
+def test_confidence_bands(spark):
+    """Levels of paths by what backs their edges: exact at and below the threshold, contextual, mixed, missing."""
+    known = spark.createDataFrame([(1, "package-lock", 0.85), (2, "package-lock", 0.5), (3, "npm-registry", 0.9), (4, "other", 0.9), (5, "odd", 0.9)], "id long, source_type string, confidence double")
+    rows = [("strong", [[1]]), ("probable", [[1], [2]]), ("contextual", [[3], [4]]), ("possible", [[1], [3]]), ("possible2", [[5]]), ("unknown", [[1], [99]]), ("unknown2", [[1, 99]]), ("strong2", [[1, 2, 3]])]
+    flat = [(0, k, name, k * 100 + j, ids) for k, (name, edges) in enumerate(rows) for j, ids in enumerate(edges)]
+    on_paths = spark.createDataFrame(flat, "root_id long, service_id long, path_key string, edge_id long, evidence_ids array<long>")
+    stages = evidence.path_stages(evidence.edge_support(on_paths, known))
+    got = {r.path_key: (r.band, r.stage) for r in evidence.strongest_paths(stages).collect()}
+    assert {k: v[0] for k, v in got.items()} == {name: name.rstrip("2") for name, _ in rows}
+    assert {k for k, v in got.items() if v[1] == "resolved"} == {"strong", "probable", "strong2"}
+    assert {r.band for r in evidence.strongest_paths(stages, complete=False).collect()} == {"unknown"}
 
 
 def test_authority_fixture(spark):
@@ -133,8 +177,13 @@ def test_containment_fixture(spark):
     plan = spark.createDataFrame([("isolate-service", 1, "Service"), ("remove-publishing-access", 17, "CAN_PUBLISH"), ("isolate-service", 10, "PackageVersion")], "action string, target_id long, target_kind string")
     rel = spark.createDataFrame([(17, "CAN_PUBLISH", 6, "Credential", 2, "Package", [7]), (18, "CONTROLS", 1, "Maintainer", 6, "Credential", [7])], "id long, kind string, source_id long, source_kind string, target_id long, target_kind string, evidence_ids array<long>")
     seeds = spark.createDataFrame([(1, "Maintainer", [7])], "seed_id long, seed_kind string, seed_evidence array<long>")
-    got = {r.measure: (r.before, r.after, r.removed) for r in containment.simulate(roots(spark, 10), edges_of(spark, BLAST), seeds, rel, plan, Limits(), 8).collect()}
-    assert got["services"] == (2, 1, 1) and got["targets"] == (2, 1, 1)
+    got = {r.measure: (r.before, r.after, r.removed) for r in containment.simulate(roots(spark, 10), edges_of(spark, BLAST), seeds, rel, plan).collect()}
+    assert got["services"] == (2, 1, 1) and got["targets"] == (2, 1, 1) and got["service-paths"] == (3, 1, 2)
+    # a run that was cut proves nothing
+    cut = containment.simulate(roots(spark, 10), edges_of(spark, BLAST), seeds, rel, plan, Limits(depth=1)).collect()
+    assert {(r.removed, r.status) for r in cut} == {(0, "inconclusive")}
+    gone = containment.simulate_reach(roots(spark, 10), edges_of(spark, BLAST), plan).collect()
+    assert [(r.root_id, r.service_id) for r in gone] == [(10, 1)]
     flags = [(r.action, r.target_id, r.valid) for r in containment.plan_effects(plan).collect()]
     assert sorted(flags) == [("isolate-service", 1, True), ("isolate-service", 10, False), ("remove-publishing-access", 17, True)]
     status = spark.range(1).select(*containment.conclusive(F.lit(True), F.lit(3)), *containment.conclusive(F.lit(False), F.lit(3)), *containment.conclusive(F.lit(False), F.lit(0))).first()
@@ -336,6 +385,29 @@ def test_semver(version, text, want):
     assert (parse_range("no range") is None) and parse_range("1.x || ^2") is not None
 
 
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    """A second run over the same folder merges new files into the table of the first; nothing lives in the driver alone."""
+    def put(name, rows):
+        spark.createDataFrame(rows, "service_id long, content string, valid_from long").coalesce(1).write.parquet(str(tmp_path / "in" / f"{name}"))
+
+    def read():
+        return spark.readStream.schema("service_id long, content string, valid_from long").parquet(str(tmp_path / "in" / "*"))
+
+    base, other = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    put("one", [(1, "a", 10), (2, "x", 5), (1, "b", 20)])
+    jobs.latest_by_key(spark, read(), "service_id", "valid_from", base)
+    jobs.supersede_stream(spark, read(), other)
+    put("two", [(1, "c", 30), (2, "old", 1), (3, "n", 7)])
+    newest = jobs.latest_by_key(spark, read(), "service_id", "valid_from", base)
+    assert {tuple(r) for r in newest.collect()} == {(1, "c", 30), (2, "x", 5), (3, "n", 7)}
+    history, late = jobs.supersede_stream(spark, read(), other)
+    got = sorted((r.service_id, r.content, r.valid_from, r.valid_until) for r in history.collect())
+    assert got == [(1, "a", 10, 20), (1, "b", 20, 30), (1, "c", 30, None), (2, "x", 5, None), (3, "n", 7, None)]
+    assert [(r.service_id, r.content) for r in late.collect()] == [(2, "old")]
+    # no new file: the table stays as it is
+    assert jobs.latest_by_key(spark, read(), "service_id", "valid_from", base).count() == 3
+
+
 def test_job_stream(spark, tmp_path):
     rows = [(1, "signup", 0), (1, "click", 60), (1, "purchase", 120), (1, "error", 180), (2, "signup", 0), (2, "error", 30), (3, "click", 10), (4, "signup", 100_000)]
     spark.createDataFrame(rows, "job_id long, event_type string, s long").selectExpr("job_id", "event_type", "timestamp_seconds(1700000000 + s) AS ts").write.parquet(str(tmp_path / "e"))

@@ -5,10 +5,17 @@ import pytest
 from tests.oracle import compare
 from tracewright.plans import registry
 
+#: Queries whose result is empty where everything is in order; q9_broken_invariants shows the same checks at work.
+SOUND = {"q9_invariants"}
+
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, sf_dir, name):
-    if name in registry.ORACLES:
-        assert compare(spark, sf_dir, name, registry.QUERIES[name], registry.ORACLES[name]) in (None, "EMPTY")
-    else:
-        assert registry.QUERIES[name](spark, sf_dir).columns
+    query = registry.QUERIES[name]
+    if name not in registry.ORACLES:
+        assert query(spark, sf_dir).collect()
+        return
+    said = compare(spark, sf_dir, name, query, registry.ORACLES[name])
+    if said == "EMPTY" and name not in SOUND:  # nothing to compare in so few rows
+        said = compare(spark, sf_dir.replace("sf0.001", "sf0.01"), name, query, registry.ORACLES[name])
+    assert said is None or (said == "EMPTY" and name in SOUND)

@@ -9,6 +9,7 @@ from ..functions.identity import half_up
 
 #: Source types that prove an exact resolution, and the least confidence that counts as high.
 EXACT_SOURCES = ("package-lock", "cyclonedx", "spdx", "synthetic-fixture")
+CONTEXTUAL_SOURCES = ("npm-registry", "package-manifest", "security-advisory", "other")
 HIGH_CONFIDENCE = 0.8
 #: The exposure ladder's stages from the weakest on, and what the last proven one says.
 LADDER = ("declared", "resolved", "built", "deployed", "network", "executed", "incident")
@@ -22,27 +23,35 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def keyed(paths: DataFrame) -> DataFrame:
-    """Service paths with service_id and the key [root, service, edges...]."""
+    """Service paths with service_id and the key [root, service, edges...], from states or a traversal's services."""
     ids = F.concat(F.array("root_id", "cur"), F.col("edge_ids"))
     return paths.where("terminal").select("root_id", F.col("cur").alias("service_id"), "depth", "edge_ids", F.concat(F.lit("["), F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("]")).alias("path_key"))
 
 
 def edge_support(on_paths: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per path edge: does any evidence resolve, the best confidence, and the best among exact sources."""
+    """Per path edge: the best confidence of resolved evidence, the best among exact sources, the number of ids that do not
+    resolve, and whether all resolved sources are contextual."""
     cited = on_paths.select("root_id", "service_id", "path_key", "edge_id", F.explode_outer("evidence_ids").alias("evidence_id"))
     known = evidence.select(F.col("id").alias("evidence_id"), "source_type", "confidence")
-    exact = F.col("source_type").isin(*EXACT_SOURCES)
+    exact, contextual = F.col("source_type").isin(*EXACT_SOURCES), F.col("source_type").isin(*CONTEXTUAL_SOURCES)
     return cited.join(known, "evidence_id", "left").groupBy("root_id", "service_id", "path_key", "edge_id").agg(
-        F.max("confidence").alias("best"), F.max(F.when(exact, F.col("confidence"))).alias("best_exact")
+        F.max("confidence").alias("best"),
+        F.max(F.when(exact, F.col("confidence"))).alias("best_exact"),
+        F.count_if(F.col("evidence_id").isNotNull() & F.col("confidence").isNull()).alias("missing"),
+        F.coalesce(F.every(contextual), F.lit(True)).alias("contextual"),
     )
 
 
 def path_stages(support: DataFrame, threshold: float = HIGH_CONFIDENCE) -> DataFrame:
-    """Per path: verified = every edge has resolved evidence; high = every edge has some of at least `threshold`."""
+    """Per path: verified = every edge has resolved evidence; high = every edge has some of at least `threshold`; exact = every
+    edge has an exact source, with the least of their best confidences; complete = every cited id resolves."""
     return support.groupBy("root_id", "service_id", "path_key").agg(
         F.every(F.col("best").isNotNull()).alias("verified"),
         F.every(F.coalesce(F.col("best") >= threshold, F.lit(False))).alias("high"),
+        F.every(F.col("best_exact").isNotNull()).alias("exact"),
         F.min(F.coalesce("best_exact", F.lit(0.0))).alias("exact_confidence"),
+        (F.sum("missing") == 0).alias("complete"),
+        F.every("contextual").alias("contextual"),
     )
 
 
@@ -90,22 +99,33 @@ def ladder(groups: dict[str, Column]) -> tuple[Column, Column, Column]:
     return reached, F.element_at(names, reached + 1), F.element_at(F.array(*map(F.lit, CONCLUSIONS)), reached + 1)
 
 
-def confidence_band(confidence: Column, resolved: Column) -> Column:
-    """Fixed bands: strong, probable, contextual, possible, unknown."""
+#: The confidence levels from the weakest on.
+BANDS = ("unknown", "contextual", "possible", "probable", "strong")
+
+
+def confidence_band(complete: Column, threshold: float = HIGH_CONFIDENCE) -> Column:
+    """Level of a path: exact proof of every edge is strong from the threshold on, else probable; verified edges without it
+    are contextual where every source is, else possible; what is incomplete or unverified is unknown."""
+    proven = F.col("verified") & F.col("exact")
     return (
-        F.when(resolved & (confidence >= 0.9), "strong").when(resolved & (confidence >= HIGH_CONFIDENCE), "probable").when(resolved & (confidence > 0), "contextual").when(confidence > 0, "possible").otherwise("unknown")
+        F.when(~complete, "unknown")
+        .when(proven & (F.col("exact_confidence") >= threshold), "strong")
+        .when(proven, "probable")
+        .when(F.col("verified") & F.col("contextual"), "contextual")
+        .when(F.col("verified"), "possible")
+        .otherwise("unknown")
     )
 
 
-def strongest_paths(stages: DataFrame) -> DataFrame:
-    """Per service the strongest path (stage, then exact confidence, then key) and the band of its confidence."""
-    resolved = F.col("exact_confidence") > 0
-    ranked = stages.withColumn("stage", F.when(resolved, "resolved").otherwise("candidate")).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("service_id").orderBy((F.col("stage") == "resolved").desc(), F.col("exact_confidence").desc(), "path_key"))
-    )
-    counts = stages.groupBy("service_id").agg(F.count("*").alias("path_count"), F.count_if(resolved).alias("resolved_paths"))
-    best = ranked.where("_n = 1").select("service_id", "stage", "path_key", F.col("exact_confidence").alias("confidence"), confidence_band(F.col("exact_confidence"), resolved).alias("band"))
-    return best.join(counts, "service_id")
+def strongest_paths(stages: DataFrame, complete: bool = True) -> DataFrame:
+    """Per service the strongest path (stage, level, key). Nothing is conclusive where the analysis is not `complete`."""
+    whole = F.col("complete") & F.lit(complete)
+    levels = F.array(*map(F.lit, BANDS))
+    judged = stages.withColumn("band", confidence_band(whole)).withColumn("stage", F.when(whole & F.col("verified") & F.col("exact"), "resolved").otherwise("candidate"))
+    best = Window.partitionBy("service_id").orderBy((F.col("stage") == "resolved").desc(), F.array_position(levels, F.col("band")).desc(), "path_key")
+    ranked = judged.withColumn("_n", F.row_number().over(best))
+    counts = judged.groupBy("service_id").agg(F.count("*").alias("path_count"), F.count_if(F.col("stage") == "resolved").alias("resolved_paths"))
+    return ranked.where("_n = 1").select("service_id", "stage", "path_key", F.col("exact_confidence").alias("confidence"), "band").join(counts, "service_id")
 
 
 def selection_summary(on_paths: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import evidence, temporal
-from .traverse import Limits, blast_radius, cut_nodes
+from .traverse import Limits, bounded_traversal
 
 
 @dataclass(frozen=True)
@@ -21,23 +21,21 @@ class LiveAnalysis:
     catalog: DataFrame
     services: DataFrame
     impacts: DataFrame
+    warnings: DataFrame
     truncated: bool
 
 
 def analyse(incident_id: int, start: int, end: int | None, affected: DataFrame, edges: DataFrame, known: DataFrame, limits: Limits, as_of: int | None = None) -> LiveAnalysis:
     """affected: root_id; edges as of `Graph.depends_on`; known: evidence. The traversal and the path edges are written once."""
-    states = blast_radius(affected, edges, limits, as_of)
-    paths = materialize(evidence.keyed(states))
+    found = bounded_traversal(affected, edges, limits, as_of)
+    truncated = found.truncated()
+    paths = materialize(evidence.keyed(found.services))
     on_paths = materialize(evidence.path_edges(paths, edges))
     stages = materialize(evidence.path_stages(evidence.edge_support(on_paths, known)))
     referenced = on_paths.select(F.explode("evidence_ids").alias("evidence_id"))
     validity = temporal.service_validity(temporal.path_validity(on_paths))
     services = validity.withColumn("overlap", temporal.overlap_class(F.col("opens"), F.col("closes"), F.lit(start), F.lit(end).cast("long")))
-    deepest = states.where((F.col("depth") == limits.depth) & ~F.col("terminal")).join(edges.select(F.col("target_id").alias("cur")), "cur", "left_semi")
-    visited = states.select(F.col("cur").alias("node_id")).distinct()
-    cut = cut_nodes(edges, "target_id", limits.fan_out).join(visited, "node_id", "left_semi")
-    truncated = not deepest.isEmpty() or not cut.isEmpty()
-    return LiveAnalysis(paths, evidence.funnel(stages), evidence.catalog(referenced, known, incident_id), services, evidence.strongest_paths(stages), truncated)
+    return LiveAnalysis(paths, evidence.funnel(stages), evidence.catalog(referenced, known, incident_id), services, evidence.strongest_paths(stages, not truncated), found.warnings, truncated)
 
 
 def invariants(result: LiveAnalysis) -> DataFrame:

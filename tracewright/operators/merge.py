@@ -50,17 +50,22 @@ def union_all(fragments: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), fragments)
 
 
+def distinct_values(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys and the sorted distinct elements of the array `column` over their rows; repeats are gone before anything is gathered."""
+    each = rows.select(*keys, F.explode(column).alias("_value")).distinct()
+    return each.groupBy(*keys).agg(F.sort_array(F.collect_list("_value")).alias(column))
+
+
 def merge_nodes(rows: DataFrame, optional: list[str], required: list[str] = ("kind", "logical_id")) -> tuple[DataFrame, DataFrame]:
     """(merged, conflicts): one row per id with evidence united, the latest observed_at, synthetic only if all agree,
     optional properties complemented; conflicts are (id, column) with contradicting values, and are never resolved.
 
     Order of the rows does not matter. Evidence nodes must agree on synthetic.
     """
-    united = F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids"))))
+    united = distinct_values(rows, ["id"], "evidence_ids")
     checked = [*required, *optional]
     kinds = [F.size(F.collect_set(F.col(c))).alias(f"_{c}") for c in checked]
     merged = rows.groupBy("id").agg(
-        united.alias("evidence_ids"),
         F.max("observed_at").alias("observed_at"),
         F.every("synthetic").alias("synthetic"),
         (F.some("synthetic") & ~F.every("synthetic") & (F.max("kind") == "Evidence")).alias("_mixed"),
@@ -68,7 +73,20 @@ def merge_nodes(rows: DataFrame, optional: list[str], required: list[str] = ("ki
         *kinds,
     )
     conflicts = merged.select("id", F.explode(F.array_compact(F.array(*[F.when(F.col(f"_{c}") > 1, c) for c in checked], F.when(F.col("_mixed"), F.lit("synthetic"))))).alias("column"))
-    return merged.select("id", *checked, "observed_at", "synthetic", "evidence_ids"), conflicts
+    evidence = F.coalesce("evidence_ids", F.array().cast("array<bigint>")).alias("evidence_ids")
+    return merged.join(united, "id", "left").select("id", *checked, "observed_at", "synthetic", evidence), conflicts
+
+
+def merge_edges(rows: DataFrame, optional: list[str], required: list[str] = ("kind", "logical_id", "source_id", "target_id")) -> tuple[DataFrame, DataFrame]:
+    """(merged, conflicts) of canonical edges, as `merge_nodes`: evidence united, the latest observed_at, optional properties
+    complemented; ends, kind or a property that contradict are conflicts. A derived edge is no canonical one."""
+    canonical = rows.where(~F.col("derived"))
+    checked = [*required, *optional]
+    merged = canonical.groupBy("id").agg(F.max("observed_at").alias("observed_at"), *[F.min(c).alias(c) for c in checked], *[F.count_distinct(c).alias(f"_{c}") for c in checked])
+    conflicts = merged.select("id", F.explode(F.array_compact(F.array(*[F.when(F.col(f"_{c}") > 1, c) for c in checked]))).alias("column"))
+    evidence = F.coalesce("evidence_ids", F.array().cast("array<bigint>")).alias("evidence_ids")
+    united = distinct_values(canonical, ["id"], "evidence_ids")
+    return merged.join(united, "id", "left").select("id", *checked, "observed_at", evidence), conflicts
 
 
 def merge_derived(rows: DataFrame) -> DataFrame:
@@ -121,22 +139,20 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return union_all(out)
 
 
-def collisions(rows: DataFrame) -> DataFrame:
-    """Ids under which more than one logical id goes."""
-    return rows.groupBy("id").agg(F.count_distinct("logical_id").alias("n")).where("n > 1").select("id")
-
-
 def payload_hash(columns: list[str]) -> Column:
-    """SHA-256 of the row as JSON list of sorted [name, value] pairs."""
-    pairs = [F.to_json(F.array(F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in sorted(columns)]
+    """SHA-256 of the row as JSON list of sorted [name, value] pairs; null is not the empty string."""
+    pairs = [F.to_json(F.array(F.lit(c), F.col(c).cast("string"))) for c in sorted(columns)]
     return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *pairs), F.lit("]")), 256)
 
 
-def batch_hash(rows: DataFrame, buckets: int = 256) -> DataFrame:
-    """One order-independent hash of all row hashes: digests of hash ranges, then their digest. No task holds all rows."""
-    ranges = rows.groupBy(F.substring("payload_hash", 1, 2).alias("range"), F.substring("payload_hash", 3, 2).alias("sub")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("payload_hash")), ""), 256).alias("h"))
-    halves = ranges.groupBy("range").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return halves.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "h"))), lambda x: x["h"]), ""), 256).alias("batch_hash"))
+def batch_hash(rows: DataFrame) -> DataFrame:
+    """One order-independent hash of all row hashes: digests of ever wider hash ranges. A range gathers the row hashes that
+    begin with the same eight hex digits, a wider one at most 256 digests, so no task holds many."""
+    digest = lambda inner: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(inner)), lambda x: x["h"]), ""), 256)
+    level = rows.select(F.substring("payload_hash", 1, 8).alias("at"), F.struct(F.col("payload_hash").alias("h")).alias("inner"))
+    for width in (6, 4, 2, 0):
+        level = level.groupBy("at").agg(digest("inner").alias("h")).select(F.substring("at", 1, width).alias("at"), F.struct("at", "h").alias("inner"))
+    return level.agg(digest("inner").alias("batch_hash"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str = "id", clock: str = "observed_at") -> DataFrame:
@@ -159,9 +175,3 @@ def statistics(fragments: DataFrame, merged: DataFrame) -> DataFrame:
     kept = merged.agg(F.count("*").alias("rows_out"), F.sum(F.size("evidence_ids")).cast("long").alias("evidence_references"))
     both = fragments.agg(F.count("*").alias("rows_in")).unionByName(kept, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in ("rows_in", "rows_out", "evidence_references")]).select("rows_in", "rows_out", (F.col("rows_in") - F.col("rows_out")).alias("deduplicated"), "evidence_references")
-
-
-def with_edge_identity(edges: DataFrame) -> DataFrame:
-    """logical_id and id from kind and the ends' logical ids (source_logical, target_logical, discriminator)."""
-    logical = edge_logical_id(F.col("kind"), F.col("source_logical"), F.col("target_logical"), F.col("discriminator"))
-    return edges.withColumn("logical_id", logical).withColumn("id", numeric_id(logical))

@@ -16,14 +16,15 @@ from ..session import materialize
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of a traversal; every cut is reported as truncation."""
+    """Bounds of a traversal; every cut is reported as a warning. Without `states`, all simple paths are enumerated."""
 
     depth: int = 12
     fan_out: int = 1000
-    states: int = 10_000
+    states: int | None = 10_000
     ends: int = 100
     paths_per_end: int = 10
     paths: int = 1000
+    warnings: int = 100
 
 
 def bounded_adjacency(edges: DataFrame, at: str, limit: int, order: tuple[str, ...]) -> DataFrame:
@@ -36,16 +37,21 @@ def cut_nodes(edges: DataFrame, at: str, limit: int) -> DataFrame:
     return edges.groupBy(at).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col(at).alias("node_id"))
 
 
-def simple_paths(starts: DataFrame, edges: DataFrame, depth: int, here: str, there: str, stop: Column | None = None) -> DataFrame:
+def simple_paths(starts: DataFrame, edges: DataFrame, depth: int, here: str, there: str, stop: Column | None = None, states: int | None = None) -> DataFrame:
     """All simple paths from `starts` (start_id, carried columns) along `edges` from column `here` to column `there`.
 
     Returns start columns plus cur, depth, node_ids, edge_ids, last_kind. `stop` is a condition on edge columns whose
-    end is not expanded (terminal). Depth 0 is the start itself.
+    end is not expanded (terminal). Depth 0 is the start itself. With `states`, only the first `states` + 1 paths by
+    (start, depth, edge ids) are kept after every level: later levels only push the others back, and what follows from a
+    path comes after it, so no level grows beyond that.
     """
     keep = [c for c in edges.columns if c in ("kind",)]
     kind = F.col("kind") if keep else F.lit(None).cast("string")
     adjacency = edges.select(F.col(here).alias("_here"), F.col(there).alias("_there"), F.col("id").alias("_edge"), kind.alias("_kind"), (F.lit(False) if stop is None else stop).alias("_stop"))
-    level = materialize(
+    if states is not None:
+        adjacency = materialize(adjacency)
+    order = ("start_id", "depth", "edge_ids")
+    level = (
         starts.withColumn("cur", F.col("start_id"))
         .withColumn("depth", F.lit(0))
         .withColumn("node_ids", F.array("start_id"))
@@ -53,6 +59,7 @@ def simple_paths(starts: DataFrame, edges: DataFrame, depth: int, here: str, the
         .withColumn("last_kind", F.lit(None).cast("string"))
         .withColumn("_stop", F.lit(False))
     )
+    level = materialize(level if states is None else level.orderBy(*order).limit(states + 1))
     carried = starts.columns
     found = [level]
     for d in range(1, depth + 1):
@@ -71,26 +78,39 @@ def simple_paths(starts: DataFrame, edges: DataFrame, depth: int, here: str, the
                 "_stop",
             )
         )
-        level = materialize(step)
-        if level.isEmpty():
-            break
-        found.append(level)
+        if states is None:
+            level = materialize(step)
+            if level.isEmpty():
+                break
+            found.append(level)
+        else:
+            found = [materialize(found[0].unionByName(step).orderBy(*order).limit(states + 1))]
+            level = found[0].where(F.col("depth") == d)
+            if level.isEmpty():
+                break
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.withColumnRenamed("_stop", "terminal")
 
 
+def canonical(edges: DataFrame) -> Column:
+    """An edge that a dependency traversal may follow: DEPENDS_ON and not derived, where the edges tell."""
+    kind = F.col("kind") == "DEPENDS_ON" if "kind" in edges.columns else F.lit(True)
+    return kind & (~F.col("derived") if "derived" in edges.columns else F.lit(True))
+
+
 def blast_radius(roots: DataFrame, edges: DataFrame, limits: Limits = Limits(), as_of: int | None = None) -> DataFrame:
     """States of the reverse dependency traversal from affected versions: root_id, cur, depth, node_ids, edge_ids, terminal.
 
     Services (terminal states) are candidates, not proof. `as_of` keeps edges whose validity is unknown or covers it,
-    before the fan-out bound is applied.
+    before the fan-out bound is applied. The state bound holds for all roots together, one root after the other: the
+    first `limits.states` states and one more, if there is one.
     """
     if as_of is not None:
         edges = edges.where(valid_at(as_of))
-    adjacency = bounded_adjacency(edges, "target_id", limits.fan_out, ("id", "source_id"))
-    states = simple_paths(roots.select(F.col("root_id").alias("start_id")), adjacency, limits.depth, "target_id", "source_id", F.col("source_kind") == "Service")
+    adjacency = bounded_adjacency(edges, "target_id", limits.fan_out, ("id", "source_id")).where(canonical(edges))
+    states = simple_paths(roots.select(F.col("root_id").alias("start_id")), adjacency, limits.depth, "target_id", "source_id", F.col("source_kind") == "Service", limits.states)
     return states.withColumnRenamed("start_id", "root_id")
 
 
@@ -130,29 +150,115 @@ def valid_at(moment: int) -> Column:
     return begun & (F.col("valid_from").isNull() | F.col("valid_until").isNull() | (F.col("valid_until") >= moment))
 
 
-def capped_services(states: DataFrame, limits: Limits) -> DataFrame:
-    """Service paths that a first-in-first-out traversal under all caps returns: root_id, cur, depth, edge_ids, ord.
+@dataclass(frozen=True)
+class Traversal:
+    """services: root_id, cur, depth, node_ids, edge_ids, ord, terminal of the paths that all bounds let through;
+    warnings: code, node_id, path (node ids), place."""
+
+    services: DataFrame
+    warnings: DataFrame
+
+    def truncated(self) -> bool:
+        return not self.warnings.where(~F.col("code").isin(*HARMLESS)).isEmpty()
+
+
+#: Warnings that do not mean that something was cut.
+HARMLESS = ("cycle-skipped", "missing-node", "unsupported-root-node", "invalid-canonical-hop", "missing-seed-evidence", "unsupported-seed-kind")
+#: Codes of the bounds, and those after which the traversal ends.
+SERVICE_CODES = {"fan_out": "dependents-per-node-limit-reached", "ends": "service-limit-reached", "paths_per_end": "paths-per-service-limit-reached", "ending": ["path-limit-reached", "traversal-state-limit-reached"]}
+TARGET_CODES = {"fan_out": "outgoing-edge-limit-reached", "ends": "target-limit-reached", "paths_per_end": "paths-per-target-limit-reached", "ending": ["target-limit-reached", "traversal-state-limit-reached"]}
 
-    Admission order is (root, depth, edge ids). The state cap cuts at the parent of the first state beyond it; a service
-    beyond its cap, or a path beyond its service's cap, is skipped; the total cap stops. Sorting is limited to the first
-    `states` + 1 rows, so the windows below see a bounded table.
+
+def bounded_traversal(roots: DataFrame, edges: DataFrame, limits: Limits = Limits(), as_of: int | None = None, nodes: DataFrame | None = None) -> Traversal:
+    """What a first-in-first-out traversal under all bounds returns and warns of, in closed form over its states.
+
+    Admission order is (root, depth, edge ids). An event is placed by the state that is looked at and the hop of it. The
+    traversal ends at the first event that ends it, or at the warning that exceeds the budget: services looked at later do
+    not count. A service beyond its bound, or a path beyond its service's bound, is skipped. `nodes` (id, kind) tells
+    missing roots and roots of another kind. All tables below hold at most `states` rows, or their hops.
     """
-    order = ("root_id", "depth", "edge_ids")
-    first = states.orderBy(*order).limit(limits.states + 1)
-    ranked = materialize(first.withColumn("ord", F.row_number().over(Window.orderBy(*order))))
-    services = ranked.where("terminal")
-    beyond = ranked.where(F.col("ord") == limits.states + 1).first()
+    if as_of is not None:
+        edges = edges.where(valid_at(as_of))
+    refused = None
+    if nodes is not None:
+        kinds = roots.select("root_id").distinct().join(nodes.select(F.col("id").alias("root_id"), F.col("kind").alias("root_kind")), "root_id", "left")
+        code = F.when(F.col("root_kind").isNull(), "missing-node").when(F.col("root_kind") != "PackageVersion", "unsupported-root-node")
+        kinds = materialize(kinds.withColumn("code", code))
+        refused, roots = kinds.where("code IS NOT NULL"), kinds.where("code IS NULL").select("root_id")
+    ranked = rank_states(blast_radius(roots, edges, limits))
+    wide = cut_nodes(edges, "target_id", limits.fan_out)
+    return _bounded(ranked, _page(edges, "target_id", "source_id", limits.fan_out), wide, limits, F.col("terminal"), SERVICE_CODES, refused)
+
+
+def _page(edges: DataFrame, here: str, there: str, fan_out: int) -> DataFrame:
+    """The hops of every node within the fan-out bound, numbered."""
+    page = bounded_adjacency(edges, here, fan_out, ("id", there))
+    hop = F.row_number().over(Window.partitionBy(here).orderBy("id", there)).alias("hop")
+    follow = canonical(edges) if here == "target_id" else F.lit(True)
+    return page.select(F.col(here).alias("cur"), F.col(there).alias("there"), F.col("id").alias("edge"), hop, follow.alias("canonical"))
+
+
+def _bounded(ranked: DataFrame, page: DataFrame, wide: DataFrame, limits: Limits, end: Column, codes: dict[str, str], refused: DataFrame | None) -> Traversal:
+    """The ends (states with `end`) and warnings of the ranked states; see `bounded_traversal`."""
+    beyond = ranked.where(F.col("ord") > limits.states).first() if limits.states else None
+    served = ranked if beyond is None else ranked.where(F.col("ord") <= limits.states)
+    hops = materialize(served.where(~F.col("terminal")).join(page, "cur").withColumn("seen", F.array_contains("node_ids", F.col("there"))))
+    onward = F.concat("node_ids", F.array("there"))
+    say = lambda df, code, node, path, place, step: df.select(F.lit(code).alias("code"), node.alias("node_id"), path.alias("path"), place.cast("long").alias("ord"), step.cast("long").alias("hop"))
+    whole = (F.col("cur"), F.col("node_ids"), F.col("ord"), F.lit(0))
+    events = [
+        say(hops.where(~F.col("canonical")), "invalid-canonical-hop", F.col("there"), F.col("node_ids"), F.col("ord"), F.col("hop")),
+        say(hops.where("canonical AND seen"), "cycle-skipped", F.col("there"), onward, F.col("ord"), F.col("hop")),
+        say(served.where(~F.col("terminal")).join(wide.withColumnRenamed("node_id", "cur"), "cur", "left_semi"), codes["fan_out"], *whole),
+    ]
+    deep = hops.where((F.col("depth") == limits.depth) & F.col("canonical") & ~F.col("seen")).groupBy("ord", "cur", "node_ids").agg(F.min(F.struct("hop", "there")).alias("first"))
+    events.append(say(deep, "depth-limit-reached", F.col("cur"), F.concat("node_ids", F.array("first.there")), F.col("ord"), F.col("first.hop")))
+    by_end = Window.partitionBy("cur")
+    placed = served.where(end).withColumn("_first", F.min("ord").over(by_end)).withColumn("_path", F.row_number().over(by_end.orderBy("ord")))
+    placed = placed.withColumn("_rank", F.dense_rank().over(Window.orderBy("_first")))
+    fits = (F.col("_rank") <= limits.ends) & (F.col("_path") <= limits.paths_per_end)
+    taken = placed.where(fits).withColumn("_total", F.row_number().over(Window.orderBy("ord")))
+    events.append(say(placed.where(F.col("_rank") > limits.ends), codes["ends"], *whole))
+    events.append(say(placed.where((F.col("_rank") <= limits.ends) & (F.col("_path") > limits.paths_per_end)), codes["paths_per_end"], *whole))
+    events.append(say(taken.where(F.col("_total") == limits.paths + 1), "path-limit-reached", *whole))
     if beyond is not None:
-        # what was admitted before the parent of the first state beyond the cap was dequeued; a root has no parent
-        last = limits.states
-        if beyond.depth > 0:
+        last = ranked.where(F.col("ord") > limits.states)
+        if beyond.depth:
             path = F.array(*map(F.lit, beyond.edge_ids[:-1])).cast("array<bigint>")
-            last = ranked.where((F.col("root_id") == beyond.root_id) & (F.col("depth") == beyond.depth - 1) & (F.col("edge_ids") == path)).first().ord - 1
-        services = services.where(F.col("ord") <= last)
-    by_service = Window.partitionBy("cur")
-    services = services.withColumn("_first", F.min("ord").over(by_service)).withColumn("_path", F.row_number().over(by_service.orderBy("ord")))
-    services = services.withColumn("_rank", F.dense_rank().over(Window.orderBy("_first"))).where((F.col("_rank") <= limits.ends) & (F.col("_path") <= limits.paths_per_end))
-    return services.withColumn("_total", F.row_number().over(Window.orderBy("ord"))).where(F.col("_total") <= limits.paths).select("root_id", "cur", "depth", "edge_ids", "ord")
+            parent = ranked.where((F.col("root_id") == beyond.root_id) & (F.col("depth") == beyond.depth - 1) & (F.col("edge_ids") == path)).first().ord
+            step = page.where((F.col("cur") == beyond.node_ids[-2]) & (F.col("edge") == beyond.edge_ids[-1])).first().hop
+        else:  # a root has no parent: all before it were looked at
+            parent, step = limits.states + 1, 0
+        events.append(say(last, "traversal-state-limit-reached", F.col("cur"), F.col("node_ids"), F.lit(parent), F.lit(step)))
+    if refused is not None:
+        # at its turn: after the states of all smaller roots
+        before = refused.join(ranked.groupBy(F.col("root_id").alias("other")).agg(F.max("ord").alias("last")), F.col("other") < F.col("root_id"), "left").groupBy("root_id", "code").agg(F.coalesce(F.max("last"), F.lit(0)).alias("last"))
+        events.append(before.select("code", F.col("root_id").alias("node_id"), F.array().cast("array<bigint>").alias("path"), F.col("last").cast("long").alias("ord"), (F.col("root_id") + (1 << 40)).alias("hop")))
+    said = events[0]
+    for more in events[1:]:
+        said = said.unionByName(more)
+    once = said.groupBy("code", "node_id", "path").agg(F.min(F.struct("ord", "hop")).alias("at"))
+    numbered = materialize(once.withColumn("place", F.row_number().over(Window.orderBy("at", "code", "node_id"))).select("code", "node_id", "path", "at", F.col("place").cast("long").alias("place")))
+    stop = numbered.where(F.col("code").isin(codes["ending"]) | (F.col("place") >= limits.warnings)).orderBy("place").first()
+    kept = numbered.where(F.col("place") < limits.warnings).select("code", "node_id", "path", "place")
+    if stop is not None:
+        kept = kept.where(F.col("place") <= stop.place)
+        taken = taken.where(F.col("ord") < stop["at"]["ord"])
+        if stop.place >= limits.warnings:
+            budget = ranked.sparkSession.createDataFrame([("warning-limit-reached", None, [], limits.warnings)], "code string, node_id long, path array<bigint>, place long")
+            kept = kept.unionByName(budget)
+    ends = taken.where(F.col("_total") <= limits.paths).drop("_first", "_path", "_rank", "_total").withColumn("ord", F.col("ord").cast("long"))
+    return Traversal(materialize(ends), materialize(kept))
+
+
+def rank_states(states: DataFrame) -> DataFrame:
+    """States with their admission number `ord`; the table is bounded by the state limit."""
+    return materialize(states.withColumn("ord", F.row_number().over(Window.orderBy("root_id", "depth", "edge_ids"))))
+
+
+def capped_services(roots: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
+    """Service paths that a first-in-first-out traversal under all bounds returns: root_id, cur, depth, edge_ids, ord."""
+    return bounded_traversal(roots, edges, limits).services.select("root_id", "cur", "depth", "edge_ids", "ord")
 
 
 #: The authority relations with their end kinds, and what the last one on a path enables.
@@ -171,25 +277,36 @@ AUTHORITY = (
 SEED_KINDS = ("Maintainer", "Organization", "Repository", "CIWorkflow", "Credential")
 
 
-def authority_reach(seeds: DataFrame, edges: DataFrame, depth: int = 8, fan_out: int = 500) -> DataFrame:
-    """Forward simple paths over the authority relations: every node reached is a target.
+#: The bounds of the authority traversal; it has none on all paths together.
+AUTHORITY_LIMITS = Limits(depth=8, fan_out=500, states=5000, ends=500, paths_per_end=10, paths=1 << 40)
+
+
+def authority_traversal(seeds: DataFrame, edges: DataFrame, limits: Limits = AUTHORITY_LIMITS) -> Traversal:
+    """Forward simple paths over the authority relations under all bounds: every node reached is a target.
 
     seeds (seed_id, seed_kind, seed_evidence) are merged by node with evidence united; a seed without evidence or of
-    another kind is left out. Edges count only with allowed end kinds and evidence. Returns seed_id, target_id, depth,
-    capability, edge_ids, node_ids, evidence_ids (seed and edges).
+    another kind is warned of. Edges count only with allowed end kinds and evidence. `services` has seed_id, target_id,
+    depth, capability, edge_ids, node_ids, evidence_ids (seed and edges).
     """
     spark = edges.sparkSession
     rules = spark.createDataFrame(list(AUTHORITY), "kind string, source_kind string, target_kind string, capability string")
-    allowed = edges.join(F.broadcast(rules.drop("capability")), ["kind", "source_kind", "target_kind"]).where(F.size("evidence_ids") > 0)
-    allowed = bounded_adjacency(allowed, "source_id", fan_out, ("id", "target_id"))
-    merged = seeds.groupBy("seed_id", "seed_kind").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seed_evidence")))).alias("seed_evidence"))
-    merged = merged.where(F.col("seed_kind").isin(*SEED_KINDS) & (F.size("seed_evidence") > 0))
-    states = simple_paths(merged.select(F.col("seed_id").alias("start_id"), "seed_evidence"), allowed, depth, "source_id", "target_id").where("depth > 0")
+    allowed = materialize(edges.join(F.broadcast(rules.drop("capability")), ["kind", "source_kind", "target_kind"]).where(F.size("evidence_ids") > 0))
+    cited = seeds.select("seed_id", "seed_kind", F.explode_outer("seed_evidence").alias("e")).distinct()
+    merged = cited.groupBy("seed_id", "seed_kind").agg(F.sort_array(F.collect_list("e")).alias("seed_evidence"))
+    code = F.when(F.size("seed_evidence") == 0, "missing-seed-evidence").when(~F.col("seed_kind").isin(*SEED_KINDS), "unsupported-seed-kind")
+    merged = materialize(merged.withColumn("code", code))
+    good = merged.where("code IS NULL")
+    page = bounded_adjacency(allowed, "source_id", limits.fan_out, ("id", "target_id"))
+    states = simple_paths(good.select(F.col("seed_id").alias("start_id")), page, limits.depth, "source_id", "target_id", None, limits.states)
+    ranked = rank_states(states.withColumnRenamed("start_id", "root_id"))
+    refused = merged.where("code IS NOT NULL").select(F.col("seed_id").alias("root_id"), "code")
+    found = _bounded(ranked, _page(allowed, "source_id", "target_id", limits.fan_out), cut_nodes(allowed, "source_id", limits.fan_out), limits, F.col("depth") > 0, TARGET_CODES, refused)
     enables = F.create_map(*[F.lit(x) for kind, _, _, word in {r[0]: r for r in AUTHORITY}.values() for x in (kind, word)])
-    cited = states.select("start_id", "edge_ids", F.explode("edge_ids").alias("id")).join(allowed.select("id", F.col("evidence_ids").alias("of_edge")), "id")
-    cited = cited.groupBy("start_id", "edge_ids").agg(F.flatten(F.collect_list("of_edge")).alias("of_edges"))
-    return states.join(cited, ["start_id", "edge_ids"]).select(
-        F.col("start_id").alias("seed_id"),
+    proof = found.services.select("ord", F.explode("edge_ids").alias("id")).join(allowed.select("id", F.explode("evidence_ids").alias("e")), "id").select("ord", "e").distinct()
+    proof = proof.groupBy("ord").agg(F.collect_list("e").alias("of_edges"))
+    targets = found.services.withColumnRenamed("root_id", "seed_id").join(good.select("seed_id", "seed_evidence"), "seed_id").join(proof, "ord")
+    shown = targets.select(
+        "seed_id",
         F.col("cur").alias("target_id"),
         "depth",
         enables[F.col("last_kind")].alias("capability"),
@@ -197,3 +314,9 @@ def authority_reach(seeds: DataFrame, edges: DataFrame, depth: int = 8, fan_out:
         "node_ids",
         F.array_sort(F.array_union("seed_evidence", "of_edges")).alias("evidence_ids"),
     )
+    return Traversal(shown, found.warnings)
+
+
+def authority_reach(seeds: DataFrame, edges: DataFrame, limits: Limits = AUTHORITY_LIMITS) -> DataFrame:
+    """The targets of `authority_traversal`."""
+    return authority_traversal(seeds, edges, limits).services

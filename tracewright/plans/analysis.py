@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from ..operators import investigations, live, merge, typosquat
 from ..session import materialize, shared_dir
 from ..sources.derived import Graph, entity
 from ..sources.stores import SnapshotStore, decode_release_nodes
-from .graph_sql import GRAPH, query
+from .graph_sql import CUT, GRAPH, query
 from .packages import NAMES, SIGNATURES, observed, trusted
 from .releases import RELEASES
-from .traversals import AS_OF, CITED, LIMITS, ON_PATHS, STATES, SUPPORT, VALIDITY
+from .traversals import AS_OF, CITED, ON_PATHS, STATES, SUPPORT, VALIDITY, WHOLE, judged
 
 INCIDENT = 3 * 8 + 6
 END = AS_OF + 90 * 86_400_000
@@ -20,19 +22,28 @@ END = AS_OF + 90 * 86_400_000
 
 def _analysis(spark: SparkSession, sf_dir: str) -> live.LiveAnalysis:
     g = Graph(spark, sf_dir)
-    return live.analyse(INCIDENT, AS_OF, END, g.affected_versions(), materialize(g.depends_on()), g.evidence(), LIMITS)
+    return live.analyse(INCIDENT, AS_OF, END, g.affected_versions(), materialize(g.depends_on()), g.evidence(), WHOLE)
 
 
 def q8_live_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Services of the incident with validity class and strongest path."""
     found = _analysis(spark, sf_dir)
-    return found.services.join(found.impacts, "service_id").select("service_id", "overlap", "stage", "band", "resolved_paths")
+    return found.services.select("service_id", "overlap").join(found.impacts, "service_id").select("service_id", "overlap", "stage", "band", "path_key", "path_count", "resolved_paths", F.lit(found.truncated).alias("truncated"))
 
 
 def q9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.invariants(_analysis(spark, sf_dir))
 
 
+def q9_broken_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks over a spoilt answer: impacts that lack or miscount, validity of strangers, a funnel that widens."""
+    found = _analysis(spark, sf_dir)
+    impacts = found.impacts.where("service_id % 3 <> 0").withColumn("path_count", F.when(F.col("service_id") % 5 == 0, F.col("path_count") + 1).otherwise(F.col("path_count")))
+    services = found.services.unionByName(found.services.withColumn("service_id", F.col("service_id") + 1))
+    funnel = found.funnel.withColumn("path_count", F.when(F.col("stage") == "3-high-confidence", F.col("path_count") + 10**6).otherwise(F.col("path_count")))
+    return live.invariants(replace(found, impacts=impacts, services=services, funnel=funnel))
+
+
 def p12_evidence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.ledger(_analysis(spark, sf_dir).catalog)
 
@@ -111,7 +122,7 @@ def s11_evidence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (q8_live_analysis, q9_invariants, p12_evidence_ledger, p14_service_dependents, w5_budget, f22_finding_token, s20_release_rows, k7_snapshot_store, k2_edge_upsert, a15_derived_merge, q7_promotion, s13_affected_page, s11_evidence_lookup)
+    for f in (q8_live_analysis, q9_invariants, q9_broken_invariants, p12_evidence_ledger, p14_service_dependents, w5_budget, f22_finding_token, s20_release_rows, k7_snapshot_store, k2_edge_upsert, a15_derived_merge, q7_promotion, s13_affected_page, s11_evidence_lookup)
 }
 _CLASS = f"CASE WHEN opens IS NULL THEN 'unknown' WHEN greatest(opens, {AS_OF}) <= least(coalesce(closes, 9223372036854775807), {END}) THEN 'during' ELSE 'outside' END"
 ORACLES = {
@@ -121,11 +132,19 @@ ORACLES = {
         ON_PATHS,
         VALIDITY,
         SUPPORT,
-        "counts AS (SELECT service_id, count(*) FILTER (exact > 0) AS resolved_paths, max(exact) AS exact FROM stages GROUP BY 1)",
-        select=f"""SELECT service_id, {_CLASS} AS overlap, CASE WHEN exact > 0 THEN 'resolved' ELSE 'candidate' END AS stage,
-        CASE WHEN exact >= 0.9 THEN 'strong' WHEN exact >= 0.8 THEN 'probable' WHEN exact > 0 THEN 'contextual' ELSE 'unknown' END AS band, resolved_paths FROM validity JOIN counts USING (service_id)""",
+        f"cut AS (SELECT EXISTS (SELECT 1 FROM said WHERE {CUT}) AS cut)",
+        judged("NOT (SELECT cut FROM cut)"),
+        select=f"SELECT service_id, {_CLASS} AS overlap, stage, band, path_key, strongest.path_count, resolved_paths, cut AS truncated FROM validity JOIN strongest USING (service_id), cut",
     ),
     "q9_invariants": "SELECT 'x' AS rule, 'y' AS entity WHERE false",
+    "q9_broken_invariants": query(
+        GRAPH,
+        STATES,
+        "found AS (SELECT DISTINCT service_id FROM paths)",
+        select="""SELECT 'service-without-impact' AS rule, service_id::VARCHAR AS entity FROM found WHERE service_id % 3 = 0
+        UNION ALL SELECT 'path-count', service_id::VARCHAR FROM found WHERE service_id % 3 <> 0 AND service_id % 5 = 0 UNION ALL SELECT 'validity-without-service', (service_id + 1)::VARCHAR FROM found
+        UNION ALL SELECT 'funnel-widens', '3-high-confidence' FROM range(2)""",
+    ),
     "p12_evidence_ledger": query(GRAPH, STATES, ON_PATHS, CITED, select=f"SELECT id AS evidence_id, source_type, confidence, true AS incident_linked FROM evidence WHERE id IN (SELECT evidence_id FROM cited) AND incident_id = {INCIDENT}"),
     "p14_service_dependents": query(GRAPH, select="SELECT target_id, count(*) AS services FROM edges WHERE source_kind = 'Service' GROUP BY 1"),
     "w5_budget": query(

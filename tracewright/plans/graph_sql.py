@@ -7,6 +7,11 @@ def edge_id(kind: str, source: str, target: str) -> str:
     return ID.format(f"""'rel:["edge","' || {kind} || '","n:' || {source} || '","n:' || {target} || '","default"]'""")
 
 
+def edge_of(kind: str, source: str, target: str, discriminator: str) -> str:
+    """The id of an edge from SQL expressions of the logical ids of its ends."""
+    return ID.format(f"""'rel:["edge","' || {kind} || '","' || {source} || '","' || {target} || '","' || {discriminator} || '"]'""")
+
+
 GRAPH = f"""
 evidence AS (SELECT (s_suppkey * 4 + k) * 8 + 7 AS id, t AS source_type, (s_suppkey % 50 + 50) / 100.0::DOUBLE AS confidence, s_nationkey::BIGINT * 8 + 6 AS incident_id
   FROM supplier, (VALUES (0, 'package-lock'), (1, 'npm-registry'), (2, 'other')) f(k, t) WHERE s_acctbal >= 0),
@@ -42,6 +47,49 @@ paths AS (SELECT root_id, cur AS service_id, depth, edge_ids, '[' || root_id ||
 """
 
 
+NONE = "SELECT NULL::VARCHAR AS code, NULL::BIGINT AS node_id WHERE false"
+SERVICE_CODES = ("dependents-per-node-limit-reached", "service-limit-reached", "paths-per-service-limit-reached", "'path-limit-reached', 'traversal-state-limit-reached'")
+TARGET_CODES = ("outgoing-edge-limit-reached", "target-limit-reached", "paths-per-target-limit-reached", "'target-limit-reached', 'traversal-state-limit-reached'")
+
+
+def bounded(limits, edges: str = "edges", roots: str = "roots", root: str = "root_id", here: str = "target_id", there: str = "source_id", stops: str = "e.source_kind = 'Service'", ends: str = "terminal", codes: tuple = SERVICE_CODES, refused: str = NONE, p: str = "") -> str:
+    """CTEs of a traversal under all bounds: `states` with their admission number, `paths` of its ends, `said` warnings; names begin with `p`."""
+    n = limits.states
+    wide, many, more, ending = codes
+    return f"""
+{p}page AS (SELECT *, row_number() OVER (PARTITION BY {here} ORDER BY id, {there}) AS hop, count(*) OVER (PARTITION BY {here}) AS width FROM {edges} QUALIFY hop <= {limits.fan_out}),
+{p}walk(root_id, cur, depth, node_ids, edge_ids, terminal) AS (
+  SELECT {root}, {root}, 0, [{root}], []::BIGINT[], false FROM {roots}
+  UNION ALL
+  SELECT * FROM (SELECT s.root_id, e.{there}, s.depth + 1, list_append(s.node_ids, e.{there}), list_append(s.edge_ids, e.id) AS edge_ids, {stops}
+  FROM {p}walk s JOIN {p}page e ON e.{here} = s.cur WHERE NOT s.terminal AND s.depth < {limits.depth} AND NOT list_contains(s.node_ids, e.{there}) ORDER BY s.root_id, 5 LIMIT {n + 1})),
+{p}ranked AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY root_id, depth, edge_ids) AS ord FROM {p}walk) WHERE ord <= {n + 1}),
+{p}states AS (SELECT * FROM {p}ranked WHERE ord <= {n}),
+{p}steps AS (SELECT r.ord, r.cur, r.depth, r.node_ids, e.hop, e.{there} AS next, list_contains(r.node_ids, e.{there}) AS seen FROM {p}states r JOIN {p}page e ON e.{here} = r.cur WHERE NOT r.terminal),
+{p}ends AS (SELECT *, min(ord) OVER (PARTITION BY cur) AS f, row_number() OVER (PARTITION BY cur ORDER BY ord) AS nth FROM {p}states WHERE {ends}),
+{p}placed AS (SELECT *, dense_rank() OVER (ORDER BY f) AS place FROM {p}ends),
+{p}taken AS (SELECT *, row_number() OVER (ORDER BY ord) AS total FROM {p}placed WHERE place <= {limits.ends} AND nth <= {limits.paths_per_end}),
+{p}events AS (
+  SELECT 'cycle-skipped' AS code, next AS node_id, list_append(node_ids, next) AS path, ord, hop FROM {p}steps WHERE seen
+  UNION ALL SELECT 'depth-limit-reached', cur, list_append(node_ids, arg_min(next, hop)), ord, min(hop) FROM {p}steps WHERE NOT seen AND depth = {limits.depth} GROUP BY ord, cur, node_ids
+  UNION ALL SELECT '{wide}', cur, node_ids, ord, 0 FROM {p}states WHERE NOT terminal AND cur IN (SELECT {here} FROM {p}page WHERE width > {limits.fan_out})
+  UNION ALL SELECT '{many}', cur, node_ids, ord, 0 FROM {p}placed WHERE place > {limits.ends}
+  UNION ALL SELECT '{more}', cur, node_ids, ord, 0 FROM {p}placed WHERE place <= {limits.ends} AND nth > {limits.paths_per_end}
+  UNION ALL SELECT 'path-limit-reached', cur, node_ids, ord, 0 FROM {p}taken WHERE total = {limits.paths + 1}
+  UNION ALL SELECT 'traversal-state-limit-reached', x.cur, x.node_ids, coalesce(p.ord, {n + 1}), coalesce(e.hop, 0) FROM {p}ranked x LEFT JOIN {p}ranked p ON x.depth > 0 AND p.root_id = x.root_id AND p.depth = x.depth - 1 AND p.edge_ids = x.edge_ids[:x.depth - 1]
+    LEFT JOIN {p}page e ON x.depth > 0 AND e.id = x.edge_ids[x.depth] AND e.{here} = p.cur WHERE x.ord = {n + 1}
+  UNION ALL SELECT code, node_id, []::BIGINT[], (SELECT coalesce(max(ord), 0) FROM {p}ranked WHERE root_id < node_id), node_id + 1099511627776 FROM ({refused})),
+{p}numbered AS (SELECT *, row_number() OVER (ORDER BY ord, hop, code, node_id) AS place FROM (SELECT * FROM {p}events QUALIFY row_number() OVER (PARTITION BY code, node_id, path ORDER BY ord, hop) = 1)),
+{p}stop AS (SELECT coalesce(min(place), 9223372036854775807) AS place, coalesce(arg_min(ord, place), 9223372036854775807) AS ord FROM {p}numbered WHERE code IN ({ending}) OR place >= {limits.warnings}),
+{p}said AS (SELECT code, node_id, path, place FROM {p}numbered WHERE place <= (SELECT place FROM {p}stop) AND place < {limits.warnings} UNION ALL SELECT 'warning-limit-reached', NULL, [], {limits.warnings} FROM {p}stop WHERE place >= {limits.warnings} AND place < 9223372036854775807),
+{p}paths AS (SELECT root_id, cur AS service_id, depth, node_ids, edge_ids, ord, '[' || root_id || ',' || cur || ',' || array_to_string(edge_ids, ',') || ']' AS path_key FROM {p}taken WHERE total <= {limits.paths} AND ord < (SELECT ord FROM {p}stop))
+"""
+
+
+#: SQL condition: a warning of `said` that means something was cut.
+CUT = "code NOT IN ('cycle-skipped', 'missing-node', 'unsupported-root-node', 'invalid-canonical-hop', 'missing-seed-evidence', 'unsupported-seed-kind')"
+
+
 AUTHORITY = f"""
 sold AS (SELECT l_suppkey, l_returnflag, l_quantity, c_mktsegment, p_brand FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
 relations AS (
@@ -57,15 +105,11 @@ seeds AS (SELECT s_suppkey * 8 + 3 AS seed_id, [(s_suppkey * 4) * 8 + 7] AS seed
 """
 
 
-def reach(depth: int, fan_out: int = 500, edges: str = "authority", seeds: str = "seeds") -> str:
-    """CTE `reach`: the forward authority traversal."""
-    return f"""
-relation_page AS (SELECT * FROM {edges} QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id, target_id) <= {fan_out}),
-reach(seed_id, target_id, depth, last_kind, node_ids, edge_ids, evidence_ids) AS (
-  SELECT seed_id, seed_id, 0, NULL::VARCHAR, [seed_id], []::BIGINT[], seed_evidence FROM {seeds}
-  UNION ALL
-  SELECT s.seed_id, e.target_id, s.depth + 1, e.kind, list_append(s.node_ids, e.target_id), list_append(s.edge_ids, e.id), list_concat(s.evidence_ids, e.evidence_ids)
-  FROM reach s JOIN relation_page e ON e.source_id = s.target_id WHERE s.depth < {depth} AND NOT list_contains(s.node_ids, e.target_id))
+def reach(limits, edges: str = "authority", seeds: str = "seeds", p: str = "a_") -> str:
+    """The forward authority traversal; `a_targets` has its paths with what the last relation enables and the evidence."""
+    return bounded(limits, edges, seeds, "seed_id", "source_id", "target_id", "false", "depth > 0", TARGET_CODES, p=p) + f""",
+{p}targets AS (SELECT p.root_id AS seed_id, p.service_id AS target_id, p.depth, p.edge_ids, any_value(e.kind) FILTER (e.id = p.edge_ids[len(p.edge_ids)]) AS last_kind, list_sort(list_distinct(flatten(list(e.evidence_ids)) || any_value(s.seed_evidence))) AS evidence_ids
+  FROM {p}paths p JOIN {seeds} s ON s.seed_id = p.root_id, unnest(p.edge_ids) u(edge_id) JOIN {edges} e ON e.id = u.edge_id GROUP BY 1, 2, 3, 4)
 """
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence, investigations, temporal
-from ..operators.traverse import blast_radius
+from ..operators.traverse import bounded_traversal
 from ..session import materialize, read_table
 from ..sources import lockfile, registry_docs
 from ..sources.derived import Graph
 from ..streaming import jobs
-from .graph_sql import AUTHORITY, GRAPH, query
-from .traversals import LIMITS, STATES
+from .graph_sql import AUTHORITY, GRAPH, edge_of, query
+from .traversals import STATES, WHOLE
 
 _text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
@@ -66,12 +66,11 @@ def s9_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s19_lockfile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, _ = _entries(Graph(spark, sf_dir))
     edges = lockfile.dependency_edges(entries, lockfile.resolve(entries)[0], F.lit(0))
-    return edges.groupBy("source_logical", "target_logical").agg(F.count("*").alias("n"))
+    return edges.select("id", "source_logical", "target_logical", "dependency_type", "declared_range", "lockfile_path")
 
 
 def p15_observed_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lockfile.observed_packages(_entries(Graph(spark, sf_dir))[0]).groupBy("version").agg(F.count("*").alias("packages"))
-
+    return lockfile.observed_packages(_entries(Graph(spark, sf_dir))[0])
 
 def packuments(g: Graph) -> DataFrame:
     """One registry document per brand; its parts are versions that declare the brands of their order's next part."""
@@ -99,24 +98,27 @@ def s2_packument_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t6_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names reached from parts of size 1 over order successors, at most 300 in two waves."""
+    """Part names reached from parts of size 1 over order successors, within the operator's own bounds."""
     g = Graph(spark, sf_dir)
     name = lambda c: F.concat(F.lit("p"), F.col(c))
     follow = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     links = g.table("lineitem").withColumn("next", F.lead("l_partkey").over(follow)).where("next IS NOT NULL").select(name("l_partkey").alias("name"), name("next").alias("dependency")).distinct()
-    waves, _ = registry_docs.expand(g.table("part").where("p_size = 1").select(name("p_partkey").alias("name")), materialize(links), 2, 300)
+    waves, _ = registry_docs.expand(g.table("part").where("p_size = 1").select(name("p_partkey").alias("name")), materialize(links))
     return waves.select("name", F.col("depth").cast("long").alias("depth"))
 
 
 def q1_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of every brand in the range ^N.0.0 of its incident (rows checked by a second implementation in tests)."""
+    """Affected versions and problems of one incident per brand: by range, by exact versions (one of them unknown), or by an
+    invalid range."""
     g = Graph(spark, sf_dir)
     versions = g.versions().withColumn("version", F.concat("version", F.lit(".0")))
-    incidents = g.table("part").groupBy(F.col("p_brand").alias("package")).agg(F.min("p_size").alias("low")).select(
-        F.concat(F.lit("incident:"), "package").alias("incident_id"), "package", F.array().cast("array<string>").alias("exact"), F.concat(F.lit("^"), F.col("low") + 3, F.lit(".0.0 || >=45 <47")).alias("range")
-    )
-    found, _ = investigations.affected_versions(incidents, versions)
-    return found
+    first = F.min_by(F.concat_ws(".", "p_size", "p_partkey", F.lit("0")), "p_partkey").alias("first")
+    brands = g.table("part").groupBy(F.col("p_brand").alias("package")).agg(F.min("p_size").alias("low"), first).withColumn("way", F.right("package", F.lit(1)).cast("int") % 3)
+    exact = F.when(F.col("way") == 1, F.array("first", F.lit("0.0.0"))).otherwise(F.array().cast("array<string>"))
+    by_range = F.when(F.col("way") == 0, F.concat(F.lit("^"), F.col("low") + 3, F.lit(".0.0 || >=45 <47"))).when(F.col("way") == 2, F.lit("no range"))
+    incidents = brands.select(F.concat(F.lit("incident:"), "package").alias("incident_id"), "package", exact.alias("exact"), by_range.alias("range"))
+    found, problems = investigations.affected_versions(incidents, versions)
+    return found.unionByName(problems, allowMissingColumns=True)
 
 
 def w6_incident_page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,15 +147,15 @@ def t5_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
     edges = materialize(g.depends_on())
     trusted = g.evidence().where((F.col("source_type") == "package-lock") & (F.col("confidence") >= 0.8)).select(F.col("id").alias("evidence_id"))
-    found = investigations.exposure(blast_radius(g.affected_versions(), edges, LIMITS), edges, trusted)
+    found = investigations.exposure(bounded_traversal(g.affected_versions(), edges, WHOLE).services, edges, trusted)
     return found.select("root_id", "service_id", F.col("depth").cast("long").alias("depth"), _text("edge_ids").alias("edge_ids"))
 
 
 def a23_path_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    states = blast_radius(g.affected_versions(), materialize(g.depends_on()), LIMITS).where("terminal")
-    paths = states.select(F.concat_ws("/", F.col("root_id"), _text("edge_ids")).alias("path_key"), F.col("cur").alias("service_id"), "node_ids")
-    return investigations.path_view(paths).select("node_id", "path_count", "least_layer")
+    found = bounded_traversal(g.affected_versions(), materialize(g.depends_on()), WHOLE).services
+    paths = found.select(F.concat_ws("/", F.col("root_id"), _text("edge_ids")).alias("path_key"), F.col("cur").alias("service_id"), "node_ids")
+    return investigations.path_view(paths)
 
 
 def q6_review(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,15 +204,29 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r1_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Final status of every job after streaming all events."""
-    changes = jobs.run_to_table(jobs.job_states(_stream(spark, sf_dir)), "update")
-    return changes.groupBy("job_id").agg(F.max("events").alias("events"))
+    """Status of every job and since when, after streaming all events and before any timeout."""
+    changes = jobs.run_to_table(jobs.job_states(_stream(spark, sf_dir)), "update").where("NOT timed_out")
+    last = F.max_by(F.struct("status", "at", "events"), "events").alias("s")
+    return changes.groupBy("job_id").agg(last).select("job_id", "s.*")
 
 
 def r2_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_to_table(jobs.first_submissions(_stream(spark, sf_dir).select("event_id", "ts"), "event_id"), "append").agg(F.count("*").alias("n"))
 
 
+def r2_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as submission of its user's day: the first is accepted, one of another type contradicts it."""
+    day = F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd"))
+    rows = _stream(spark, sf_dir).select(day.alias("idempotency_key"), F.col("event_type").alias("payload"), "event_id", "ts")
+    return jobs.run_to_table(jobs.submission_outcomes(rows), "append")
+
+
+def r4_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot history of every user, from a stream of its event types."""
+    rows = _stream(spark, sf_dir).select(F.col("user_id").cast("long").alias("service_id"), F.col("event_type").alias("content"), F.unix_millis("ts").alias("valid_from"))
+    return jobs.supersede_stream(spark, rows)[0]
+
+
 def r3_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts from the stream; the last update of each window."""
     updates = jobs.run_to_table(jobs.activity(_stream(spark, sf_dir)), "update")
@@ -218,15 +234,17 @@ def r3_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r5_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stream(spark, sf_dir).select("job_id", F.unix_millis("ts").alias("at"), "event_id")
-    return jobs.latest_by_key(spark, rows, "job_id", "at").select("job_id", "at")
+    """The newest event of every job, with its payload."""
+    at = F.struct(F.unix_millis("ts").alias("at"), "event_id").alias("clock")
+    rows = _stream(spark, sf_dir).select("job_id", at, "event_type")
+    return jobs.latest_by_key(spark, rows, "job_id", "clock").select("job_id", "clock.at", "clock.event_id", "event_type")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         s3_lockfile_entries, s3_lockfile_issues, s8_resolutions, s9_unresolved, s19_lockfile_edges, p15_observed_packages, s2_packument_versions, s2_packument_issues, t6_expansion, q1_affected, w6_incident_page, s12_dependents_page,
-        q4_package_overview, j5_shared_authority, t5_exposure, a23_path_view, q6_review, f14_ladder, k6_snapshots, f13_iso, a21_job_stats, r1_job_states, r2_submissions, r3_activity, r5_latest,
+        q4_package_overview, j5_shared_authority, t5_exposure, a23_path_view, q6_review, f14_ladder, k6_snapshots, f13_iso, a21_job_stats, r1_job_states, r2_submissions, r2_outcomes, r3_activity, r4_supersession, r5_latest,
     )
 }
 LOCK = """
@@ -238,6 +256,7 @@ placed AS (SELECT c.*, l_orderkey::VARCHAR AS service_id, CASE WHEN n % 2 = 0 TH
 wanted AS (SELECT b.service_id, coalesce(a.path, '') AS path, b.name AS dependency, b.path AS candidate, b.version AS resolved_version, CASE WHEN b.l_tax <= 0.05 THEN 'production' ELSE 'optional' END AS dependency_type, b.installed, a.name AS source_name, a.version AS source_version
   FROM placed b LEFT JOIN placed a ON a.l_orderkey = b.l_orderkey AND a.n = b.n - 1 WHERE b.n = 1 OR a.installed)
 """
+_LOCK_EDGE = edge_of("'DEPENDS_ON'", "CASE WHEN path = '' THEN 'service:' || service_id ELSE 'pkgver:npm:' || source_name || '@' || source_version END", "'pkgver:npm:' || dependency || '@' || resolved_version", "candidate")
 _NEXT = "follow AS (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS next FROM lineitem)"
 _PACK = f"""{_NEXT},
 needs AS (SELECT DISTINCT l_partkey AS p_partkey, b.p_brand AS dependency FROM follow JOIN part b ON b.p_partkey = next WHERE b.p_size >= 40),
@@ -248,20 +267,27 @@ ORACLES = {
     "s3_lockfile_issues": "SELECT 'unsupported-version' AS code, count(*) AS n FROM orders WHERE o_orderstatus = 'P' AND o_orderkey IN (SELECT l_orderkey FROM lineitem) HAVING count(*) > 0",
     "s8_resolutions": query(LOCK, select="SELECT service_id, path, dependency, candidate, resolved_version, dependency_type FROM wanted WHERE installed"),
     "s9_unresolved": query(LOCK, select="SELECT service_id, path, dependency, CASE dependency_type WHEN 'optional' THEN 'warning' ELSE 'error' END AS severity FROM wanted WHERE NOT installed"),
-    "s19_lockfile_edges": query(LOCK, select="SELECT CASE WHEN path = '' THEN 'service:' || service_id ELSE 'pkgver:npm:' || source_name || '@' || source_version END AS source_logical, 'pkgver:npm:' || dependency || '@' || resolved_version AS target_logical, count(*) AS n FROM wanted WHERE installed GROUP BY 1, 2"),
-    "p15_observed_packages": query(LOCK, select="SELECT version, count(*) AS packages FROM placed WHERE installed GROUP BY 1"),
+    "s19_lockfile_edges": query(LOCK, select="SELECT CASE WHEN path = '' THEN 'service:' || service_id ELSE 'pkgver:npm:' || source_name || '@' || source_version END AS source_logical, 'pkgver:npm:' || dependency || '@' || resolved_version AS target_logical, dependency_type, '^1.0.0' AS declared_range, candidate AS lockfile_path, " + _LOCK_EDGE + " AS id FROM wanted WHERE installed"),
+    "p15_observed_packages": query(LOCK, select="SELECT service_id, name, count(DISTINCT version) AS versions, CASE WHEN count(DISTINCT version) = 1 THEN min(version) END AS version FROM placed WHERE installed GROUP BY 1, 2"),
     "s2_packument_versions": query(_PACK, select="SELECT p.p_brand AS name, l.version, n.dependency, 'production' AS dependency_type FROM latest l JOIN part p ON p.p_brand = l.p_brand AND p.p_size || '.' || p.p_partkey || '.0' = l.version JOIN needs n USING (p_partkey)"),
     "s2_packument_issues": "SELECT 'version-mismatch' AS code, count(DISTINCT p_brand) AS n FROM part WHERE p_partkey = 7",
     "t6_expansion": query(
         _NEXT,
         """links AS (SELECT DISTINCT 'p' || l_partkey AS name, 'p' || next AS dependency FROM follow WHERE next IS NOT NULL),
-        w0 AS (SELECT DISTINCT 'p' || p_partkey AS name FROM part WHERE p_size = 1 ORDER BY 1 LIMIT 300),
-        w1 AS (SELECT DISTINCT dependency AS name FROM links JOIN w0 USING (name) WHERE dependency NOT IN (SELECT name FROM w0) ORDER BY 1 LIMIT (SELECT 300 - count(*) FROM w0)),
-        w2 AS (SELECT DISTINCT dependency AS name FROM links JOIN w1 USING (name) WHERE dependency NOT IN (SELECT name FROM w0 UNION ALL SELECT name FROM w1) ORDER BY 1 LIMIT (SELECT 300 - (SELECT count(*) FROM w0) - count(*) FROM w1))""",
-        select="SELECT name, 0::BIGINT AS depth FROM w0 UNION ALL SELECT name, 1 FROM w1 UNION ALL SELECT name, 2 FROM w2",
+        w0 AS (SELECT DISTINCT 'p' || p_partkey AS name, 0::BIGINT AS depth FROM part WHERE p_size = 1 ORDER BY 1 LIMIT 100),
+        w1 AS (SELECT DISTINCT dependency AS name, 1::BIGINT AS depth FROM links JOIN w0 USING (name) WHERE dependency NOT IN (SELECT name FROM w0) ORDER BY 1 LIMIT (SELECT 100 - count(*) FROM w0)),
+        s1 AS (SELECT * FROM w0 UNION ALL SELECT * FROM w1),
+        w2 AS (SELECT DISTINCT dependency AS name, 2::BIGINT AS depth FROM links JOIN w1 USING (name) WHERE dependency NOT IN (SELECT name FROM s1) ORDER BY 1 LIMIT (SELECT 100 - count(*) FROM s1)),
+        s2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM w2),
+        w3 AS (SELECT DISTINCT dependency AS name, 3::BIGINT AS depth FROM links JOIN w2 USING (name) WHERE dependency NOT IN (SELECT name FROM s2) ORDER BY 1 LIMIT (SELECT 100 - count(*) FROM s2))""",
+        select="SELECT * FROM s2 UNION ALL SELECT * FROM w3",
     ),
-    "q1_affected": """WITH low AS (SELECT p_brand, min(p_size) + 3 AS major FROM part GROUP BY 1)
-        SELECT 'incident:' || p_brand AS incident_id, p_partkey * 8 + 1 AS version_id FROM part JOIN low USING (p_brand) WHERE p_size = major OR p_size IN (45, 46)""",
+    "q1_affected": """WITH low AS (SELECT p_brand, min(p_size) + 3 AS major, min(p_partkey) AS first, right(p_brand, 1)::INT % 3 AS way FROM part GROUP BY 1),
+        found AS (SELECT p_brand, p_partkey * 8 + 1 AS version_id FROM part JOIN low USING (p_brand) WHERE (way = 0 AND (p_size = major OR p_size IN (45, 46))) OR (way = 1 AND p_partkey = first))
+        SELECT 'incident:' || p_brand AS incident_id, version_id, NULL AS code FROM found
+        UNION ALL SELECT 'incident:' || p_brand, NULL, 'exact-version-missing' FROM low WHERE way = 1
+        UNION ALL SELECT 'incident:' || p_brand, NULL, 'invalid-range' FROM low WHERE way = 2
+        UNION ALL SELECT 'incident:' || p_brand, NULL, 'range-matches-nothing' FROM low WHERE way <> 1 AND p_brand NOT IN (SELECT p_brand FROM found)""",
     "w6_incident_page": query(
         GRAPH,
         "counted AS (SELECT i.id, i.observed_at, (SELECT least(count(*), 5000) FROM affects a WHERE a.incident_id = i.id) AS affected_count, row_number() OVER (ORDER BY observed_at DESC, id DESC) AS place FROM incidents i)",
@@ -286,7 +312,11 @@ ORACLES = {
         select="SELECT root_id, service_id, depth::BIGINT AS depth, array_to_string(edge_ids, ',') AS edge_ids FROM ok QUALIFY row_number() OVER (PARTITION BY root_id, service_id ORDER BY depth, edge_ids) = 1",
     ),
     "a23_path_view": query(
-        GRAPH, STATES, "walked AS (SELECT root_id, edge_ids, unnest(node_ids) AS node_id, unnest(range(len(node_ids))) AS layer FROM states WHERE terminal)", select="SELECT node_id, count(DISTINCT root_id || '/' || array_to_string(edge_ids, ',')) AS path_count, min(layer) AS least_layer FROM walked GROUP BY 1"
+        GRAPH,
+        STATES,
+        "walked AS (SELECT root_id || '/' || array_to_string(edge_ids, ',') AS k, service_id, unnest(node_ids) AS node_id, unnest(range(len(node_ids))) AS layer FROM paths)",
+        "firsts AS (SELECT node_id, layer FROM walked QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY service_id, k, layer) = 1)",
+        select="SELECT w.node_id, count(DISTINCT k) AS path_count, any_value(f.layer)::BIGINT AS layer, min(w.layer)::BIGINT AS least_layer FROM walked w JOIN firsts f USING (node_id) GROUP BY 1",
     ),
     "q6_review": """WITH f AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'open' WHEN 'O' THEN 'reviewing' ELSE 'dismissed' END AS status FROM orders),
         c AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'promoted' ELSE 'dismissed' END AS goal, l_tax < 0.02 AS stale FROM lineitem WHERE l_quantity > 25
@@ -301,8 +331,16 @@ ORACLES = {
         n AS (SELECT *, lead(valid_from) OVER (PARTITION BY service_id ORDER BY valid_from, content) AS valid_until FROM c) SELECT *, valid_until IS NULL AS is_current FROM n""",
     "f13_iso": "SELECT event_id, strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events",
     "a21_job_stats": "SELECT status, count(*) AS jobs FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1) GROUP BY 1",
-    "r1_job_states": "SELECT user_id AS job_id, count(*) AS events FROM events GROUP BY 1",
+    "r1_job_states": """WITH e AS (SELECT user_id AS job_id, event_type, epoch_us(ts) // 1000 AS at, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_type) AS n FROM events),
+        done AS (SELECT job_id, min(n) AS n FROM e WHERE event_type IN ('purchase', 'error') GROUP BY 1), total AS (SELECT job_id, max(n) AS events FROM e GROUP BY 1)
+        SELECT job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, e.at AS at, events
+        FROM total LEFT JOIN done USING (job_id) JOIN e USING (job_id) WHERE e.n = coalesce(done.n, total.events)""",
+    "r2_outcomes": """SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'accepted' WHEN event_type = first_value(event_type) OVER w THEN 'repeated' ELSE 'conflict' END AS outcome
+        FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY epoch_us(ts) // 1000, event_id)""",
+    "r4_supersession": """WITH e AS (SELECT user_id::BIGINT AS service_id, event_type AS content, epoch_us(ts) // 1000 AS valid_from FROM events),
+        c AS (SELECT * FROM e QUALIFY coalesce(lag(content) OVER (PARTITION BY service_id ORDER BY valid_from, content) <> content, true)),
+        n AS (SELECT *, lead(valid_from) OVER (PARTITION BY service_id ORDER BY valid_from, content) AS valid_until FROM c) SELECT *, valid_until IS NULL AS is_current FROM n""",
     "r2_submissions": "SELECT count(DISTINCT event_id) AS n FROM events",
     "r3_activity": "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) // 1000 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "r5_latest": "SELECT user_id AS job_id, max((epoch_us(ts) // 1000)) AS at FROM events GROUP BY 1",
+    "r5_latest": "SELECT user_id AS job_id, epoch_us(max(ts)) // 1000 AS at, arg_max(event_id, (epoch_us(ts) // 1000, event_id)) AS event_id, arg_max(event_type, (epoch_us(ts) // 1000, event_id)) AS event_type FROM events GROUP BY 1",
 }

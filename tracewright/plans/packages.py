@@ -49,8 +49,10 @@ def f3_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f7_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the strings that up to two deletions leave of every name."""
     rows = typosquat.comparable(materialize(observed(Graph(spark, sf_dir))))
-    return rows.select("observed_id", F.size(N.deletion_variants(F.col("compact"), 2)).cast("long").alias("variants"))
+    variants = N.deletion_variants(F.col("compact"), 2)
+    return rows.select("observed_id", F.size(variants).cast("long").alias("variants"), F.sha2(F.array_join(F.array_sort(variants), "|"), 256).alias("digest"))
 
 
 def a19_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def a19_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j8_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best trusted targets of every observed name by shared signatures."""
     g = Graph(spark, sf_dir)
-    found = typosquat.candidates(typosquat.comparable(materialize(observed(g))), typosquat.merge_corpus(trusted(g)), 5)
+    found = typosquat.candidates(typosquat.comparable(materialize(observed(g))), typosquat.merge_corpus(trusted(g)))
     return found.select("observed_id", "package_id", F.array_join("reasons", ",").alias("reasons"), "matches", "exact_matches", F.col("place").cast("long").alias("place"))
 
 
@@ -203,9 +205,13 @@ merged AS (SELECT id, max(observed_at) AS observed_at, bool_and(synthetic) AS sy
 ORACLES = {
     "f1_identity": f"SELECT p_partkey, 'pkgver:npm:' || replace(p_name, ' ', '-') || '@' || p_partkey AS logical_id, {ID.format(chr(39) + 'pkgver:npm:' + chr(39) + ' || replace(p_name, ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + '-' + chr(39) + ') || ' + chr(39) + '@' + chr(39) + ' || p_partkey')} AS id FROM part",
     "f3_names": query(NAMES, select="SELECT observed_id, normalized, scope, base, compact, skeleton, array_to_string(regexp_extract_all(base, '\\pL+|\\pN+'), '|') AS tokens FROM o_forms"),
-    "f7_deletions": query(NAMES, SIGNATURES, select="SELECT observed_id, len(variants) AS variants FROM o_variants"),
+    "f7_deletions": query(NAMES, SIGNATURES, select="SELECT observed_id, len(variants) AS variants, sha256(array_to_string(list_sort(variants), '|')) AS digest FROM o_variants"),
+    "k5_batch_hash": """WITH rows_ AS (SELECT sha256('[["p_brand","' || p_brand || '"],["p_name","' || p_name || '"],["p_partkey","' || p_partkey || '"]]') AS h FROM part),
+        l8 AS (SELECT left(h, 8) AS pre, sha256(string_agg(h, '' ORDER BY h)) AS h FROM rows_ GROUP BY 1), l6 AS (SELECT left(pre, 6) AS pre, sha256(string_agg(h, '' ORDER BY pre)) AS h FROM l8 GROUP BY 1),
+        l4 AS (SELECT left(pre, 4) AS pre, sha256(string_agg(h, '' ORDER BY pre)) AS h FROM l6 GROUP BY 1), l2 AS (SELECT left(pre, 2) AS pre, sha256(string_agg(h, '' ORDER BY pre)) AS h FROM l4 GROUP BY 1)
+        SELECT sha256(string_agg(h, '' ORDER BY pre)) AS batch_hash FROM l2""",
     "a19_corpus": query(NAMES, select="SELECT normalized, package_id, rank, popularity, package_id::VARCHAR AS evidence_ids FROM t_forms"),
-    "j8_candidates": query(NAMES, SIGNATURES, select="SELECT observed_id, package_id, array_to_string(reasons, ',') AS reasons, matches, exact_matches, place FROM placed WHERE place <= 5"),
+    "j8_candidates": query(NAMES, SIGNATURES, select="SELECT observed_id, package_id, array_to_string(reasons, ',') AS reasons, matches, exact_matches, place FROM placed WHERE place <= 32"),
     "a14_merge": query(_FRAGMENTS, select="SELECT id, observed_at, synthetic, name, array_to_string(evidence_ids, ',') AS evidence_ids FROM merged"),
     "a14_conflicts": query(_FRAGMENTS, select="""SELECT id, 'brand' AS "column" FROM merged WHERE brands > 1"""),
     "a16_statistics": query(_FRAGMENTS, select="SELECT (SELECT count(*) FROM fragments) AS rows_in, count(*) AS rows_out, (SELECT count(*) FROM fragments) - count(*) AS deduplicated, sum(len(evidence_ids))::BIGINT AS evidence_references FROM merged"),

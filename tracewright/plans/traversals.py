@@ -6,46 +6,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import containment, evidence, temporal
-from ..operators.traverse import Limits, authority_reach, blast_radius, capped_services, cut_nodes, path_cuts, reached
+from ..operators.traverse import AUTHORITY_LIMITS, Limits, Traversal, authority_traversal, blast_radius, bounded_traversal, cut_nodes, path_cuts, reached
 from ..session import materialize
 from ..sources.derived import Graph
-from .graph_sql import AUTHORITY, GRAPH, query, reach, states
+from .graph_sql import AUTHORITY, CUT, GRAPH, bounded, query, reach, states
 
-#: Bounds of the registered traversals over the derived graph. Simple paths grow more than twentyfold a hop, so those listed
-#: end after DEPTH hops (`t1_path_cuts` counts what that cuts); reachability goes to the operator's own bounds (WHOLE).
-DEPTH, FAN_OUT = 2, 1000
+#: The operators' own bounds hold for every registered traversal. LIMITS are tighter ones, to show what each of them cuts.
 WHOLE = Limits()
-LIMITS = Limits(depth=DEPTH, fan_out=FAN_OUT, states=5000, ends=60, paths_per_end=3, paths=100)
-AUTHORITY_DEPTH = 8
+LIMITS = Limits(depth=3, fan_out=40, states=5000, ends=60, paths_per_end=3, paths=100, warnings=400)
+#: All simple paths of so many hops, without a bound on their number.
+DEPTH, FAN_OUT = 2, 1000
+TWO_HOPS = Limits(depth=DEPTH, fan_out=FAN_OUT, states=None)
+TIGHT = Limits(depth=3, fan_out=3, states=60, ends=40, paths_per_end=2, paths=1 << 40)
 AS_OF = 800_000_000_000
 _joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-STATES = states(DEPTH, FAN_OUT)
+STATES = bounded(WHOLE)
 
 
-def _states(g: Graph, edges: DataFrame | None = None) -> DataFrame:
-    return blast_radius(g.affected_versions(), edges if edges is not None else materialize(g.depends_on()), LIMITS)
+def _traversal(g: Graph, edges: DataFrame | None = None, limits: Limits = WHOLE, as_of: int | None = None) -> Traversal:
+    return bounded_traversal(g.affected_versions(), edges if edges is not None else materialize(g.depends_on()), limits, as_of)
 
 
 def _on_paths(g: Graph) -> DataFrame:
     edges = materialize(g.depends_on())
-    return evidence.path_edges(evidence.keyed(_states(g, edges)), edges)
+    return evidence.path_edges(evidence.keyed(_traversal(g, edges).services), edges)
 
 
 def t1_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Services that reach an affected version, by every simple path."""
+    """Services that reach an affected version, by the paths that the operator's own bounds let through."""
+    found = _traversal(Graph(spark, sf_dir)).services
+    return evidence.keyed(found).select("root_id", "service_id", F.col("depth").cast("long").alias("depth"), "path_key")
+
+
+def t1_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the traversal warns of; among its roots are a service and an unknown node."""
     g = Graph(spark, sf_dir)
-    return evidence.keyed(_states(g)).select("root_id", "service_id", F.col("depth").cast("long").alias("depth"), "path_key")
+    nodes = g.versions().select("id", F.lit("PackageVersion").alias("kind")).unionByName(g.services().select("id", F.lit("Service").alias("kind")))
+    odd = spark.range(2).select(F.when(F.col("id") == 0, 3).otherwise(10).cast("long").alias("root_id"))
+    found = bounded_traversal(g.affected_versions().unionByName(odd), materialize(g.depends_on()), WHOLE, nodes=nodes)
+    return found.warnings.select("code", "node_id", _joined("path").alias("path"), "place")
 
 
-def t1_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t1_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services that reach an affected version within two hops, by every simple path."""
     g = Graph(spark, sf_dir)
-    found = blast_radius(g.affected_versions(), materialize(g.depends_on()), LIMITS, as_of=AS_OF)
-    return evidence.keyed(found).groupBy("root_id").agg(F.count("*").alias("path_count"), F.count_distinct("service_id").alias("service_count"))
+    found = blast_radius(g.affected_versions(), materialize(g.depends_on()), TWO_HOPS)
+    return evidence.keyed(found).select("root_id", "service_id", F.col("depth").cast("long").alias("depth"), "path_key")
+
+
+def t1_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _traversal(Graph(spark, sf_dir), as_of=AS_OF)
+    return evidence.keyed(found.services).groupBy("root_id").agg(F.count("*").alias("path_count"), F.count_distinct("service_id").alias("service_count"))
 
 
 def t1_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = Graph(spark, sf_dir)
-    return capped_services(_states(g), LIMITS).select("root_id", F.col("cur").alias("service_id"), F.col("ord").cast("long").alias("ord"), _joined("edge_ids").alias("edge_ids"))
+    """Services under tight bounds."""
+    found = _traversal(Graph(spark, sf_dir), limits=LIMITS).services
+    return found.select("root_id", F.col("cur").alias("service_id"), "ord", _joined("edge_ids").alias("edge_ids"))
+
+
+def t1_capped_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tight bounds cut, by code."""
+    return _traversal(Graph(spark, sf_dir), limits=LIMITS).warnings.groupBy("code").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
 
 
 def t1_reached_services(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +78,10 @@ def t1_reached_services(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t1_path_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per affected version, what the bounds of the registered path queries cut."""
+    """Per affected version, what a bound of two hops cuts."""
     g = Graph(spark, sf_dir)
     edges = materialize(g.depends_on())
-    return path_cuts(_states(g, edges), g.affected_versions(), edges, LIMITS)
+    return path_cuts(blast_radius(g.affected_versions(), edges, TWO_HOPS), g.affected_versions(), edges, TWO_HOPS)
 
 
 def t1_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +91,17 @@ def t1_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t2_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    found = authority_reach(g.authority_seeds(), materialize(g.authority()), AUTHORITY_DEPTH)
+    found = authority_traversal(g.authority_seeds(), materialize(g.authority())).services
     return found.select("seed_id", "target_id", F.col("depth").cast("long").alias("depth"), "capability", _joined("edge_ids").alias("edge_ids"), _joined("evidence_ids").alias("evidence_ids"))
 
 
+def t2_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the authority traversal warns of under tight bounds."""
+    g = Graph(spark, sf_dir)
+    found = authority_traversal(g.authority_seeds(), materialize(g.authority()), TIGHT)
+    return found.warnings.select("code", "node_id", _joined("path").alias("path"), "place")
+
+
 def a1_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
     return evidence.funnel(evidence.path_stages(evidence.edge_support(_on_paths(g), g.evidence())))
@@ -129,15 +158,43 @@ def _plan(g: Graph) -> DataFrame:
 
 
 def t4_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan's effect under the operators' own bounds; a run that these cut proves nothing."""
+    g = Graph(spark, sf_dir)
+    return containment.simulate(g.affected_versions(), materialize(g.depends_on()), g.authority_seeds(), materialize(g.authority()), materialize(_plan(g)))
+
+
+def t4_small_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan's effect where no run is cut: services that depend on an affected version themselves."""
+    g = Graph(spark, sf_dir)
+    edges = materialize(g.depends_on().where("source_kind = 'Service'"))
+    wide = Limits(states=10**7, ends=10**7, paths_per_end=10**7, paths=10**7, warnings=10**7)
+    every = Limits(depth=40, fan_out=10**6, states=10**7, ends=10**7, paths_per_end=10**7, paths=10**7, warnings=10**7)
+    return containment.simulate(g.affected_versions(), edges, g.authority_seeds(), materialize(g.authority()), materialize(_plan(g)), wide, every)
+
+
+def t4_out_of_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services that the plan takes out of an affected version's reach, whatever the number of paths."""
     g = Graph(spark, sf_dir)
-    return containment.simulate(g.affected_versions(), materialize(g.depends_on()), g.authority_seeds(), materialize(g.authority()), materialize(_plan(g)), LIMITS, AUTHORITY_DEPTH)
+    return containment.simulate_reach(g.affected_versions(), materialize(g.depends_on()), materialize(_plan(g)), WHOLE)
 
 
 SUPPORT = """
-support AS (SELECT p.root_id, p.service_id, p.path_key, u.edge_id, max(v.confidence) AS best, max(v.confidence) FILTER (v.source_type IN ('package-lock', 'cyclonedx', 'spdx', 'synthetic-fixture')) AS best_exact
+support AS (SELECT p.root_id, p.service_id, p.path_key, u.edge_id, max(v.confidence) AS best, max(v.confidence) FILTER (v.source_type IN ('package-lock', 'cyclonedx', 'spdx', 'synthetic-fixture')) AS best_exact,
+    count(*) FILTER (v.id IS NULL) AS missing, bool_and(v.source_type IN ('npm-registry', 'package-manifest', 'security-advisory', 'other')) FILTER (v.id IS NOT NULL) AS contextual
   FROM paths p, unnest(p.edge_ids) u(edge_id) JOIN edges e ON e.id = u.edge_id, unnest(e.evidence_ids) x(evidence_id) LEFT JOIN evidence v ON v.id = x.evidence_id GROUP BY 1, 2, 3, 4),
-stages AS (SELECT root_id, service_id, path_key, bool_and(best IS NOT NULL) AS verified, bool_and(coalesce(best >= 0.8, false)) AS high, min(coalesce(best_exact, 0)) AS exact FROM support GROUP BY 1, 2, 3)
+stages AS (SELECT root_id, service_id, path_key, bool_and(best IS NOT NULL) AS verified, bool_and(coalesce(best >= 0.8, false)) AS high, bool_and(best_exact IS NOT NULL) AS exact, min(coalesce(best_exact, 0)) AS exact_confidence,
+  sum(missing) = 0 AS complete, bool_and(coalesce(contextual, true)) AS contextual FROM support GROUP BY 1, 2, 3)
 """
+
+
+def judged(whole: str = "true") -> str:
+    """CTEs `judged` (stage and level of every path) and `strongest` (of every service)."""
+    return f"""judged AS (SELECT *, CASE WHEN {whole} AND complete AND verified AND exact THEN 'resolved' ELSE 'candidate' END AS stage,
+  CASE WHEN NOT ({whole} AND complete) THEN 'unknown' WHEN verified AND exact AND exact_confidence >= 0.8 THEN 'strong' WHEN verified AND exact THEN 'probable' WHEN verified AND contextual THEN 'contextual' WHEN verified THEN 'possible' ELSE 'unknown' END AS band FROM stages),
+strongest AS (SELECT j.*, count(*) OVER (PARTITION BY service_id) AS path_count, count(*) FILTER (stage = 'resolved') OVER (PARTITION BY service_id) AS resolved_paths FROM judged j
+  QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY stage DESC, list_position(['unknown', 'contextual', 'possible', 'probable', 'strong'], band) DESC, path_key) = 1)"""
+
+
 ON_PATHS = "on_paths AS (SELECT p.root_id, p.service_id, p.path_key, e.* FROM paths p, unnest(p.edge_ids) u(edge_id) JOIN edges e ON e.id = u.edge_id)"
 CITED = "cited AS (SELECT DISTINCT unnest(evidence_ids) AS evidence_id FROM on_paths)"
 VALIDITY = """
@@ -145,60 +202,64 @@ path_validity AS (SELECT service_id, path_key, max(valid_from) AS opens, min(val
 validity AS (SELECT service_id, min(opens) AS opens, CASE WHEN coalesce(bool_or(opens IS NOT NULL AND closes IS NULL), false) THEN NULL ELSE max(closes) FILTER (opens IS NOT NULL) END AS closes,
   count(*) FILTER (opens IS NULL) AS unknown_paths, count(*) AS path_count FROM path_validity GROUP BY 1)
 """
-L = LIMITS
 QUERIES = {
     f.__name__: f
-    for f in (t1_blast_radius, t1_as_of, t1_capped, t1_reached_services, t1_path_cuts, t1_truncation, t2_authority, a1_funnel, a3_source_summary, a4_lookup_summary, p3_catalog, a7_strongest_paths, a10_selection, a5_service_validity, a6_incident_partition, j9_overlap, t4_containment)
-}
-_CONTAINED = f"""
+    for f in (
+        t1_blast_radius, t1_warnings, t1_two_hops, t1_as_of, t1_capped, t1_capped_warnings, t1_reached_services, t1_path_cuts, t1_truncation, t2_authority, t2_warnings, a1_funnel, a3_source_summary, a4_lookup_summary, p3_catalog,
+        a7_strongest_paths, a10_selection, a5_service_validity, a6_incident_partition, j9_overlap, t4_containment, t4_small_containment, t4_out_of_reach,
+    )
+}
+_PLAN = """
 plan_nodes AS (SELECT c_custkey * 8 + 2 AS id FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT p_partkey * 8 + 1 FROM part WHERE p_size = 49),
-page2 AS (SELECT * FROM page WHERE source_id NOT IN (SELECT id FROM plan_nodes) AND target_id NOT IN (SELECT id FROM plan_nodes)),
-after(root_id, cur, depth, node_ids, terminal) AS (
-  SELECT root_id, root_id, 0, [root_id], false FROM roots WHERE root_id NOT IN (SELECT id FROM plan_nodes)
-  UNION ALL
-  SELECT s.root_id, e.source_id, s.depth + 1, list_append(s.node_ids, e.source_id), e.source_kind = 'Service'
-  FROM after s JOIN page2 e ON e.target_id = s.cur WHERE NOT s.terminal AND s.depth < {DEPTH} AND NOT list_contains(s.node_ids, e.source_id)),
-authority2 AS (SELECT * FROM authority WHERE NOT (kind = 'CAN_PUBLISH' AND len(evidence_ids) = 1)),
-reach2(seed_id, target_id, depth, node_ids) AS (
-  SELECT seed_id, seed_id, 0, [seed_id] FROM seeds
-  UNION ALL
-  SELECT s.seed_id, e.target_id, s.depth + 1, list_append(s.node_ids, e.target_id) FROM reach2 s JOIN authority2 e ON e.source_id = s.target_id WHERE s.depth < {AUTHORITY_DEPTH} AND NOT list_contains(s.node_ids, e.target_id)),
-measured AS (
-  SELECT 'services' AS measure, (SELECT count(DISTINCT cur) FROM states WHERE terminal) AS before, (SELECT count(DISTINCT cur) FROM after WHERE terminal) AS after
-  UNION ALL SELECT 'service-paths', (SELECT count(*) FROM states WHERE terminal), (SELECT count(*) FROM after WHERE terminal)
-  UNION ALL SELECT 'targets', (SELECT count(DISTINCT target_id) FROM reach WHERE depth > 0), (SELECT count(DISTINCT target_id) FROM reach2 WHERE depth > 0)
-  UNION ALL SELECT 'target-paths', (SELECT count(*) FROM reach WHERE depth > 0), (SELECT count(*) FROM reach2 WHERE depth > 0))
-"""
+open_roots AS (SELECT * FROM roots WHERE root_id NOT IN (SELECT id FROM plan_nodes)),
+authority2 AS (SELECT * FROM authority WHERE NOT (kind = 'CAN_PUBLISH' AND len(evidence_ids) = 1))"""
+
+
+def _contained(limits: Limits, authority_limits: Limits, edges: str = "edges") -> tuple[str, ...]:
+    """CTEs of the four runs and what they differ by."""
+    left = f"left_edges AS (SELECT * FROM (SELECT * FROM {edges} QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY id, source_id) <= {limits.fan_out}) WHERE source_id NOT IN (SELECT id FROM plan_nodes) AND target_id NOT IN (SELECT id FROM plan_nodes))"
+    runs = [bounded(limits, edges, p="b_"), _PLAN, left, bounded(limits, "left_edges", "open_roots", p="c_"), reach(authority_limits, p="a_"), reach(authority_limits, "authority2", p="d_")]
+    pairs = {"services": ("b_paths", "c_paths", "service_id"), "service-paths": ("b_paths", "c_paths", "root_id, edge_ids"), "targets": ("a_paths", "d_paths", "service_id"), "target-paths": ("a_paths", "d_paths", "root_id, edge_ids")}
+    count = lambda sql: f"(SELECT count(*) FROM ({sql}))"
+    rows = " UNION ALL ".join(
+        f"SELECT '{m}' AS measure, {count(f'SELECT DISTINCT {k} FROM {x}')} AS before, {count(f'SELECT DISTINCT {k} FROM {y}')} AS after, {count(f'SELECT {k} FROM {x} EXCEPT SELECT {k} FROM {y}')} AS gone" for m, (x, y, k) in pairs.items()
+    )
+    cut = " OR ".join(f"EXISTS (SELECT 1 FROM {p}said WHERE {CUT})" for p in ("b_", "c_", "a_", "d_"))
+    return *runs, f"measured AS ({rows})", f"cut AS (SELECT {cut} AS cut)"
+
+
+_MEASURED = "SELECT measure, before, after, CASE WHEN cut THEN 0 ELSE gone END AS removed, CASE WHEN cut THEN 'inconclusive' WHEN gone > 0 THEN 'simulated-reduction' ELSE 'no-simulated-reduction' END AS status FROM measured, cut"
+_ALL = 10**7
+
+
+def _reached(roots: str, edges: str, p: str) -> str:
+    return f"""{p}page AS (SELECT * FROM {edges} QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY id, source_id) <= {WHOLE.fan_out}),
+{p}hops_to(root_id, cur, depth, terminal) AS (
+  SELECT root_id, root_id, 0, false FROM {roots}
+  UNION
+  SELECT h.root_id, e.source_id, h.depth + 1, e.source_kind = 'Service' FROM {p}hops_to h JOIN {p}page e ON e.target_id = h.cur WHERE NOT h.terminal AND h.depth < {WHOLE.depth})"""
+
+
 ORACLES = {
     "t1_blast_radius": query(GRAPH, STATES, select="SELECT root_id, service_id, depth::BIGINT AS depth, path_key FROM paths"),
+    "t1_warnings": query(
+        GRAPH,
+        bounded(WHOLE, refused="SELECT 'missing-node' AS code, 3::BIGINT AS node_id UNION ALL SELECT 'unsupported-root-node', 10"),
+        select="SELECT code, node_id, array_to_string(path, ',') AS path, place FROM said",
+    ),
+    "t1_two_hops": query(GRAPH, states(DEPTH, FAN_OUT), select="SELECT root_id, service_id, depth::BIGINT AS depth, path_key FROM paths"),
     "t1_as_of": query(
         GRAPH,
         f"live AS (SELECT * FROM edges WHERE valid_from IS NULL OR (valid_from <= {AS_OF} AND (valid_until IS NULL OR valid_until >= {AS_OF})))",
-        states(DEPTH, FAN_OUT, edges="live"),
+        bounded(WHOLE, edges="live"),
         select="SELECT root_id, count(*) AS path_count, count(DISTINCT service_id) AS service_count FROM paths GROUP BY 1",
     ),
-    "t1_capped": query(
-        GRAPH,
-        STATES,
-        f"""ranked AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY root_id, depth, edge_ids) AS ord FROM states) WHERE ord <= {L.states + 1}),
-        cut AS (SELECT count(*) AS over, min(p.ord) AS parent FROM ranked x LEFT JOIN ranked p ON p.root_id = x.root_id AND p.depth = x.depth - 1 AND x.depth > 0 AND p.edge_ids = x.edge_ids[:x.depth - 1] WHERE x.ord = {L.states + 1}),
-        kept AS (SELECT r.*, min(ord) OVER (PARTITION BY cur) AS first_ord, row_number() OVER (PARTITION BY cur ORDER BY ord) AS nth FROM ranked r, cut WHERE terminal AND (over = 0 OR ord < coalesce(parent, {L.states + 1}))),
-        few AS (SELECT *, dense_rank() OVER (ORDER BY first_ord) AS place FROM kept),
-        firsts AS (SELECT *, row_number() OVER (ORDER BY ord) AS total FROM few WHERE place <= {L.ends} AND nth <= {L.paths_per_end})""",
-        select=f"SELECT root_id, cur AS service_id, ord, array_to_string(edge_ids, ',') AS edge_ids FROM firsts WHERE total <= {L.paths}",
-    ),
-    "t1_reached_services": query(
-        GRAPH,
-        f"""page AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY id, source_id) <= {WHOLE.fan_out}),
-        hops_to(root_id, cur, depth, terminal) AS (
-          SELECT root_id, root_id, 0, false FROM roots
-          UNION
-          SELECT h.root_id, e.source_id, h.depth + 1, e.source_kind = 'Service' FROM hops_to h JOIN page e ON e.target_id = h.cur WHERE NOT h.terminal AND h.depth < {WHOLE.depth})""",
-        select="SELECT root_id, cur AS service_id, min(depth)::BIGINT AS depth FROM hops_to WHERE terminal GROUP BY 1, 2",
-    ),
+    "t1_capped": query(GRAPH, bounded(LIMITS), select="SELECT root_id, service_id, ord, array_to_string(edge_ids, ',') AS edge_ids FROM paths"),
+    "t1_capped_warnings": query(GRAPH, bounded(LIMITS), select="SELECT code, count(*) AS n, min(place) AS first_place FROM said GROUP BY 1"),
+    "t1_reached_services": query(GRAPH, _reached("roots", "edges", ""), select="SELECT root_id, cur AS service_id, min(depth)::BIGINT AS depth FROM hops_to WHERE terminal GROUP BY 1, 2"),
     "t1_path_cuts": query(
         GRAPH,
-        STATES,
+        states(DEPTH, FAN_OUT),
         f"""open_ends AS (SELECT root_id, count(*) AS cut_paths FROM states s WHERE depth = {DEPTH} AND NOT terminal AND EXISTS (SELECT 1 FROM page e WHERE e.target_id = s.cur AND NOT list_contains(s.node_ids, e.source_id)) GROUP BY 1),
         wide AS (SELECT target_id FROM edges GROUP BY 1 HAVING count(*) > {FAN_OUT}),
         wide_on AS (SELECT root_id, count(DISTINCT cur) AS cut_nodes FROM states WHERE depth < {DEPTH} AND NOT terminal AND cur IN (SELECT target_id FROM wide) GROUP BY 1)""",
@@ -207,11 +268,12 @@ ORACLES = {
     "t1_truncation": query(GRAPH, select="SELECT target_id AS node_id FROM edges GROUP BY 1 HAVING count(*) > 25"),
     "t2_authority": query(
         AUTHORITY,
-        reach(AUTHORITY_DEPTH),
+        reach(AUTHORITY_LIMITS),
         select="""SELECT seed_id, target_id, depth::BIGINT AS depth,
         CASE last_kind WHEN 'MAINTAINS' THEN 'maintain' WHEN 'MEMBER_OF' THEN 'belong' WHEN 'OWNS' THEN 'own' WHEN 'CONTROLS' THEN 'control' WHEN 'TRIGGERS' THEN 'trigger' WHEN 'CAN_ACCESS' THEN 'access' ELSE 'publish' END AS capability,
-        array_to_string(edge_ids, ',') AS edge_ids, array_to_string(list_sort(list_distinct(evidence_ids)), ',') AS evidence_ids FROM reach WHERE depth > 0""",
+        array_to_string(edge_ids, ',') AS edge_ids, array_to_string(evidence_ids, ',') AS evidence_ids FROM a_targets""",
     ),
+    "t2_warnings": query(AUTHORITY, reach(TIGHT), select="SELECT code, node_id, array_to_string(path, ',') AS path, place FROM a_said"),
     "a1_funnel": query(
         GRAPH,
         STATES,
@@ -229,14 +291,7 @@ ORACLES = {
         select="SELECT referenced, requested, resolved, requested - resolved AS missing, referenced - requested AS omitted, referenced = resolved AS complete FROM n",
     ),
     "p3_catalog": query(GRAPH, STATES, ON_PATHS, CITED, select="SELECT id AS evidence_id, source_type, confidence, incident_id = 30 AS incident_linked FROM evidence WHERE id IN (SELECT evidence_id FROM cited)"),
-    "a7_strongest_paths": query(
-        GRAPH,
-        STATES,
-        SUPPORT,
-        "counts AS (SELECT service_id, count(*) AS path_count, count(*) FILTER (exact > 0) AS resolved_paths FROM stages GROUP BY 1), best AS (SELECT * FROM stages QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY (exact > 0) DESC, exact DESC, path_key) = 1)",
-        select="""SELECT service_id, CASE WHEN exact > 0 THEN 'resolved' ELSE 'candidate' END AS stage, path_key, exact AS confidence,
-        CASE WHEN exact >= 0.9 THEN 'strong' WHEN exact >= 0.8 THEN 'probable' WHEN exact > 0 THEN 'contextual' ELSE 'unknown' END AS band, path_count, resolved_paths FROM best JOIN counts USING (service_id)""",
-    ),
+    "a7_strongest_paths": query(GRAPH, STATES, SUPPORT, judged(), select="SELECT service_id, stage, path_key, exact_confidence AS confidence, band, path_count, resolved_paths FROM strongest"),
     "a10_selection": query(
         GRAPH, STATES, ON_PATHS, select="SELECT service_id, array_to_string(list_sort(list(DISTINCT dependency_type)), ',') AS dependency_types, array_to_string(list_sort(list(DISTINCT declared_range)), ',') AS declared_ranges FROM on_paths GROUP BY 1"
     ),
@@ -254,5 +309,19 @@ ORACLES = {
         select="""SELECT a.incident_id, CASE WHEN valid_from IS NULL THEN 'unknown' WHEN greatest(valid_from, interval_start) <= least(coalesce(valid_until, 9223372036854775807), coalesce(interval_end, 9223372036854775807)) THEN 'during' ELSE 'outside' END AS overlap,
         count(*) AS edge_count FROM affects a JOIN incidents i ON i.id = a.incident_id JOIN edges e ON e.target_id = a.version_id GROUP BY 1, 2""",
     ),
-    "t4_containment": query(GRAPH, STATES, AUTHORITY, reach(AUTHORITY_DEPTH), _CONTAINED, select="SELECT measure, before, after, before - after AS removed FROM measured"),
+    "t4_containment": query(GRAPH, AUTHORITY, *_contained(WHOLE, AUTHORITY_LIMITS), select=_MEASURED),
+    "t4_small_containment": query(
+        GRAPH,
+        AUTHORITY,
+        "direct AS (SELECT * FROM edges WHERE source_kind = 'Service')",
+        *_contained(Limits(12, 1000, _ALL, _ALL, _ALL, _ALL, _ALL), Limits(40, 10**6, _ALL, _ALL, _ALL, _ALL, _ALL), "direct"),
+        select=_MEASURED,
+    ),
+    "t4_out_of_reach": query(
+        GRAPH,
+        _PLAN.replace("authority2 AS (SELECT * FROM authority WHERE NOT (kind = 'CAN_PUBLISH' AND len(evidence_ids) = 1))", "left_edges AS (SELECT * FROM edges WHERE source_id NOT IN (SELECT id FROM plan_nodes) AND target_id NOT IN (SELECT id FROM plan_nodes))"),
+        _reached("roots", "edges", ""),
+        _reached("open_roots", "left_edges", "o_"),
+        select="SELECT root_id, cur AS service_id FROM hops_to WHERE terminal EXCEPT SELECT root_id, cur FROM o_hops_to WHERE terminal",
+    ),
 }

@@ -23,16 +23,24 @@ def build_session(app: str = "tracewright", master: str | None = None, **conf: s
     return builder.config(map=settings).getOrCreate()
 
 
+#: Temporary folders of local sessions, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder for intermediate tables, below the cluster's shared checkpoint folder.
 
-    The folder is the session's own `spark.checkpoint.dir`; only where that is unset (tests on one machine) a
-    temporary one is made.
+    The folder is the session's own `spark.checkpoint.dir`. Only where that is unset and driver and executors are one
+    process on one machine (tests) a temporary one is made; a cluster must name one that all its machines share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR") or None)
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR") or None)
+        base = _LOCAL[context.applicationId]
     return f"{base.rstrip('/')}/tracewright-{uuid.uuid4().hex}"
 
 

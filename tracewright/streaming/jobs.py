@@ -13,19 +13,24 @@ from ..operators.merge import upsert
 from ..operators.temporal import close_snapshots
 from ..session import shared_dir
 
-#: How long a job may run without an event, and which event leads to which status.
-ACTIVE_TIMEOUT_MS = 15 * 60_000
+#: How long a job may run without an event, how long a finished one is kept, and which event leads to which status.
+ACTIVE_TIMEOUT_MS, RETENTION_MS = 15 * 60_000, 60 * 60_000
 TERMINAL = ("completed", "partially_completed", "failed")
 STATUS = {"signup": "queued", "click": "running", "view": "running", "purchase": "completed", "error": "failed"}
-OUTPUT = "job_id long, status string, at long, events long"
+OUTPUT = "job_id long, status string, at long, events long, timed_out boolean"
+_COLUMNS = ["job_id", "status", "at", "events", "timed_out"]
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One job's events in time order; a terminal status stays, a silent active job times out as failed."""
+    """One job's events in time order; a terminal status stays, a silent active job times out as failed.
+
+    A finished job leaves the state after its retention, so the state holds active and recent jobs only.
+    """
     status, at, n = state.get if state.exists else (None, 0, 0)
     if state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame([(key[0], "failed", at + ACTIVE_TIMEOUT_MS, n)], columns=["job_id", "status", "at", "events"])
+        if status not in TERMINAL:
+            yield pd.DataFrame([(key[0], "failed", at + ACTIVE_TIMEOUT_MS, n, True)], columns=_COLUMNS)
         return
     rows = pd.concat(list(batches)).sort_values(["at", "event_type"], kind="stable")
     for event_type, when in zip(rows["event_type"], rows["at"], strict=True):
@@ -33,13 +38,12 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         if status not in TERMINAL:
             status, at = STATUS.get(event_type, status), int(when)
     state.update((status, at, n))
-    if status not in TERMINAL:
-        state.setTimeoutTimestamp(max(at + ACTIVE_TIMEOUT_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([(key[0], status, at, n)], columns=["job_id", "status", "at", "events"])
+    state.setTimeoutTimestamp(max(at + (RETENTION_MS if status in TERMINAL else ACTIVE_TIMEOUT_MS), state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame([(key[0], status, at, n, False)], columns=_COLUMNS)
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """Status changes of jobs from a stream (job_id, event_type, ts): job_id, status, at (ms), events so far."""
+    """Status changes of jobs from a stream (job_id, event_type, ts): job_id, status, at (ms), events so far, timed_out."""
     rows = events.withWatermark("ts", "10 minutes").select("job_id", "event_type", "ts", F.unix_millis("ts").alias("at"))
     return rows.groupBy("job_id").applyInPandasWithState(_advance, OUTPUT, "status string, at long, events long", "update", GroupStateTimeout.EventTimeTimeout)
 
@@ -49,6 +53,29 @@ def first_submissions(events: DataFrame, key: str, within: str = "1 hour") -> Da
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
+def _submit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One idempotency key's submissions in time order: the first is accepted, others repeat it or contradict its payload."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    payload = state.get[0] if state.exists else None
+    rows = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
+    said = []
+    for event_id, own in zip(rows["event_id"], rows["payload"], strict=True):
+        said.append((int(event_id), "accepted" if payload is None else "repeated" if own == payload else "conflict"))
+        payload = own if payload is None else payload
+    state.update((payload,))
+    state.setTimeoutTimestamp(max(int(rows["at"].max()) + RETENTION_MS, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(said, columns=["event_id", "outcome"])
+
+
+def submission_outcomes(events: DataFrame) -> DataFrame:
+    """event_id, outcome (accepted, repeated, conflict) of submissions (idempotency_key, payload, event_id, ts); a key is
+    forgotten when it has been silent for the retention."""
+    rows = events.withWatermark("ts", "10 minutes").select("idempotency_key", "payload", "event_id", "ts", F.unix_millis("ts").alias("at"))
+    return rows.groupBy("idempotency_key").applyInPandasWithState(_submit, "event_id long, outcome string", "payload string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def activity(events: DataFrame, width: str = "1 hour") -> DataFrame:
     """Tumbling counts by event type, late events within the watermark included."""
     grouped = events.withWatermark("ts", "10 minutes").groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
@@ -83,17 +110,37 @@ def supersede(current: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFr
     return close_snapshots(current.select("service_id", "content", "valid_from").unionByName(fresh)), placed.where(late).drop("_open")
 
 
-def latest_by_key(spark: SparkSession, stream: DataFrame, key: str, clock: str) -> DataFrame:
-    """Guarded upsert of a stream: the newest `clock` wins, each batch merged into a new version of the table."""
-    base = shared_dir(spark)
-    versions: list[str] = []
+def latest_by_key(spark: SparkSession, stream: DataFrame, key: str, clock: str, base: str | None = None) -> DataFrame:
+    """Guarded upsert of a stream: the newest `clock` wins, each batch merged into a new version of the table.
+
+    With `base`, the stream goes on where an earlier run with that folder ended: batch n merges into version n - 1, which
+    is found in storage.
+    """
+    base = base or shared_dir(spark)
+
+    def each(batch: DataFrame, number: int) -> None:
+        current = spark.read.parquet(f"{base}/data/version={number - 1}") if number else batch.limit(0)
+        upsert(current, upsert(batch.limit(0), batch, key, clock), key, clock).write.mode("overwrite").parquet(f"{base}/data/version={number}")
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    versions = spark.read.parquet(f"{base}/data")
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == newest).drop("version")
+
+
+def supersede_stream(spark: SparkSession, stream: DataFrame, base: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(history, quarantined) after a stream of snapshots (service_id, content, valid_from): each batch supersedes the open
+    snapshot of its services; those older than it are set aside. Restarts as `latest_by_key`."""
+    base = base or shared_dir(spark)
+    start = "service_id long, content string, valid_from long, valid_until long, is_current boolean"
 
     def each(batch: DataFrame, number: int) -> None:
-        newest = upsert(batch.limit(0), batch, key, clock)
-        if versions:
-            newest = upsert(spark.read.parquet(versions[-1]), newest, key, clock)
-        newest.write.mode("overwrite").parquet(f"{base}/v{number}")
-        versions.append(f"{base}/v{number}")
+        current = spark.read.parquet(f"{base}/history/version={number - 1}") if number else spark.createDataFrame([], start)
+        history, late = supersede(current, batch)
+        history.write.mode("overwrite").parquet(f"{base}/history/version={number}")
+        late.write.mode("overwrite").parquet(f"{base}/late/version={number}")
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(versions[-1])
+    history, late = spark.read.parquet(f"{base}/history"), spark.read.parquet(f"{base}/late")
+    newest = history.agg(F.max("version")).first()[0]
+    return history.where(F.col("version") == newest).drop("version"), late.drop("version")
