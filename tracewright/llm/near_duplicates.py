@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -34,7 +34,7 @@ BLOCK_SHINGLES, BLOCK_TEXTS = 400_000, 700
 #: Up to so many units under one trie node are paired, more of them become one group; so do paired units of which one holds
 #: more texts than this, or both have more partners. The pairs that are left join small units, at most so many for one of
 #: the two, and a dense group is compared in blocks.
-NODE_UNITS = 16
+NODE_UNITS = 8
 #: Shingles of up to so many texts of a block are counted pair by pair, others by matrix products.
 FEW = 24
 
@@ -213,38 +213,40 @@ def _key(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _units(leaves: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
-    """((node, unit, group) of every text, (x, y) pairs of units to compare) from leaves (key, n, needed, path) of large groups.
+def _units(members: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
+    """((node, unit, group) of every text, (x, y) pairs of units to compare) from members (node, n, needed, trees) of large groups.
 
-    Texts of a full path are a unit. Level by level the prefix is shortened for the texts that need it: units under one
-    node are paired, or joined to a group where they are many or crowded (see NODE_UNITS). Pairs within a group are left
-    out: all of its texts are compared.
+    Texts of a full path are a unit. At every shorter prefix that a text needs, units under one trie node are paired, or
+    joined to a group where they are many or crowded (see NODE_UNITS). Pairs within a group are left out: all of its texts
+    are compared. The tries are walked as sorted runs of keys (windows), not joined.
     """
-    least = materialize(leaves.groupBy("path").agg(F.min("key").alias("least")))
-    units = materialize(components(leaves.join(least, "path").select(F.col("key").alias("a"), F.col("least").alias("b"))).withColumnRenamed("root", "unit"))
-    pairs = units.select(F.col("unit").alias("x"), F.col("unit").alias("y")).limit(0)
-    joins = units.select(F.col("unit").alias("a"), F.col("unit").alias("b")).distinct()
-    for depth in range(DEPTH - 1, base - 1, -1):
-        prefix = F.substring("path", 1, path_bytes(depth, base)).alias("prefix")
-        under = leaves.where(F.col("needed") <= depth).select(F.col("key").alias("node"), prefix).join(units, "node").select("prefix", "unit").distinct()
-        nodes = materialize(under.groupBy("prefix").agg(F.count("*").alias("units"), F.min("unit").alias("least")).where("units > 1"))
-        under = materialize(under.join(nodes, "prefix"))
-        few = under.where(F.col("units") <= NODE_UNITS)
-        other = few.select("prefix", F.col("unit").alias("y"))
-        new = few.select("prefix", F.col("unit").alias("x")).join(other, "prefix").where("x < y").select("x", "y")
-        pairs = materialize(pairs.union(new).distinct())
-        joins = joins.union(under.where(F.col("units") > NODE_UNITS).select(F.col("unit").alias("a"), F.col("least").alias("b")))
-    texts = leaves.select(F.col("key").alias("node"), "n").distinct().join(units, "node")
-    sizes = texts.groupBy("unit").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    width = path_bytes(DEPTH, base)
+    trees = f"sequence(0, {TREES - 1})"
+    full = members.select("node", F.explode(F.expr(f"transform({trees}, k -> substring(trees, k * {width} + 1, {width}))")).alias("path"))
+    run = full.withColumn("least", F.min("node").over(Window.partitionBy("path"))).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    roots = components(run).withColumnRenamed("root", "unit")
+    units = materialize(members.join(roots, "node", "left").withColumn("unit", F.coalesce("unit", "node")))
+    # every prefix from the shortest that a text needs on; prefixes of different lengths are different keys
+    lengths = f"filter(sequence({base}, {DEPTH - 1}), d -> d >= needed)"
+    prefixes = F.explode(F.expr(f"flatten(transform({trees}, k -> transform({lengths}, d -> substring(trees, k * {width} + 1, 8 + 2 * (d - {base})))))")).alias("prefix")
+    by_node = Window.partitionBy("prefix")
+    under = units.select("unit", prefixes).distinct().withColumn("units", F.count("*").over(by_node)).where("units > 1").withColumn("least", F.min("unit").over(by_node))
+    under = materialize(under)
+    listed = under.where(F.col("units") <= NODE_UNITS).groupBy("prefix").agg(F.sort_array(F.collect_list("unit")).alias("u"))
+    paired = listed.select(F.explode(F.expr("flatten(transform(u, (a, i) -> transform(slice(u, i + 2, size(u)), b -> struct(a AS x, b AS y))))")).alias("p")).select("p.x", "p.y")
+    pairs = materialize(paired.distinct())
+    many = under.where(F.col("units") > NODE_UNITS).select(F.col("unit").alias("a"), F.col("least").alias("b"))
+    sizes = units.groupBy("unit").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
     partners = pairs.select(F.col("x").alias("unit")).union(pairs.select("y")).groupBy("unit").agg(F.count("*").alias("partners"))
     large = (F.col("texts") > NODE_UNITS) | (F.col("shingles") > BLOCK_SHINGLES / 2)
     crowded = materialize(sizes.join(partners, "unit").select("unit", large.alias("large"), (F.col("partners") > NODE_UNITS).alias("many")).where("large OR many"))
     of = lambda column: crowded.select(F.col("unit").alias(column), F.col("large").alias(f"{column}_large"), F.col("many").alias(f"{column}_many"))
     dense = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where("coalesce(x_large, false) OR coalesce(y_large, false) OR (x_many AND y_many)")
-    groups = materialize(components(joins.union(dense.select(F.col("x").alias("a"), F.col("y").alias("b")))).withColumnRenamed("root", "group"))
+    groups = materialize(components(many.union(dense.select(F.col("x").alias("a"), F.col("y").alias("b")))).withColumnRenamed("root", "group"))
     named = lambda column: groups.select(F.col("node").alias(column), F.col("group").alias(f"{column}_group"))
-    apart = materialize(pairs.join(named("x"), "x").join(named("y"), "y").where("x_group <> y_group").select("x", "y"))
-    return units.join(groups.withColumnRenamed("node", "unit"), "unit").select("node", "unit", "group"), apart
+    apart = pairs.join(named("x"), "x", "left").join(named("y"), "y", "left").where("coalesce(x_group, x) <> coalesce(y_group, y)").select("x", "y")
+    placed = units.join(groups.withColumnRenamed("node", "unit"), "unit", "left").select("node", "unit", F.coalesce("group", "unit").alias("group"))
+    return placed, materialize(apart)
 
 
 def _parts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -291,8 +293,7 @@ def link_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     pairs = grouped.select(F.col("unit").alias("x"), F.col("unit").alias("y")).limit(0)
     if not large.isEmpty():
         apart = materialize(grouped.join(large, "group").drop("unit", "group"))
-        paths = apart.select(F.col("node").alias("key")).join(signed, "key").select("key", "n", "needed", path)
-        units, pairs = _units(materialize(paths), base)
+        units, pairs = _units(materialize(apart.select("node", "n").join(signed.select(F.col("key").alias("node"), "needed", "trees"), "node")), base)
         grouped = materialize(grouped.join(large, "group", "left_anti").unionByName(apart.join(units, "node")))
     members = _parts(grouped.withColumnRenamed("node", "key"), pairs)
     members = members.select(F.col("key").alias("_key"), F.col("first.doc_id").alias("_first"), "part", "block", "copies")
