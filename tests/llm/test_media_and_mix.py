@@ -176,3 +176,29 @@ def test_pipeline(spark, sf_dir):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     ran = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, ran.collect()), key=str) == sorted(map(tuple, last.collect()), key=str)
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Null and empty texts, repeated rows, null ids, odd columns and an empty table go through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, unit string"
+    prose = [(k, f"the {k} people of the town went over the river and then back to the old house number {k * k}", "en", "web", 10, "x", "y") for k in range(12)]
+    odd = [(100, None, None, None, None, None, None), (101, "", "en", None, 0, None, None), (None, "password=abcdef12 and the people of the town by the river", "en", "web", 5, "x", "y")]
+    tables = {"a": [*prose, *odd, prose[3], prose[3]], "b": []}
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    for name, rows in tables.items():
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        left = docs.collect()
+        mixed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+        if not rows:
+            assert not left and not mixed
+            continue
+        kept = [r.doc_id for r in left]
+        assert len(kept) == len(set(kept)) and 100 not in kept and 101 not in kept and {k for k in range(12)} <= set(kept)
+        assert "password" not in next(r.text for r in left if r.doc_id is None)
+        assert {r.doc_id for r in mixed} <= set(kept)
