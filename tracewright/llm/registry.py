@@ -6,8 +6,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import read_table
-from . import chat, decontamination, language_id, language_model, licenses, media, mixing, near_duplicates, oracles, secrets, token_counts
+from ..session import read_table, shared_dir
+from . import chat, decontamination, divergence, filter_audit, language_id, language_model, licenses, media, mixing, near_duplicates, oracles, secrets, token_counts, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(_documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its most over-used terms."""
+    return divergence.source_divergence(_documents(spark, sf_dir))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in token-ID files of directly addressable codes, read back."""
+    path = shared_dir(spark)
+    token_files.write_token_files(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.token_digest(token_files.read_token_files(spark, path))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every filter removes at every step of every order."""
+    return filter_audit.audit_filters(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scans": op2_secret_scans,
@@ -76,10 +93,15 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scans": op9_license_scans,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_token_files": op12_token_files,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op2_secret_scans": oracles.SECRETS,
     "op7_chat_formatting": oracles.CHATS,
     "op8_jaccard_join": oracles.JOIN,
+    "op11_source_divergence": oracles.DIVERGENCE,
+    "op13_filter_audit": oracles.FILTERS,
 }
