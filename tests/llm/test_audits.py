@@ -171,12 +171,17 @@ def test_token_files_of_the_tables(spark, sf_dir):
     assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
 
 
-def test_forgetful_encoder(monkeypatch):
-    monkeypatch.setattr(token_files, "CACHE_WORDS", 3)
+@pytest.mark.parametrize("held", [3, 600_000])
+def test_encoder_equals_the_library(monkeypatch, held):
+    """Word by word and whole agree, whatever the table holds: punctuation, contractions, marks, special strings, odd spaces."""
+    monkeypatch.setattr(token_files, "CACHE_WORDS", held)
+    monkeypatch.setattr(token_files, "_JOINED", 2)
     words = token_files.WordEncoder(VOCABULARY)
-    text = "one two three four five six one two"
-    assert words.encode(text.encode()).tolist() == slow_tokens([(0, text)])[0][1][:-1]
-    assert words.encode(b"five five seven").tolist() == slow_tokens([(0, "five five seven")])[0][1][:-1]
+    pieces_ = ["one", "Two,", "three's", "it'd.", "<|endoftext|>", "x<|startoftext|>y!", "e\u0301,", "\u0301", "\u0130,", "\u2014,", "a\u2014,", "5.", "12-3", "don't", "\u00df.", "\u4e2d\u6587,", "...", "'", "x'", "a|", "b>", "c<", "'s", "d's.", "9'll,", "\u01c4."]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(pieces_, 30)) for _ in range(40)] + ["".join(rng.choice(pieces_, 12)) for _ in range(40)] + ["", " ", "\u3000\x1c\x85"]
+    for text, got in zip(texts, words.encode_all([t.encode() for t in texts]), strict=True):
+        assert got.tolist() == slow_tokens([(0, text)])[0][1][:-1], text
 
 
 def test_token_files_of_nothing(spark, make_docs):

@@ -8,7 +8,6 @@ the divergences of its sources directly, block by block of the vocabulary.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +25,11 @@ MIN_DOCS = 3
 #: Ranks of a group's most over-used terms.
 TOP_TERMS = 200
 #: Stripe entries (term and source) a task holds before it spills them.
-SPILL_ENTRIES = 400_000
+SPILL_ENTRIES = 1_000_000
+#: Additions of single texts that wait before they are folded into the stripes.
+PENDING = 500_000
 #: Stripe entries of a block of the vocabulary, about; blocks of a language are compared side by side.
-BLOCK_ENTRIES = 1_000_000
+BLOCK_ENTRIES = 50_000
 #: Cells (terms times sources) compared at once.
 CELLS = 1 << 20
 #: Key salts that spread the terms of one language.
@@ -41,77 +42,116 @@ _GAP = re.compile(rb"[^a-z\x80-\xff]")
 _STRIPE = "lang string, term string, docs long, total long, stripe map<string, long>"
 
 
-def _batch(lang: list[str], term: list[bytes], docs: list[int], stripes: list[list[tuple[str, int]]]) -> pa.RecordBatch:
-    offsets = np.cumsum([0, *map(len, stripes)]).astype(np.int32)
-    held = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([s for row in stripes for s, _ in row], pa.string()), pa.array([n for row in stripes for _, n in row], pa.int64()))
-    totals = pa.array([sum(n for _, n in row) for row in stripes], pa.int64())
-    arrays = [pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), totals, held]
-    return pa.RecordBatch.from_arrays(arrays, ["lang", "term", "docs", "total", "stripe"])
-
-
-def _spill(docs: dict[str, Counter], counts: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
-    """The held stripes; a stripe of the empty term names the sources that occur."""
-    by_lang: dict[str, dict[bytes, list]] = defaultdict(lambda: defaultdict(list))
-    for (lang, source), terms in counts.items():
-        stripes = by_lang[lang]
-        stripes[b""].append((source, 0))
-        for term, n in terms.items():
-            stripes[term].append((source, n))
-    for lang, stripes in by_lang.items():
-        keys = list(stripes)
+class _Numbers(dict):
+    """Key -> number, in order of first use."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(values, first) if len(first) else values
+
+
+class StripeFolder:
+    """The stripes of a task: documents by (language, term), occurrences by (language, term, source)."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.terms, self.langs, self.sources = _Numbers(), _Numbers(), _Numbers()
+        self.terms[b""]  # number 0: the stripe that names the sources of a language
+        self.docs = self.counts = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.new_docs: list = []
+        self.new_counts: list = []
+        self.waiting = 0
+
+    def add(self, text: bytes, lang: str, source: str) -> None:
+        """Fold one document in. `lower` of bytes changes A-Z only."""
+        number = self.terms.__getitem__
+        found = [np.fromiter(map(number, words), np.int64, len(words)) for words in (_TERM.findall(p) for p in pieces(text.lower(), _GAP))]
+        ids, counts = np.unique(np.concatenate([*found, [0]]), return_counts=True)
+        counts[0] -= 1  # the empty term is only named
+        keys = ids << 16 | self.langs[lang]
+        self.new_docs.append((keys, (ids > 0).astype(np.int64)))
+        self.new_counts.append((keys << 24 | self.sources[source], counts))
+        self.waiting += len(ids)
+        if self.waiting >= PENDING:
+            self.settle()
+
+    def settle(self) -> None:
+        self.docs, self.counts = (_summed(*map(np.concatenate, zip(held, *new, strict=True))) for held, new in ((self.docs, self.new_docs), (self.counts, self.new_counts)))
+        self.new_docs, self.new_counts, self.waiting = [], [], 0
+
+    def full(self) -> bool:
+        """Are there enough entries to spill? Languages and sources have 16 and 24 bits of a key."""
+        return len(self.counts[0]) + self.waiting >= SPILL_ENTRIES or len(self.langs) >= 1 << 16 or len(self.sources) >= 1 << 24
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        (keys, docs), (entries, counts) = self.docs, self.counts
+        names = [pa.array(list(n), t) for n, t in ((self.terms, pa.binary()), (self.langs, pa.string()), (self.sources, pa.string()))]
         for low in range(0, len(keys), 50_000):
             some = keys[low : low + 50_000]
-            yield _batch([lang] * len(some), some, [docs[lang][t] for t in some], [stripes[t] for t in some])
+            first, last = np.searchsorted(entries, [some[0] << 24, (some[-1] + 1) << 24])
+            offsets = np.append(np.searchsorted(entries[first:last], some << 24), last - first)
+            yield _batch(names[1].take(pa.array(some & 0xFFFF)), names[0].take(pa.array(some >> 16)).cast(pa.string()), docs[low : low + 50_000], offsets, names[2].take(pa.array(entries[first:last] & 0xFFFFFF)), counts[first:last])
+        self.clear()
+
+
+def _batch(lang: pa.Array, term: pa.Array, docs: np.ndarray, offsets: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    totals = np.add.reduceat(counts, offsets[:-1]) if len(docs) else np.zeros(0, np.int64)  # no stripe is empty
+    stripe = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), sources, pa.array(counts, pa.int64()))
+    return pa.RecordBatch.from_arrays([lang, term, pa.array(docs, pa.int64()), pa.array(totals, pa.int64()), stripe], ["lang", "term", "docs", "total", "stripe"])
 
 
 def fold_stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (text in UTF-8, lang, source) to stripes, folded inside the task."""
-    docs: dict[str, Counter] = defaultdict(Counter)
-    counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    held = 0
+    """Documents (text in UTF-8, lang, source) to stripes, folded inside the task; a stripe of the empty term names the sources."""
+    folder = StripeFolder()
     for batch in batches:
         for part in slices(batch, "text"):
             for text, lang, source in zip(*(part.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
-                seen: Counter = Counter()
-                for piece in pieces(text.lower(), _GAP):  # lower() of bytes changes A-Z only
-                    seen.update(_TERM.findall(piece))
-                stripe = counts[lang, source]
-                held -= len(stripe)
-                stripe.update(seen)
-                held += len(stripe) + 1
-                docs[lang].update(seen.keys())
-                if held > SPILL_ENTRIES:
-                    yield from _spill(docs, counts)
-                    docs.clear()
-                    counts.clear()
-                    held = 0
-    yield from _spill(docs, counts)
+                folder.add(text, lang, source)
+                if folder.full():
+                    yield from folder.spill()
+    yield from folder.spill()
 
 
 def _merger(least: int):
+    def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of equal (lang, term) that follow each other, as one."""
+        lang, term, docs = batch.column("lang"), batch.column("term"), np.asarray(batch.column("docs"))
+        stripe = batch.column("stripe")
+        offsets = np.asarray(stripe.offsets).astype(np.int64)
+        named, counts = stripe.keys.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode(), np.asarray(stripe.items)[offsets[0] : offsets[-1]]
+        same = pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(term[1:], term[:-1]))
+        group = np.cumsum(np.r_[0, ~np.asarray(same.to_numpy(zero_copy_only=False), bool)])
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        entries, sums = _summed(np.repeat(group, np.diff(offsets)) << 32 | np.asarray(named.indices, np.int64), counts)
+        at = pa.array(first)
+        return _batch(lang.take(at), term.take(at), np.add.reduceat(docs, first), np.searchsorted(entries, np.arange(len(first) + 1) << 32), named.dictionary.take(pa.array(entries & 0xFFFFFFFF)), sums)
+
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pc.or_(pc.greater_equal(batch.column("docs"), least), pc.equal(batch.column("term"), "")))
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stripes in key order to one stripe a key; terms in fewer than `least` documents go."""
-        key, docs, stripe = None, 0, {}
-        out: tuple[list, ...] = ([], [], [], [])
-
-        def close() -> None:
-            if key is not None and (docs >= least or not key[1]):
-                for column, value in zip(out, (key[0], key[1].encode(), docs, sorted(stripe.items())), strict=True):
-                    column.append(value)
-
+        held = None
         for batch in batches:
-            for lang, term, n, entries in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "docs", "stripe")), strict=True):
-                if (lang, term) != key:
-                    close()
-                    key, docs, stripe = (lang, term), 0, {}
-                docs += n
-                for source, count in entries:
-                    stripe[source] = stripe.get(source, 0) + count
-            if len(out[0]) >= 20_000:
-                yield _batch(*out)
-                out = ([], [], [], [])
-        close()
-        yield _batch(*out)
+            if not batch.num_rows:
+                continue
+            batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            whole = merged(batch)
+            yield kept(whole.slice(0, whole.num_rows - 1))
+            held = whole.slice(whole.num_rows - 1)  # its key may go on in the next batch
+        if held is not None:
+            yield kept(held)
 
     return merge
 

@@ -8,7 +8,9 @@ Spark's own commit makes it whole whatever executors are lost.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +30,9 @@ SEGMENT = 1 << 18
 #: Bits of a rank directory's block.
 RANK_BITS = 512
 #: Words whose ids a worker keeps; the table is emptied when full, which changes speed and never ids.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 600_000
+#: Unseen words that the library gets as one text.
+_JOINED = 1000
 
 _MAGIC = b"DAC1"
 _ONES = 0xFFFFFFFF
@@ -110,11 +114,34 @@ class DacReader:
         return out
 
 
+#: The letters of ASCII and Latin-1, which normalise to letters and to themselves alone.
+_LATIN = rb"[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+#: Punctuation at a word's end, after such a letter or an ASCII digit. The vocabulary's split always parts the two; the
+#: marks of contractions and special strings are not among it.
+_MARK = rb"[!-&(-;=?-@\[-`{}~]"
+_TAIL = re.compile(_MARK + rb"(?:(?<=[A-Za-z0-9]" + _MARK + rb")|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]" + _MARK + rb"))" + _MARK + rb"*(?=[\x20\x09-\x0D]|\Z)")
+#: Words that the vocabulary's split leaves whole.
+_LETTERS = re.compile(rb"(?:" + _LATIN + rb")+")
+
+
+class _Numbers(dict):
+    """Word -> number; an unseen word gets the next one and is noted."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class WordEncoder:
-    """The library's ids of a text, word by word.
+    """The library's ids of texts, word by word.
 
     The vocabulary's normaliser and split never join characters across ASCII white space, and its special strings hold
-    none, so a text's ids are those of its words in order; a word that was seen before is looked up.
+    none, so a text's ids are those of its words in order; a word that was seen before is looked up. Words of letters
+    alone go to the library many at once: the end-of-word mark of its pieces tells them apart.
     """
 
     def __init__(self, path: str):
@@ -122,35 +149,59 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        mark = model["end_of_word_suffix"]
+        self.closes = np.zeros(1 + max(model["vocab"].values()), bool)
+        self.closes[[i for piece, i in model["vocab"].items() if piece.endswith(mark)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.library.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        ends = self.starts[-1] + np.cumsum([len(x) for x in found])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in found)])
-        self.starts = np.concatenate([self.starts, ends])
-
-    def encode(self, data: bytes) -> np.ndarray:
-        """Ids of a UTF-8 text; works through long ones piece by piece."""
-        out = [np.zeros(0, np.uint32)]
-        for piece in pieces(data, BLANK):
-            words = piece.split()
-            unseen = list({w for w in words if w not in self.known})
-            if unseen:
-                if len(self.known) + len(unseen) > CACHE_WORDS:
-                    self._forget()
-                    unseen = list(set(words))
-                self._learn(unseen)
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def _learn(self) -> None:
+        """The ids of the words noted since the last time."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        plain = [k for k, w in enumerate(fresh) if _LETTERS.fullmatch(w)]
+        rest = sorted(set(range(len(fresh))) - set(plain))
+        found: list[np.ndarray] = [None] * len(fresh)
+        groups = [plain[low : low + _JOINED] for low in range(0, len(plain), _JOINED)]
+        asked = [b" ".join(fresh[k] for k in g).decode() for g in groups] + [fresh[k].decode("utf-8", "replace") for k in rest]
+        answers = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(asked, add_special_tokens=False)]
+        for group, ids in zip(groups, answers, strict=False):
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(group):
+                raise ValueError("the vocabulary does not end every word with its mark")
+            for k, piece in zip(group, np.split(ids, ends[:-1]), strict=True):
+                found[k] = piece
+        for k, ids in zip(rest, answers[len(groups) :], strict=True):
+            found[k] = ids
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
+        self.ids = np.concatenate([self.ids, *found])
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts; works through long ones piece by piece."""
+        if len(self.numbers) > CACHE_WORDS:
+            self._forget()
+        placed = []
+        for text in texts:
+            for piece in pieces(text, BLANK):
+                words = _TAIL.sub(rb" \g<0>", piece).split()
+                placed.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+            placed.append(None)
+        if self.numbers.fresh:
+            self._learn()
+        out, parts = [], []
+        for at in placed:
+            if at is None:
+                out.append(np.concatenate(parts) if len(parts) > 1 else parts[0])
+                parts = []
+                continue
             sizes = self.starts[at + 1] - self.starts[at]
             first = np.cumsum(sizes) - sizes
-            out.append(self.ids[np.repeat(self.starts[at] - first, sizes) + np.arange(int(sizes.sum()))])
-        return np.concatenate(out)
+            parts.append(self.ids[np.repeat(self.starts[at] - first, sizes) + np.arange(int(sizes.sum()))])
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -184,8 +235,8 @@ def _writer(vocabulary: str, end_id: int, segment: int):
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for part in slices(batch, "text"):
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = np.append(words.encode(text), np.uint32(end_id))
+                for doc_id, found in zip(part.column("doc_id").to_pylist(), words.encode_all(part.column("text").to_pylist()), strict=True):
+                    ids = np.append(found, np.uint32(end_id))
                     done = 0
                     while done < len(ids):
                         some = min(len(ids) - done, segment - n_held)
