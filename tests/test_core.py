@@ -11,7 +11,7 @@ from tracewright.functions import names as N
 from tracewright.functions.identity import edge_logical_id, numeric_id, uri_component, valid_logical_id
 from tracewright.functions.semver import parse_range, satisfies
 from tracewright.operators import containment, evidence, firewall, merge, temporal, typosquat
-from tracewright.operators.traverse import Limits, authority_reach, blast_radius, bounded_traversal
+from tracewright.operators.traverse import Limits, admitted_states, all_paths, authority_reach, bounded_traversal, hop_page
 from tracewright.sources import lockfile, registry_docs
 from tracewright.streaming import jobs
 
@@ -37,15 +37,15 @@ def roots(spark, *ids):
 
 
 def test_blast_radius_fixture(spark):
-    found = blast_radius(roots(spark, 10), edges_of(spark, BLAST), Limits(depth=12)).where("terminal").collect()
+    found = all_paths(roots(spark, 10), edges_of(spark, BLAST), 12, 1000).where("terminal").collect()
     assert sorted((r.cur, r.depth) for r in found) == [(1, 1), (1, 2), (2, 1)]
-    shallow = blast_radius(roots(spark, 10), edges_of(spark, BLAST), Limits(depth=1)).where("terminal").collect()
+    shallow = bounded_traversal(roots(spark, 10), edges_of(spark, BLAST), Limits(depth=1)).services.collect()
     assert sorted(r.cur for r in shallow) == [1, 2]
 
 
 def test_as_of_keeps_unknown_validity(spark):
     rows = [(101, 1, "Service", 10, [], None, None), (102, 2, "Service", 10, [], 50, None), (103, 3, "Service", 10, [], 10, 40), (104, 4, "Service", 10, [], 10, 45)]
-    found = blast_radius(roots(spark, 10), edges_of(spark, rows), Limits(), as_of=45).where("terminal").collect()
+    found = bounded_traversal(roots(spark, 10), edges_of(spark, rows), Limits(), as_of=45).services.collect()
     assert sorted(r.cur for r in found) == [1, 4]
 
 
@@ -122,11 +122,22 @@ def test_bounds_equal_a_queue(spark, seed):
             seen.add((s, t))
             rows.append((1000 + i, s, "Service" if s < 8 else "PackageVersion", t, [1], 0, None))
     limits = Limits(depth=3, fan_out=r.choice([3, 20]), states=r.choice([15, 60, 5000]), ends=r.choice([3, 50]), paths_per_end=r.choice([1, 3]), paths=r.choice([4, 200]), warnings=r.choice([5, 30, 10**6]))
-    start = [8, 9, 12]
-    found = bounded_traversal(roots(spark, *start), edges_of(spark, rows), limits)
-    services, warnings = simulate(rows, start, limits)
-    assert [(x.cur, tuple(x.edge_ids)) for x in found.services.orderBy("ord").collect()] == services
-    assert [(x.code, x.node_id, tuple(x.path)) for x in found.warnings.orderBy("place").collect()] == warnings
+    incidents = {5: [8, 9, 12], 6: [9], 7: [14, 10], 8: [12, 8, 9, 10, 11, 13]}
+    named = spark.createDataFrame([(i, r_) for i, rs in incidents.items() for r_ in [*rs, rs[0]]], "incident_id long, root_id long")
+    found = bounded_traversal(named, edges_of(spark, rows), limits)
+    for incident, start in incidents.items():  # each as its own call would
+        services, warnings = simulate(rows, sorted(start), limits)
+        assert [(x.cur, tuple(x.edge_ids)) for x in found.services.where(f"incident_id = {incident}").orderBy("ord").collect()] == services
+        assert [(x.code, x.node_id, tuple(x.path)) for x in found.warnings.where(f"incident_id = {incident}").orderBy("place").collect()] == warnings
+
+
+def test_no_level_outgrows_its_run(spark):
+    """A root of very many paths in one incident neither costs nor cuts another's."""
+    rows = [(s * 100 + t, s, "PackageVersion", t, [1], 0, None) for s in range(10, 22) for t in range(10, 22) if s != t] + [(9000, 1, "Service", 50, [1], 0, None)]
+    page = hop_page(edges_of(spark, rows), "target_id", "source_id", 1000)
+    states = admitted_states(spark.createDataFrame([(1, 10), (1, 50), (2, 50)], "run long, start_id long"), page, Limits(states=40)).collect()
+    assert sorted(x.ord for x in states if x.run == 1) == list(range(1, 42)) and {x.start_id for x in states if x.run == 1} == {10}
+    assert [(x.ord, x.cur) for x in sorted(states, key=lambda x: x.ord) if x.run == 2] == [(1, 50), (2, 1)]
 
 
 def test_odd_roots_and_hops_are_warned_of(spark):
@@ -135,20 +146,22 @@ def test_odd_roots_and_hops_are_warned_of(spark):
     found = bounded_traversal(roots(spark, 1, 10, 77), rows, Limits(), nodes=nodes)
     assert sorted((x.cur, x.depth) for x in found.services.collect()) == [(1, 1), (2, 1)]
     said = [(x.code, x.node_id) for x in found.warnings.orderBy("place").collect()]
-    assert said == [("unsupported-root-node", 1), ("invalid-canonical-hop", 1), ("invalid-canonical-hop", 10), ("missing-node", 77)] and not found.truncated()
+    assert said == [("unsupported-root-node", 1), ("invalid-canonical-hop", 1), ("invalid-canonical-hop", 10), ("missing-node", 77)] and not found.cut().collect()
 
 
 def test_confidence_bands(spark):
     """Levels of paths by what backs their edges: exact at and below the threshold, contextual, mixed, missing."""
     known = spark.createDataFrame([(1, "package-lock", 0.85), (2, "package-lock", 0.5), (3, "npm-registry", 0.9), (4, "other", 0.9), (5, "odd", 0.9)], "id long, source_type string, confidence double")
     rows = [("strong", [[1]]), ("probable", [[1], [2]]), ("contextual", [[3], [4]]), ("possible", [[1], [3]]), ("possible2", [[5]]), ("unknown", [[1], [99]]), ("unknown2", [[1, 99]]), ("strong2", [[1, 2, 3]])]
-    flat = [(0, k, name, k * 100 + j, ids) for k, (name, edges) in enumerate(rows) for j, ids in enumerate(edges)]
-    on_paths = spark.createDataFrame(flat, "root_id long, service_id long, path_key string, edge_id long, evidence_ids array<long>")
+    flat = [(4, 0, k, name, k * 100 + j, ids) for k, (name, edges) in enumerate(rows) for j, ids in enumerate(edges)]
+    on_paths = spark.createDataFrame(flat, "incident_id long, root_id long, service_id long, path_key string, edge_id long, evidence_ids array<long>")
     stages = evidence.path_stages(evidence.edge_support(on_paths, known))
     got = {r.path_key: (r.band, r.stage) for r in evidence.strongest_paths(stages).collect()}
     assert {k: v[0] for k, v in got.items()} == {name: name.rstrip("2") for name, _ in rows}
     assert {k for k, v in got.items() if v[1] == "resolved"} == {"strong", "probable", "strong2"}
-    assert {r.band for r in evidence.strongest_paths(stages, complete=False).collect()} == {"unknown"}
+    cut = spark.createDataFrame([(4,)], "incident_id long")
+    assert {r.band for r in evidence.strongest_paths(stages, cut).collect()} == {"unknown"}
+    assert "strong" in {r.band for r in evidence.strongest_paths(stages, cut.where("incident_id = 9")).collect()}
 
 
 def test_authority_fixture(spark):
@@ -202,7 +215,7 @@ def test_windows(spark):
 
 def test_validity_is_intersection_then_hull(spark):
     rows = [(1, 5, "p", 10, 100), (1, 5, "p", 20, 80), (1, 5, "q", 50, None), (1, 6, "r", None, None), (1, 7, "s", 1, 2)]
-    df = spark.createDataFrame(rows, "root_id long, service_id long, path_key string, valid_from long, valid_until long")
+    df = spark.createDataFrame(rows, "root_id long, service_id long, path_key string, valid_from long, valid_until long").withColumn("incident_id", F.lit(0))
     got = {r.service_id: (r.opens, r.closes, r.unknown_paths) for r in temporal.service_validity(temporal.path_validity(df)).collect()}
     assert got == {5: (20, None, 0), 6: (None, None, 1), 7: (1, 2, 0)}
 
@@ -216,32 +229,140 @@ def test_snapshots_close(spark):
     assert [r.service_id for r in late.collect()] == ["other"] and sum(r.is_current for r in new.collect()) == 2
 
 
-def test_release_firewall_fixture(spark):
+def release_fixture(spark):
     node = "id long, kind string, trust string, evidence_ids array<long>"
-    chain = lambda ids, trust=("trusted",) * 9: [(i, k, t, [1]) for i, k, t in zip(ids, ("source-change", "workflow", "build", "artifact", "release"), trust, strict=False)]
-    nodes = chain([1, 2, 3, 4, 5]) + [(10, "source-change", "untrusted", [1]), (11, "workflow", "trusted", [1]), (12, "build", "trusted", [1]), (13, "cache", "trusted", [1]), (14, "build", "trusted", [1]), (15, "artifact", "trusted", [1]), (16, "release", "trusted", [1])]
-    nodes += [(20, "source-change", "unknown", [1]), (21, "build", "trusted", [1]), (22, "artifact", "trusted", [1]), (23, "release", "trusted", [1]), (30, "release", "trusted", [1])]
+    chain = lambda ids: [(i, k, "trusted", [1]) for i, k in zip(ids, ("source-change", "workflow-run", "build", "artifact", "release"), strict=True)]
+    nodes = chain([1, 2, 3, 4, 5]) + [(10, "source-change", "untrusted", [1]), (11, "workflow-run", "trusted", [1]), (12, "build", "trusted", [1]), (13, "cache-entry", "trusted", [1]), (14, "build", "trusted", [1]), (15, "artifact", "trusted", [1]), (16, "release", "trusted", [1])]
+    nodes += [(20, "source-change", "unknown", [1]), (21, "build", "trusted", [1]), (22, "artifact", "trusted", [1]), (23, "release", "trusted", [1]), (30, "release", "trusted", [])]
     e = lambda i, k, s, t, b="same-trust-zone": (i, k, s, t, "trusted", b, [1])
-    edges = [e(101, "triggers", 1, 2), e(102, "runs", 2, 3), e(103, "produces", 3, 4), e(104, "publishes", 4, 5)]
-    edges += [e(111, "triggers", 10, 11), e(112, "runs", 11, 12), e(113, "writes-cache", 12, 13, "cross-trust-boundary"), e(114, "restores-cache", 13, 14), e(115, "produces", 14, 15), e(116, "publishes", 15, 16)]
+    edges = [e(101, "triggers", 1, 2), e(102, "starts-build", 2, 3), e(103, "produces", 3, 4), e(104, "publishes", 4, 5)]
+    edges += [e(111, "triggers", 10, 11), e(112, "starts-build", 11, 12), e(113, "writes-cache", 12, 13, "cross-trust-boundary"), e(114, "restores-cache", 13, 14), e(115, "produces", 14, 15), e(116, "publishes", 15, 16)]
     edges += [e(121, "influences", 20, 21), e(122, "produces", 21, 22), e(123, "publishes", 22, 23)]
-    n = spark.createDataFrame(nodes, node)
     x = spark.createDataFrame(edges, "id long, kind string, source_id long, target_id long, trust string, boundary string, evidence_ids array<long>")
+    return spark.createDataFrame(nodes, node), x
 
-    def run(depth):
-        states = firewall.influence_states(n, x, depth)
-        found = firewall.findings(states, n, x)
-        return {r.release_id: r for r in firewall.decisions(n, found, states, firewall.depth_truncated(states, x, depth)).collect()}
 
-    got = run(16)
+def test_release_firewall_fixture(spark):
+    n, x = release_fixture(spark)
+    got = {r.release_id: r for r in firewall.evaluate(n, x).decisions.collect()}
     assert {k: r.verdict for k, r in got.items()} == {5: "allow", 16: "block", 23: "quarantine", 30: "quarantine"}
-    assert got[16].codes == "cross-boundary-cache,untrusted-node" and got[16].inspected_nodes >= 7
-    assert got[23].codes == "unknown-node" and got[30].codes == "missing-artifact-publication"
-    cut = run(1)[5]
-    assert cut.verdict == "quarantine" and cut.truncated
-    assert firewall.input_errors(n, x).count() == 0
-    dangling = x.unionByName(x.where("id = 101").withColumn("id", F.lit(999).cast("long")).withColumn("source_id", F.lit(777).cast("long")))
-    assert [(r.code, r.entity_id) for r in firewall.input_errors(n, dangling).collect()] == [("missing-edge-endpoint", 999)]
+    assert got[16].codes == "cross-boundary-cache,untrusted-node" and (got[16].inspected_nodes, got[16].inspected_edges, got[16].risk_paths) == (7, 6, 2)
+    assert got[23].codes == "unknown-node" and got[30].codes == "missing-artifact-publication,missing-node-evidence"
+    cut = firewall.evaluate(n, x, spark.createDataFrame([(5,)], "release_id long"), firewall.FirewallLimits(depth=1)).decisions.collect()
+    assert [(r.verdict, r.truncated, r.codes) for r in cut] == [("quarantine", True, "depth-limit-reached")]
+    lenient = firewall.evaluate(n, x, dispositions={"untrusted-node": "quarantine", "cross-boundary-cache": "quarantine"}).decisions
+    assert lenient.where("release_id = 16").first().verdict == "quarantine"
+
+
+def test_release_input_errors(spark):
+    """Each of the ten codes, and none of a sound input."""
+    n, x = release_fixture(spark)
+    asked = spark.createDataFrame([(5,), (16,)], "release_id long")
+    assert firewall.input_errors(n, x, asked).count() == 0
+    said = lambda *a: {(r.code, r.node_id, r.edge_id) for r in firewall.input_errors(*a).collect()}
+    assert said(n, x, asked.where("release_id < 0")) == {("empty-release-set", None, None)}
+    assert said(n, x, spark.createDataFrame([(5,), (5,), (77,), (4,)], "release_id long")) == {("duplicate-release-id", 5, None), ("missing-release-node", 77, None), ("wrong-release-node-kind", 4, None)}
+    change = lambda df, i, c, v: df.withColumn(c, F.when(F.col("id") == i, v).otherwise(F.col(c)))
+    assert said(n.union(n.where("id = 1")), x) == {("duplicate-node-id", 1, None)} and said(n, x.union(x.where("id = 101"))) == {("duplicate-edge-id", None, 101)}
+    for column, value in (("kind", F.lit("odd")), ("trust", F.lit(None).cast("string")), ("evidence_ids", F.array(F.lit(-1).cast("long")))):
+        assert ("invalid-node", 20, None) in said(change(n, 20, column, value), x)
+        assert said(n, change(x, 121, column, value)) == {("invalid-edge", None, 121)}
+    for column, value in (("boundary", F.lit("")), ("source_id", F.lit(21).cast("long"))):
+        assert said(n, change(x, 121, column, value)) == {("invalid-edge", None, 121)}
+    assert said(n, change(x, 121, "source_id", F.lit(777).cast("long"))) == {("missing-edge-endpoint", 777, 121)}
+    assert said(n, change(x, 121, "kind", F.lit("publishes"))) == {("invalid-edge-endpoints", None, 121)}
+
+
+def slow_firewall(nodes, edges, release, limits):
+    """One release by a queue: (findings in order, risk paths, inspected nodes, inspected edges)."""
+    facts = {i: (trust, proof) for i, _, trust, proof in nodes}
+    incoming = {}
+    for row in sorted(edges):
+        incoming.setdefault(row[3], []).append(row)
+    found, risky, keys, seen_nodes, seen_edges = [], [], set(), {release}, set()
+    state = {"stop": False, "paths": False}
+
+    def tell(code, node=None, edge=None, path=None):
+        if (code, node, edge, path) in keys:
+            return
+        if len(found) >= limits.findings - 1:
+            state["stop"] = True
+            if found[-1][0] != "finding-limit-reached":
+                found.append(("finding-limit-reached", None, None, None))
+            return
+        keys.add((code, node, edge, path))
+        found.append((code, node, edge, path))
+        if path is not None and path not in risky:
+            if len(risky) < limits.risk_paths:
+                risky.append(path)
+            elif not state["paths"]:
+                state["paths"] = True
+                tell("risk-path-limit-reached")
+
+    if not facts[release][1]:
+        tell("missing-node-evidence", release)
+    if not any(e[1] == "publishes" for e in incoming.get(release, [])):
+        tell("missing-artifact-publication", release)
+    queue, admitted = deque([(release, (release,), ())]), 1
+    while queue and not state["stop"]:
+        cur, path, used = queue.popleft()
+        hops = incoming.get(cur, [])
+        if len(used) >= limits.depth and hops:
+            tell("depth-limit-reached", cur)
+            continue
+        if len(hops) > limits.fan_in:
+            tell("incoming-edge-limit-reached", cur)
+        for i, kind, source, _, trust, boundary, proof in hops[: limits.fan_in]:
+            if state["stop"]:
+                break
+            seen_edges.add(i)
+            if source in path:
+                tell("cycle-skipped", source, i)
+                continue
+            onward, edges_on = (source, *path), (i, *used)
+            key = f"[[{','.join(map(str, onward))}],[{','.join(map(str, edges_on))}]]"
+            seen_nodes.add(source)
+            if not proof:
+                tell("missing-edge-evidence", None, i, key)
+            if trust != "trusted":
+                tell(f"{trust}-edge", None, i, key)
+            if kind.endswith("-cache") and boundary != "same-trust-zone":
+                tell("cross-boundary-cache" if boundary.startswith("cross") else "unknown-cache-boundary", None, i, key)
+            if not facts[source][1]:
+                tell("missing-node-evidence", source, None, key)
+            if facts[source][0] != "trusted":
+                tell(f"{facts[source][0]}-node", source, None, key)
+            if admitted >= limits.states:
+                state["stop"] = True
+                tell("traversal-state-limit-reached")
+                break
+            admitted += 1
+            queue.append((source, onward, edges_on))
+    return found, risky, len(seen_nodes), len(seen_edges)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_release_caps_equal_a_queue(spark, seed):
+    """Random graphs with cycles under bounds of which each acts in some of them."""
+    r = random.Random(seed)
+    trust = lambda: r.choice(["trusted", "trusted", "untrusted", "unknown"])
+    nodes = [(i, "release" if i < 4 else "build", trust(), [1] if r.random() < 0.7 else []) for i in range(1, 12)]
+    edges = []
+    for i in range(34):
+        s, t = r.randrange(4, 12), r.randrange(1, 12)
+        if s != t:
+            edges.append((100 + i, r.choice(["publishes", "influences", "writes-cache", "restores-cache"]), s, t, trust(), r.choice(["same-trust-zone", "cross-trust-boundary", "unknown"]), [1] if r.random() < 0.7 else []))
+    limits = firewall.FirewallLimits(depth=r.choice([2, 4, 16]), fan_in=r.choice([2, 100]), states=r.choice([6, 40, 10_000]), risk_paths=r.choice([3, 1000]), findings=r.choice([7, 40, 10_000]))
+    n = spark.createDataFrame(nodes, "id long, kind string, trust string, evidence_ids array<long>")
+    x = spark.createDataFrame(edges, "id long, kind string, source_id long, target_id long, trust string, boundary string, evidence_ids array<long>")
+    got = firewall.evaluate(n, x, None, limits)
+    findings, paths, decided = got.findings.collect(), got.risk_paths.collect(), {d.release_id: d for d in got.decisions.collect()}
+    for release in (1, 2, 3):
+        want, risky, n_nodes, n_edges = slow_firewall(nodes, edges, release, limits)
+        mine = sorted((f for f in findings if f.release_id == release), key=lambda f: f.place)
+        assert [(f.code, f.node_id, f.edge_id, f.path_key) for f in mine] == want
+        assert {p.path_key for p in paths if p.release_id == release} == set(risky)
+        assert (decided[release].inspected_nodes, decided[release].inspected_edges) == (n_nodes, n_edges)
 
 
 def test_ladder(spark):

@@ -82,14 +82,14 @@ def shared_authority(maintains: DataFrame) -> DataFrame:
 
 
 def exposure(states: DataFrame, edges: DataFrame, trusted: DataFrame) -> DataFrame:
-    """First path per service of which every edge shares evidence with the trusted set: root_id, service_id, depth, path."""
+    """First path per incident, root and service of which every edge shares evidence with the trusted set: incident_id, root_id, service_id, depth, path."""
     ids = trusted.select("evidence_id").distinct()
     backed = edges.select("id", F.explode("evidence_ids").alias("evidence_id")).join(ids, "evidence_id", "left_semi").select("id").distinct()
     paths = states.where("terminal")
-    hops = paths.select("root_id", "cur", "depth", "edge_ids", F.explode("edge_ids").alias("id")).join(backed.withColumn("ok", F.lit(1)), "id", "left")
-    whole = hops.groupBy("root_id", "cur", "depth", "edge_ids").agg(F.count("ok").alias("n")).where(F.col("n") == F.col("depth"))
-    first = F.row_number().over(Window.partitionBy("root_id", "cur").orderBy("depth", "edge_ids"))
-    return whole.withColumn("_n", first).where("_n = 1").select("root_id", F.col("cur").alias("service_id"), "depth", "edge_ids")
+    hops = paths.select("incident_id", "root_id", "cur", "depth", "edge_ids", F.explode("edge_ids").alias("id")).join(backed.withColumn("ok", F.lit(1)), "id", "left")
+    whole = hops.groupBy("incident_id", "root_id", "cur", "depth", "edge_ids").agg(F.count("ok").alias("n")).where(F.col("n") == F.col("depth"))
+    first = F.row_number().over(Window.partitionBy("incident_id", "root_id", "cur").orderBy("depth", "edge_ids"))
+    return whole.withColumn("_n", first).where("_n = 1").select("incident_id", "root_id", F.col("cur").alias("service_id"), "depth", "edge_ids")
 
 
 def review(findings: DataFrame, commands: DataFrame) -> DataFrame:
@@ -122,6 +122,6 @@ def promoted_incidents(findings: DataFrame, reviewed: DataFrame, versions: DataF
 
 
 def path_view(paths: DataFrame) -> DataFrame:
-    """Nodes of service paths with the keys of the paths through them and the layer where each is first seen."""
-    walked = paths.select("path_key", "service_id", F.posexplode("node_ids").alias("layer", "node_id"))
-    return walked.groupBy("node_id").agg(F.count_distinct("path_key").alias("path_count"), F.min_by("layer", F.struct("service_id", "path_key", "layer")).cast("long").alias("layer"), F.min("layer").cast("long").alias("least_layer"))
+    """Nodes of every incident's service paths with the keys of the paths through them and the layer where each is first seen."""
+    walked = paths.select("incident_id", "path_key", "service_id", F.posexplode("node_ids").alias("layer", "node_id"))
+    return walked.groupBy("incident_id", "node_id").agg(F.count_distinct("path_key").alias("path_count"), F.min_by("layer", F.struct("service_id", "path_key", "layer")).cast("long").alias("layer"), F.min("layer").cast("long").alias("least_layer"))

@@ -26,15 +26,15 @@ def iso(millis: Column) -> Column:
 def path_validity(on_paths: DataFrame) -> DataFrame:
     """Per path the intersection of its edges' known validities: latest beginning, earliest end."""
     known = F.col("valid_from").isNotNull()
-    return on_paths.groupBy("root_id", "service_id", "path_key").agg(
+    return on_paths.groupBy("incident_id", "root_id", "service_id", "path_key").agg(
         F.max("valid_from").alias("opens"), F.min(F.when(known, F.col("valid_until"))).alias("closes"), F.count_if(~known).alias("unknown_edges")
     )
 
 
 def service_validity(paths: DataFrame) -> DataFrame:
-    """Per service the hull of its paths' validities; open as soon as one path is; paths without one are counted."""
+    """Per incident and service the hull of its paths' validities; open as soon as one path is; paths without one are counted."""
     known = F.col("opens").isNotNull()
-    return paths.groupBy("service_id").agg(
+    return paths.groupBy("incident_id", "service_id").agg(
         F.min("opens").alias("opens"),
         F.when(~F.coalesce(F.some(known & F.col("closes").isNull()), F.lit(False)), F.max(F.when(known, F.col("closes")))).alias("closes"),
         F.count_if(~known).alias("unknown_paths"),
@@ -42,10 +42,14 @@ def service_validity(paths: DataFrame) -> DataFrame:
     )
 
 
-def incident_partition(services: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Services by overlap with the incident, with how many have a partial history."""
-    classed = services.withColumn("overlap", overlap_class(F.col("opens"), F.col("closes"), start, end))
-    return classed.groupBy("overlap").agg(F.count("*").alias("service_count"), F.count_if((F.col("unknown_paths") > 0) & F.col("opens").isNotNull()).alias("partial_history"))
+def incident_partition(services: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Services of every incident by overlap with its interval (incidents: id, interval_start, interval_end): their number,
+    how many have a partial history, and `has_unknown`: whether any has none or a partial one."""
+    spans = incidents.select(F.col("id").alias("incident_id"), "interval_start", "interval_end")
+    classed = services.join(spans, "incident_id").withColumn("overlap", overlap_class(F.col("opens"), F.col("closes"), F.col("interval_start"), F.col("interval_end")))
+    counted = classed.groupBy("incident_id", "overlap").agg(F.count("*").alias("service_count"), F.count_if((F.col("unknown_paths") > 0) & F.col("opens").isNotNull()).alias("partial_history"))
+    unknown = classed.groupBy("incident_id").agg(F.some(F.col("unknown_paths") > 0).alias("has_unknown"))
+    return counted.join(unknown, "incident_id")
 
 
 def interval_join(spans: DataFrame, incidents: DataFrame, on: list[str]) -> DataFrame:

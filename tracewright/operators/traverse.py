@@ -1,7 +1,8 @@
-"""Bounded simple-path traversals, one level per Spark job, and their caps in closed form.
+"""Bounded simple-path traversals of many runs side by side, one level per Spark job, and their caps in closed form.
 
-Every simple path is a state (path arrays of node and edge ids). A level joins the frontier with the adjacency and drops
-cycles; each level is written to shared storage, so plans stay small and lost executors cost one level at most.
+A run is one call of the traversal with bounds of its own: an incident, or a release. Every simple path is a state (path
+arrays of node and edge ids). The number of a state within its run follows from counts, so a level is written once, holds
+what can still be admitted and nothing else, and no window spans more than a run.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from ..session import materialize
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of a traversal; every cut is reported as a warning. Without `states`, all simple paths are enumerated."""
+    """Bounds of one run; every cut is reported as a warning."""
 
     depth: int = 12
     fan_out: int = 1000
-    states: int | None = 10_000
+    states: int = 10_000
     ends: int = 100
     paths_per_end: int = 10
     paths: int = 1000
@@ -37,60 +38,34 @@ def cut_nodes(edges: DataFrame, at: str, limit: int) -> DataFrame:
     return edges.groupBy(at).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col(at).alias("node_id"))
 
 
-def simple_paths(starts: DataFrame, edges: DataFrame, depth: int, here: str, there: str, stop: Column | None = None, states: int | None = None) -> DataFrame:
+def simple_paths(starts: DataFrame, edges: DataFrame, depth: int, here: str, there: str, stop: Column | None = None) -> DataFrame:
     """All simple paths from `starts` (start_id, carried columns) along `edges` from column `here` to column `there`.
 
-    Returns start columns plus cur, depth, node_ids, edge_ids, last_kind. `stop` is a condition on edge columns whose
-    end is not expanded (terminal). Depth 0 is the start itself. With `states`, only the first `states` + 1 paths by
-    (start, depth, edge ids) are kept after every level: later levels only push the others back, and what follows from a
-    path comes after it, so no level grows beyond that.
+    Returns start columns plus cur, depth, node_ids, edge_ids, terminal. `stop` is a condition on edge columns whose
+    end is not expanded (terminal). Depth 0 is the start itself. Nothing bounds the number of paths but `depth`.
     """
-    keep = [c for c in edges.columns if c in ("kind",)]
-    kind = F.col("kind") if keep else F.lit(None).cast("string")
-    adjacency = edges.select(F.col(here).alias("_here"), F.col(there).alias("_there"), F.col("id").alias("_edge"), kind.alias("_kind"), (F.lit(False) if stop is None else stop).alias("_stop"))
-    if states is not None:
-        adjacency = materialize(adjacency)
-    order = ("start_id", "depth", "edge_ids")
+    adjacency = edges.select(F.col(here).alias("_here"), F.col(there).alias("_there"), F.col("id").alias("_edge"), (F.lit(False) if stop is None else stop).alias("_stop"))
     level = (
         starts.withColumn("cur", F.col("start_id"))
         .withColumn("depth", F.lit(0))
         .withColumn("node_ids", F.array("start_id"))
         .withColumn("edge_ids", F.array().cast("array<bigint>"))
-        .withColumn("last_kind", F.lit(None).cast("string"))
         .withColumn("_stop", F.lit(False))
     )
-    level = materialize(level if states is None else level.orderBy(*order).limit(states + 1))
-    carried = starts.columns
-    found = [level]
+    level = materialize(level)
+    out = level
     for d in range(1, depth + 1):
         step = (
             level.where(~F.col("_stop"))
             .drop("_stop")
             .join(adjacency, F.col("cur") == F.col("_here"))
             .where(~F.array_contains("node_ids", F.col("_there")))
-            .select(
-                *carried,
-                F.col("_there").alias("cur"),
-                F.lit(d).alias("depth"),
-                F.concat("node_ids", F.array("_there")).alias("node_ids"),
-                F.concat("edge_ids", F.array("_edge")).alias("edge_ids"),
-                F.col("_kind").alias("last_kind"),
-                "_stop",
-            )
+            .select(*starts.columns, F.col("_there").alias("cur"), F.lit(d).alias("depth"), F.concat("node_ids", F.array("_there")).alias("node_ids"), F.concat("edge_ids", F.array("_edge")).alias("edge_ids"), "_stop")
         )
-        if states is None:
-            level = materialize(step)
-            if level.isEmpty():
-                break
-            found.append(level)
-        else:
-            found = [materialize(found[0].unionByName(step).orderBy(*order).limit(states + 1))]
-            level = found[0].where(F.col("depth") == d)
-            if level.isEmpty():
-                break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        level = materialize(step)
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
     return out.withColumnRenamed("_stop", "terminal")
 
 
@@ -100,22 +75,72 @@ def canonical(edges: DataFrame) -> Column:
     return kind & (~F.col("derived") if "derived" in edges.columns else F.lit(True))
 
 
-def blast_radius(roots: DataFrame, edges: DataFrame, limits: Limits = Limits(), as_of: int | None = None) -> DataFrame:
-    """States of the reverse dependency traversal from affected versions: root_id, cur, depth, node_ids, edge_ids, terminal.
+def hop_page(edges: DataFrame, here: str, there: str, fan_out: int, follow: Column | None = None, stop: Column | None = None) -> DataFrame:
+    """The hops of every node within the fan-out bound, in order, written once: cur, there, edge, hop (from 1), canonical, stop, kind."""
+    page = edges.withColumn("_hop", F.row_number().over(Window.partitionBy(here).orderBy("id", there))).where(F.col("_hop") <= fan_out)
+    kind = F.col("kind") if "kind" in edges.columns else F.lit(None).cast("string")
+    true, false = F.lit(True), F.lit(False)
+    return materialize(page.select(F.col(here).alias("cur"), F.col(there).alias("there"), F.col("id").alias("edge"), F.col("_hop").alias("hop"), (true if follow is None else follow).alias("canonical"), (false if stop is None else stop).alias("stop"), kind.alias("kind")))
+
 
-    Services (terminal states) are candidates, not proof. `as_of` keeps edges whose validity is unknown or covers it,
-    before the fan-out bound is applied. The state bound holds for all roots together, one root after the other: the
-    first `limits.states` states and one more, if there is one.
+def admitted_states(starts: DataFrame, page: DataFrame, limits: Limits) -> DataFrame:
+    """The first `limits.states` + 1 states of every run, numbered by `ord` in the order (start, depth, edge ids).
+
+    starts: run, start_id. Returns run, start_id, cur, depth, node_ids, edge_ids, last_kind, terminal, ord, parent (the
+    number of the state it comes from) and hop (of that state). Children of a level are counted before they are made: of
+    a start only as many as its run has room for, given all states of smaller starts and of its own smaller depths.
+    A start that is given twice in a run counts once; a null start is left out.
     """
-    if as_of is not None:
-        edges = edges.where(valid_at(as_of))
-    adjacency = bounded_adjacency(edges, "target_id", limits.fan_out, ("id", "source_id")).where(canonical(edges))
-    states = simple_paths(roots.select(F.col("root_id").alias("start_id")), adjacency, limits.depth, "target_id", "source_id", F.col("source_kind") == "Service", limits.states)
-    return states.withColumnRenamed("start_id", "root_id")
+    over = limits.states + 1
+    follow = F.struct(F.col("hop"), F.col("there"), F.col("edge"), F.col("kind"), F.col("stop"))
+    hops = materialize(page.where("canonical").groupBy("cur").agg(F.array_sort(F.collect_list(follow)).alias("hops")))  # at most the fan-out bound
+    by_start = Window.partitionBy("run").orderBy("start_id")
+    level = materialize(
+        starts.where(F.col("start_id").isNotNull())
+        .select("run", "start_id")
+        .distinct()
+        .withColumn("_n", F.row_number().over(by_start))
+        .where(F.col("_n") <= over)
+        .select("run", "start_id", F.col("start_id").alias("cur"), F.lit(0).alias("depth"), F.array("start_id").alias("node_ids"), F.array().cast("array<bigint>").alias("edge_ids"), F.lit(None).cast("string").alias("last_kind"), F.lit(False).alias("terminal"), F.lit(1).cast("long").alias("k"), F.lit(None).cast("long").alias("parent_k"), F.lit(0).alias("hop"))
+    )
+    levels = level
+    running = by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for d in range(1, limits.depth + 1):
+        room = levels.groupBy("run", "start_id").agg(F.count("*").alias("n")).select("run", "start_id", (F.lit(over) - F.sum("n").over(running)).alias("room")).where("room > 0")
+        earlier = Window.partitionBy("run", "start_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+        fresh = F.filter("hops", lambda h: ~F.array_contains("node_ids", h["there"]))
+        step = (
+            level.where(~F.col("terminal"))
+            .join(room, ["run", "start_id"])
+            .join(hops, "cur")
+            .withColumn("hops", fresh)
+            .withColumn("_before", F.coalesce(F.sum(F.size("hops")).over(earlier), F.lit(0)))
+            .where(F.col("_before") < F.col("room"))
+            .select("run", "start_id", "node_ids", "edge_ids", "k", "_before", F.posexplode(F.slice("hops", F.lit(1), F.least(F.size("hops"), F.col("room") - F.col("_before")).cast("int"))).alias("_at", "h"))
+        )
+        level = materialize(
+            step.select(
+                "run", "start_id", F.col("h.there").alias("cur"), F.lit(d).alias("depth"), F.concat("node_ids", F.array("h.there")).alias("node_ids"), F.concat("edge_ids", F.array("h.edge")).alias("edge_ids"),
+                F.col("h.kind").alias("last_kind"), F.col("h.stop").alias("terminal"), (F.col("_before") + F.col("_at") + 1).alias("k"), F.col("k").alias("parent_k"), F.col("h.hop").alias("hop"),
+            )
+        )
+        if level.isEmpty():
+            break
+        levels = levels.unionByName(level)
+    in_order = Window.partitionBy("run").orderBy("start_id", "depth").rowsBetween(Window.unboundedPreceding, -1)
+    base = levels.groupBy("run", "start_id", "depth").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(in_order), F.lit(0)))
+    base = materialize(base.withColumn("above", F.lag("base").over(Window.partitionBy("run", "start_id").orderBy("depth"))).drop("n"))
+    numbered = levels.join(base, ["run", "start_id", "depth"]).withColumns({"ord": F.col("base") + F.col("k"), "parent": F.col("above") + F.col("parent_k")})
+    return materialize(numbered.where(F.col("ord") <= over).drop("base", "above", "k", "parent_k"))
+
+
+def _runs(roots: DataFrame) -> DataFrame:
+    """incident_id, root_id; roots without an incident are one."""
+    return roots if "incident_id" in roots.columns else roots.withColumn("incident_id", F.lit(0).cast("long"))
 
 
 def reached(roots: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Nodes within the bounds of `blast_radius` with their fewest hops: root_id, cur, depth, terminal.
+    """Nodes within the depth and fan-out bounds with their fewest hops: root_id, cur, depth, terminal.
 
     Paths to a node are merged level by level (its shortest path is a simple one), so a level holds a row for a root and
     a node, whatever the number of paths.
@@ -133,13 +158,19 @@ def reached(roots: DataFrame, edges: DataFrame, limits: Limits = Limits()) -> Da
     return found
 
 
-def path_cuts(states: DataFrame, roots: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
+def all_paths(roots: DataFrame, edges: DataFrame, depth: int, fan_out: int) -> DataFrame:
+    """Every simple path of at most `depth` hops from every root, without a bound on their number: root_id, cur, depth, node_ids, edge_ids, terminal."""
+    page = bounded_adjacency(edges, "target_id", fan_out, ("id", "source_id")).where(canonical(edges))
+    return simple_paths(roots.select(F.col("root_id").alias("start_id")).distinct(), page, depth, "target_id", "source_id", F.col("source_kind") == "Service").withColumnRenamed("start_id", "root_id")
+
+
+def path_cuts(states: DataFrame, roots: DataFrame, edges: DataFrame, depth: int, fan_out: int) -> DataFrame:
     """What the bounds cut of every root's paths: root_id, cut_paths (stop at the depth bound and would go on), cut_nodes (have more dependents than the fan-out bound), truncated."""
-    page = bounded_adjacency(edges, "target_id", limits.fan_out, ("id", "source_id")).select(F.col("target_id").alias("cur"), "source_id")
-    open_ends = states.where((F.col("depth") == limits.depth) & ~F.col("terminal")).join(page, "cur").where(~F.array_contains("node_ids", F.col("source_id")))
+    page = bounded_adjacency(edges, "target_id", fan_out, ("id", "source_id")).select(F.col("target_id").alias("cur"), "source_id")
+    open_ends = states.where((F.col("depth") == depth) & ~F.col("terminal")).join(page, "cur").where(~F.array_contains("node_ids", F.col("source_id")))
     paths = open_ends.select("root_id", "edge_ids").distinct().groupBy("root_id").agg(F.count("*").alias("cut_paths"))
-    wide = cut_nodes(edges, "target_id", limits.fan_out).withColumnRenamed("node_id", "cur")
-    nodes = states.where((F.col("depth") < limits.depth) & ~F.col("terminal")).select("root_id", "cur").distinct().join(wide, "cur").groupBy("root_id").agg(F.count("*").alias("cut_nodes"))
+    wide = cut_nodes(edges, "target_id", fan_out).withColumnRenamed("node_id", "cur")
+    nodes = states.where((F.col("depth") < depth) & ~F.col("terminal")).select("root_id", "cur").distinct().join(wide, "cur").groupBy("root_id").agg(F.count("*").alias("cut_nodes"))
     rows = roots.select("root_id").distinct().join(paths, "root_id", "left").join(nodes, "root_id", "left").na.fill(0, ["cut_paths", "cut_nodes"])
     return rows.withColumn("truncated", (F.col("cut_paths") > 0) | (F.col("cut_nodes") > 0))
 
@@ -152,14 +183,15 @@ def valid_at(moment: int) -> Column:
 
 @dataclass(frozen=True)
 class Traversal:
-    """services: root_id, cur, depth, node_ids, edge_ids, ord, terminal of the paths that all bounds let through;
-    warnings: code, node_id, path (node ids), place."""
+    """services: incident_id, root_id, cur, depth, node_ids, edge_ids, ord, terminal of the paths that all bounds let
+    through; warnings: incident_id, code, node_id, path (node ids), place."""
 
     services: DataFrame
     warnings: DataFrame
 
-    def truncated(self) -> bool:
-        return not self.warnings.where(~F.col("code").isin(*HARMLESS)).isEmpty()
+    def cut(self) -> DataFrame:
+        """incident_id of the runs of which a bound cut something."""
+        return self.warnings.where(~F.col("code").isin(*HARMLESS)).select("incident_id").distinct()
 
 
 #: Warnings that do not mean that something was cut.
@@ -170,95 +202,84 @@ TARGET_CODES = {"fan_out": "outgoing-edge-limit-reached", "ends": "target-limit-
 
 
 def bounded_traversal(roots: DataFrame, edges: DataFrame, limits: Limits = Limits(), as_of: int | None = None, nodes: DataFrame | None = None) -> Traversal:
-    """What a first-in-first-out traversal under all bounds returns and warns of, in closed form over its states.
+    """What first-in-first-out traversals under all bounds return and warn of, one for every incident, in closed form.
 
-    Admission order is (root, depth, edge ids). An event is placed by the state that is looked at and the hop of it. The
-    traversal ends at the first event that ends it, or at the warning that exceeds the budget: services looked at later do
-    not count. A service beyond its bound, or a path beyond its service's bound, is skipped. `nodes` (id, kind) tells
-    missing roots and roots of another kind. All tables below hold at most `states` rows, or their hops.
+    roots: root_id and incident_id (without it, all are one incident's). Admission order within an incident is (root,
+    depth, edge ids). An event is placed by the state that is looked at and the hop of it. A traversal ends at the first
+    event that ends it, or at the warning that exceeds the budget: services looked at later do not count. A service
+    beyond its bound, or a path beyond its service's bound, is skipped. `nodes` (id, kind) tells missing roots and roots
+    of another kind. `as_of` keeps edges whose validity is unknown or covers it, before the fan-out bound is applied.
     """
     if as_of is not None:
         edges = edges.where(valid_at(as_of))
+    roots = _runs(roots).select("incident_id", "root_id").distinct()
     refused = None
     if nodes is not None:
-        kinds = roots.select("root_id").distinct().join(nodes.select(F.col("id").alias("root_id"), F.col("kind").alias("root_kind")), "root_id", "left")
+        kinds = roots.join(nodes.select(F.col("id").alias("root_id"), F.col("kind").alias("root_kind")), "root_id", "left")
         code = F.when(F.col("root_kind").isNull(), "missing-node").when(F.col("root_kind") != "PackageVersion", "unsupported-root-node")
         kinds = materialize(kinds.withColumn("code", code))
-        refused, roots = kinds.where("code IS NOT NULL"), kinds.where("code IS NULL").select("root_id")
-    ranked = rank_states(blast_radius(roots, edges, limits))
+        refused = kinds.where("code IS NOT NULL").select(F.col("incident_id").alias("run"), F.col("root_id").alias("start_id"), "code")
+        roots = kinds.where("code IS NULL")
+    page = hop_page(edges, "target_id", "source_id", limits.fan_out, canonical(edges), F.col("source_kind") == "Service")
+    states = admitted_states(roots.select(F.col("incident_id").alias("run"), F.col("root_id").alias("start_id")), page, limits)
     wide = cut_nodes(edges, "target_id", limits.fan_out)
-    return _bounded(ranked, _page(edges, "target_id", "source_id", limits.fan_out), wide, limits, F.col("terminal"), SERVICE_CODES, refused)
-
+    return _bounded(states, page, wide, limits, F.col("terminal"), SERVICE_CODES, refused)
 
-def _page(edges: DataFrame, here: str, there: str, fan_out: int) -> DataFrame:
-    """The hops of every node within the fan-out bound, numbered."""
-    page = bounded_adjacency(edges, here, fan_out, ("id", there))
-    hop = F.row_number().over(Window.partitionBy(here).orderBy("id", there)).alias("hop")
-    follow = canonical(edges) if here == "target_id" else F.lit(True)
-    return page.select(F.col(here).alias("cur"), F.col(there).alias("there"), F.col("id").alias("edge"), hop, follow.alias("canonical"))
 
-
-def _bounded(ranked: DataFrame, page: DataFrame, wide: DataFrame, limits: Limits, end: Column, codes: dict[str, str], refused: DataFrame | None) -> Traversal:
-    """The ends (states with `end`) and warnings of the ranked states; see `bounded_traversal`."""
-    beyond = ranked.where(F.col("ord") > limits.states).first() if limits.states else None
-    served = ranked if beyond is None else ranked.where(F.col("ord") <= limits.states)
-    hops = materialize(served.where(~F.col("terminal")).join(page, "cur").withColumn("seen", F.array_contains("node_ids", F.col("there"))))
+def _bounded(states: DataFrame, page: DataFrame, wide: DataFrame, limits: Limits, end: Column, codes: dict, refused: DataFrame | None) -> Traversal:
+    """The ends (states with `end`) and warnings of every run's states; see `bounded_traversal`."""
+    served = states.where(F.col("ord") <= limits.states)
+    # the state beyond the bound ends its run where it would have been made; a start has no parent: all before it were looked at
+    beyond = materialize(states.where(F.col("ord") > limits.states).select("run", "cur", "node_ids", F.coalesce("parent", F.lit(limits.states + 1)).alias("ord"), "hop"))
+    looked = served.where(~F.col("terminal")).join(beyond.select("run", F.col("ord").alias("_last")), "run", "left").where("_last IS NULL OR ord <= _last").drop("_last", "hop")
     onward = F.concat("node_ids", F.array("there"))
-    say = lambda df, code, node, path, place, step: df.select(F.lit(code).alias("code"), node.alias("node_id"), path.alias("path"), place.cast("long").alias("ord"), step.cast("long").alias("hop"))
-    whole = (F.col("cur"), F.col("node_ids"), F.col("ord"), F.lit(0))
-    events = [
-        say(hops.where(~F.col("canonical")), "invalid-canonical-hop", F.col("there"), F.col("node_ids"), F.col("ord"), F.col("hop")),
-        say(hops.where("canonical AND seen"), "cycle-skipped", F.col("there"), onward, F.col("ord"), F.col("hop")),
-        say(served.where(~F.col("terminal")).join(wide.withColumnRenamed("node_id", "cur"), "cur", "left_semi"), codes["fan_out"], *whole),
+    event = lambda code, node, path, hop: F.struct(F.lit(code).alias("code"), node.alias("node_id"), path.alias("path"), hop.cast("long").alias("hop"))
+    at_hop = [
+        F.when(~F.col("canonical"), event("invalid-canonical-hop", F.col("there"), F.col("node_ids"), F.col("hop"))),
+        F.when(F.col("canonical") & F.col("seen"), event("cycle-skipped", F.col("there"), onward, F.col("hop"))),
+        F.when(F.col("canonical") & ~F.col("seen") & (F.col("depth") == limits.depth), event("depth-limit-reached", F.col("cur"), onward, F.col("hop"))),
     ]
-    deep = hops.where((F.col("depth") == limits.depth) & F.col("canonical") & ~F.col("seen")).groupBy("ord", "cur", "node_ids").agg(F.min(F.struct("hop", "there")).alias("first"))
-    events.append(say(deep, "depth-limit-reached", F.col("cur"), F.concat("node_ids", F.array("first.there")), F.col("ord"), F.col("first.hop")))
-    by_end = Window.partitionBy("cur")
+    stepped = looked.join(page.drop("kind", "stop"), "cur").withColumn("seen", F.array_contains("node_ids", F.col("there")))
+    told = stepped.select("run", "ord", F.explode(F.array_compact(F.array(*at_hop))).alias("e")).select("run", "ord", "e.*")
+    deep = told.where("code = 'depth-limit-reached'").groupBy("run", "ord").agg(F.min_by(F.struct("code", "node_id", "path", "hop"), "hop").alias("e")).select("run", "ord", "e.*")
+    told = told.where("code <> 'depth-limit-reached'").unionByName(deep)
+    say = lambda df, code: df.select("run", F.col("ord").cast("long").alias("ord"), F.lit(code).alias("code"), F.col("cur").alias("node_id"), F.col("node_ids").alias("path"), F.lit(0).cast("long").alias("hop"))
+    by_run, by_end = Window.partitionBy("run"), Window.partitionBy("run", "cur")
     placed = served.where(end).withColumn("_first", F.min("ord").over(by_end)).withColumn("_path", F.row_number().over(by_end.orderBy("ord")))
-    placed = placed.withColumn("_rank", F.dense_rank().over(Window.orderBy("_first")))
-    fits = (F.col("_rank") <= limits.ends) & (F.col("_path") <= limits.paths_per_end)
-    taken = placed.where(fits).withColumn("_total", F.row_number().over(Window.orderBy("ord")))
-    events.append(say(placed.where(F.col("_rank") > limits.ends), codes["ends"], *whole))
-    events.append(say(placed.where((F.col("_rank") <= limits.ends) & (F.col("_path") > limits.paths_per_end)), codes["paths_per_end"], *whole))
-    events.append(say(taken.where(F.col("_total") == limits.paths + 1), "path-limit-reached", *whole))
-    if beyond is not None:
-        last = ranked.where(F.col("ord") > limits.states)
-        if beyond.depth:
-            path = F.array(*map(F.lit, beyond.edge_ids[:-1])).cast("array<bigint>")
-            parent = ranked.where((F.col("root_id") == beyond.root_id) & (F.col("depth") == beyond.depth - 1) & (F.col("edge_ids") == path)).first().ord
-            step = page.where((F.col("cur") == beyond.node_ids[-2]) & (F.col("edge") == beyond.edge_ids[-1])).first().hop
-        else:  # a root has no parent: all before it were looked at
-            parent, step = limits.states + 1, 0
-        events.append(say(last, "traversal-state-limit-reached", F.col("cur"), F.col("node_ids"), F.lit(parent), F.lit(step)))
+    placed = materialize(placed.withColumn("_rank", F.dense_rank().over(by_run.orderBy("_first"))).drop("_first"))
+    taken = placed.where((F.col("_rank") <= limits.ends) & (F.col("_path") <= limits.paths_per_end)).withColumn("_total", F.row_number().over(by_run.orderBy("ord")))
+    events = [
+        told,
+        say(looked.join(wide.withColumnRenamed("node_id", "cur"), "cur", "left_semi"), codes["fan_out"]),
+        say(placed.where(F.col("_rank") > limits.ends), codes["ends"]),
+        say(placed.where((F.col("_rank") <= limits.ends) & (F.col("_path") > limits.paths_per_end)), codes["paths_per_end"]),
+        say(taken.where(F.col("_total") == limits.paths + 1), "path-limit-reached"),
+        beyond.select("run", "ord", F.lit("traversal-state-limit-reached").alias("code"), F.col("cur").alias("node_id"), F.col("node_ids").alias("path"), F.col("hop").cast("long").alias("hop")),
+    ]
     if refused is not None:
-        # at its turn: after the states of all smaller roots
-        before = refused.join(ranked.groupBy(F.col("root_id").alias("other")).agg(F.max("ord").alias("last")), F.col("other") < F.col("root_id"), "left").groupBy("root_id", "code").agg(F.coalesce(F.max("last"), F.lit(0)).alias("last"))
-        events.append(before.select("code", F.col("root_id").alias("node_id"), F.array().cast("array<bigint>").alias("path"), F.col("last").cast("long").alias("ord"), (F.col("root_id") + (1 << 40)).alias("hop")))
+        # at its turn: after the states of all smaller roots of its run
+        sofar = Window.partitionBy("run").orderBy("start_id").rowsBetween(Window.unboundedPreceding, -1)
+        lasts = states.groupBy("run", "start_id").agg(F.max("ord").alias("last")).withColumn("code", F.lit(None).cast("string"))
+        turns = lasts.unionByName(refused.withColumn("last", F.lit(None).cast("long"))).withColumn("ord", F.coalesce(F.max("last").over(sofar), F.lit(0))).where("code IS NOT NULL")
+        events.append(turns.select("run", "ord", "code", F.col("start_id").alias("node_id"), F.array().cast("array<bigint>").alias("path"), (F.col("start_id") + (1 << 40)).alias("hop")))
     said = events[0]
     for more in events[1:]:
         said = said.unionByName(more)
-    once = said.groupBy("code", "node_id", "path").agg(F.min(F.struct("ord", "hop")).alias("at"))
-    numbered = materialize(once.withColumn("place", F.row_number().over(Window.orderBy("at", "code", "node_id"))).select("code", "node_id", "path", "at", F.col("place").cast("long").alias("place")))
-    stop = numbered.where(F.col("code").isin(codes["ending"]) | (F.col("place") >= limits.warnings)).orderBy("place").first()
-    kept = numbered.where(F.col("place") < limits.warnings).select("code", "node_id", "path", "place")
-    if stop is not None:
-        kept = kept.where(F.col("place") <= stop.place)
-        taken = taken.where(F.col("ord") < stop["at"]["ord"])
-        if stop.place >= limits.warnings:
-            budget = ranked.sparkSession.createDataFrame([("warning-limit-reached", None, [], limits.warnings)], "code string, node_id long, path array<bigint>, place long")
-            kept = kept.unionByName(budget)
-    ends = taken.where(F.col("_total") <= limits.paths).drop("_first", "_path", "_rank", "_total").withColumn("ord", F.col("ord").cast("long"))
-    return Traversal(materialize(ends), materialize(kept))
-
-
-def rank_states(states: DataFrame) -> DataFrame:
-    """States with their admission number `ord`; the table is bounded by the state limit."""
-    return materialize(states.withColumn("ord", F.row_number().over(Window.orderBy("root_id", "depth", "edge_ids"))))
+    once = said.groupBy("run", "code", "node_id", "path").agg(F.min(F.struct("ord", "hop")).alias("at"))
+    numbered = materialize(once.withColumn("place", F.row_number().over(by_run.orderBy("at", "code", "node_id", "path"))).where(F.col("place") <= limits.warnings))
+    stops = numbered.where(F.col("code").isin(codes["ending"]) | (F.col("place") >= limits.warnings)).groupBy("run").agg(F.min(F.struct("place", F.col("at.ord").alias("ord"))).alias("stop"))
+    ends_at = materialize(stops.select("run", F.col("stop.place").alias("stop_place"), F.col("stop.ord").alias("stop_ord")))
+    kept = numbered.join(ends_at, "run", "left").where((F.col("place") < limits.warnings) & (F.col("stop_place").isNull() | (F.col("place") <= F.col("stop_place"))))
+    budget = ends_at.where(F.col("stop_place") >= limits.warnings).select("run", F.lit("warning-limit-reached").alias("code"), F.lit(None).cast("long").alias("node_id"), F.array().cast("array<bigint>").alias("path"), F.lit(limits.warnings).alias("place"))
+    warnings = kept.select("run", "code", "node_id", "path", "place").unionByName(budget)
+    ends = taken.where(F.col("_total") <= limits.paths).join(ends_at, "run", "left").where("stop_ord IS NULL OR ord < stop_ord")
+    ends = ends.select(F.col("run").alias("incident_id"), F.col("start_id").alias("root_id"), "cur", "depth", "node_ids", "edge_ids", "last_kind", "terminal", "ord")
+    return Traversal(materialize(ends), materialize(warnings.select(F.col("run").alias("incident_id"), "code", "node_id", "path", F.col("place").cast("long").alias("place"))))
 
 
 def capped_services(roots: DataFrame, edges: DataFrame, limits: Limits) -> DataFrame:
-    """Service paths that a first-in-first-out traversal under all bounds returns: root_id, cur, depth, edge_ids, ord."""
-    return bounded_traversal(roots, edges, limits).services.select("root_id", "cur", "depth", "edge_ids", "ord")
+    """Service paths that a first-in-first-out traversal under all bounds returns: incident_id, root_id, cur, depth, edge_ids, ord."""
+    return bounded_traversal(roots, edges, limits).services.select("incident_id", "root_id", "cur", "depth", "edge_ids", "ord")
 
 
 #: The authority relations with their end kinds, and what the last one on a path enables.
@@ -282,30 +303,32 @@ AUTHORITY_LIMITS = Limits(depth=8, fan_out=500, states=5000, ends=500, paths_per
 
 
 def authority_traversal(seeds: DataFrame, edges: DataFrame, limits: Limits = AUTHORITY_LIMITS) -> Traversal:
-    """Forward simple paths over the authority relations under all bounds: every node reached is a target.
+    """Forward simple paths over the authority relations under all bounds, one run an incident: every node reached is a target.
 
-    seeds (seed_id, seed_kind, seed_evidence) are merged by node with evidence united; a seed without evidence or of
-    another kind is warned of. Edges count only with allowed end kinds and evidence. `services` has seed_id, target_id,
-    depth, capability, edge_ids, node_ids, evidence_ids (seed and edges).
+    seeds (seed_id, seed_kind, seed_evidence, and incident_id; without it, all are one incident's) are merged by node
+    with evidence united; a seed without evidence or of another kind is warned of. Edges count only with allowed end
+    kinds and evidence. `services` has incident_id, seed_id, target_id, depth, capability, edge_ids, node_ids,
+    evidence_ids (seed and edges).
     """
     spark = edges.sparkSession
     rules = spark.createDataFrame(list(AUTHORITY), "kind string, source_kind string, target_kind string, capability string")
     allowed = materialize(edges.join(F.broadcast(rules.drop("capability")), ["kind", "source_kind", "target_kind"]).where(F.size("evidence_ids") > 0))
-    cited = seeds.select("seed_id", "seed_kind", F.explode_outer("seed_evidence").alias("e")).distinct()
-    merged = cited.groupBy("seed_id", "seed_kind").agg(F.sort_array(F.collect_list("e")).alias("seed_evidence"))
+    cited = _runs(seeds).select("incident_id", "seed_id", "seed_kind", F.explode_outer("seed_evidence").alias("e")).distinct()
+    merged = cited.groupBy("incident_id", "seed_id", "seed_kind").agg(F.sort_array(F.collect_list("e")).alias("seed_evidence"))
     code = F.when(F.size("seed_evidence") == 0, "missing-seed-evidence").when(~F.col("seed_kind").isin(*SEED_KINDS), "unsupported-seed-kind")
     merged = materialize(merged.withColumn("code", code))
     good = merged.where("code IS NULL")
-    page = bounded_adjacency(allowed, "source_id", limits.fan_out, ("id", "target_id"))
-    states = simple_paths(good.select(F.col("seed_id").alias("start_id")), page, limits.depth, "source_id", "target_id", None, limits.states)
-    ranked = rank_states(states.withColumnRenamed("start_id", "root_id"))
-    refused = merged.where("code IS NOT NULL").select(F.col("seed_id").alias("root_id"), "code")
-    found = _bounded(ranked, _page(allowed, "source_id", "target_id", limits.fan_out), cut_nodes(allowed, "source_id", limits.fan_out), limits, F.col("depth") > 0, TARGET_CODES, refused)
+    page = hop_page(allowed, "source_id", "target_id", limits.fan_out)
+    states = admitted_states(good.select(F.col("incident_id").alias("run"), F.col("seed_id").alias("start_id")), page, limits)
+    refused = merged.where("code IS NOT NULL").select(F.col("incident_id").alias("run"), F.col("seed_id").alias("start_id"), "code")
+    found = _bounded(states, page, cut_nodes(allowed, "source_id", limits.fan_out), limits, F.col("depth") > 0, TARGET_CODES, refused)
     enables = F.create_map(*[F.lit(x) for kind, _, _, word in {r[0]: r for r in AUTHORITY}.values() for x in (kind, word)])
-    proof = found.services.select("ord", F.explode("edge_ids").alias("id")).join(allowed.select("id", F.explode("evidence_ids").alias("e")), "id").select("ord", "e").distinct()
-    proof = proof.groupBy("ord").agg(F.collect_list("e").alias("of_edges"))
-    targets = found.services.withColumnRenamed("root_id", "seed_id").join(good.select("seed_id", "seed_evidence"), "seed_id").join(proof, "ord")
+    key = ["incident_id", "ord"]
+    proof = found.services.select(*key, F.explode("edge_ids").alias("id")).join(allowed.select("id", F.explode("evidence_ids").alias("e")), "id").select(*key, "e").distinct()
+    proof = proof.groupBy(*key).agg(F.collect_list("e").alias("of_edges"))
+    targets = found.services.withColumnRenamed("root_id", "seed_id").join(good.select("incident_id", "seed_id", "seed_evidence"), ["incident_id", "seed_id"]).join(proof, key)
     shown = targets.select(
+        "incident_id",
         "seed_id",
         F.col("cur").alias("target_id"),
         "depth",

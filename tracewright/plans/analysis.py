@@ -11,24 +11,23 @@ from ..operators import investigations, live, merge, typosquat
 from ..session import materialize, shared_dir
 from ..sources.derived import Graph, entity
 from ..sources.stores import SnapshotStore, decode_release_nodes
-from .graph_sql import CUT, GRAPH, query
+from .graph_sql import GRAPH, query
 from .packages import NAMES, SIGNATURES, observed, trusted
 from .releases import RELEASES
-from .traversals import AS_OF, CITED, ON_PATHS, STATES, SUPPORT, VALIDITY, WHOLE, judged
-
-INCIDENT = 3 * 8 + 6
-END = AS_OF + 90 * 86_400_000
+from .traversals import AS_OF, CITED, CUT_RUNS, ON_PATHS, STATES, SUPPORT, VALIDITY, WHOLE, judged
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> live.LiveAnalysis:
     g = Graph(spark, sf_dir)
-    return live.analyse(INCIDENT, AS_OF, END, g.affected_versions(), materialize(g.depends_on()), g.evidence(), WHOLE)
+    return live.analyse(g.incidents(), g.incident_versions(), materialize(g.depends_on()), g.evidence(), WHOLE)
 
 
 def q8_live_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Services of the incident with validity class and strongest path."""
+    """Services of every incident with validity class and strongest path."""
     found = _analysis(spark, sf_dir)
-    return found.services.select("service_id", "overlap").join(found.impacts, "service_id").select("service_id", "overlap", "stage", "band", "path_key", "path_count", "resolved_paths", F.lit(found.truncated).alias("truncated"))
+    key = ["incident_id", "service_id"]
+    rows = found.services.select(*key, "overlap").join(found.impacts, key).join(found.cut.withColumn("truncated", F.lit(True)), "incident_id", "left").na.fill(False, ["truncated"])
+    return rows.select(*key, "overlap", "stage", "band", "path_key", "path_count", "resolved_paths", "truncated")
 
 
 def q9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +65,7 @@ def f22_finding_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s20_release_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Release rows encoded as JSON and decoded again; caches of unknown trust are spoilt."""
     nodes = Graph(spark, sf_dir).release_nodes()
-    stored = nodes.select("id", "kind", F.when((F.col("kind") == "cache") & (F.col("trust") == "unknown"), "odd").otherwise(F.col("trust")).alias("trust"), F.to_json("evidence_ids").alias("evidence_ids"))
+    stored = nodes.select("id", "kind", F.when((F.col("kind") == "cache-entry") & (F.col("trust") == "unknown"), "odd").otherwise(F.col("trust")).alias("trust"), F.to_json("evidence_ids").alias("evidence_ids"))
     good, issues = decode_release_nodes(stored)
     return good.groupBy("kind", "trust").agg(F.count("*").alias("n"), F.sum(F.size("evidence_ids")).cast("long").alias("ids")).unionByName(issues.groupBy(F.lit("issue").alias("kind"), F.col("code").alias("trust")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("ids")))
 
@@ -124,7 +123,6 @@ QUERIES = {
     f.__name__: f
     for f in (q8_live_analysis, q9_invariants, q9_broken_invariants, p12_evidence_ledger, p14_service_dependents, w5_budget, f22_finding_token, s20_release_rows, k7_snapshot_store, k2_edge_upsert, a15_derived_merge, q7_promotion, s13_affected_page, s11_evidence_lookup)
 }
-_CLASS = f"CASE WHEN opens IS NULL THEN 'unknown' WHEN greatest(opens, {AS_OF}) <= least(coalesce(closes, 9223372036854775807), {END}) THEN 'during' ELSE 'outside' END"
 ORACLES = {
     "q8_live_analysis": query(
         GRAPH,
@@ -132,20 +130,20 @@ ORACLES = {
         ON_PATHS,
         VALIDITY,
         SUPPORT,
-        f"cut AS (SELECT EXISTS (SELECT 1 FROM said WHERE {CUT}) AS cut)",
-        judged("NOT (SELECT cut FROM cut)"),
-        select=f"SELECT service_id, {_CLASS} AS overlap, stage, band, path_key, strongest.path_count, resolved_paths, cut AS truncated FROM validity JOIN strongest USING (service_id), cut",
+        CUT_RUNS,
+        judged("incident_id NOT IN (SELECT incident_id FROM cut_runs)"),
+        select="SELECT incident_id, service_id, overlap, stage, band, path_key, strongest.path_count, resolved_paths, incident_id IN (SELECT incident_id FROM cut_runs) AS truncated FROM classed JOIN strongest USING (incident_id, service_id)",
     ),
-    "q9_invariants": "SELECT 'x' AS rule, 'y' AS entity WHERE false",
+    "q9_invariants": "SELECT 0 AS incident_id, 'x' AS rule, 'y' AS entity WHERE false",
     "q9_broken_invariants": query(
         GRAPH,
         STATES,
-        "found AS (SELECT DISTINCT service_id FROM paths)",
-        select="""SELECT 'service-without-impact' AS rule, service_id::VARCHAR AS entity FROM found WHERE service_id % 3 = 0
-        UNION ALL SELECT 'path-count', service_id::VARCHAR FROM found WHERE service_id % 3 <> 0 AND service_id % 5 = 0 UNION ALL SELECT 'validity-without-service', (service_id + 1)::VARCHAR FROM found
-        UNION ALL SELECT 'funnel-widens', '3-high-confidence' FROM range(2)""",
+        "found AS (SELECT DISTINCT incident_id, service_id FROM paths), validity_keys AS (SELECT incident_id, service_id + 1 AS service_id FROM found)",
+        select="""SELECT incident_id, 'service-without-impact' AS rule, service_id::VARCHAR AS entity FROM found WHERE service_id % 3 = 0
+        UNION ALL SELECT incident_id, 'path-count', service_id::VARCHAR FROM found WHERE service_id % 3 <> 0 AND service_id % 5 = 0 UNION ALL SELECT incident_id, 'validity-without-service', service_id::VARCHAR FROM validity_keys ANTI JOIN found USING (incident_id, service_id)
+        UNION ALL SELECT DISTINCT incident_id, 'funnel-widens', '3-high-confidence' FROM found, range(2) UNION ALL SELECT DISTINCT incident_id, 'funnel-widens', '3-high-confidence' FROM found""",
     ),
-    "p12_evidence_ledger": query(GRAPH, STATES, ON_PATHS, CITED, select=f"SELECT id AS evidence_id, source_type, confidence, true AS incident_linked FROM evidence WHERE id IN (SELECT evidence_id FROM cited) AND incident_id = {INCIDENT}"),
+    "p12_evidence_ledger": query(GRAPH, STATES, ON_PATHS, CITED, select="SELECT incident_id, id AS evidence_id, source_type, confidence, true AS incident_linked FROM evidence JOIN cited USING (incident_id) WHERE id = evidence_id"),
     "p14_service_dependents": query(GRAPH, select="SELECT target_id, count(*) AS services FROM edges WHERE source_kind = 'Service' GROUP BY 1"),
     "w5_budget": query(
         NAMES, SIGNATURES, "few AS (SELECT * FROM placed WHERE place <= 5), first AS (SELECT DISTINCT observed_id FROM few ORDER BY 1 LIMIT 500)", select="SELECT observed_id, package_id, place FROM few WHERE observed_id IN (SELECT observed_id FROM first) ORDER BY observed_id, place LIMIT 900"
@@ -153,8 +151,8 @@ ORACLES = {
     "f22_finding_token": "SELECT p_partkey, sha256('[\"corpus-1\",\"' || p_brand || '\",\"' || p_partkey || '\"]') AS token FROM part",
     "s20_release_rows": query(
         RELEASES,
-        select="""SELECT kind, trust, count(*) AS n, sum(len(evidence_ids))::BIGINT AS ids FROM r_nodes WHERE NOT (kind = 'cache' AND trust = 'unknown') GROUP BY 1, 2
-        UNION ALL SELECT 'issue', 'trust', count(*), 0 FROM r_nodes WHERE kind = 'cache' AND trust = 'unknown' HAVING count(*) > 0""",
+        select="""SELECT kind, trust, count(*) AS n, sum(len(evidence_ids))::BIGINT AS ids FROM r_nodes WHERE NOT (kind = 'cache-entry' AND trust = 'unknown') GROUP BY 1, 2
+        UNION ALL SELECT 'issue', 'trust', count(*), 0 FROM r_nodes WHERE kind = 'cache-entry' AND trust = 'unknown' HAVING count(*) > 0""",
     ),
     "k7_snapshot_store": query(RELEASES, select="SELECT kind, count(*) AS n FROM r_nodes GROUP BY 1 UNION ALL SELECT kind, count(*) FROM r_edges GROUP BY 1"),
     "k2_edge_upsert": query(

@@ -30,7 +30,8 @@ roots AS (SELECT p_partkey * 8 + 1 AS root_id FROM part WHERE p_size = 50),
 incidents AS (SELECT s_nationkey::BIGINT * 8 + 6 AS id, min(epoch_ms(l_shipdate)) AS interval_start,
     CASE WHEN s_nationkey < 12 THEN min(epoch_ms(l_shipdate)) + 7776000000 END AS interval_end, max(epoch_ms(l_shipdate)) AS observed_at, count(*) AS reports
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' GROUP BY s_nationkey),
-affects AS (SELECT DISTINCT s_nationkey::BIGINT * 8 + 6 AS incident_id, l_partkey * 8 + 1 AS version_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_quantity = 50)
+affects AS (SELECT DISTINCT s_nationkey::BIGINT * 8 + 6 AS incident_id, l_partkey * 8 + 1 AS version_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_quantity = 50),
+incident_roots AS (SELECT incident_id, version_id AS root_id FROM affects)
 """
 
 
@@ -47,42 +48,47 @@ paths AS (SELECT root_id, cur AS service_id, depth, edge_ids, '[' || root_id ||
 """
 
 
-NONE = "SELECT NULL::VARCHAR AS code, NULL::BIGINT AS node_id WHERE false"
+NONE = "SELECT NULL::BIGINT AS incident_id, NULL::VARCHAR AS code, NULL::BIGINT AS node_id WHERE false"
 SERVICE_CODES = ("dependents-per-node-limit-reached", "service-limit-reached", "paths-per-service-limit-reached", "'path-limit-reached', 'traversal-state-limit-reached'")
 TARGET_CODES = ("outgoing-edge-limit-reached", "target-limit-reached", "paths-per-target-limit-reached", "'target-limit-reached', 'traversal-state-limit-reached'")
 
 
-def bounded(limits, edges: str = "edges", roots: str = "roots", root: str = "root_id", here: str = "target_id", there: str = "source_id", stops: str = "e.source_kind = 'Service'", ends: str = "terminal", codes: tuple = SERVICE_CODES, refused: str = NONE, p: str = "") -> str:
-    """CTEs of a traversal under all bounds: `states` with their admission number, `paths` of its ends, `said` warnings; names begin with `p`."""
+def bounded(limits, edges: str = "edges", roots: str = "incident_roots", root: str = "root_id", here: str = "target_id", there: str = "source_id", stops: str = "e.source_kind = 'Service'", ends: str = "terminal", codes: tuple = SERVICE_CODES, refused: str = NONE, p: str = "", incident: str = "incident_id") -> str:
+    """CTEs of traversals under all bounds, one an incident: `states` with their admission number, `paths` of their ends, `said` warnings; names begin with `p`.
+
+    `before` is the number of a start's states of smaller depth: what a start alone has no room for is never walked.
+    """
     n = limits.states
     wide, many, more, ending = codes
     return f"""
 {p}page AS (SELECT *, row_number() OVER (PARTITION BY {here} ORDER BY id, {there}) AS hop, count(*) OVER (PARTITION BY {here}) AS width FROM {edges} QUALIFY hop <= {limits.fan_out}),
-{p}walk(root_id, cur, depth, node_ids, edge_ids, terminal) AS (
-  SELECT {root}, {root}, 0, [{root}], []::BIGINT[], false FROM {roots}
+{p}walk(incident_id, root_id, cur, depth, node_ids, edge_ids, terminal, before, level_n) AS (
+  SELECT {incident}, {root}, {root}, 0, [{root}], []::BIGINT[], false, 0::BIGINT, 1::BIGINT FROM (SELECT DISTINCT {incident}, {root} FROM {roots})
   UNION ALL
-  SELECT * FROM (SELECT s.root_id, e.{there}, s.depth + 1, list_append(s.node_ids, e.{there}), list_append(s.edge_ids, e.id) AS edge_ids, {stops}
-  FROM {p}walk s JOIN {p}page e ON e.{here} = s.cur WHERE NOT s.terminal AND s.depth < {limits.depth} AND NOT list_contains(s.node_ids, e.{there}) ORDER BY s.root_id, 5 LIMIT {n + 1})),
-{p}ranked AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY root_id, depth, edge_ids) AS ord FROM {p}walk) WHERE ord <= {n + 1}),
+  SELECT incident_id, root_id, cur, depth, node_ids, edge_ids, terminal, before, count(*) OVER (PARTITION BY incident_id, root_id) FROM (
+    SELECT * FROM (SELECT s.incident_id, s.root_id, e.{there} AS cur, s.depth + 1 AS depth, list_append(s.node_ids, e.{there}) AS node_ids, list_append(s.edge_ids, e.id) AS edge_ids, {stops} AS terminal, s.before + s.level_n AS before
+      FROM {p}walk s JOIN {p}page e ON e.{here} = s.cur WHERE NOT s.terminal AND s.depth < {limits.depth} AND NOT list_contains(s.node_ids, e.{there}) AND s.before + s.level_n <= {n})
+    QUALIFY before + row_number() OVER (PARTITION BY incident_id, root_id ORDER BY edge_ids) <= {n + 1} AND row_number() OVER (PARTITION BY incident_id ORDER BY root_id, edge_ids) <= {n + 1})),
+{p}ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY root_id, depth, edge_ids) AS ord FROM {p}walk) WHERE ord <= {n + 1}),
 {p}states AS (SELECT * FROM {p}ranked WHERE ord <= {n}),
-{p}steps AS (SELECT r.ord, r.cur, r.depth, r.node_ids, e.hop, e.{there} AS next, list_contains(r.node_ids, e.{there}) AS seen FROM {p}states r JOIN {p}page e ON e.{here} = r.cur WHERE NOT r.terminal),
-{p}ends AS (SELECT *, min(ord) OVER (PARTITION BY cur) AS f, row_number() OVER (PARTITION BY cur ORDER BY ord) AS nth FROM {p}states WHERE {ends}),
-{p}placed AS (SELECT *, dense_rank() OVER (ORDER BY f) AS place FROM {p}ends),
-{p}taken AS (SELECT *, row_number() OVER (ORDER BY ord) AS total FROM {p}placed WHERE place <= {limits.ends} AND nth <= {limits.paths_per_end}),
+{p}steps AS (SELECT r.incident_id, r.ord, r.cur, r.depth, r.node_ids, e.hop, e.{there} AS next, list_contains(r.node_ids, e.{there}) AS seen FROM {p}states r JOIN {p}page e ON e.{here} = r.cur WHERE NOT r.terminal),
+{p}ends AS (SELECT *, min(ord) OVER (PARTITION BY incident_id, cur) AS f, row_number() OVER (PARTITION BY incident_id, cur ORDER BY ord) AS nth FROM {p}states WHERE {ends}),
+{p}placed AS (SELECT *, dense_rank() OVER (PARTITION BY incident_id ORDER BY f) AS place FROM {p}ends),
+{p}taken AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ord) AS total FROM {p}placed WHERE place <= {limits.ends} AND nth <= {limits.paths_per_end}),
 {p}events AS (
-  SELECT 'cycle-skipped' AS code, next AS node_id, list_append(node_ids, next) AS path, ord, hop FROM {p}steps WHERE seen
-  UNION ALL SELECT 'depth-limit-reached', cur, list_append(node_ids, arg_min(next, hop)), ord, min(hop) FROM {p}steps WHERE NOT seen AND depth = {limits.depth} GROUP BY ord, cur, node_ids
-  UNION ALL SELECT '{wide}', cur, node_ids, ord, 0 FROM {p}states WHERE NOT terminal AND cur IN (SELECT {here} FROM {p}page WHERE width > {limits.fan_out})
-  UNION ALL SELECT '{many}', cur, node_ids, ord, 0 FROM {p}placed WHERE place > {limits.ends}
-  UNION ALL SELECT '{more}', cur, node_ids, ord, 0 FROM {p}placed WHERE place <= {limits.ends} AND nth > {limits.paths_per_end}
-  UNION ALL SELECT 'path-limit-reached', cur, node_ids, ord, 0 FROM {p}taken WHERE total = {limits.paths + 1}
-  UNION ALL SELECT 'traversal-state-limit-reached', x.cur, x.node_ids, coalesce(p.ord, {n + 1}), coalesce(e.hop, 0) FROM {p}ranked x LEFT JOIN {p}ranked p ON x.depth > 0 AND p.root_id = x.root_id AND p.depth = x.depth - 1 AND p.edge_ids = x.edge_ids[:x.depth - 1]
+  SELECT incident_id, 'cycle-skipped' AS code, next AS node_id, list_append(node_ids, next) AS path, ord, hop FROM {p}steps WHERE seen
+  UNION ALL SELECT incident_id, 'depth-limit-reached', cur, list_append(node_ids, arg_min(next, hop)), ord, min(hop) FROM {p}steps WHERE NOT seen AND depth = {limits.depth} GROUP BY incident_id, ord, cur, node_ids
+  UNION ALL SELECT incident_id, '{wide}', cur, node_ids, ord, 0 FROM {p}states WHERE NOT terminal AND cur IN (SELECT {here} FROM {p}page WHERE width > {limits.fan_out})
+  UNION ALL SELECT incident_id, '{many}', cur, node_ids, ord, 0 FROM {p}placed WHERE place > {limits.ends}
+  UNION ALL SELECT incident_id, '{more}', cur, node_ids, ord, 0 FROM {p}placed WHERE place <= {limits.ends} AND nth > {limits.paths_per_end}
+  UNION ALL SELECT incident_id, 'path-limit-reached', cur, node_ids, ord, 0 FROM {p}taken WHERE total = {limits.paths + 1}
+  UNION ALL SELECT x.incident_id, 'traversal-state-limit-reached', x.cur, x.node_ids, coalesce(p.ord, {n + 1}), coalesce(e.hop, 0) FROM {p}ranked x LEFT JOIN {p}ranked p ON x.depth > 0 AND p.incident_id = x.incident_id AND p.root_id = x.root_id AND p.depth = x.depth - 1 AND p.edge_ids = x.edge_ids[:x.depth - 1]
     LEFT JOIN {p}page e ON x.depth > 0 AND e.id = x.edge_ids[x.depth] AND e.{here} = p.cur WHERE x.ord = {n + 1}
-  UNION ALL SELECT code, node_id, []::BIGINT[], (SELECT coalesce(max(ord), 0) FROM {p}ranked WHERE root_id < node_id), node_id + 1099511627776 FROM ({refused})),
-{p}numbered AS (SELECT *, row_number() OVER (ORDER BY ord, hop, code, node_id) AS place FROM (SELECT * FROM {p}events QUALIFY row_number() OVER (PARTITION BY code, node_id, path ORDER BY ord, hop) = 1)),
-{p}stop AS (SELECT coalesce(min(place), 9223372036854775807) AS place, coalesce(arg_min(ord, place), 9223372036854775807) AS ord FROM {p}numbered WHERE code IN ({ending}) OR place >= {limits.warnings}),
-{p}said AS (SELECT code, node_id, path, place FROM {p}numbered WHERE place <= (SELECT place FROM {p}stop) AND place < {limits.warnings} UNION ALL SELECT 'warning-limit-reached', NULL, [], {limits.warnings} FROM {p}stop WHERE place >= {limits.warnings} AND place < 9223372036854775807),
-{p}paths AS (SELECT root_id, cur AS service_id, depth, node_ids, edge_ids, ord, '[' || root_id || ',' || cur || ',' || array_to_string(edge_ids, ',') || ']' AS path_key FROM {p}taken WHERE total <= {limits.paths} AND ord < (SELECT ord FROM {p}stop))
+  UNION ALL SELECT incident_id, code, node_id, []::BIGINT[], (SELECT coalesce(max(ord), 0) FROM {p}ranked r WHERE r.incident_id = z.incident_id AND r.root_id < z.node_id), node_id + 1099511627776 FROM ({refused}) z),
+{p}numbered AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ord, hop, code, node_id) AS place FROM (SELECT * FROM {p}events QUALIFY row_number() OVER (PARTITION BY incident_id, code, node_id, path ORDER BY ord, hop) = 1)),
+{p}stop AS (SELECT incident_id, min(place) AS place, arg_min(ord, place) AS ord FROM {p}numbered WHERE code IN ({ending}) OR place >= {limits.warnings} GROUP BY 1),
+{p}said AS (SELECT n.incident_id, code, node_id, path, n.place FROM {p}numbered n LEFT JOIN {p}stop s USING (incident_id) WHERE (s.place IS NULL OR n.place <= s.place) AND n.place < {limits.warnings} UNION ALL SELECT incident_id, 'warning-limit-reached', NULL, [], {limits.warnings} FROM {p}stop WHERE place >= {limits.warnings}),
+{p}paths AS (SELECT t.incident_id, root_id, cur AS service_id, depth, node_ids, edge_ids, t.ord, '[' || root_id || ',' || cur || ',' || array_to_string(edge_ids, ',') || ']' AS path_key FROM {p}taken t LEFT JOIN {p}stop s USING (incident_id) WHERE total <= {limits.paths} AND (s.ord IS NULL OR t.ord < s.ord))
 """
 
 
@@ -101,15 +107,15 @@ relations AS (
   UNION ALL SELECT 'CAN_PUBLISH', {ID.format("'credential:' || c_mktsegment")}, {ID.format("'pkg:npm:' || p_brand")}, (l_suppkey * 4) * 8 + 7 FROM sold WHERE l_returnflag = 'R' AND l_quantity = 50
   UNION ALL SELECT 'MAINTAINS', l_suppkey * 8 + 3, {ID.format("'pkg:npm:' || p_brand")}, (l_suppkey * 4) * 8 + 7 FROM sold WHERE l_returnflag = 'A' AND l_quantity = 1),
 authority AS (SELECT *, {edge_id("kind", "source_id", "target_id")} AS id FROM (SELECT kind, source_id, target_id, list_sort(list(DISTINCT evidence)) AS evidence_ids FROM relations GROUP BY 1, 2, 3)),
-seeds AS (SELECT s_suppkey * 8 + 3 AS seed_id, [(s_suppkey * 4) * 8 + 7] AS seed_evidence FROM supplier WHERE s_acctbal < -500)
+seeds AS (SELECT s_nationkey::BIGINT * 8 + 6 AS incident_id, s_suppkey * 8 + 3 AS seed_id, [(s_suppkey * 4) * 8 + 7] AS seed_evidence FROM supplier WHERE s_acctbal < -500)
 """
 
 
 def reach(limits, edges: str = "authority", seeds: str = "seeds", p: str = "a_") -> str:
     """The forward authority traversal; `a_targets` has its paths with what the last relation enables and the evidence."""
     return bounded(limits, edges, seeds, "seed_id", "source_id", "target_id", "false", "depth > 0", TARGET_CODES, p=p) + f""",
-{p}targets AS (SELECT p.root_id AS seed_id, p.service_id AS target_id, p.depth, p.edge_ids, any_value(e.kind) FILTER (e.id = p.edge_ids[len(p.edge_ids)]) AS last_kind, list_sort(list_distinct(flatten(list(e.evidence_ids)) || any_value(s.seed_evidence))) AS evidence_ids
-  FROM {p}paths p JOIN {seeds} s ON s.seed_id = p.root_id, unnest(p.edge_ids) u(edge_id) JOIN {edges} e ON e.id = u.edge_id GROUP BY 1, 2, 3, 4)
+{p}targets AS (SELECT p.incident_id, p.root_id AS seed_id, p.service_id AS target_id, p.depth, p.edge_ids, any_value(e.kind) FILTER (e.id = p.edge_ids[len(p.edge_ids)]) AS last_kind, list_sort(list_distinct(flatten(list(e.evidence_ids)) || any_value(s.seed_evidence))) AS evidence_ids
+  FROM {p}paths p JOIN {seeds} s ON s.seed_id = p.root_id AND s.incident_id = p.incident_id, unnest(p.edge_ids) u(edge_id) JOIN {edges} e ON e.id = u.edge_id GROUP BY 1, 2, 3, 4, 5)
 """
 
 

@@ -147,14 +147,14 @@ def t5_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
     edges = materialize(g.depends_on())
     trusted = g.evidence().where((F.col("source_type") == "package-lock") & (F.col("confidence") >= 0.8)).select(F.col("id").alias("evidence_id"))
-    found = investigations.exposure(bounded_traversal(g.affected_versions(), edges, WHOLE).services, edges, trusted)
-    return found.select("root_id", "service_id", F.col("depth").cast("long").alias("depth"), _text("edge_ids").alias("edge_ids"))
+    found = investigations.exposure(bounded_traversal(g.incident_versions(), edges, WHOLE).services, edges, trusted)
+    return found.select("incident_id", "root_id", "service_id", F.col("depth").cast("long").alias("depth"), _text("edge_ids").alias("edge_ids"))
 
 
 def a23_path_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    found = bounded_traversal(g.affected_versions(), materialize(g.depends_on()), WHOLE).services
-    paths = found.select(F.concat_ws("/", F.col("root_id"), _text("edge_ids")).alias("path_key"), F.col("cur").alias("service_id"), "node_ids")
+    found = bounded_traversal(g.incident_versions(), materialize(g.depends_on()), WHOLE).services
+    paths = found.select("incident_id", F.concat_ws("/", F.col("root_id"), _text("edge_ids")).alias("path_key"), F.col("cur").alias("service_id"), "node_ids")
     return investigations.path_view(paths)
 
 
@@ -308,15 +308,15 @@ ORACLES = {
         GRAPH,
         STATES,
         """trusted AS (SELECT id FROM evidence WHERE source_type = 'package-lock' AND confidence >= 0.8), backed AS (SELECT DISTINCT e.id FROM edges e, unnest(e.evidence_ids) u(x) WHERE x IN (SELECT id FROM trusted)),
-        ok AS (SELECT p.root_id, p.service_id, p.depth, p.edge_ids FROM paths p, unnest(p.edge_ids) u(x) GROUP BY 1, 2, 3, 4 HAVING bool_and(x IN (SELECT id FROM backed)))""",
-        select="SELECT root_id, service_id, depth::BIGINT AS depth, array_to_string(edge_ids, ',') AS edge_ids FROM ok QUALIFY row_number() OVER (PARTITION BY root_id, service_id ORDER BY depth, edge_ids) = 1",
+        ok AS (SELECT p.incident_id, p.root_id, p.service_id, p.depth, p.edge_ids FROM paths p, unnest(p.edge_ids) u(x) GROUP BY 1, 2, 3, 4, 5 HAVING bool_and(x IN (SELECT id FROM backed)))""",
+        select="SELECT incident_id, root_id, service_id, depth::BIGINT AS depth, array_to_string(edge_ids, ',') AS edge_ids FROM ok QUALIFY row_number() OVER (PARTITION BY incident_id, root_id, service_id ORDER BY depth, edge_ids) = 1",
     ),
     "a23_path_view": query(
         GRAPH,
         STATES,
-        "walked AS (SELECT root_id || '/' || array_to_string(edge_ids, ',') AS k, service_id, unnest(node_ids) AS node_id, unnest(range(len(node_ids))) AS layer FROM paths)",
-        "firsts AS (SELECT node_id, layer FROM walked QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY service_id, k, layer) = 1)",
-        select="SELECT w.node_id, count(DISTINCT k) AS path_count, any_value(f.layer)::BIGINT AS layer, min(w.layer)::BIGINT AS least_layer FROM walked w JOIN firsts f USING (node_id) GROUP BY 1",
+        "walked AS (SELECT incident_id, root_id || '/' || array_to_string(edge_ids, ',') AS k, service_id, unnest(node_ids) AS node_id, unnest(range(len(node_ids))) AS layer FROM paths)",
+        "firsts AS (SELECT incident_id, node_id, layer FROM walked QUALIFY row_number() OVER (PARTITION BY incident_id, node_id ORDER BY service_id, k, layer) = 1)",
+        select="SELECT w.incident_id, w.node_id, count(DISTINCT k) AS path_count, any_value(f.layer)::BIGINT AS layer, min(w.layer)::BIGINT AS least_layer FROM walked w JOIN firsts f USING (incident_id, node_id) GROUP BY 1, 2",
     ),
     "q6_review": """WITH f AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'open' WHEN 'O' THEN 'reviewing' ELSE 'dismissed' END AS status FROM orders),
         c AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'promoted' ELSE 'dismissed' END AS goal, l_tax < 0.02 AS stale FROM lineitem WHERE l_quantity > 25

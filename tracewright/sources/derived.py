@@ -99,8 +99,12 @@ class Graph:
         )
         return merged.withColumn("id", numeric_id(edge_logical_id(F.lit("DEPENDS_ON"), name("source_id"), name("target_id"))))
 
-    def affected_versions(self) -> DataFrame:
-        """root_id of the versions named by the incident: parts of the largest size."""
+    def incident_versions(self) -> DataFrame:
+        """incident_id, root_id: the versions that each incident affects, where a traversal of the incident starts."""
+        return self.affects().withColumnRenamed("version_id", "root_id")
+
+    def largest_versions(self) -> DataFrame:
+        """root_id of the parts of the largest size, for queries over single versions."""
         return self.versions().where("size = 50").select(F.col("id").alias("root_id"))
 
     def incidents(self) -> DataFrame:
@@ -156,8 +160,8 @@ class Graph:
         return merged.withColumn("id", numeric_id(edge_logical_id(F.col("kind"), F.concat(F.lit("n:"), F.col("source_id")), F.concat(F.lit("n:"), F.col("target_id")))))
 
     def authority_seeds(self) -> DataFrame:
-        """Maintainers with a balance below -500, each with its own evidence."""
-        return self.table("supplier").where("s_acctbal < -500").select(entity("s_suppkey", "Maintainer").alias("seed_id"), F.lit("Maintainer").alias("seed_kind"), F.array(entity(F.col("s_suppkey") * 4, "Evidence")).alias("seed_evidence"))
+        """Maintainers with a balance below -500, each with its own evidence, by the incident of their nation."""
+        return self.table("supplier").where("s_acctbal < -500").select(entity("s_nationkey", "Incident").alias("incident_id"), entity("s_suppkey", "Maintainer").alias("seed_id"), F.lit("Maintainer").alias("seed_kind"), F.array(entity(F.col("s_suppkey") * 4, "Evidence")).alias("seed_evidence"))
 
     def _release_lines(self) -> DataFrame:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -165,16 +169,19 @@ class Graph:
         trust = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45), "untrusted").when((F.col("l_returnflag") == "N") & (F.col("l_quantity") <= 2), "unknown").otherwise("trusted")
         proof = F.when(F.col("l_tax") > 0.075, F.array().cast("array<bigint>")).otherwise(F.array(F.col("l_suppkey")))
         boundary = F.when((F.col("l_linestatus") == "O") & (F.col("l_discount") > 0.085), "cross-trust-boundary").otherwise("same-trust-zone")
-        return lines.select("l_orderkey", "nth", ((F.col("l_orderkey") * 64 + F.col("nth")) * 2).alias("node"), "l_returnflag", "l_linestatus", trust.alias("trust"), proof.alias("proof"), boundary.alias("boundary"))
+        return lines.select("l_orderkey", "l_suppkey", "nth", ((F.col("l_orderkey") * 64 + F.col("nth")) * 2).alias("node"), "l_returnflag", "l_linestatus", trust.alias("trust"), proof.alias("proof"), boundary.alias("boundary"))
 
     def release_nodes(self) -> DataFrame:
         """Orders as releases (id odd), their lines as what influences them (id even): id, kind, trust, evidence_ids."""
         proof = F.when(F.col("o_orderpriority") == "1-URGENT", F.array().cast("array<bigint>")).otherwise(F.array("o_custkey"))
         releases = self.table("orders").select((F.col("o_orderkey") * 2 + 1).alias("id"), F.lit("release").alias("kind"), F.lit("trusted").alias("trust"), proof.alias("evidence_ids"))
-        return releases.unionByName(self._release_lines().select(F.col("node").alias("id"), F.when(F.col("nth") % 2 == 0, "cache").otherwise("build").alias("kind"), "trust", F.col("proof").alias("evidence_ids")))
+        return releases.unionByName(self._release_lines().select(F.col("node").alias("id"), F.when(F.col("nth") % 2 == 0, "cache-entry").otherwise("build").alias("kind"), "trust", F.col("proof").alias("evidence_ids")))
+
+    def release_edges(self, loops: bool = False) -> DataFrame:
+        """Each line influences the next, every third also the one after that; the last publishes unless the order is 'P'.
 
-    def release_edges(self) -> DataFrame:
-        """Each line influences the next, every third also the one after that; the last publishes unless the order is 'P'."""
+        With `loops`, every sixth supplier's lines are also influenced by the line three places on.
+        """
         lines = self._release_lines()
         order = Window.partitionBy("l_orderkey").orderBy("nth")
         lines = lines.withColumn("next", F.lead("node").over(order)).withColumn("second", F.lead("node", 2).over(order))
@@ -184,4 +191,8 @@ class Graph:
         forks = edge(lines.where("second IS NOT NULL AND nth % 3 = 1"), F.lit("influences"), F.col("second"), 1)
         status = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
         last = edge(lines.where("next IS NULL").join(status, "l_orderkey").where("o_orderstatus <> 'P'"), F.lit("publishes"), F.col("l_orderkey") * 2 + 1, 2)
-        return onward.unionByName(forks).unionByName(last)
+        found = onward.unionByName(forks).unionByName(last)
+        if loops:
+            back = lines.withColumn("third", F.lead("node", 3).over(order)).where("third IS NOT NULL AND l_suppkey % 6 = 0")
+            found = found.unionByName(back.select((F.col("node") * 4 + 3).alias("id"), F.lit("influences").alias("kind"), F.col("third").alias("source_id"), F.col("node").alias("target_id"), "trust", F.lit("unknown").alias("boundary"), F.col("proof").alias("evidence_ids")))
+        return found

@@ -7,13 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.firewall import NODE_KINDS, TRUST
 from ..operators.merge import violations
 
-#: What a decoded release row may say.
-TRUST = ("trusted", "untrusted", "unknown")
-BOUNDARIES = ("same-trust-zone", "cross-trust-boundary", "unknown")
-NODE_KINDS = ("source-change", "workflow", "build", "cache", "artifact", "credential", "identity", "release")
-
 
 class SnapshotError(RuntimeError):
     """A snapshot that is absent, incomplete or already there."""
