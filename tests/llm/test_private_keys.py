@@ -19,7 +19,7 @@ def test_redaction_leaves_no_key_body(make_docs):
         (7, f"{HEAD}\n" + "\n".join(LINES * 40) + f"\n{END}\nafter"),
         (8, f"{HEAD}\n{BODY}\n-----EN"),
     ]
-    out = {r.doc_id: r.text for r in secrets.redact_history(make_docs(rows)).collect()}
+    out = {r.doc_id: r.text for r in secrets.redact_history(make_docs(rows))[0].collect()}
     assert out == {
         0: "before\n[SECRET]\nafter",
         1: "before\n[SECRET]\nafter",
@@ -39,3 +39,15 @@ def test_ledger_of_the_header_rule_is_scanned_again(make_docs):
     old = ledger.selectExpr("blob", "transform(rules, r -> replace(r, 'private_key:2', 'private_key:1')) AS rules", "transform(findings, f -> named_struct('start', f.start, 'rank', f.rank, 'end', 31, 'kind', f.kind)) AS findings")
     again = secrets.scan_history(docs, old)[0].first().findings
     assert [(f.kind, f.start, f.end) for f in again if f.kind == "private_key"] == [("private_key", 0, len(f"{HEAD}\n{BODY}\n{END}"))]
+
+
+def test_redaction_looks_known_blobs_up(make_docs):
+    """A second run over the same blobs runs no pattern, its gate neither, and returns the same texts and ledger."""
+    rows = [(0, f"a {HEAD}\n{BODY}\n{END} b"), (1, "clean"), (2, None), (3, "token = abcdef123"), (3, "token = abcdef123")]
+    first, ledger = secrets.redact_history(make_docs(rows))
+    texts = sorted((r.doc_id, r.text or "") for r in first.collect())
+    assert texts[0] == (0, "a [SECRET] b") and ledger.count() == 4
+    broken = tuple(secrets.Rule(r.kind, r.version, "[a-z]", ".*", "[a-z]", r.base) for r in secrets.RULES)  # would find every letter
+    second, again = secrets.redact_history(make_docs([*rows, (9, "clean")]), rules=broken, ledger=ledger)
+    assert sorted((r.doc_id, r.text or "") for r in second.collect()) == [*texts, (9, "clean")]
+    assert {(bytes(r.blob), len(r.findings)) for r in again.collect()} == {(bytes(r.blob), len(r.findings)) for r in ledger.collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import RULES
+from .secrets import _KEY_END, _KEY_HEAD, RULES, Rule
 
 _KEYWORD = "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key")) + ")"
 
@@ -12,17 +12,29 @@ def _re2(pattern: str) -> str:
     return pattern.replace("(?i:password|passwd|secret|token|api_?key)", _KEYWORD).replace("'", "''")
 
 
-_HITS = "\n  UNION ALL ".join(
-    f"SELECT rid, {k} AS rank, '{r.kind}' AS kind, '{_re2(r.keep)}' AS keep, regexp_extract_all(t, '{_re2(r.pattern)}') AS h, regexp_split_to_array(t, '{_re2(r.pattern)}') AS p FROM d WHERE regexp_matches(t, '{_re2(r.pattern)}')"
-    for k, r in enumerate(RULES)
-)
+_BLANK = r"[\x20\x09-\x0D]"
+_BREAK = rf"(?:{_BLANK}|\\[nrt])"
+_BODY = rf"(?:{_BREAK}*(?:Proc-Type|DEK-Info|Comment|Version|X-[A-Za-z-]+):[^\r\n\\]*)*"
+_LINES = rf"(?:{_BREAK}*[A-Za-z0-9+/]{{16,}}={{0,2}})+"
+#: A private key without look-ahead: to its END line if that is the next line of dashes; else headers and lines of base64
+#: with a short last one, whose end is told by what follows (the group, which is no part of it); else without a short one.
+_KEY = rf"{_KEY_HEAD}(?:[^-]|-{{1,4}}[^-])*{_KEY_END}|{_KEY_HEAD}{_BODY}{_LINES}{_BREAK}+[A-Za-z0-9+/]{{1,15}}={{0,2}}([\x20\t]*[\\\r\n]|[\x20\t]+-----END|[\x20\t]*\z)|{_KEY_HEAD}{_BODY}(?:{_LINES})?"
+
+
+def _hits(rank: int, rule: Rule) -> str:
+    pattern = _KEY if rule.kind == "private_key" else _re2(rule.pattern)
+    after = f"regexp_extract_all(t, '{pattern}', 1)" if rule.kind == "private_key" else "[]::VARCHAR[]"
+    return f"SELECT rid, {rank} AS rank, '{rule.kind}' AS kind, '{_re2(rule.keep)}' AS keep, regexp_extract_all(t, '{pattern}') AS h, regexp_split_to_array(t, '{pattern}') AS p, {after} AS a FROM d WHERE regexp_matches(t, '{pattern}')"
+
+
+_HITS = "\n  UNION ALL ".join(_hits(k, r) for k, r in enumerate(RULES))
 _BASE = ", ".join(f"'{r.kind}'" for r in RULES if r.base)
 SECRETS = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 hits AS ({_HITS}),
-flat AS (SELECT rid, rank, kind, keep, unnest(h) AS hit, unnest(p) AS pre, unnest(range(len(p))) AS i FROM hits),
-placed AS (SELECT rid, rank, kind, keep, hit, (sum(length(pre)) OVER w + coalesce(sum(length(hit)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s FROM flat WINDOW w AS (PARTITION BY rid, rank ORDER BY i)),
-kept AS (SELECT *, kind || ':' || s || ':' || (s + length(hit)) AS span FROM placed WHERE hit IS NOT NULL AND regexp_full_match(hit, keep)),
+flat AS (SELECT rid, rank, kind, keep, unnest(h) AS hit, unnest(p) AS pre, unnest(a) AS after, unnest(range(len(p))) AS i FROM hits),
+placed AS (SELECT rid, rank, kind, keep, hit, length(coalesce(after, '')) AS cut, (sum(length(pre)) OVER w + coalesce(sum(length(hit)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS s FROM flat WINDOW w AS (PARTITION BY rid, rank ORDER BY i)),
+kept AS (SELECT *, kind || ':' || s || ':' || (s + length(hit) - cut) AS span FROM placed WHERE hit IS NOT NULL AND regexp_full_match(hit, keep)),
 said AS (SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS x, string_agg(span, ',' ORDER BY s, rank) FILTER (kind IN ({_BASE})) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM kept GROUP BY 1)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN said USING (rid)
 """

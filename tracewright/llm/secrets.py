@@ -75,6 +75,34 @@ def _versions(rules: tuple[Rule, ...]) -> str:
     return ", ".join(f"'{r.kind}:{r.version}'" for r in rules)
 
 
+def _unseen(rules: tuple[Rule, ...]) -> str:
+    """SQL: lacks `known` a rule version?"""
+    return f"size(array_except(array({_versions(rules)}), known)) > 0"
+
+
+def _current(rules: tuple[Rule, ...]) -> str:
+    """SQL: the findings in `found` whose rule version is still in use and in `known`."""
+    return f"filter(found, f -> exists(array({_versions(rules)}), v -> startswith(v, concat(f.kind, ':')) AND array_contains(known, v)))"
+
+
+def _done(rules: tuple[Rule, ...]) -> str:
+    return f"array_union(known, array({_versions(rules)})) AS rules"
+
+
+def _scan(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ledger rows (blob, rules, findings) of texts that passed the gate (blob, _text, known, found), each distinct blob once.
+
+    A rule runs on a blob only where `known` lacks that version of it.
+    """
+    blobs = rows.groupBy("blob").agg(*[F.first(c).alias(c) for c in ("_text", "known", "found")])
+    nothing = f"cast(array() AS {FINDINGS})"
+    scans = [
+        f"if(array_contains(known, '{r.kind}:{r.version}') OR NOT regexp_like(_text, {_quoted(r.gate)}), {nothing}, {_rule_findings(r, k, '_text')})"
+        for k, r in enumerate(rules)
+    ]
+    return blobs.selectExpr("blob", _done(rules), f"array_sort(concat({_current(rules)}, {', '.join(scans)})) AS findings")
+
+
 def scan_history(
     docs: DataFrame,
     ledger: DataFrame | None = None,
@@ -97,18 +125,10 @@ def scan_history(
     else:
         held = ledger.selectExpr("blob", "rules AS known", "findings AS found")
         rows = rows.join(held, "blob", "left").selectExpr("doc_id", "_text", "blob", "coalesce(known, cast(array() AS array<string>)) AS known", f"coalesce(found, {nothing}) AS found")
-    unseen = f"size(array_except(array({_versions(rules)}), known)) > 0"
-    gated = f"if({unseen}, if(regexp_like(_text, {_quoted(gate(rules))}), _text, NULL), NULL)"
+    gated = f"if({_unseen(rules)}, if(regexp_like(_text, {_quoted(gate(rules))}), _text, NULL), NULL)"
     versions = materialize(rows.selectExpr("doc_id", "blob", f"{gated} AS _text", "known", "found"))
-    blobs = versions.where(F.col("_text").isNotNull()).groupBy("blob").agg(*[F.first(c).alias(c) for c in ("_text", "known", "found")])
-    # a rule runs on a blob only where the ledger lacks that version of it
-    scans = [
-        f"if(array_contains(known, '{r.kind}:{r.version}') OR NOT regexp_like(_text, {_quoted(r.gate)}), {nothing}, {_rule_findings(r, k, '_text')})"
-        for k, r in enumerate(rules)
-    ]
-    current = f"filter(found, f -> exists(array({_versions(rules)}), v -> startswith(v, concat(f.kind, ':')) AND array_contains(known, v)))"
-    done = f"array_union(known, array({_versions(rules)})) AS rules"
-    scanned = materialize(blobs.selectExpr("blob", done, f"array_sort(concat({current}, {', '.join(scans)})) AS findings"))
+    scanned = materialize(_scan(versions.where(F.col("_text").isNotNull()), rules))
+    current, done = _current(rules), _done(rules)
     # what the gate held back stays as the ledger has it
     rest = versions.where(F.col("_text").isNull()).selectExpr("doc_id", "blob", f"{current} AS findings")
     paths = versions.where(F.col("_text").isNotNull()).select("doc_id", "blob").join(scanned.select("blob", "findings"), "blob")
@@ -149,19 +169,34 @@ def mask(text: str, findings: str, mark: str) -> str:
     return f"concat(array_join({pieces}, ''), substring({text}, {reach(findings, '0')} + 1))"
 
 
-def redact_history(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """`docs`, all rows and columns, with every secret replaced by `mark`; null text stays null.
+def redact_history(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(`docs`, all rows and columns, with every secret replaced by `mark`; the grown ledger). Null text stays null.
 
-    The gate's answer is written with the rows, so every text meets it once. The ledger scans each distinct blob that
-    passes; its findings are joined back to the rows that carry it, and only those rows are rewritten.
+    A blob of which the ledger holds every rule meets no pattern, the gate included: its findings are looked up. The
+    others meet the gate once, its answer is written with the rows, and each distinct blob that passes is scanned. Only
+    rows with findings are rewritten.
     """
     # whole rows as one column: no name of theirs can clash
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     content = F.coalesce(F.col(f"_row.`{text}`").cast("string"), F.lit(""))
-    marked = materialize(docs.select(row).withColumn("_gated", content.rlike(gate(rules))))
-    hot = marked.where("_gated").select("_row", F.unhex(F.sha2(content, 256)).alias("_blob"))
-    _, scanned = scan_history(hot.select(F.col(f"_row.`{text}`").alias("text"), F.lit(None).cast("long").alias("doc_id")), ledger, rules)
-    found = scanned.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    joined = hot.join(found, "_blob", "left")
-    shown = [F.expr(f"if(_findings IS NULL, _row.`{c}`, {mask(f'_row.`{c}`', '_findings', mark)})").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    return marked.where("NOT _gated").select("_row.*").unionByName(joined.select(*shown))
+    rows = docs.select(row).withColumn("blob", F.unhex(F.sha2(content, 256)))
+    nothing = f"cast(array() AS {FINDINGS})"
+    if ledger is None:
+        rows = rows.selectExpr("*", "cast(array() AS array<string>) AS known", f"{nothing} AS found")
+    else:
+        rows = rows.join(ledger.selectExpr("blob", "rules AS known", "findings AS found"), "blob", "left")
+        rows = rows.selectExpr("_row", "blob", "coalesce(known, cast(array() AS array<string>)) AS known", f"coalesce(found, {nothing}) AS found")
+    asked = F.when(F.expr(_unseen(rules)), content.rlike(gate(rules))).otherwise(F.lit(False))
+    marked = materialize(rows.withColumn("gated", asked))
+    hot = marked.where("gated")
+    scanned = materialize(_scan(hot.select("blob", content.alias("_text"), "known", "found"), rules))
+    # one plan part a case, so that texts without findings are not shuffled
+    fresh = hot.select("_row", "blob").join(scanned.where(F.size("findings") > 0).select("blob", "findings"), "blob", "left")
+    held = marked.where("NOT gated").selectExpr("_row", f"{_current(rules)} AS findings")
+    told = F.coalesce(F.size("findings"), F.lit(0)) > 0
+    shown = [F.when(told, F.expr(mask(f"_row.`{c}`", "findings", mark))).otherwise(F.col(f"_row.`{c}`")).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    clean = marked.where("NOT gated").groupBy("blob").agg(F.first("known").alias("known"), F.first("found").alias("found")).selectExpr("blob", _done(rules), f"{_current(rules)} AS findings")
+    grown = scanned.unionByName(clean)
+    if ledger is not None:
+        grown = grown.unionByName(ledger.join(grown.select("blob"), "blob", "left_anti").select(grown.columns))
+    return held.select(*shown).unionByName(fresh.select("_row", "findings").select(*shown)), grown
