@@ -181,6 +181,30 @@ def test_language_model_score_against_slow_scoring(spark, sf_dir, monkeypatch):
         assert abs(total / math.log(10) - rows[d].score) < 1e-4 * abs(rows[d].score) + 1e-6, d
 
 
+def test_language_model_does_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    few = dict(batch=512, min_count=5, lane_tokens=4000)
+    totals = [[r.score for r in language_model.score_texts(docs.repartition(n), **few).orderBy("doc_id").collect()] for n in (1, 5)]
+    assert np.allclose(*totals, rtol=1e-4)
+
+
+def test_language_model_learns_more_from_more(spark, sf_dir):
+    """Three times the training texts bring held-out texts further above the counts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    gains = []
+    for part in (docs.where("crc32(CAST(doc_id AS string)) % 7 IN (2, 3, 5)"), docs):
+        own = [r for r in language_model.score_texts(part, batch=512, min_count=5, lane_tokens=4000).collect() if r.held_out]
+        gains.append(sum(r.score - r.base_score for r in own))
+    assert gains[1] > gains[0]
+
+
+def test_schedule_grows_with_the_corpus():
+    assert language_model.schedule(0) == language_model.schedule(language_model.LANE_TOKENS) == (1, 1)
+    for n in (10**7, 10**9, 10**12):
+        rounds, lanes = language_model.schedule(n)
+        assert rounds <= language_model.MAX_ROUNDS and n / (rounds * lanes) <= language_model.LANE_TOKENS < n / (rounds * (lanes - 1) or 1)
+
+
 def test_language_model_edges(make_docs):
     rows = language_model.score_texts(make_docs([(1, None), (2, ""), (2, ""), (3, "A a\tb " * 3), (None, "x")])).collect()
     assert len(rows) == 5 and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)

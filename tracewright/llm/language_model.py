@@ -7,9 +7,11 @@ the vocabulary. The next word's vector is predicted from the last three words, q
 
     log P(w | h) = log softmax over classes (q . s_c + t_c) + log softmax over the words of the class (q . q_w + b_w).
 
-Training is one pass of Spark tasks over all training texts per epoch: every task starts from the shared parameters, runs
-stochastic gradient steps on the noise-contrastive objective of both factors, and hands on how far each row moved; Spark
-averages the moves of a row, weighted by how often the task met it (parameter mixing). Scoring is batched matrix
+Training reads all training texts once per epoch, in rounds. A round has lanes side by side, each of about LANE_TOKENS
+tokens: a lane starts from the parameters of the round before, runs stochastic gradient steps on the noise-contrastive
+objective of both factors, and hands on how far each row moved and how steep it was; Spark averages both by row, weighted
+by how often the lane met it, and later rounds step the less the steeper a row has been so far. A larger corpus has more rounds and more lanes. Texts are dealt to rounds and lanes by the hash of their
+id and words and are put in order there, so the model does not depend on partitions or machines. Scoring is batched matrix
 products. Rarer words are items by frequency band, and words beyond the head are the item OTHER: such an item is
 predicted like a word, and its probability is shared by smoothed count.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shared_dir
 from ._text import slices
 
 #: Words whose counts every task holds; the counts of all others are joined.
@@ -37,8 +39,10 @@ BANDS = 32
 #: Distinct words that a task holds before it passes its partial counts on.
 FLUSH_WORDS = 150_000
 DIMENSIONS, CONTEXT, EPOCHS = 12, 3, 1
+#: Training tokens of a lane, about, and the most rounds of an epoch (a corpus with more has wider rounds).
+LANE_TOKENS, MAX_ROUNDS = 1 << 19, 24
 #: Tokens of a gradient step; noise classes of a step and noise words of a class in a step.
-BATCH, NOISE_CLASSES, NOISE_WORDS = 1 << 15, 16, 8
+BATCH, NOISE_CLASSES, NOISE_WORDS = 1 << 14, 16, 8
 RATE = 0.05
 #: Tokens scored together, and cells of a score matrix.
 WINDOW, CELLS = 1 << 17, 1 << 18
@@ -141,6 +145,7 @@ class LogBilinear:
         self.r, self.q, self.s, self.c = 0, n, 2 * n, 2 * n + self.classes  # first rows
         draw = np.random.Generator(np.random.PCG64(self.seed))
         self.rows = np.zeros((self.c + CONTEXT * d, d + 1), np.float32)
+        self.slopes = np.ones_like(self.rows)  # running sums of squared gradients
         self.rows[:n, :d] = draw.standard_normal((n, d)) * 0.3
         self.rows[self.q : self.s, d] = np.log(self.word_share)
         self.rows[self.s : self.c, d] = np.log(self.class_share)
@@ -197,7 +202,7 @@ class Trainer:
 
     def __init__(self, model: LogBilinear, seed: int = 0):
         self.model, self.rows = model, model.rows.copy()
-        self.slopes = np.ones_like(self.rows)  # running sums of squared gradients
+        self.slopes = model.slopes.copy()
         self.met = np.zeros(len(self.rows), np.int64)
         self.draw = np.random.Generator(np.random.PCG64(seed))
         self.cumulative = np.cumsum(model.class_share)
@@ -276,29 +281,48 @@ class Trainer:
         self.met[m.c :] += len(at)
 
 
-def fit_log_bilinear(numbered: DataFrame, counts: np.ndarray, words: int, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, batch: int = BATCH) -> LogBilinear:
-    """A model of the texts in `numbered` (items: binary, 4 bytes each), whose items are counted in `counts`."""
+def schedule(n_tokens: int, lane_tokens: int = LANE_TOKENS) -> tuple[int, int]:
+    """(rounds, lanes of a round) for so many training tokens."""
+    shards = max(1, -(-n_tokens // lane_tokens))
+    rounds = min(MAX_ROUNDS, shards)  # lanes only where rounds do not suffice: a round learns more than a lane
+    return rounds, -(-shards // rounds)
+
+
+def _lane(shared, turn: int, batch: int):
+    def run(lane: pa.Table) -> pa.Table:
+        """How far every row moved and how much steeper it is, times how often it was met."""
+        model = shared.value
+        trainer = Trainer(model, turn << 32 | lane.column("lane")[0].as_py())
+        for found in lane.sort_by("place").select(["items"]).to_batches():
+            for part in slices(found, "items"):
+                trainer.fit(*chain_of(_items(part)), batch)
+        at = np.flatnonzero(trainer.met)
+        weight = trainer.met[at]
+        moved = np.hstack([trainer.rows[at] - model.rows[at], trainer.slopes[at] - model.slopes[at]]).astype(np.float64) * weight[:, None]
+        return pa.Table.from_arrays([pa.array(at), pa.array(weight), *[pa.array(moved[:, k]) for k in range(moved.shape[1])]], ["row", "n", *(f"v{k}" for k in range(moved.shape[1]))])
+
+    return run
+
+
+def fit_log_bilinear(dealt: DataFrame, counts: np.ndarray, words: int, rounds: int, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, batch: int = BATCH) -> LogBilinear:
+    """A model of the texts in `dealt` (items: binary, 4 bytes each; round, lane, place), whose items are counted in `counts`."""
     model = LogBilinear(counts, words, dimensions)
-    columns = [f"v{k}" for k in range(dimensions + 1)]
-    spark = numbered.sparkSession
-    for epoch in range(epochs):
+    wide = dimensions + 1
+    columns = [f"v{k}" for k in range(2 * wide)]
+    spark = dealt.sparkSession
+    for turn in range(epochs * rounds):
         shared = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(shared.value, epoch)
-            for found in batches:
-                for part in slices(found, "items"):
-                    trainer.fit(*chain_of(_items(part)), batch)
-            at = np.flatnonzero(trainer.met)
-            weight = trainer.met[at]
-            moved = (trainer.rows[at] - shared.value.rows[at]).astype(np.float64) * weight[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight), *[pa.array(moved[:, k]) for k in range(dimensions + 1)]], ["row", "n", *columns])
-
-        moves = numbered.select("items").mapInArrow(run, "row long, n long, " + ", ".join(f"{c} double" for c in columns))
+        of_round = dealt.where(F.col("round") == turn % rounds).select("lane", "place", "items")
+        moves = of_round.groupBy("lane").applyInArrow(_lane(shared, turn, batch), "row long, n long, " + ", ".join(f"{c} double" for c in columns))
         table = moves.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).toArrow()
-        weight = table.column("n").to_numpy().astype(np.float64)
-        mean = np.stack([table.column(c).to_numpy() for c in columns], axis=1) / weight[:, None]
-        model.rows[table.column("row").to_numpy()] += mean.astype(np.float32)
+        if table.num_rows:
+            weight = table.column("n").to_numpy().astype(np.float64)
+            mean = np.stack([table.column(c).to_numpy() for c in columns], axis=1) / weight[:, None]
+            at = table.column("row").to_numpy()
+            model.rows[at] += mean[:, :wide].astype(np.float32)
+            model.slopes[at] += mean[:, wide:].astype(np.float32)
+        shared.unpersist()
     return model
 
 
@@ -362,6 +386,7 @@ def score_texts(
     min_count: int = MIN_COUNT,
     epochs: int = EPOCHS,
     batch: int = BATCH,
+    lane_tokens: int = LANE_TOKENS,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -390,8 +415,14 @@ def score_texts(
     unseen = others + (n_kinds - (ends > 0) - len(head_list)) + 1.0
     log_share = np.zeros(FIRST_WORD + own + BANDS)
     log_share[OTHER], log_share[FIRST_WORD + own :] = np.log10(unseen + 1e-9), np.log10(np.maximum(of_bands[1], 1.0))
-    numbered = materialize(number_texts(rows, head_list, head_counts, item_of, log_share).withColumn("row", F.monotonically_increasing_id()))
-    model = fit_log_bilinear(numbered.where(~F.col("held_out")), np.r_[ends, others, head_counts[:own], of_bands[0]], own, epochs=epochs, batch=batch)
+    rounds, lanes = schedule(n_train, lane_tokens)
+    key = F.xxhash64(F.col("doc_id").cast("string"), "items")
+    numbered = number_texts(rows, head_list, head_counts, item_of, log_share).withColumns({"row": F.monotonically_increasing_id(), "place": key})
+    numbered = numbered.withColumns({"lane": F.pmod(F.shiftright("place", 20), F.lit(lanes)).cast("int"), "round": F.pmod("place", F.lit(rounds)).cast("int")})
+    path = shared_dir(spark)
+    numbered.write.partitionBy("round").parquet(path)  # a round reads its own files
+    numbered = spark.read.schema(numbered.schema).parquet(path)
+    model = fit_log_bilinear(numbered.where(~F.col("held_out")), np.r_[ends, others, head_counts[:own], of_bands[0]], own, rounds, epochs=epochs, batch=batch)
     shared = spark.sparkContext.broadcast(model)
     log_total, log_end = float(np.log10(n_train + n_kinds + 1)), float(np.log10(ends + 1))
 
