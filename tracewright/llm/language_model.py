@@ -40,9 +40,9 @@ BANDS = 32
 FLUSH_WORDS = 150_000
 DIMENSIONS, CONTEXT, EPOCHS = 12, 3, 1
 #: Training tokens of a lane, about, and the most rounds of an epoch (a corpus with more has wider rounds).
-LANE_TOKENS, MAX_ROUNDS = 1 << 19, 24
+LANE_TOKENS, MAX_ROUNDS = 1 << 21, 24
 #: Tokens of a gradient step; noise classes of a step and noise words of a class in a step.
-BATCH, NOISE_CLASSES, NOISE_WORDS = 1 << 14, 16, 8
+BATCH, NOISE_CLASSES, NOISE_WORDS = 1 << 15, 16, 8
 RATE = 0.05
 #: Tokens scored together, and cells of a score matrix.
 WINDOW, CELLS = 1 << 17, 1 << 18
@@ -298,7 +298,7 @@ def _lane(shared, turn: int, batch: int):
                 trainer.fit(*chain_of(_items(part)), batch)
         at = np.flatnonzero(trainer.met)
         weight = trainer.met[at]
-        moved = np.hstack([trainer.rows[at] - model.rows[at], trainer.slopes[at] - model.slopes[at]]).astype(np.float64) * weight[:, None]
+        moved = np.hstack([trainer.rows[at] - model.rows[at], trainer.slopes[at] - model.slopes[at]]) * weight[:, None].astype(np.float32)
         return pa.Table.from_arrays([pa.array(at), pa.array(weight), *[pa.array(moved[:, k]) for k in range(moved.shape[1])]], ["row", "n", *(f"v{k}" for k in range(moved.shape[1]))])
 
     return run
@@ -314,7 +314,7 @@ def fit_log_bilinear(dealt: DataFrame, counts: np.ndarray, words: int, rounds: i
         shared = spark.sparkContext.broadcast(model)
 
         of_round = dealt.where(F.col("round") == turn % rounds).select("lane", "place", "items")
-        moves = of_round.groupBy("lane").applyInArrow(_lane(shared, turn, batch), "row long, n long, " + ", ".join(f"{c} double" for c in columns))
+        moves = of_round.groupBy("lane").applyInArrow(_lane(shared, turn, batch), "row long, n long, " + ", ".join(f"{c} float" for c in columns))
         table = moves.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).toArrow()
         if table.num_rows:
             weight = table.column("n").to_numpy().astype(np.float64)
