@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence, investigations, temporal
 from ..operators.traverse import bounded_traversal
 from ..session import materialize, read_table
-from ..sources import lockfile, registry_docs
+from ..sources import fragments, lockfile, registry_docs
 from ..sources.derived import Graph
 from ..streaming import jobs
 from .graph_sql import AUTHORITY, GRAPH, edge_of, query
@@ -65,7 +65,7 @@ def s9_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s19_lockfile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, _ = _entries(Graph(spark, sf_dir))
-    edges = lockfile.dependency_edges(entries, lockfile.resolve(entries)[0], F.lit(0))
+    edges = fragments.dependency_edges(entries, lockfile.resolve(entries)[0])
     return edges.select("id", "source_logical", "target_logical", "dependency_type", "declared_range", "lockfile_path")
 
 
@@ -256,7 +256,7 @@ placed AS (SELECT c.*, l_orderkey::VARCHAR AS service_id, CASE WHEN n % 2 = 0 TH
 wanted AS (SELECT b.service_id, coalesce(a.path, '') AS path, b.name AS dependency, b.path AS candidate, b.version AS resolved_version, CASE WHEN b.l_tax <= 0.05 THEN 'production' ELSE 'optional' END AS dependency_type, b.installed, a.name AS source_name, a.version AS source_version
   FROM placed b LEFT JOIN placed a ON a.l_orderkey = b.l_orderkey AND a.n = b.n - 1 WHERE b.n = 1 OR a.installed)
 """
-_LOCK_EDGE = edge_of("'DEPENDS_ON'", "CASE WHEN path = '' THEN 'service:' || service_id ELSE 'pkgver:npm:' || source_name || '@' || source_version END", "'pkgver:npm:' || dependency || '@' || resolved_version", "candidate")
+_LOCK_EDGE = edge_of("'DEPENDS_ON'", "CASE WHEN path = '' THEN 'service:' || service_id ELSE 'pkgver:npm:' || source_name || '@' || source_version END", "'pkgver:npm:' || dependency || '@' || resolved_version", "'package-lock:' || CASE WHEN path = '' THEN '<root>' ELSE path END || '->' || candidate || ':' || dependency || ':' || dependency_type")
 _NEXT = "follow AS (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS next FROM lineitem)"
 _PACK = f"""{_NEXT},
 needs AS (SELECT DISTINCT l_partkey AS p_partkey, b.p_brand AS dependency FROM follow JOIN part b ON b.p_partkey = next WHERE b.p_size >= 40),
