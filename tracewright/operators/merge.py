@@ -64,7 +64,7 @@ def merge_nodes(rows: DataFrame, optional: list[str], required: list[str] = ("ki
     """
     united = distinct_values(rows, ["id"], "evidence_ids")
     checked = [*required, *optional]
-    kinds = [F.size(F.collect_set(F.col(c))).alias(f"_{c}") for c in checked]
+    kinds = [F.count_distinct(F.col(c)).alias(f"_{c}") for c in checked]
     merged = rows.groupBy("id").agg(
         F.max("observed_at").alias("observed_at"),
         F.every("synthetic").alias("synthetic"),

@@ -73,7 +73,7 @@ def p15_observed_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lockfile.observed_packages(_entries(Graph(spark, sf_dir))[0])
 
 def packuments(g: Graph) -> DataFrame:
-    """One registry document per brand; its parts are versions that declare the brands of their order's next part."""
+    """One registry document per brand, maintained by a share of the suppliers; its parts are versions that declare the brands of their order's next part."""
     part = g.table("part").select("p_partkey", "p_brand", "p_size")
     follow = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     pairs = g.table("lineitem").withColumn("next", F.lead("l_partkey").over(follow)).where("next IS NOT NULL").select(F.col("l_partkey").alias("p_partkey"), "next").distinct()
@@ -83,7 +83,10 @@ def packuments(g: Graph) -> DataFrame:
     rows = part.join(needs, "p_partkey", "left").withColumn("version", version)
     entry = F.struct(F.col("version").alias("key"), F.struct(F.col("p_brand").alias("name"), F.when(F.col("p_partkey") == 7, "other").otherwise(F.col("version")).alias("version"), "dependencies").alias("value"))
     docs = rows.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(entry)).alias("versions"), F.max("version").alias("latest"))
-    return docs.select(F.to_json(F.struct(F.col("p_brand").alias("name"), F.create_map(F.lit("latest"), F.col("latest")).alias("dist-tags"), "versions")).alias("content"))
+    owned = F.concat(F.lit("Brand#"), F.col("s_suppkey") % 5 + 1, F.floor(F.col("s_suppkey") / 5) % 5 + 1)
+    people = g.table("supplier").select(owned.alias("p_brand"), F.struct(F.col("s_name").alias("name")).alias("m")).groupBy("p_brand").agg(F.collect_list("m").alias("maintainers"))
+    docs = docs.join(people, "p_brand", "left")
+    return docs.select(F.to_json(F.struct(F.col("p_brand").alias("name"), F.create_map(F.lit("latest"), F.col("latest")).alias("dist-tags"), "maintainers", "versions")).alias("content"))
 
 
 def s2_packument_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
