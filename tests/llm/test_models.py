@@ -279,3 +279,34 @@ def test_token_counts_with_a_small_cache(spark, sf_dir, monkeypatch, make_docs):
     fresh = token_counts.RankMerger(VOCABULARY)
     assert [fresh.text_counts([t])[0] for t in texts] == want
     assert token_counts.count_tokens(make_docs([]), VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 100])
+def test_long_texts_in_pieces_are_as_whole(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    draw = np.random.Generator(np.random.PCG64(5))
+    for text in ["", "   ", "a", "  a  b", "".join(draw.choice(list("ab  \t\u00e9\U0001d400.1"), 60))]:
+        keys, _, letters = language_id.packed_ngrams([text])
+        found = list(language_id.ngram_pieces(text))
+        assert np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in found)]).tolist() == keys.tolist()
+        assert sum(n for _, n in found) == letters[0]
+
+
+def test_very_long_text_needs_little_memory(spark, sf_dir):
+    """A text of 32 MB, alone in a process: below 500 MB over what the process holds before."""
+    import resource
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train(docs)
+    text = (docs.where("lang = 'en' AND length(text) > 1000").first().text + " ")[:1000] * 32_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    lang, *_ = model.predict([text, "short"])
+    assert lang[0] == "en" and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 500
+
+
+def test_too_many_labels_are_refused(make_docs, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    rows = [(k, "some words", f"l{k}") for k in range(40)]
+    with pytest.raises(ValueError, match="more than 3 labels"):
+        language_id.train(make_docs(rows))
+    assert language_id.train(make_docs([(k, "some words", f"l{k % 3}") for k in range(40)])).languages == ["l0", "l1", "l2"]

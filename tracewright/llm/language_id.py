@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from ._text import slices, strings
 
 ORDER = 4
+#: Labels that one model takes; its tables have a column each and are broadcast.
+MAX_LANGUAGES = 256
+#: Characters of a longer text that are looked at together.
+PIECE = 1 << 18
 #: Bound of the fit: so many labelled documents of a language are read for counts and calibration (expected number of a
 #: seeded hash sample; all of them where there are fewer).
 MAX_TRAIN_DOCS = 3000
@@ -85,6 +89,22 @@ def packed_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return keys[own], owner[own], letters
 
 
+def ngram_pieces(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The keys of `packed_ngrams` for one text, and its letters, piece by piece: what a piece needs of the one before are
+    its last kept characters."""
+    before = np.full(ORDER - 1, _BLANK, np.uint64)
+    for low in range(0, len(text), PIECE):
+        folded = _fold(np.frombuffer(text[low : low + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32))
+        blank = folded == _BLANK
+        keep = ~(blank & np.r_[before[-1] == _BLANK, blank[:-1]])
+        chain = np.concatenate([before, folded[keep].astype(np.uint64)])
+        keys = chain[ORDER - 1 :].copy()
+        for k in range(1, ORDER):
+            keys |= chain[ORDER - 1 - k : len(chain) - k] << np.uint64(16 * k)
+        before = chain[len(chain) - (ORDER - 1) :]
+        yield keys, int((~blank).sum())
+
+
 def _low(keys: np.ndarray, order: int) -> np.ndarray:
     return keys if order == ORDER else keys & np.uint64((1 << (16 * order)) - 1)
 
@@ -161,6 +181,8 @@ class LanguageModel:
 
     def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(nats per character by text and language, letters by text)."""
+        if any(len(t) > PIECE for t in texts):
+            return self._long_entropies(texts)
         keys, owner, letters = packed_ngrams(texts)
         out = np.zeros((len(texts), len(self.languages)))
         if len(keys) and self.languages:
@@ -169,6 +191,18 @@ class LanguageModel:
             out[present] = -np.add.reduceat(logs, first, axis=0, dtype=np.float64) / sizes[:, None]
         return out, letters
 
+    def _long_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            n = 0
+            for keys, some in ngram_pieces(text):
+                letters[k] += some
+                n += len(keys)
+                if len(keys) and self.languages:
+                    out[k] -= self._logs(ORDER, keys).sum(axis=0, dtype=np.float64)
+            out[k] /= max(n, 1)
+        return out, letters
+
     def probabilities(self, entropies: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """Calibrated posterior by text and language."""
         logits = -entropies * self.sharpness * np.sqrt(np.maximum(letters, 1))[:, None]
@@ -237,7 +271,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels in {lang}: the tables of all languages are held together, map the labels to fewer first")
     languages = sorted(sizes)
     if not languages:
         return _nothing()
@@ -252,8 +288,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                 names = np.array(part.column("lang").to_pylist(), object)
                 texts = np.array(strings(part, "text"), object)
                 for name in sorted(set(names)):
-                    keys, n = np.unique(packed_ngrams(texts[names == name].tolist())[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "key", "n"])
+                    mine = texts[names == name].tolist()
+                    short = [t for t in mine if len(t) <= PIECE]
+                    for found in [packed_ngrams(short)[0]] if short else []:
+                        yield counted(name, found)
+                    for t in mine:
+                        for found, _ in ngram_pieces(t) if len(t) > PIECE else []:
+                            yield counted(name, found)
+
+    def counted(name: str, found: np.ndarray) -> pa.RecordBatch:
+        keys, n = np.unique(found, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "key", "n"])
 
     def gathered(fit: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         table = fit.select("text", "lang").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
