@@ -40,7 +40,7 @@ BANDS = 32
 FLUSH_WORDS = 150_000
 DIMENSIONS, CONTEXT, EPOCHS = 12, 3, 1
 #: Training tokens of a lane, about, and the most rounds of an epoch (a corpus with more has wider rounds).
-LANE_TOKENS, MAX_ROUNDS = 1 << 21, 24
+LANE_TOKENS, MAX_ROUNDS = 1 << 21, 12
 #: Tokens of a gradient step; noise classes of a step and noise words of a class in a step.
 BATCH, NOISE_CLASSES, NOISE_WORDS = 1 << 15, 16, 8
 RATE = 0.05
