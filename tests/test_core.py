@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import names as N
 from tracewright.functions.identity import edge_logical_id, numeric_id, uri_component, valid_logical_id
 from tracewright.functions.semver import parse_range, satisfies
-from tracewright.operators import containment, evidence, firewall, merge, temporal, typosquat
+from tracewright.operators import containment, evidence, firewall, investigations, merge, temporal, typosquat
 from tracewright.operators.traverse import Limits, admitted_states, all_paths, authority_reach, bounded_traversal, hop_page
 from tracewright.sources import lockfile, registry_docs
 from tracewright.streaming import jobs
@@ -538,3 +538,17 @@ def test_job_stream(spark, tmp_path):
     for r in sorted(changes, key=lambda r: (r.events, r.at)):
         last[r.job_id] = r.status
     assert last[1] == "completed" and last[2] == "failed" and last[3] == "failed" and last[4] == "queued"
+
+
+def test_path_emphasis(spark):
+    """The named path, the first where the name is not one of the service's, nothing for a stranger."""
+    paths = spark.createDataFrame([(1, 5, "p1", 1, [1, 5], [10]), (1, 5, "p2", 2, [1, 2, 5], [11, 12]), (2, 5, "p9", 1, [3, 5], [13])], "incident_id long, service_id long, path_key string, ord long, node_ids array<long>, edge_ids array<long>")
+
+    def emphasised(*rows):
+        selected = spark.createDataFrame(rows, "incident_id long, service_id long, path_key string")
+        return sorted(tuple(r) for r in investigations.path_emphasis(paths, selected).collect())
+
+    first = [(1, 5, "edge", 10), (1, 5, "node", 1), (1, 5, "node", 5)]
+    assert emphasised((1, 5, "p2")) == [(1, 5, "edge", 11), (1, 5, "edge", 12), (1, 5, "node", 1), (1, 5, "node", 2), (1, 5, "node", 5)]
+    assert emphasised((1, 5, None)) == emphasised((1, 5, "p9")) == emphasised((1, 5, "p1"), (1, 5, "p2")) == first
+    assert emphasised((1, 6, "p1"), (3, 5, None)) == []

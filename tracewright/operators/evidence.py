@@ -28,7 +28,8 @@ def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
 def keyed(paths: DataFrame) -> DataFrame:
     """Service paths with service_id and the key [root, service, edges...], from states or a traversal's services."""
     ids = F.concat(F.array("root_id", "cur"), F.col("edge_ids"))
-    return paths.where("terminal").select("incident_id", "root_id", F.col("cur").alias("service_id"), "depth", "edge_ids", F.concat(F.lit("["), F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("]")).alias("path_key"))
+    more = [c for c in ("node_ids", "ord") if c in paths.columns]
+    return paths.where("terminal").select("incident_id", "root_id", F.col("cur").alias("service_id"), "depth", "edge_ids", *more, F.concat(F.lit("["), F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("]")).alias("path_key"))
 
 
 def edge_support(on_paths: DataFrame, evidence: DataFrame) -> DataFrame:

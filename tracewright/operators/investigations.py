@@ -125,3 +125,23 @@ def path_view(paths: DataFrame) -> DataFrame:
     """Nodes of every incident's service paths with the keys of the paths through them and the layer where each is first seen."""
     walked = paths.select("incident_id", "path_key", "service_id", F.posexplode("node_ids").alias("layer", "node_id"))
     return walked.groupBy("incident_id", "node_id").agg(F.count_distinct("path_key").alias("path_count"), F.min_by("layer", F.struct("service_id", "path_key", "layer")).cast("long").alias("layer"), F.min("layer").cast("long").alias("least_layer"))
+
+
+def edge_view(paths: DataFrame) -> DataFrame:
+    """Edges of every incident's service paths with the number of paths and of services that run over them."""
+    walked = paths.select("incident_id", "path_key", "service_id", F.explode("edge_ids").alias("edge_id"))
+    return walked.groupBy("incident_id", "edge_id").agg(F.count_distinct("path_key").alias("path_count"), F.count_distinct("service_id").alias("service_count"))
+
+
+def path_emphasis(paths: DataFrame, selected: DataFrame) -> DataFrame:
+    """incident_id, service_id, element (node or edge), id: what a selection (incident_id, service_id, path_key) emphasises.
+
+    It is the named path of the service; its first (by `ord`) if none is named or the name is not one of its paths; nothing
+    for an unknown service. Of several selections of a service the least path_key counts.
+    """
+    key = ["incident_id", "service_id"]
+    chosen = selected.groupBy(*key).agg(F.min("path_key").alias("wanted"))
+    order = F.struct((F.col("path_key") != F.coalesce("wanted", F.lit(""))).alias("other"), "ord")
+    best = paths.join(chosen, key).groupBy(*key).agg(F.min_by(F.struct("node_ids", "edge_ids"), order).alias("p"))
+    listed = lambda kind, c: F.transform(F.col(f"p.{c}"), lambda x: F.struct(F.lit(kind).alias("element"), x.alias("id")))
+    return best.select(*key, F.explode(F.concat(listed("node", "node_ids"), listed("edge", "edge_ids"))).alias("x")).select(*key, "x.*")

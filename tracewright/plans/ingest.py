@@ -161,6 +161,21 @@ def a23_path_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return investigations.path_view(paths)
 
 
+def _shown_paths(g: Graph) -> DataFrame:
+    return evidence.keyed(bounded_traversal(g.incident_versions(), materialize(g.depends_on()), WHOLE).services)
+
+
+def a23_edge_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return investigations.edge_view(_shown_paths(Graph(spark, sf_dir)))
+
+
+def p13_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is emphasised when every service is selected: with the greatest key of its paths, or, every third, with none of them."""
+    paths = materialize(_shown_paths(Graph(spark, sf_dir)))
+    named = F.when(F.col("service_id") % 3 == 0, F.lit("none of them")).otherwise(F.max("path_key"))
+    return investigations.path_emphasis(paths, paths.groupBy("incident_id", "service_id").agg(named.alias("path_key")))
+
+
 def q6_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as findings, their first line as review command."""
     g = Graph(spark, sf_dir)
@@ -247,7 +262,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s3_lockfile_entries, s3_lockfile_issues, s8_resolutions, s9_unresolved, s19_lockfile_edges, p15_observed_packages, s2_packument_versions, s2_packument_issues, t6_expansion, q1_affected, w6_incident_page, s12_dependents_page,
-        q4_package_overview, j5_shared_authority, t5_exposure, a23_path_view, q6_review, f14_ladder, k6_snapshots, f13_iso, a21_job_stats, r1_job_states, r2_submissions, r2_outcomes, r3_activity, r4_supersession, r5_latest,
+        q4_package_overview, j5_shared_authority, t5_exposure, a23_path_view, a23_edge_view, p13_emphasis, q6_review, f14_ladder, k6_snapshots, f13_iso, a21_job_stats, r1_job_states, r2_submissions, r2_outcomes, r3_activity, r4_supersession, r5_latest,
     )
 }
 LOCK = """
@@ -321,6 +336,14 @@ ORACLES = {
         "firsts AS (SELECT incident_id, node_id, layer FROM walked QUALIFY row_number() OVER (PARTITION BY incident_id, node_id ORDER BY service_id, k, layer) = 1)",
         select="SELECT w.incident_id, w.node_id, count(DISTINCT k) AS path_count, any_value(f.layer)::BIGINT AS layer, min(w.layer)::BIGINT AS least_layer FROM walked w JOIN firsts f USING (incident_id, node_id) GROUP BY 1, 2",
     ),
+    "a23_edge_view": query(GRAPH, STATES, select="SELECT incident_id, x AS edge_id, count(DISTINCT path_key) AS path_count, count(DISTINCT service_id) AS service_count FROM paths, unnest(edge_ids) u(x) GROUP BY 1, 2"),
+    "p13_emphasis": query(
+        GRAPH,
+        STATES,
+        "named AS (SELECT *, max(path_key) OVER (PARTITION BY incident_id, service_id) AS greatest FROM paths)",
+        "chosen AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY incident_id, service_id ORDER BY CASE WHEN service_id % 3 = 0 THEN 0 ELSE (path_key <> greatest)::INT END, ord) = 1)",
+        select="SELECT incident_id, service_id, 'node' AS element, x AS id FROM chosen, unnest(node_ids) u(x) UNION ALL SELECT incident_id, service_id, 'edge', x FROM chosen, unnest(edge_ids) u(x)",
+    ),
     "q6_review": """WITH f AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'open' WHEN 'O' THEN 'reviewing' ELSE 'dismissed' END AS status FROM orders),
         c AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'promoted' ELSE 'dismissed' END AS goal, l_tax < 0.02 AS stale FROM lineitem WHERE l_quantity > 25
           QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice) = 1),
