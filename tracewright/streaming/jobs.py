@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,8 +13,8 @@ from ..operators.merge import upsert
 from ..operators.temporal import close_snapshots
 from ..session import shared_dir
 
-#: How long a job may run without an event, how long a finished one is kept, and which event leads to which status.
-ACTIVE_TIMEOUT_MS, RETENTION_MS = 15 * 60_000, 60 * 60_000
+#: How long a job may run without an event, how long a finished one is kept, how late an event may be, and which event leads to which status.
+ACTIVE_TIMEOUT_MS, RETENTION_MS, LATE_MS = 15 * 60_000, 60 * 60_000, 10 * 60_000
 TERMINAL = ("completed", "partially_completed", "failed")
 STATUS = {"signup": "queued", "click": "running", "view": "running", "purchase": "completed", "error": "failed"}
 OUTPUT = "job_id long, status string, at long, events long, timed_out boolean"
@@ -53,29 +53,6 @@ def first_submissions(events: DataFrame, key: str, within: str = "1 hour") -> Da
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
-def _submit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One idempotency key's submissions in time order: the first is accepted, others repeat it or contradict its payload."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    payload = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
-    said = []
-    for event_id, own in zip(rows["event_id"], rows["payload"], strict=True):
-        said.append((int(event_id), "accepted" if payload is None else "repeated" if own == payload else "conflict"))
-        payload = own if payload is None else payload
-    state.update((payload,))
-    state.setTimeoutTimestamp(max(int(rows["at"].max()) + RETENTION_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(said, columns=["event_id", "outcome"])
-
-
-def submission_outcomes(events: DataFrame) -> DataFrame:
-    """event_id, outcome (accepted, repeated, conflict) of submissions (idempotency_key, payload, event_id, ts); a key is
-    forgotten when it has been silent for the retention."""
-    rows = events.withWatermark("ts", "10 minutes").select("idempotency_key", "payload", "event_id", "ts", F.unix_millis("ts").alias("at"))
-    return rows.groupBy("idempotency_key").applyInPandasWithState(_submit, "event_id long, outcome string", "payload string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def activity(events: DataFrame, width: str = "1 hour") -> DataFrame:
     """Tumbling counts by event type, late events within the watermark included."""
     grouped = events.withWatermark("ts", "10 minutes").groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
@@ -101,6 +78,34 @@ def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}*.parquet")
 
 
+def submission_outcomes(spark: SparkSession, stream: DataFrame, base: str | None = None) -> DataFrame:
+    """event_id, outcome of a stream of submissions (idempotency_key, payload, event_id, ts): in time order the first of a key
+    is accepted, others repeat it or contradict its payload (conflict).
+
+    The accepted payloads are a table, made anew by each batch; a key leaves it when it has been silent for the retention
+    (and ten minutes for late submissions). Restarts as `latest_by_key`.
+    """
+    base = base or shared_dir(spark)
+    key = "idempotency_key"
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.select(key, "payload", "event_id", F.unix_millis("ts").alias("at"), F.lit(True).alias("_new"))
+        if number:
+            known = spark.read.parquet(f"{base}/known/version={number - 1}")
+            rows = rows.unionByName(known.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        first = Window.partitionBy(key).orderBy("_new", "at", "event_id")
+        same = F.col("payload") == F.first("payload").over(first)
+        outcome = F.when(F.row_number().over(first) == 1, "accepted").when(same, "repeated").otherwise("conflict")
+        said = rows.withColumn("outcome", outcome).where("_new").select("event_id", "outcome")
+        said.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
+        kept = rows.groupBy(key).agg(F.min_by("payload", F.struct("_new", "at", "event_id")).alias("payload"), F.max("at").alias("at"))
+        newest = rows.agg((F.max("at") - LATE_MS - RETENTION_MS).alias("_silent"))
+        kept.join(F.broadcast(newest), F.col("at") >= F.col("_silent")).drop("_silent").write.mode("overwrite").parquet(f"{base}/known/version={number}")
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, outcome string").parquet(f"{base}/data/batch=*")
+
+
 def supersede(current: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(history, quarantined): new snapshots close the open one of their service; those older than it are set aside."""
     opened = current.where("is_current").select("service_id", F.col("valid_from").alias("_open"))
